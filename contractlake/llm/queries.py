@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import bpe, jaccard, langid, line_dedup, quality_mil, toxicity
+from .common import fold, table
 
 
 def tokenizer_path() -> str:
@@ -16,13 +17,52 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs, ~held_out)
+    out = langid.predict(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = quality_mil.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    out = quality_mil.score(docs, model, threshold=0.3)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_passages", "top_weight")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    out = toxicity.score(docs, machine, threshold=0.7)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe}
+    return {
+        "op1_jaccard": op1_jaccard,
+        "op3_bpe": op3_bpe,
+        "op6_language": op6_language,
+        "op7_line_dedup": op7_line_dedup,
+        "op9_quality": op9_quality,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": line_dedup.SQL}
