@@ -1,13 +1,14 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are a text's distinct words and their beginnings, hashed into buckets. The machine adds a
-weight for each bucket present and an inner product for each pair of buckets, so that a pair such as
-an insult and the mention of a group counts beyond its parts.
+Terms are a text's words and their beginnings, hashed into buckets; a bucket's value is the logarithm
+of its count. The machine adds a weight for each bucket present and an inner product for each pair of
+buckets, so that a pair such as an insult and the mention of a group counts beyond its parts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, slices, text_column
 
 BITS = 20
-PREFIXES = (3, 4, 5)
+PREFIXES = (3, 4, 5, 6, 7)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -35,26 +36,28 @@ def buckets(word: str) -> tuple[int, ...]:
 
 
 class Terms:
-    """Distinct buckets of texts; remembers words, up to a bound."""
+    """Buckets of a text, ascending, and their values; remembers words, up to a bound."""
 
     def __init__(self, wanted: dict[int, int] | None = None, most: int = 300_000) -> None:
         self.memory: dict[str, tuple[int, ...]] = {}
         self.wanted, self.most = wanted, most
 
-    def __call__(self, text: str) -> list[int]:
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         memory = self.memory
         if len(memory) > self.most:
             memory.clear()
-        found: set[int] = set()
-        for w in set(_WORDS.findall(text.lower())):
-            b = memory.get(w)
-            if b is None:
-                b = buckets(w)
+        found: dict[int, int] = {}
+        for w, n in Counter(_WORDS.findall(text.lower())).items():
+            of = memory.get(w)
+            if of is None:
+                of = buckets(w)
                 if self.wanted is not None:
-                    b = tuple(self.wanted[x] for x in b if x in self.wanted)
-                memory[w] = b
-            found.update(b)
-        return list(found)
+                    of = tuple(self.wanted[x] for x in of if x in self.wanted)
+                memory[w] = of
+            for x in of:
+                found[x] = found.get(x, 0) + n
+        names = sorted(found)
+        return np.array(names, dtype=np.int32), np.log2(1 + np.array([found[x] for x in names], dtype=np.float32))
 
 
 @dataclass
@@ -66,21 +69,19 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
-    def scores(self, rows: list[list[int]]) -> np.ndarray:
-        out = np.empty(len(rows))
-        for k, row in enumerate(rows):
-            v = self.factors[row]
-            s = v.sum(axis=0)
-            out[k] = self.bias + self.weights[row].sum() + 0.5 * (s @ s - (v * v).sum())
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+    def score(self, names: np.ndarray, values: np.ndarray) -> float:
+        v = self.factors[names] * values[:, None]
+        s = v.sum(axis=0)
+        logit = self.bias + self.weights[names] @ values + 0.5 * (s @ s - (v * v).sum())
+        return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
-def train(rows: list[list[int]], labels: np.ndarray, most_columns: int = 4096, rank: int = 6, epochs: int = 14, batch: int = 128, rate: float = 0.03, decay: float = 2e-4, seed: int = 5) -> Machine:
+def train(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, most_columns: int = 1500, rank: int = 6, epochs: int = 14, batch: int = 128, rate: float = 0.03, decay: float = 2e-4, seed: int = 5) -> Machine:
     """Logistic loss, Adam, on the buckets that tell the labels apart best by chi-square."""
     y = np.asarray(labels, dtype=np.float32)
     n = len(rows)
     lengths = [len(r) for r in rows]
-    flat = np.fromiter((b for r in rows for b in r), dtype=np.int64, count=sum(lengths))
+    flat = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int64)
     owner = np.repeat(np.arange(n), lengths)
     size = 1 << BITS
     df = np.bincount(flat, minlength=size).astype(np.float64)
@@ -99,8 +100,8 @@ def train(rows: list[list[int]], labels: np.ndarray, most_columns: int = 4096, r
         return Machine({}, float(np.log(rate_of / (1 - rate_of))), np.zeros(0), np.zeros((0, rank)))
     at = np.searchsorted(chosen, flat)
     ok = (at < m) & (chosen[np.minimum(at, m - 1)] == flat)
-    X = np.zeros((n, m), dtype=np.uint8)
-    X[owner[ok], at[ok]] = 1
+    X = np.zeros((n, m), dtype=np.float32)
+    X[owner[ok], at[ok]] = np.concatenate(values)[ok]
     rng = np.random.default_rng(seed)
     P = {"b": np.zeros(1, np.float32), "w": np.zeros(m, np.float32), "v": rng.normal(0, 0.01, (m, rank)).astype(np.float32)}
     M, S, t = {k: np.zeros_like(x) for k, x in P.items()}, {k: np.zeros_like(x) for k, x in P.items()}, 0
@@ -109,12 +110,11 @@ def train(rows: list[list[int]], labels: np.ndarray, most_columns: int = 4096, r
         order = rng.permutation(n)
         for k in range(0, n, batch):
             take = order[k : k + batch]
-            x = X[take].astype(np.float32)
-            s = x @ P["v"]
-            z = P["b"][0] + x @ P["w"] + 0.5 * ((s * s).sum(1) - x @ (P["v"] ** 2).sum(1))
+            x = X[take]
+            s, xx = x @ P["v"], x * x
+            z = P["b"][0] + x @ P["w"] + 0.5 * ((s * s).sum(1) - xx @ (P["v"] ** 2).sum(1))
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[take]) / len(take)
-            xg = x.T @ g
-            G = {"b": g.sum(keepdims=True), "w": xg + decay * P["w"], "v": x.T @ (g[:, None] * s) - P["v"] * xg[:, None] + decay * P["v"]}
+            G = {"b": g.sum(keepdims=True), "w": x.T @ g + decay * P["w"], "v": x.T @ (g[:, None] * s) - P["v"] * (xx.T @ g)[:, None] + decay * P["v"]}
             t += 1
             for p in P:
                 M[p] = 0.9 * M[p] + 0.1 * G[p]
@@ -137,15 +137,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "to
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Terms()
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([sorted(of(t)) for t in batch.column("body").to_pylist()], pa.list_(pa.int32()))], names=["y", "terms"])
+            got = [of(t) for t in batch.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], names=["y", "terms", "counts"])
 
-    got = texts.mapInArrow(terms, "y int, terms array<int>").toArrow()
+    got = texts.mapInArrow(terms, "y int, terms array<int>, counts array<float>").toArrow().combine_chunks()
     y = got.column("y").to_numpy()
-    lists = got.column("terms").combine_chunks()
-    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-    bags = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    bags, counts = ([x.values.to_numpy() for x in got.column(c).combine_chunks()] for c in ("terms", "counts"))
     order = sorted(range(len(bags)), key=lambda k: (int(y[k]), len(bags[k]), bags[k].tobytes()))
-    return train([bags[k] for k in order], y[order])
+    return train([bags[k] for k in order], [counts[k] for k in order], y[order])
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -163,7 +162,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, text: str =
         m = shared.value
         of = Terms(m.columns)
         for batch in slices(batches):
-            s = m.scores([of(t) for t in batch.column("body").to_pylist()])
+            s = [m.score(*of(t)) for t in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(s, pa.float64())], names=[*names, "score"])
 
     out = rows.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "score")
