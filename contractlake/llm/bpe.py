@@ -16,6 +16,7 @@ grows to both sides whole, which is the plain encoding.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,16 +27,23 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_column
 
-#: White space that no token of the vocabulary crosses, mapped to one space.
-BLANK = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
-#: Words remembered in a task; the memory starts anew beyond it.
-MEMORY = 200_000
+#: Words remembered in a worker process; the memory starts anew beyond it.
+MEMORY = 400_000
+#: Marks that end a word; between a letter and a run of them lies a cut that no token crosses.
+MARKS = ".,*&$%#!?;:|)"
+#: White space to str.split, but an ordinary character to the tokenizer.
+ODD = re.compile("[\x1c-\x1f]")
+_BLANKS = re.compile("[^ \t-\r]+")
 
 Span = tuple[int, int, int]
+#: Of a word: its ids, these as decimals joined by spaces, its decoded tokens joined by spaces.
+Piece = tuple[list[int], str, str]
 
 
 class Bpe:
-    """A tokenizer file in one task."""
+    """A tokenizer file in one worker process."""
+
+    opened: dict[str, Bpe] = {}
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -43,36 +51,71 @@ class Bpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memory: dict[str, list[int]] = {"": []}
+        if self.tokenizer.decoder is not None:
+            raise ValueError("a tokenizer with a decoder of its own does not decode word by word")
+        self.tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        self.memory: dict[str, Piece] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Bpe:
+        """One for all tasks of a worker process, so that words are learned once."""
+        if path not in cls.opened:
+            cls.opened[path] = cls(path)
+        return cls.opened[path]
 
     def spans(self, text: str, at: int = 0) -> list[Span]:
         """(first character, character after the last, id) of each token."""
         e = self.tokenizer.encode(text, add_special_tokens=False)
         return [(a + at, b + at, i) for (a, b), i in zip(e.offsets, e.ids, strict=True)]
 
-    def learn(self, words: list[str]) -> None:
+    def _piece(self, ids: list[int]) -> Piece:
+        tokens = self.tokens
+        return ids, " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
+
+    def learn(self, words: set[str]) -> None:
         """Encode new words, all in one text: no token crosses the space between them."""
-        if len(self.memory) > MEMORY:
-            self.memory = {"": []}
-        new = list({w for w in words if w not in self.memory})
-        if not new:
-            return
-        e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        starts = np.cumsum([0] + [len(w) + 1 for w in new[:-1]])
-        owner = np.searchsorted(starts, np.array([a for a, _ in e.offsets], dtype=np.int64), "right") - 1
-        cuts = np.searchsorted(owner, np.arange(len(new) + 1))
-        ids = e.ids
-        for k, word in enumerate(new):
-            self.memory[word] = ids[cuts[k] : cuts[k + 1]]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [t.translate(BLANK).split(" ") for t in texts]
-        self.learn([w for words in split for w in words])
         memory = self.memory
-        return [[i for w in words for i in memory[w]] for words in split]
+        parts = {w: self._parts(w) for w in words}
+        new = list({p for two in parts.values() for p in two if p not in memory})
+        if new:
+            e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+            ids, offsets = e.ids, np.array(e.offsets, dtype=np.int64)[:, 0] if e.ids else np.zeros(0, np.int64)
+            cuts = np.searchsorted(offsets, np.cumsum([0] + [len(w) + 1 for w in new])).tolist()
+            for k, word in enumerate(new):
+                memory[word] = self._piece(ids[cuts[k] : cuts[k + 1]])
+        for w, two in parts.items():
+            if len(two) == 2:
+                a, b = memory[two[0]], memory[two[1]]
+                memory[w] = a[0] + b[0], f"{a[1]} {b[1]}", f"{a[2]} {b[2]}"
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, ...]:
+        core = word.rstrip(MARKS)
+        if core and len(core) < len(word) and core[-1].isalpha() and core[-1] < "\u0250":
+            return core, word[len(core) :]
+        return (word,)
+
+    def pieces(self, texts: list[str]) -> list[list[Piece]]:
+        """Of each text's words that have a token."""
+        split = [_BLANKS.findall(t) if ODD.search(t) else t.split() for t in texts]
+        memory = self.memory
+        if len(memory) > MEMORY:
+            memory.clear()
+        self.learn({w for words in split for w in words if w not in memory})
+        return [[p for p in map(memory.__getitem__, words) if p[1]] for words in split]
+
+    def answers(self, texts: list[str], out: str) -> list[tuple]:
+        if out == "digest":
+            return [(sum([len(p[0]) for p in got]), _sha(" ".join([p[1] for p in got])), _sha(" ".join([p[2] for p in got]))) for got in self.pieces(texts)]
+        return [([i for p in got for i in p[0]], " ".join([p[2] for p in got])) for got in self.pieces(texts)]
+
+    def answer(self, ids: list[int], out: str) -> tuple:
+        text = self.tokenizer.decode(ids, skip_special_tokens=False)
+        return (len(ids), _sha(" ".join(map(str, ids))), _sha(text)) if out == "digest" else (ids, text)
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 def _cuts(tokens: list[Span], text: str, offset: int) -> dict[Span, int]:
@@ -126,10 +169,6 @@ def tree_concatenate(encode: Callable[[str, int], list[Span]], leaves: list[str]
     return [i for _, _, i in parts[0][1]] if parts else []
 
 
-def _digest(ids: list[int], text: str) -> tuple[int, str, str]:
-    return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
-
-
 def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None, long_chars: int = 50_000, leaf_chars: int = 12_000, out: str = "digest") -> DataFrame:
     """Encode every whole text and decode it again.
 
@@ -150,29 +189,24 @@ def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
     fields = [x.split()[0] for x in kinds[out].split(", ")]
     types = [pa.int64(), pa.string(), pa.string()] if out == "digest" else [pa.list_(pa.int32()), pa.string()]
 
-    def answers(ids: list[list[int]], bpe: Bpe) -> list[tuple]:
-        texts = bpe.decode(ids)
-        return [_digest(i, t) for i, t in zip(ids, texts, strict=True)] if out == "digest" else list(zip(ids, texts, strict=True))
-
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(tokenizer)
+        bpe = Bpe.of(tokenizer)
         for batch in slices(batches):
-            got = answers(bpe.encode(batch.column("body").to_pylist()), bpe)
+            got = bpe.answers(batch.column("body").to_pylist(), out)
             columns = [pa.array([g[k] for g in got], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + columns, names=names + fields)
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(tokenizer)
+        bpe = Bpe.of(tokenizer)
         for batch in slices(batches, 64):
             flat = [[v for span in bpe.spans(t) for v in span] for t in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flat, pa.list_(pa.int32()))], names=[*batch.schema.names, "spans"])
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
-        bpe = Bpe(tokenizer) if not hasattr(whole, "bpe") else whole.bpe
-        whole.bpe = bpe
+        bpe = Bpe.of(tokenizer)
         group = group.sort_values("leaf")
         tokens = [list(map(tuple, np.asarray(s, dtype=np.int64).reshape(-1, 3).tolist())) for s in group["spans"]]
-        got = answers([tree_concatenate(bpe.spans, group["body"].tolist(), tokens)], bpe)[0]
+        got = bpe.answer(tree_concatenate(bpe.spans, group["body"].tolist(), tokens), out)
         return pd.DataFrame({n: group[n].iloc[:1].to_numpy() for n in names} | dict(zip(fields, ([g] for g in got), strict=True)))
 
     long = F.length("body") > long_chars
