@@ -2,7 +2,7 @@
 
 A language's dictionary is raw text: excerpts of labelled documents of that language. A text is cut
 into blocks, each block is compressed with the dictionary of every language, and the language with
-the fewest bytes in total is chosen. Blocks keep a long text from becoming its own dictionary, so
+the fewest bytes in total is chosen. Both are put in lower case before. Blocks keep a long text from becoming its own dictionary, so
 all of a text counts alike.
 """
 
@@ -33,10 +33,10 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     found: dict[str, list[tuple[int, str]]] = {}
     for r in got:
         found.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    return {k: "\n".join(t for _, t in sorted(v)).encode("utf-8", "replace") for k, v in sorted(found.items())}
+    return {k: "\n".join(t.lower() for _, t in sorted(v)).encode("utf-8", "replace") for k, v in sorted(found.items())}
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", keep: list[str] | None = None, level: int = 3, block_bytes: int = 2048, min_margin: float = 0.02) -> DataFrame:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", keep: list[str] | None = None, level: int = 6, block_bytes: int = 2048, min_margin: float = 0.02) -> DataFrame:
     """Kept columns (default doc_id) with lang_pred string, score double, margin double, accepted boolean.
 
     lang_pred is `und` for a text that is null or has no letter, or if no language was learned; its
@@ -65,7 +65,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
                 if not coders or not any(map(str.isalpha, t)):
                     out.append(("und", 0.0, 0.0, False))
                     continue
-                raw = t.encode("utf-8", "replace")
+                raw = t.lower().encode("utf-8", "replace")
                 blocks = [raw[k : k + block_bytes] for k in range(0, len(raw), block_bytes)]
                 sizes = np.array([sum(len(c(b)) for b in blocks) for c in coders], dtype=np.float64)
                 best = int(sizes.argmin())

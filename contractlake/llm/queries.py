@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, line_dedup, quality_mil, toxicity
+from . import bpe, jaccard, langid, line_dedup, line_quality, mixing, quality_mil, toxicity
 from .common import fold, table
 
 
@@ -25,6 +25,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), 4) == 2
@@ -57,6 +65,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard": op1_jaccard,
         "op3_bpe": op3_bpe,
+        "op4_line_quality": op4_line_quality,
+        "op5_mix": op5_mix,
         "op6_language": op6_language,
         "op7_line_dedup": op7_line_dedup,
         "op9_quality": op9_quality,
@@ -65,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.SQL}
+    return {"op4_line_quality": line_quality.SQL, "op5_mix": mixing.SQL, "op7_line_dedup": line_dedup.SQL}
