@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, line_dedup, line_quality, mixing, quality_mil, toxicity
+from . import bpe, html_text, jaccard, langid, line_dedup, line_quality, mixing, permutation_index, quality_mil, toxicity
 from .common import fold, table
 
 
@@ -21,6 +21,10 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -45,6 +49,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold(F.col("doc_id"), 5) == 0
@@ -64,11 +72,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard": op1_jaccard,
+        "op2_main_text": op2_main_text,
         "op3_bpe": op3_bpe,
         "op4_line_quality": op4_line_quality,
         "op5_mix": op5_mix,
         "op6_language": op6_language,
         "op7_line_dedup": op7_line_dedup,
+        "op8_nearest": op8_nearest,
         "op9_quality": op9_quality,
         "op10_toxicity": op10_toxicity,
     }
