@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import scalar_queries  # noqa: F401  registers its queries
+from . import diff_queries, scalar_queries  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 
