@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import check_queries, diff_queries, record_queries, rollup_queries, scalar_queries  # noqa: F401  they register their queries
+from . import check_queries, diff_queries, record_queries, rollup_queries, scalar_queries, surface_queries  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractlake.functions import canonical as CJ
@@ -11,13 +11,14 @@ from contractlake.operators import lineage, records
 from . import diff_queries
 from .registry import query, table
 
-_K = F.col("event_id")
+def _k() -> Column:
+    return F.col("event_id")
 
 
 def _request(spark: SparkSession, sf: str) -> DataFrame:
     """Metadata maps whose one value is JSON in a string; ids divisible by 10 hold text that is no JSON."""
-    inner = F.to_json(F.struct(F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("request_kind"), _K.cast("string").alias("extra_a")))
-    return table(spark, sf, "events").select("event_id", F.create_map(F.lit("x-codex-turn-metadata"), F.when(_K % 10 == 0, F.lit("oops")).otherwise(inner), F.lit("other"), F.lit("1")).alias("m"))
+    inner = F.to_json(F.struct(F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("request_kind"), _k().cast("string").alias("extra_a")))
+    return table(spark, sf, "events").select("event_id", F.create_map(F.lit("x-codex-turn-metadata"), F.when(_k() % 10 == 0, F.lit("oops")).otherwise(inner), F.lit("other"), F.lit("1")).alias("m"))
 
 
 @query(
@@ -32,7 +33,7 @@ def j9(spark: SparkSession, sf: str) -> DataFrame:
 def _maps(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("user_id").cast("string")
     client = F.create_map(F.lit("session_id"), v, F.lit("a"), F.lit("client"), F.col("event_type"), v)
-    config = F.create_map(F.lit("turn_id"), v, F.when(_K % 2 == 0, F.lit("a")).otherwise(F.lit("b")), F.lit("config"))
+    config = F.create_map(F.lit("turn_id"), v, F.when(_k() % 2 == 0, F.lit("a")).otherwise(F.lit("b")), F.lit("config"))
     return table(spark, sf, "events").select("event_id", "event_type", client.alias("client"), config.alias("config"))
 
 
@@ -50,7 +51,7 @@ def j10(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT event_id, list_sort(list_filter([CASE WHEN event_id % 4 = 0 THEN 'EXTRA_METADATA_KEY_PATTERN' END, CASE WHEN event_id % 5 = 0 THEN 'EXTRA_METADATA_KEY_TOO_LONG' END, CASE WHEN event_id % 7 = 0 THEN 'EXTRA_METADATA_VALUE_TOO_LONG' END, CASE WHEN event_id % 3 = 0 THEN 'EXTRA_METADATA_RESERVED_KEY' END], lambda x: x IS NOT NULL)) AS codes FROM events""",
 )
 def j11(spark: SparkSession, sf: str) -> DataFrame:
-    pick = lambda n, bad, good: F.when(_K % n == 0, F.lit(bad)).otherwise(F.lit(good))
+    pick = lambda n, bad, good: F.when(_k() % n == 0, F.lit(bad)).otherwise(F.lit(good))
     m = F.create_map(pick(4, "1 bad", "good.key"), F.lit("v"), pick(5, "k" * 65, "k5"), pick(7, "é" * 65, "short"), pick(3, "turn_id", "t"), F.lit("v"))
     return table(spark, sf, "events").select("event_id", records.extra_codes(m).alias("codes"))
 
@@ -58,7 +59,7 @@ def j11(spark: SparkSession, sf: str) -> DataFrame:
 @query("j12_project_for_tool_call", "SELECT event_id, 'tool' AS kind, CASE WHEN event_id % 2 = 0 THEN 'client' END AS a, 2 + (event_id % 2 = 0)::INT AS n FROM events")
 def j12(spark: SparkSession, sf: str) -> DataFrame:
     m = _maps(spark, sf)
-    removed = F.when(_K % 2 == 0, F.col("client")).otherwise(F.map_filter("client", lambda k, v: k != "a"))
+    removed = F.when(_k() % 2 == 0, F.col("client")).otherwise(F.map_filter("client", lambda k, v: k != "a"))
     p = records.project_for_tool(removed, ("session_id",), F.create_map(F.lit("request_kind"), F.lit("tool")))
     return m.select("event_id", p.alias("p")).select("event_id", F.element_at("p", "request_kind").alias("kind"), F.element_at("p", "a").alias("a"), F.size("p").alias("n"))
 
@@ -70,8 +71,8 @@ def j12(spark: SparkSession, sf: str) -> DataFrame:
 def j13(spark: SparkSession, sf: str) -> DataFrame:
     s = F.lit
     parent = F.create_map(s("PATH"), s("/bin"), s("API_KEY"), s("k"), s("LANG"), s("C"), s("TMPDIR"), s("/t"), s("NOISE"), s("n"))
-    inherit = F.when(_K % 3 == 0, "all").when(_K % 3 == 1, "core").otherwise("none")
-    env = records.env_map(parent, inherit, _K % 2 == 0, F.array(s("tmp*")), F.create_map(s("EXTRA"), s("1"), s("NOISE"), s("2")), F.array().cast("array<string>"), F.when(_K % 5 == 0, F.col("user_id").cast("string")), ("PATH",), ("NOISE",))
+    inherit = F.when(_k() % 3 == 0, "all").when(_k() % 3 == 1, "core").otherwise("none")
+    env = records.env_map(parent, inherit, _k() % 2 == 0, F.array(s("tmp*")), F.create_map(s("EXTRA"), s("1"), s("NOISE"), s("2")), F.array().cast("array<string>"), F.when(_k() % 5 == 0, F.col("user_id").cast("string")), ("PATH",), ("NOISE",))
     return table(spark, sf, "events").select("event_id", F.array_sort(F.map_keys(env)).alias("names"))
 
 
@@ -79,7 +80,7 @@ _CODES = ["context_length_exceeded", "slow_down", "odd_code", "server_is_overloa
 
 
 def _attempts(spark: SparkSession, sf: str) -> DataFrame:
-    code = F.when(_K % 3 == 0, F.get(F.array(*map(F.lit, _CODES)), (_K % 4).cast("int")))
+    code = F.when(_k() % 3 == 0, F.get(F.array(*map(F.lit, _CODES)), (_k() % 4).cast("int")))
     status = F.get(F.array(*map(F.lit, (200, 429, 500, 503, 418))), (F.col("user_id") % 5).cast("int"))
     return table(spark, sf, "events").select("event_id", "user_id", "ts", code.alias("error_code"), status.alias("http_status"))
 
@@ -102,7 +103,7 @@ SELECT event_id, attempt::INT AS attempt, action, CASE WHEN action = 'retry' THE
 )
 def w10(spark: SparkSession, sf: str) -> DataFrame:
     a = records.classify_errors(_attempts(spark, sf))
-    a = a.withColumn("retryable", F.coalesce("retryable", F.lit(False))).withColumn("retry_delay_ms", F.when(_K % 4 == 0, 1234)).withColumn("connection_failed", _K % 6 == 0)
+    a = a.withColumn("retryable", F.coalesce("retryable", F.lit(False))).withColumn("retry_delay_ms", F.when(_k() % 4 == 0, 1234)).withColumn("connection_failed", _k() % 6 == 0)
     return records.retry_plan(a, "user_id", ["ts", "event_id"], budget=50).select("event_id", "attempt", "action", "delay_ms")
 
 
@@ -128,8 +129,8 @@ s AS (SELECT *, last_value(CASE kind WHEN 'started' THEN turn WHEN 'completed' T
 SELECT thread, seq AS steer, turn AS expected_turn, nullif(a, '') AS active_turn, coalesce(nullif(a, '') = turn, false) AS valid FROM s WHERE kind = 'steer'""",
 )
 def k25(spark: SparkSession, sf: str) -> DataFrame:
-    turn = F.concat(F.lit("t"), F.floor(_K / 4).cast("string"))
-    e = table(spark, sf, "events").select(F.col("user_id").alias("thread"), "ts", _K.alias("seq"), "event_type", turn.alias("turn"))
+    turn = F.concat(F.lit("t"), F.floor(_k() / 4).cast("string"))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("thread"), "ts", _k().alias("seq"), "event_type", turn.alias("turn"))
     turns = e.filter("event_type in ('view', 'purchase')").select("thread", "ts", "seq", "turn", F.when(F.col("event_type") == "view", "started").otherwise("completed").alias("kind"))
     steers = e.filter("event_type = 'click'").select("thread", "ts", "seq", F.col("seq").alias("steer"), F.col("turn").alias("expected_turn"))
     return records.steer_check(steers, turns)
@@ -183,7 +184,7 @@ def k10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("w4_effective_model_changes", "WITH m AS (SELECT user_id, event_id, ts, CASE WHEN event_id % 3 <> 0 THEN event_type END AS model FROM events), k AS (SELECT *, lag(model) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM m WHERE model IS NOT NULL) SELECT user_id, event_id, model, previous FROM k WHERE model IS DISTINCT FROM previous")
 def w4(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("user_id", "event_id", "ts", F.create_map(F.when(_K % 3 == 0, F.lit("date")).otherwise(F.lit("OpenAI-Model")), F.col("event_type")).alias("headers"))
+    e = table(spark, sf, "events").select("user_id", "event_id", "ts", F.create_map(F.when(_k() % 3 == 0, F.lit("date")).otherwise(F.lit("OpenAI-Model")), F.col("event_type")).alias("headers"))
     named = F.map_filter("headers", lambda k, v: F.lower(k).isin("openai-model", "x-openai-model"))
     return records.model_changes(e, "user_id", ["ts", "event_id"], F.get(F.map_values(named), 0)).select("user_id", "event_id", "model", "previous")
 
@@ -298,16 +299,17 @@ def j1_j3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j4_duplicate_json_keys", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'duplicate key a' WHEN 1 THEN 'no JSON' END AS error FROM events")
 def j4(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.when(_K % 3 == 0, F.lit('{"a":1,"a":2}')).when(_K % 3 == 1, F.lit("{")).otherwise(F.col("props"))
+    text = F.when(_k() % 3 == 0, F.lit('{"a":1,"a":2}')).when(_k() % 3 == 1, F.lit("{")).otherwise(F.col("props"))
     return table(spark, sf, "events").select("event_id", CJ.canonical_json(text, "ascii").alias("c")).select("event_id", "c.error")
 
 
-_DOC = F.to_json(F.struct(F.col("o_orderstatus").alias("s"), F.struct(F.col("o_custkey").alias("c"), F.array(F.lit(1), F.col("o_orderkey")).alias("l")).alias("a/b")))
+def _doc() -> Column:
+    return F.to_json(F.struct(F.col("o_orderstatus").alias("s"), F.struct(F.col("o_custkey").alias("c"), F.array(F.lit(1), F.col("o_orderkey")).alias("l")).alias("a/b")))
 
 
 @query("j5_walk_json", """SELECT o_orderkey, u.p AS pointer, u.k AS kind, u.v AS value FROM (SELECT o_orderkey, unnest([{'p': '', 'k': 'object', 'v': NULL}, {'p': '/s', 'k': 'string', 'v': '"' || o_orderstatus || '"'}, {'p': '/a~1b', 'k': 'object', 'v': NULL}, {'p': '/a~1b/c', 'k': 'number', 'v': o_custkey::VARCHAR}, {'p': '/a~1b/l', 'k': 'array', 'v': '[1,' || o_orderkey || ']'}, {'p': '/a~1b/l/0', 'k': 'number', 'v': '1'}, {'p': '/a~1b/l/1', 'k': 'number', 'v': o_orderkey::VARCHAR}]) AS u FROM orders)""")
 def j5(spark: SparkSession, sf: str) -> DataFrame:
-    return CJ.walk_json(table(spark, sf, "orders").select("o_orderkey", _DOC.alias("t")), "o_orderkey", "t").select("o_orderkey", "pointer", "kind", "value")
+    return CJ.walk_json(table(spark, sf, "orders").select("o_orderkey", _doc().alias("t")), "o_orderkey", "t").select("o_orderkey", "pointer", "kind", "value")
 
 
 @query("j6_json_pointer_get", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.missing') AS missing FROM events")

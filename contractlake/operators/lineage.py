@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a table in the folder that spark.checkpoint.dir names; unset, a temporary one for a local master, else the warehouse."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; unset, in a temporary one for a local master, else in the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         local = spark.sparkContext.master.startswith("local[")
         path = tempfile.mkdtemp(prefix="contractlake-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_contractlake"
         spark.conf.set("spark.checkpoint.dir", path)
-    target = f"{path}/lineage-{uuid.uuid4().hex}"
+    return f"{path}/{name}-{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder."""
+    target = scratch(df.sparkSession, "lineage")
     df.write.parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
 def roots(nodes: DataFrame, node: str, parent: str, most_rounds: int = 40) -> DataFrame:
