@@ -115,14 +115,14 @@ def train(bags: list[np.ndarray], labels: np.ndarray, width: int = 24, gate: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "quality", key: str = "doc_id", text: str = "text", rows: int = 4000) -> Model:
-    """A model from a sample of about `rows` labelled documents (never over twice as many).
+    """A model from a sample of about `rows` labels (never over twice as many) and the documents with their ids.
 
     Null labels teach nothing. Without labels every text scores 0.5; with one class only, the rate of
     that class, kept off 0 and 1.
     """
     known = labels.filter(labels[label].isNotNull() & train_rows).select(F.col(key), F.col(label).cast("int").alias("y"))
     sample = bounded_sample(known, F.col(key), rows)
-    texts = docs.select(docs[key], text_column(docs[text]).alias("body")).join(F.broadcast(sample), key).select("y", "body").limit(2 * rows)
+    texts = docs.select(docs[key], text_column(docs[text]).alias("body")).join(F.broadcast(sample), key).select("y", "body")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
