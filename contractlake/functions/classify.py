@@ -66,11 +66,12 @@ def lifetime(name: Column) -> Column:
 CORE_FIELDS = ("session_id", "thread_id", "turn_id", "request_kind", "tool_namespaces_info")
 
 
-def field_authority(schema_id: Column, wire_name: Column) -> Column:
+def field_authority(schema_id: Column, wire_name: Column, core: str = "core") -> Column:
+    """Who sets a field; `core` names the product's own core."""
     schema, name = F.lower(schema_id), F.lower(wire_name)
     return _rules(
         [
-            (schema.contains("turn_metadata") | name.isin(*CORE_FIELDS), "codex_core"),
+            (schema.contains("turn_metadata") | name.isin(*CORE_FIELDS), core),
             (schema.contains("response") & ~schema.contains("request"), "server_or_provider"),
             (_any(schema, ("config", "mcpserverconfig")), "configuration"),
         ],
@@ -114,7 +115,7 @@ def condition_predicate(condition: Column) -> Column:
         .when(env != "", made("env_exists", env))
         .when(low.contains("fedramp only"), made("eq", "auth.fedramp", "true"))
         .when(low.contains("when account") & low.contains("exists"), made("exists", "auth.account_id"))
-        .when(low.contains("after server") & low.contains("turn state"), made("exists", "continuation.x_codex_turn_state"))
+        .when(low.contains("after server") & low.contains("turn state"), made("exists", "continuation.turn_state"))
         .when(low.contains("when parent thread exists"), made("exists", "turn.parent_thread_id"))
         .otherwise(made("source_condition", text, evaluable=False))
     )
@@ -282,10 +283,10 @@ def rollout_path(name: Column, archived: Column) -> Column:
     return F.when(ts.isNotNull(), F.when(archived, F.concat(F.lit("archived_sessions/"), name)).otherwise(F.concat_ws("/", F.lit("sessions"), day, name)))
 
 
-def qualified_schema_name(source_path: Column, name: Column) -> Column:
-    """crate::module::Name from a path crate/src/module.rs; path_<digest>::Name for another path; unknown_source::Name without one."""
+def qualified_schema_name(source_path: Column, name: Column, top: str = "[^/]+") -> Column:
+    """crate::module::Name from a path <top folder>/crate/src/module.rs; path_<digest>::Name for another path; unknown_source::Name without one."""
     leaf = F.split(name, "<")[0]
-    pattern = r"^codex-rs/([^/]+)/src/(.+)\.rs$"
+    pattern = rf"^{top}/([^/]+)/src/(.+)\.rs$"
     crate, module = F.regexp_extract(source_path, pattern, 1), F.regexp_extract(source_path, pattern, 2)
     modules = F.filter(F.split(module, "/"), lambda p: ~p.isin("lib", "mod", "main"))
     inside = F.concat_ws("::", safe_component(crate), F.transform(modules, safe_component), leaf)

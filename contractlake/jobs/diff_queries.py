@@ -115,7 +115,7 @@ n AS (SELECT p.pair, (SELECT count(*) FROM changes c WHERE c.pair = p.pair AND s
   (SELECT count(*) FROM extractors c WHERE c.pair = p.pair AND severity = 'major') AS xj, (SELECT count(*) FROM extractors c WHERE c.pair = p.pair AND severity = 'minor') AS xn FROM pairs p WHERE p.pair % 9 <> 0),
 m AS (SELECT *, pair % 8 = 0 AS schema, CASE WHEN b > 0 OR pair % 8 = 0 OR xj > 0 THEN 'major' WHEN t > 0 OR xn > 0 THEN 'minor' ELSE 'patch' END AS level FROM n)
 SELECT pair, level, CASE level WHEN 'major' THEN (pair + 1) || '.0.0' WHEN 'minor' THEN pair || '.3.0' ELSE pair || '.2.4' END AS version,
-  list_sort(list_filter([CASE WHEN b > 0 THEN 'semantic_diff_breaking' WHEN t > 0 THEN 'semantic_diff_attention' WHEN i > 0 THEN 'semantic_diff_info' ELSE 'exact_codex_source_changed' END, CASE WHEN schema THEN 'contract_schema_changed' END,
+  list_sort(list_filter([CASE WHEN b > 0 THEN 'semantic_diff_breaking' WHEN t > 0 THEN 'semantic_diff_attention' WHEN i > 0 THEN 'semantic_diff_info' ELSE 'exact_source_changed' END, CASE WHEN schema THEN 'contract_schema_changed' END,
     CASE WHEN xj > 0 THEN 'canonical_extractor_changed' WHEN xn > 0 AND NOT (b > 0 OR schema) THEN 'canonical_extractor_added_or_completed' END], lambda x: x IS NOT NULL)) AS reasons FROM m""",
 )
 def a16(spark: SparkSession, sf: str) -> DataFrame:

@@ -18,7 +18,7 @@ def _k() -> Column:
 def _request(spark: SparkSession, sf: str) -> DataFrame:
     """Metadata maps whose one value is JSON in a string; ids divisible by 10 hold text that is no JSON."""
     inner = F.to_json(F.struct(F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("request_kind"), _k().cast("string").alias("extra_a")))
-    return table(spark, sf, "events").select("event_id", F.create_map(F.lit("x-codex-turn-metadata"), F.when(_k() % 10 == 0, F.lit("oops")).otherwise(inner), F.lit("other"), F.lit("1")).alias("m"))
+    return table(spark, sf, "events").select("event_id", F.create_map(F.lit("x-turn-metadata"), F.when(_k() % 10 == 0, F.lit("oops")).otherwise(inner), F.lit("other"), F.lit("1")).alias("m"))
 
 
 @query(
@@ -66,7 +66,7 @@ def j12(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "j13_build_env_map",
-    """SELECT event_id, list_sort(list_filter([CASE WHEN event_id % 3 = 0 OR event_id % 3 = 1 THEN 'PATH' END, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'API_KEY' END, CASE WHEN event_id % 3 = 0 THEN 'LANG' END, 'EXTRA', CASE WHEN event_id % 5 = 0 THEN 'CODEX_THREAD_ID' END], lambda x: x IS NOT NULL)) AS names FROM events""",
+    """SELECT event_id, list_sort(list_filter([CASE WHEN event_id % 3 = 0 OR event_id % 3 = 1 THEN 'PATH' END, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'API_KEY' END, CASE WHEN event_id % 3 = 0 THEN 'LANG' END, 'EXTRA', CASE WHEN event_id % 5 = 0 THEN 'THREAD_ID' END], lambda x: x IS NOT NULL)) AS names FROM events""",
 )
 def j13(spark: SparkSession, sf: str) -> DataFrame:
     s = F.lit
@@ -184,8 +184,8 @@ def k10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("w4_effective_model_changes", "WITH m AS (SELECT user_id, event_id, ts, CASE WHEN event_id % 3 <> 0 THEN event_type END AS model FROM events), k AS (SELECT *, lag(model) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM m WHERE model IS NOT NULL) SELECT user_id, event_id, model, previous FROM k WHERE model IS DISTINCT FROM previous")
 def w4(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("user_id", "event_id", "ts", F.create_map(F.when(_k() % 3 == 0, F.lit("date")).otherwise(F.lit("OpenAI-Model")), F.col("event_type")).alias("headers"))
-    named = F.map_filter("headers", lambda k, v: F.lower(k).isin("openai-model", "x-openai-model"))
+    e = table(spark, sf, "events").select("user_id", "event_id", "ts", F.create_map(F.when(_k() % 3 == 0, F.lit("date")).otherwise(F.lit("X-Model")), F.col("event_type")).alias("headers"))
+    named = F.map_filter("headers", lambda k, v: F.lower(k).isin("model", "x-model"))
     return records.model_changes(e, "user_id", ["ts", "event_id"], F.get(F.map_values(named), 0)).select("user_id", "event_id", "model", "previous")
 
 

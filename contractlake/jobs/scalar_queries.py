@@ -11,7 +11,7 @@ from contractlake.functions import ids
 from .registry import query, table
 
 # names that the events stand for, by event_id
-NAMES = ["Authorization", "x-session-id", "attestation-ticket", "turn-metadata", "cwd_path", "workspace_root", "installation_id", "request_kind", "window_number", "user-agent", "openai-model", "Bearer hint"]
+NAMES = ["Authorization", "x-session-id", "attestation-ticket", "turn-metadata", "cwd_path", "workspace_root", "installation_id", "request_kind", "window_number", "user-agent", "x-model", "Bearer hint"]
 SCHEMAS = ["schema.turn_metadata", "schema.response.event", "schema.response_request", "schema.config.root", "schema.client"]
 _NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
 _SCHEMAS_SQL = "[" + ", ".join(f"'{n}'" for n in SCHEMAS) + "]"
@@ -57,7 +57,7 @@ def p7(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "p8_field_authority",
-    f"""WITH {_NAMED} SELECT event_id, CASE WHEN contains(schema_id, 'turn_metadata') OR lower(name) IN ('session_id', 'thread_id', 'turn_id', 'request_kind', 'tool_namespaces_info') THEN 'codex_core'
+    f"""WITH {_NAMED} SELECT event_id, CASE WHEN contains(schema_id, 'turn_metadata') OR lower(name) IN ('session_id', 'thread_id', 'turn_id', 'request_kind', 'tool_namespaces_info') THEN 'core'
   WHEN contains(schema_id, 'response') AND NOT contains(schema_id, 'request') THEN 'server_or_provider' WHEN contains(schema_id, 'config') THEN 'configuration' ELSE 'client_request_builder' END AS authority FROM named""",
 )
 def p8(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +82,7 @@ def p9(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("p.mode", "p.required", "p.nullable", "omitted_when").agg(F.count("*").alias("n"))
 
 
-CONDITIONS = ["always", "Responses Lite only", "when turn.id exists", "when CODEX_HOME is set", "FedRAMP only", "when account id exists", "after server turn state", "when parent thread exists", "request_kind is present", "if the moon is full", "required"]
+CONDITIONS = ["always", "Responses Lite only", "when turn.id exists", "when APP_HOME is set", "FedRAMP only", "when account id exists", "after server turn state", "when parent thread exists", "request_kind is present", "if the moon is full", "required"]
 
 
 @query(
@@ -94,7 +94,7 @@ CONDITIONS = ["always", "Responses Lite only", "when turn.id exists", "when CODE
 k AS (SELECT *, CASE WHEN c IS NULL THEN 0 WHEN l IN ('always', 'required', 'unconditional') OR l LIKE 'always %' THEN 1 WHEN contains(l, 'responses lite') THEN 2 WHEN contains(l, 'request_kind') AND contains(l, 'present') THEN 3
   WHEN x <> '' THEN 4 WHEN v <> '' THEN 5 WHEN contains(l, 'fedramp only') THEN 6 WHEN contains(l, 'when account') AND contains(l, 'exists') THEN 7 WHEN contains(l, 'after server') AND contains(l, 'turn state') THEN 8 WHEN contains(l, 'when parent thread exists') THEN 9 ELSE 10 END AS k FROM r)
 SELECT event_id, ['unspecified', 'const', 'eq', 'exists', 'exists', 'env_exists', 'eq', 'exists', 'exists', 'exists', 'source_condition'][k + 1] AS op,
-  CASE k WHEN 2 THEN 'model.use_responses_lite' WHEN 3 THEN 'turn_metadata.request_kind' WHEN 4 THEN x WHEN 5 THEN v WHEN 6 THEN 'auth.fedramp' WHEN 7 THEN 'auth.account_id' WHEN 8 THEN 'continuation.x_codex_turn_state' WHEN 9 THEN 'turn.parent_thread_id' WHEN 10 THEN c END AS path,
+  CASE k WHEN 2 THEN 'model.use_responses_lite' WHEN 3 THEN 'turn_metadata.request_kind' WHEN 4 THEN x WHEN 5 THEN v WHEN 6 THEN 'auth.fedramp' WHEN 7 THEN 'auth.account_id' WHEN 8 THEN 'continuation.turn_state' WHEN 9 THEN 'turn.parent_thread_id' WHEN 10 THEN c END AS path,
   CASE WHEN k IN (1, 2, 6) THEN 'true' END AS value, k NOT IN (0, 10) AS machine_evaluable FROM k""",
 )
 def p10(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,12 +143,12 @@ def p13(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", C.identity_domain(_pick(FIELDS, "p_partkey")).alias("domain"))
 
 
-PATHS = ["codex-rs/core-api/src/client/mod.rs", "codex-rs/core/src/lib.rs", "docs/readme.md", ""]
+PATHS = ["work/core-api/src/client/mod.rs", "work/core/src/lib.rs", "docs/readme.md", ""]
 
 
 @query(
     "p15_qualified_schema_id",
-    """WITH s AS (SELECT p_partkey, ['codex-rs/core-api/src/client/mod.rs', 'codex-rs/core/src/lib.rs', 'docs/readme.md', ''][p_partkey % 4 + 1] AS path, replace(p_name, ' ', '') || '<T>' AS name, replace(p_name, ' ', '') AS leaf FROM part),
+    """WITH s AS (SELECT p_partkey, ['work/core-api/src/client/mod.rs', 'work/core/src/lib.rs', 'docs/readme.md', ''][p_partkey % 4 + 1] AS path, replace(p_name, ' ', '') || '<T>' AS name, replace(p_name, ' ', '') AS leaf FROM part),
 q AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'core_api::client::' || leaf WHEN 1 THEN 'core::' || leaf WHEN 2 THEN 'path_' || substr(sha256(path), 1, 12) || '::' || leaf ELSE 'unknown_source::' || leaf END AS qualified_name FROM s)
 SELECT *, 'schema.rust.' || replace(qualified_name, '::', '.') AS schema_id FROM q""",
 )

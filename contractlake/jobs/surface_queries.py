@@ -23,7 +23,7 @@ def _rust(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     text = F.concat(
         F.lit("pub mod "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(';\nconst H_'), (k % 40).cast("string"), F.lit(': &str = "x-head-'), (k % 40).cast("string"),
-        F.lit('";\nfn f() { h.insert("X-Lit-'), (k % 7).cast("string"), F.lit('", v); h.get(H_'), (k % 50).cast("string"), F.lit('); kind("response.'), F.lower("p_type"), F.lit('"); kind("codex.done"); }\npub use PartClient;')
+        F.lit('";\nfn f() { h.insert("X-Lit-'), (k % 7).cast("string"), F.lit('", v); h.get(H_'), (k % 50).cast("string"), F.lit('); kind("response.'), F.lower("p_type"), F.lit('"); kind("session.done"); }\npub use PartClient;')
     )
     return table(spark, sf, "part").select(k.alias("file"), text.alias("text"))
 
@@ -39,7 +39,7 @@ def p3(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.header_candidates(files, coverage.const_definitions(files, ["file"]), ["file"])
 
 
-@query("p4_event_kinds", "SELECT p_partkey AS file, ['codex.done', 'response.' || lower(p_type)] AS names FROM part")
+@query("p4_event_kinds", "SELECT p_partkey AS file, ['response.' || lower(p_type), 'session.done'] AS names FROM part")
 def p4(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.literals(_rust(spark, sf), ["file"], coverage.EVENT_KINDS)
 

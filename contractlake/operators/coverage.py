@@ -39,7 +39,7 @@ def literals(files: DataFrame, keys: list[str], pattern: str, text: str = "text"
 
 
 #: Quoted event names, module declarations and exported clients.
-EVENT_KINDS = r'"((?:response|codex)\.[a-z0-9_.]+)"'
+EVENT_KINDS = r'"((?:response|session)\.[a-z0-9_.]+)"'
 MODULES = r"(?m)^\s*(?:pub(?:\([a-z]+\))?\s+)?mod\s+([a-z_][a-z0-9_]*)\s*;"
 CLIENTS = r"\b([A-Z][A-Za-z0-9]*Client)\b"
 

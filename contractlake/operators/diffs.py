@@ -134,7 +134,7 @@ def release_level(pairs: DataFrame, changes: DataFrame, extractors: DataFrame) -
     profile = ~F.col("coverage_profile_before").eqNullSafe(F.col("coverage_profile_after"))
     sure = n("breaking") | schema | profile
     level = F.when(sure | yes("x_major"), F.lit("major")).when(n("attention") | yes("x_minor"), F.lit("minor")).otherwise(F.lit("patch"))
-    first = F.when(n("breaking"), F.lit("semantic_diff_breaking")).when(n("attention"), F.lit("semantic_diff_attention")).when(n("info"), F.lit("semantic_diff_info")).otherwise(F.lit("exact_codex_source_changed"))
+    first = F.when(n("breaking"), F.lit("semantic_diff_breaking")).when(n("attention"), F.lit("semantic_diff_attention")).when(n("info"), F.lit("semantic_diff_info")).otherwise(F.lit("exact_source_changed"))
     reasons = F.array(
         first,
         F.when(schema, F.lit("contract_schema_changed")),

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # fixed values: keys that the core owns, and the limits on extra entries
-RESERVED = ("installation_id", "request_kind", "session_id", "thread_id", "turn_id", "x-codex-turn-metadata")
+RESERVED = ("installation_id", "request_kind", "session_id", "thread_id", "turn_id", "x-turn-metadata")
 MAX_ENTRIES, MAX_KEY_BYTES, MAX_VALUE_BYTES = 16, 64, 128
 KEY_PATTERN = r"^[A-Za-z][A-Za-z0-9._-]*$"
-METADATA_KEY = "x-codex-turn-metadata"
+METADATA_KEY = "x-turn-metadata"
 KNOWN = ("session_id", "thread_id", "turn_id", "request_kind")
 
 
-def decode_turn_metadata(client_metadata: Column, known: tuple[str, ...] = KNOWN) -> Column:
+def decode_turn_metadata(client_metadata: Column, known: tuple[str, ...] = KNOWN, metadata_key: str = METADATA_KEY) -> Column:
     """struct(known fields…, extras map, valid) of the JSON object that a value of the metadata map holds as text. valid is false where the text is no object."""
-    inner = F.from_json(F.element_at(client_metadata, METADATA_KEY), T.MapType(T.StringType(), T.StringType()))
+    inner = F.from_json(F.element_at(client_metadata, metadata_key), T.MapType(T.StringType(), T.StringType()))
     fields = [F.element_at(inner, F.lit(k)).alias(k) for k in known]
     return F.struct(*fields, F.map_filter(inner, lambda k, v: ~k.isin(*known)).alias("extras"), inner.isNotNull().alias("valid"))
 
@@ -49,7 +49,7 @@ def project_for_tool(metadata: Column, removed: tuple[str, ...], overrides: Colu
     return F.map_concat(left, overrides)
 
 
-def env_map(parent: Column, inherit: Column, ignore_default_excludes: Column, exclude: Column, overrides: Column, include_only: Column, thread_id: Column, core: tuple[str, ...], not_inheritable: tuple[str, ...]) -> Column:
+def env_map(parent: Column, inherit: Column, ignore_default_excludes: Column, exclude: Column, overrides: Column, include_only: Column, thread_id: Column, core: tuple[str, ...], not_inheritable: tuple[str, ...], thread_variable: str = "THREAD_ID") -> Column:
     """A process's environment, in seven steps: inherit all, core or none; drop *KEY*, *SECRET*, *TOKEN* unless ignored; excludes; overrides; include_only if not empty; the thread id; launch variables.
 
     exclude and include_only are arrays of patterns with * for any characters, matched without case.
@@ -66,7 +66,7 @@ def env_map(parent: Column, inherit: Column, ignore_default_excludes: Column, ex
     kept = F.map_filter(kept, lambda k, v: ~like_any(k, exclude))
     kept = F.map_concat(F.map_filter(kept, lambda k, v: ~F.map_contains_key(overrides, k)), overrides)
     kept = F.when(F.size(include_only) > 0, F.map_filter(kept, lambda k, v: like_any(k, include_only))).otherwise(kept)
-    kept = F.when(thread_id.isNotNull(), F.map_concat(F.map_filter(kept, lambda k, v: k != "CODEX_THREAD_ID"), F.create_map(F.lit("CODEX_THREAD_ID"), thread_id))).otherwise(kept)
+    kept = F.when(thread_id.isNotNull(), F.map_concat(F.map_filter(kept, lambda k, v: k != thread_variable), F.create_map(F.lit(thread_variable), thread_id))).otherwise(kept)
     return F.map_filter(kept, lambda k, v: ~k.isin(*not_inheritable))
 
 
