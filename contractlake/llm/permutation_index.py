@@ -91,7 +91,7 @@ def _search(found: pd.DataFrame, asked: pd.DataFrame, k: int, posts: int, looks:
     return pd.concat(out) if out else none
 
 
-def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, pivots: int = 32, posts: int = 6, looks: int = 8, share: float = 0.5, block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, pivots: int = 32, posts: int = 7, looks: int = 10, share: float = 0.65, block: int = 2048) -> DataFrame:
     """Each query's k nearest by cosine: query_id long, rank int, vec_id long, score double.
 
     queries: a condition on the columns of vectors. All other rows are candidates of a query; ties go
