@@ -23,10 +23,12 @@ from .common import slices, text_column
 RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "object", "svg", "canvas", "select", "math")
 SKIPPED = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "head", "fieldset"}
 BLOCKS = set("address article aside blockquote body center dd details dir div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
+#: Elements that the next of their kind ends; a paragraph ends at any block.
+IMPLIED = {"p", "li", "dd", "dt", "tr", "td", "th", "option"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "note"}
 NAMES = set(
-    "ad ads adv advert adverts advertisement advertising adsense adslot banner banners breadcrumb breadcrumbs comment comments commentlist replies reply respond disqus discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup promo promos promotion promoted sponsor sponsored sponsors share sharing social related recommended recommendations nav navbar navigation menu menubar topbar toolbar sidebar sidebars side rail widget widgets footer foot footnav header masthead copyright login search pagination pager skip hidden".split()
+    "toc ad ads adv advert adverts advertisement advertising adsense adslot banner banners breadcrumb breadcrumbs comment comments commentlist replies reply respond disqus discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup promo promos promotion promoted sponsor sponsored sponsors share sharing social related recommended recommendations nav navbar navigation menu menubar topbar toolbar sidebar sidebars side rail widget widgets footer foot footnav header masthead copyright login search pagination pager skip hidden".split()
 )
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -106,6 +108,9 @@ def lines(page: str) -> list[Line]:
         if skipping:
             if not closing and name in ("article", "main") and not _boilerplate(name, m[3]) and skipping not in ("aside", "article", "main"):
                 skipping = ""  # a part that was never closed ends where the article begins
+            elif skipping in IMPLIED and (not closing and name == skipping or skipping == "p" and name != "p" and name in BLOCKS):
+                skipping = ""
+                close(True)
             elif name == skipping:
                 depth += -1 if closing else 1
                 if depth == 0:

@@ -146,6 +146,11 @@ def test_article():
     assert html_text.main_text("") == "" and html_text.main_text("<p>") == "" and html_text.main_text(PAGE[:900]).startswith("Head & line")
 
 
+def test_unclosed_parts_end():
+    page = '<body><div class="ad"><p>Buy<article><p class="ad">Buy<p>One.<p class="share">Share<div>Two.</div><ul><li class="ad">x<li>Three.</ul></article>'
+    assert html_text.main_text(page) == "One.\nTwo.\nThree."
+
+
 def test_without_an_article_the_surge_decides():
     body = "".join(f"<p>{' '.join(prose(i, 30))}</p>" for i in range(4))
     page = f"<body><div class='menu'><a>a</a></div><p>short</p><nav>x</nav>{body}<nav>y</nav><p>tail</p></body>"
