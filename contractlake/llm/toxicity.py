@@ -36,7 +36,7 @@ def buckets(word: str) -> tuple[int, ...]:
 
 
 class Terms:
-    """Buckets of a text, ascending, and their values; remembers words, up to a bound."""
+    """Buckets of a text, ascending, and their counts (255 stands for more); remembers words, up to a bound."""
 
     def __init__(self, wanted: dict[int, int] | None = None, most: int = 300_000) -> None:
         self.memory: dict[str, tuple[int, ...]] = {}
@@ -57,7 +57,7 @@ class Terms:
             for x in of:
                 found[x] = found.get(x, 0) + n
         names = sorted(found)
-        return np.array(names, dtype=np.int32), np.log2(1 + np.array([found[x] for x in names], dtype=np.float32))
+        return np.array(names, dtype=np.int32), np.array([min(found[x], 255) for x in names], dtype=np.uint8)
 
 
 @dataclass
@@ -69,10 +69,11 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
 
-    def score(self, names: np.ndarray, values: np.ndarray) -> float:
-        v = self.factors[names] * values[:, None]
+    def score(self, names: np.ndarray, counts: np.ndarray) -> float:
+        x = np.log2(1 + counts.astype(np.float64))
+        v = self.factors[names] * x[:, None]
         s = v.sum(axis=0)
-        logit = self.bias + self.weights[names] @ values + 0.5 * (s @ s - (v * v).sum())
+        logit = self.bias + self.weights[names] @ x + 0.5 * (s @ s - (v * v).sum())
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
@@ -81,11 +82,11 @@ def train(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray,
     y = np.asarray(labels, dtype=np.float32)
     n = len(rows)
     lengths = [len(r) for r in rows]
-    flat = np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int64)
-    owner = np.repeat(np.arange(n), lengths)
-    size = 1 << BITS
-    df = np.bincount(flat, minlength=size).astype(np.float64)
-    pos = np.bincount(flat, weights=y[owner], minlength=size)
+    flat = np.concatenate([np.zeros(0, np.int32), *rows])
+    owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
+    names, flat = np.unique(flat, return_inverse=True)
+    df = np.bincount(flat, minlength=len(names)).astype(np.float64)
+    pos = np.bincount(flat, weights=y[owner], minlength=len(names))
     total = max(1.0, float(y.sum()))
     a, b, c = pos, df - pos, total - pos
     d = n - a - b - c
@@ -93,7 +94,7 @@ def train(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray,
     chi[df < 3] = 0
     chosen = np.argsort(-chi, kind="stable")[:most_columns]
     chosen = np.sort(chosen[chi[chosen] > 0])
-    columns = {int(x): k for k, x in enumerate(chosen)}
+    columns = {int(names[x]): k for k, x in enumerate(chosen)}
     m = len(columns)
     if m == 0 or y.min() == y.max():
         rate_of = float(np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3))
@@ -101,7 +102,7 @@ def train(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray,
     at = np.searchsorted(chosen, flat)
     ok = (at < m) & (chosen[np.minimum(at, m - 1)] == flat)
     X = np.zeros((n, m), dtype=np.float32)
-    X[owner[ok], at[ok]] = np.concatenate(values)[ok]
+    X[owner[ok], at[ok]] = np.log2(1 + np.concatenate(values)[ok].astype(np.float32))
     rng = np.random.default_rng(seed)
     P = {"b": np.zeros(1, np.float32), "w": np.zeros(m, np.float32), "v": rng.normal(0, 0.01, (m, rank)).astype(np.float32)}
     M, S, t = {k: np.zeros_like(x) for k, x in P.items()}, {k: np.zeros_like(x) for k, x in P.items()}, 0
@@ -123,8 +124,8 @@ def train(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray,
     return Machine(columns, float(P["b"][0]), P["w"].astype(np.float64), P["v"].astype(np.float64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = 8000) -> Machine:
-    """A machine from a sample of about `rows` labelled documents (never over twice as many).
+def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = 5000) -> Machine:
+    """A machine from a sample of about `rows` labels (never over twice as many) and the documents with their ids.
 
     labels: columns key and label (0 or 1; null rows teach nothing). `train_rows` is a condition on
     the key column that decides which labels may be learned from. Without labels, the machine scores
@@ -132,17 +133,18 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "to
     """
     known = labels.filter(labels[label].isNotNull() & train_rows).select(F.col(key), F.col(label).cast("int").alias("y"))
     sample = bounded_sample(known, F.col(key), rows)
-    texts = docs.select(docs[key], text_column(docs[text]).alias("body")).join(F.broadcast(sample), key).select("y", "body").limit(2 * rows)
+    texts = docs.select(docs[key], text_column(docs[text]).alias("body")).join(F.broadcast(sample), key).select("y", "body")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Terms()
         for batch in slices(batches):
             got = [of(t) for t in batch.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], names=["y", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1].astype(np.int8) for g in got], pa.list_(pa.int8()))], names=["y", "terms", "counts"])
 
-    got = texts.mapInArrow(terms, "y int, terms array<int>, counts array<float>").toArrow().combine_chunks()
+    got = texts.mapInArrow(terms, "y int, terms array<int>, counts array<tinyint>").toArrow().combine_chunks()
     y = got.column("y").to_numpy()
-    bags, counts = ([x.values.to_numpy() for x in got.column(c).combine_chunks()] for c in ("terms", "counts"))
+    bags = [x.values.to_numpy() for x in got.column("terms").combine_chunks()]
+    counts = [x.values.to_numpy().view(np.uint8) for x in got.column("counts").combine_chunks()]
     order = sorted(range(len(bags)), key=lambda k: (int(y[k]), len(bags[k]), bags[k].tobytes()))
     return train([bags[k] for k in order], [counts[k] for k in order], y[order])
 
