@@ -228,3 +228,21 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **setti
     rows = docs.select(F.xxhash64(docs[key]).alias("kh"), F.unhex(F.md5(text_column(docs[text]))).alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("d"))
     kept = rows.join(gone, ["kh", "id"], "left_anti").dropDuplicates(["kh", "id"])
     return kept.select(*[F.col("d")[c].alias(c) for c in docs.columns])
+
+
+#: DuckDB twin at the default parameters, over the table documents: all pairs that share an n-gram.
+SQL = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+texts AS (SELECT text, min(doc_id) AS least, count(*) AS copies, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs GROUP BY text),
+t AS (SELECT *, row_number() OVER (ORDER BY md5(text)) AS id FROM texts WHERE len(w) > 0),
+grams AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM t),
+sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
+pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM grams a JOIN grams b ON a.s = b.s AND a.id <> b.id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT id, id FROM t UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+classes AS (SELECT a AS id, min({'k': t.least, 'm': md5(t.text)}) AS top FROM reach JOIN t ON t.id = b GROUP BY a),
+degrees AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT d.doc_id, CASE WHEN t.id IS NULL THEN d.doc_id ELSE c.top.k END AS class_id, coalesce(g.n, 0)::BIGINT AS n_links, coalesce(t.copies - 1, 0)::BIGINT AS n_copies,
+  t.id IS NULL OR (d.doc_id IS NOT DISTINCT FROM c.top.k AND md5(d.text) = c.top.m) AS first
+FROM docs d LEFT JOIN t ON t.text = d.text LEFT JOIN classes c ON c.id = t.id LEFT JOIN degrees g ON g.id = t.id
+"""

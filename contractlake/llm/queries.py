@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_quality": line_quality.SQL, "op5_mix": mixing.SQL, "op7_line_dedup": line_dedup.SQL}
+    return {"op1_jaccard": jaccard.SQL, "op4_line_quality": line_quality.SQL, "op5_mix": mixing.SQL, "op7_line_dedup": line_dedup.SQL}
