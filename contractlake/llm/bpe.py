@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_column
+from .common import short_batches, slices, text_column
 
 #: Words remembered in a worker process; the memory starts anew beyond it.
-MEMORY = 400_000
+MEMORY = 150_000
 #: Marks that end a word; between a letter and a run of them lies a cut that no token crosses.
 MARKS = ".,*&$%#!?;:|)"
 #: White space to str.split, but an ordinary character to the tokenizer.
@@ -36,8 +36,8 @@ ODD = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[^ \t-\r]+")
 
 Span = tuple[int, int, int]
-#: Of a word: its ids, these as decimals joined by spaces, its decoded tokens joined by spaces.
-Piece = tuple[list[int], str, str]
+#: Of a word: how many ids, these as decimals joined by spaces, its decoded tokens joined by spaces.
+Piece = tuple[int, str, str]
 
 
 class Bpe:
@@ -70,7 +70,7 @@ class Bpe:
 
     def _piece(self, ids: list[int]) -> Piece:
         tokens = self.tokens
-        return ids, " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
+        return len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
 
     def learn(self, words: set[str]) -> None:
         """Encode new words, all in one text: no token crosses the space between them."""
@@ -106,8 +106,8 @@ class Bpe:
 
     def answers(self, texts: list[str], out: str) -> list[tuple]:
         if out == "digest":
-            return [(sum([len(p[0]) for p in got]), _sha(" ".join([p[1] for p in got])), _sha(" ".join([p[2] for p in got]))) for got in self.pieces(texts)]
-        return [([i for p in got for i in p[0]], " ".join([p[2] for p in got])) for got in self.pieces(texts)]
+            return [(sum([p[0] for p in got]), _sha(" ".join([p[1] for p in got])), _sha(" ".join([p[2] for p in got]))) for got in self.pieces(texts)]
+        return [([int(i) for p in got for i in p[1].split()], " ".join([p[2] for p in got])) for got in self.pieces(texts)]
 
     def answer(self, ids: list[int], out: str) -> tuple:
         text = self.tokenizer.decode(ids, skip_special_tokens=False)
@@ -181,6 +181,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
     tokenizer: path of a tokenizer file, the same on every executor, whose normalisation and splitting
     keep words apart at white space.
     """
+    short_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     kinds = {"digest": "n_tokens long, ids_sha256 string, decoded_sha256 string", "ids": "ids array<int>, decoded string"}
     names = [f"k{i}" for i in range(len(keep))]

@@ -50,6 +50,13 @@ def fold(key: Column, k: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % k
 
 
+def short_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let at most so many rows go to a Python worker at a time: texts are long, and both sides hold a batch whole."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into few rows each, so that only few texts become Python objects at a time."""
     for batch in batches:

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, text_column
+from .common import short_batches, slices, text_column
 
 # fixed values: element and attribute names of HTML
 RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "object", "svg", "canvas", "select", "math")
@@ -189,6 +189,7 @@ def extract(pages: DataFrame, page: str = "html", keep: list[str] | None = None,
     A null or empty page has the empty text. Truncated pages, unclosed and crossing elements are read
     as far as they go. Each page is read on its own; nothing is shuffled.
     """
+    short_batches(pages.sparkSession)
     keep = ["page_id", "url"] if keep is None else keep
     names = [f"k{i}" for i in range(len(keep))]
     rows = pages.select(*[pages[c].alias(n) for c, n in zip(keep, names, strict=True)], text_column(pages[page]).alias("body"))

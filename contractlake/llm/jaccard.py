@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, slices, text_column, written
+from .common import WORD, short_batches, slices, text_column, written
 from .graph import components
 
 _WORD = re.compile(WORD)
@@ -36,7 +36,7 @@ def forest_depth(trees: int, depth: int, threshold: float, recall: float) -> int
 class Shingles:
     """64-bit hashes of a text's distinct n-grams of words; a shorter text with a word has itself as its one n-gram."""
 
-    def __init__(self, n: int, most: int = 300_000) -> None:
+    def __init__(self, n: int, most: int = 100_000) -> None:
         self.n, self.most = n, most
         self.memory: dict[str, int] = {}
 
@@ -161,6 +161,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
 def _classes(docs: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, trees: int = 24, depth: int = 8, recall: float = 0.9999, block: int = 1024) -> DataFrame:
     """jaccard_classes with the columns kh and id, hashes of key and text."""
+    short_batches(docs.sparkSession)
     depth = forest_depth(trees, depth, threshold, recall)
     seeds = _seeds(trees * depth)
     rows = docs.select(docs[key].alias("key"), text_column(docs[text]).alias("body"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_column
+from .common import short_batches, slices, text_column
 
 
 def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", excerpts: int = 96, excerpt_chars: int = 2000) -> dict[str, bytes]:
@@ -44,6 +44,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
     next; accepted is false where it is below `min_margin`. Ties go to the first language by name.
     score is 1 where the bytes leave no doubt and 1 / languages where all are equal.
     """
+    short_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     names = [f"k{i}" for i in range(len(keep))]
     langs = list(dictionaries)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, slices, text_column, written
+from .common import WORD, short_batches, slices, text_column, written
 
 _WORD = re.compile(WORD)
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -48,6 +48,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     that passed the base rules is kept if at least `keep_percent` % of its words remain. A null text
     has no word and fails; a null host is a host of its own.
     """
+    short_batches(docs.sparkSession)
     rows = docs.select(docs[key].alias("key"), docs[host].alias("host"), text_column(docs[text]).alias("body"))
     identity = F.unhex(F.md5("body")).alias("id")
     kind = docs.schema[key].dataType.simpleString()

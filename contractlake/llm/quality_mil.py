@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, slices, text_column
+from .common import bounded_sample, short_batches, slices, text_column
 
 WORDS = 64
 #: Character classes of the encoding, by byte; bytes of 128 and more are letters beyond ASCII.
@@ -120,6 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "qu
     Null labels teach nothing. Without labels every text scores 0.5; with one class only, the rate of
     that class, kept off 0 and 1.
     """
+    short_batches(docs.sparkSession)
     known = labels.filter(labels[label].isNotNull() & train_rows).select(F.col(key), F.col(label).cast("int").alias("y"))
     sample = bounded_sample(known, F.col(key), rows)
     texts = docs.select(docs[key], text_column(docs[text]).alias("body")).join(F.broadcast(sample), key).select("y", "body")
@@ -137,6 +138,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
 
     All passages of every whole text count; a null text counts as empty, one passage of zeros.
     """
+    short_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     names = [f"k{i}" for i in range(len(keep))]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers

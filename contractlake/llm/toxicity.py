@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, slices, text_column
+from .common import bounded_sample, short_batches, slices, text_column
 
 BITS = 20
 PREFIXES = (3, 4, 5, 6, 7)
@@ -38,7 +38,7 @@ def buckets(word: str) -> tuple[int, ...]:
 class Terms:
     """Buckets of a text, ascending, and their counts (255 stands for more); remembers words, up to a bound."""
 
-    def __init__(self, wanted: dict[int, int] | None = None, most: int = 300_000) -> None:
+    def __init__(self, wanted: dict[int, int] | None = None, most: int = 100_000) -> None:
         self.memory: dict[str, tuple[int, ...]] = {}
         self.wanted, self.most = wanted, most
 
@@ -131,6 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "to
     the key column that decides which labels may be learned from. Without labels, the machine scores
     every text 0.001; with one class only, the rate of that class, kept off 0 and 1.
     """
+    short_batches(docs.sparkSession)
     known = labels.filter(labels[label].isNotNull() & train_rows).select(F.col(key), F.col(label).cast("int").alias("y"))
     sample = bounded_sample(known, F.col(key), rows)
     texts = docs.select(docs[key], text_column(docs[text]).alias("body")).join(F.broadcast(sample), key).select("y", "body")
@@ -154,17 +155,19 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, text: str =
 
     Every whole text is scored; a null text counts as empty and gets the machine's bias alone.
     """
+    short_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     names = [f"k{i}" for i in range(len(keep))]
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most most_columns columns
-    rows = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names, strict=True)], text_column(docs[text]).alias("body"))
+    rows = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names, strict=True)], *[] if text in keep else [docs[text].alias("body")])
+    body = names[keep.index(text)] if text in keep else "body"  # a kept text goes to the worker once
     schema = ", ".join([f"{n} {rows.schema[n].dataType.simpleString()}" for n in names] + ["score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         of = Terms(m.columns)
         for batch in slices(batches):
-            s = [m.score(*of(t)) for t in batch.column("body").to_pylist()]
+            s = [m.score(*of(t or "")) for t in batch.column(body).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(s, pa.float64())], names=[*names, "score"])
 
     out = rows.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "score")
