@@ -6,11 +6,10 @@ hash is a fingerprint. A run of lines with gram_words + window_words - 1 words o
 grams of one such window, so wherever the run repeats the same gram is chosen: equal runs of that
 length always share a fingerprint.
 
-Each occurrence of a fingerprint is matched with the one before it in the same document, or else with
-the first one of all documents. On the diagonal of such a match the lines are compared outwards from
-the fingerprint, both ways, while they agree. Runs with `min_words` words or more go; the occurrence
-that they were matched with comes earlier in the order (id, text hash, line) and stays, unless an
-occurrence before it covers it.
+Where a fingerprint occurs in more than one place, the runs around it are compared: the shortest run of
+`min_words` words from each line on, and the shortest up to each line. A longer run is covered by those
+in it. Of equal runs the first in the order (id, text hash, line) is no reason to delete; the lines of
+all others go.
 """
 
 from __future__ import annotations
@@ -48,38 +47,47 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def fingerprints(table: DataFrame, gram_words: int, window_words: int) -> DataFrame:
-    """Chosen grams: o, th, lno, g, before, after (words up to the gram's end), prev (line of the gram's occurrence before in this document)."""
+    """table with g and mark (line): the fingerprint of the window that starts at each line; null where no gram is whole."""
     w = Window.partitionBy("o", "th").orderBy("before")
     gram = w.rangeBetween(0, gram_words - 1)
     grams = table.withColumn("total", F.sum("words").over(gram)).withColumn("g", F.when(F.col("total") >= gram_words, line_hash(F.concat_ws(",", F.collect_list("h").over(gram)))))
-    least = grams.withColumn("least", F.min(F.when(F.col("g").isNotNull(), F.struct("g", "lno"))).over(w.rangeBetween(0, window_words - 1)))
-    chosen = least.withColumn("picked", F.collect_list("least.lno").over(w.rangeBetween(-(window_words - 1), 0))).filter(F.col("g").isNotNull() & F.array_contains("picked", F.col("lno")))
-    return chosen.select("o", "th", "lno", "g", "before", (F.col("before") + F.col("total")).alias("after"), F.lag("lno").over(Window.partitionBy("o", "th", "g").orderBy("lno")).alias("prev"))
+    least = F.min(F.when(F.col("g").isNotNull(), F.struct("g", "lno"))).over(w.rangeBetween(0, window_words - 1))
+    return grams.select(*table.columns, least.alias("least")).select(*table.columns, "least.g", F.col("least.lno").alias("mark"))
 
 
-def matches(prints: DataFrame) -> DataFrame:
-    """One row per pair of documents and diagonal: o, th, o2, th2 (earlier), delta, start, end (words that its fingerprints span)."""
-    first = prints.groupBy("g").agg(F.min(F.struct("o", "th", "lno")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first")
-    across = prints.filter("prev is null").join(first, "g").select("o", "th", "lno", "before", "after", F.col("first.o").alias("o2"), F.col("first.th").alias("th2"), F.col("first.lno").alias("lno2"))
-    across = across.filter("o != o2 or th != th2")
-    within = prints.filter("prev is not null").select("o", "th", "lno", "before", "after", F.col("o").alias("o2"), F.col("th").alias("th2"), F.col("prev").alias("lno2"))
-    both = across.unionByName(within)
-    return both.groupBy("o", "th", "o2", "th2", (F.col("lno") - F.col("lno2")).alias("delta")).agg(F.min("before").alias("start"), F.max("after").alias("end"))
+def shared(prints: DataFrame) -> DataFrame:
+    """o, th, marks: lines of a document's fingerprints that occur in more than one place."""
+    found = prints.filter("g is not null").select("o", "th", "g", "mark").distinct()
+    twice = found.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    return found.join(twice, "g").groupBy("o", "th").agg(F.collect_list("mark").alias("marks"))
+
+
+def runs(prints: DataFrame, min_words: int) -> DataFrame:
+    """o, th, start, end (lines), key: the least runs of min_words words from each line on and up to each line, where their first window's fingerprint is shared."""
+    marked = prints.join(shared(prints), ["o", "th"]).withColumn("hit", F.coalesce(F.array_contains("marks", F.col("mark")), F.lit(False))).withColumn("upto", F.col("before") + F.col("words"))
+    per = Window.partitionBy("o", "th")
+    on, back = per.orderBy("before").rangeBetween(0, min_words - 1), per.orderBy("upto").rangeBetween(1 - min_words, 0)
+
+    def run(w, start: Column, end: Column, ok: Column) -> Column:
+        key = F.unhex(F.md5(F.concat_ws(",", F.collect_list("h").over(w))))
+        return F.when(ok & (F.sum("words").over(w) >= min_words), F.struct(start.alias("start"), end.alias("end"), key.alias("key")))
+
+    ahead = marked.withColumn("ahead", run(on, F.col("lno"), F.max("lno").over(on), F.col("hit")))
+    start = F.min("lno").over(back)
+    both = ahead.withColumn("behind", run(back, start, F.col("lno"), F.first("hit").over(back) & ~F.coalesce(F.first("ahead.end").over(back) == F.col("lno"), F.lit(False))))
+    return both.select("o", "th", F.explode(F.array("ahead", "behind")).alias("run")).filter("run is not null").select("o", "th", "run.*")
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50, gram_words: int = 40, window_words: int = 10) -> DataFrame:
     """Lines to delete: o, th, pos, words. See remove_repeated."""
     table = written(lines(docs, key, text), "lines")
-    pairs = matches(fingerprints(table, gram_words, window_words))
-    reach = gram_words + window_words
-    t, p, c = table.alias("t"), pairs.alias("p"), table.alias("c")
-    here = p.join(t, (F.col("p.o") == F.col("t.o")) & (F.col("p.th") == F.col("t.th")) & (F.col("t.before") + F.col("t.words") > F.col("p.start") - reach) & (F.col("t.before") < F.col("p.end") + reach))
-    here = here.select("p.o", "p.th", "p.o2", "p.th2", "p.delta", "t.lno", "t.pos", "t.h", "t.words", (F.col("t.lno") - F.col("p.delta")).alias("lno2")).alias("x")
-    same = here.join(c, (F.col("x.o2") == F.col("c.o")) & (F.col("x.th2") == F.col("c.th")) & (F.col("x.lno2") == F.col("c.lno")) & (F.col("x.h") == F.col("c.h"))).select("x.o", "x.th", "x.o2", "x.th2", "x.delta", "x.lno", "x.pos", "x.words")
-    w = Window.partitionBy("o", "th", "o2", "th2", "delta")
-    run = same.withColumn("run", F.col("lno") - F.row_number().over(w.orderBy("lno")))
-    run = run.withColumn("total", F.sum("words").over(Window.partitionBy("o", "th", "o2", "th2", "delta", "run")))
-    return run.filter(F.col("total") >= min_words).select("o", "th", "pos", "words").distinct()
+    found = runs(fingerprints(table, gram_words, window_words), min_words)
+    first = found.groupBy("key").agg(F.min(F.struct("o", "th", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
+    later = found.join(first, "key").filter(F.struct("o", "th", "start") != F.col("first")).select("o", "th", F.col("start").alias("lno"), "end")
+    # a line goes if a run that starts at or above it ends at or below it
+    every = table.select("o", "th", "lno", "pos", "words", F.lit(None).cast(later.schema["end"].dataType).alias("end")).unionByName(later, allowMissingColumns=True)
+    reach = F.max("end").over(Window.partitionBy("o", "th").orderBy("lno").rangeBetween(Window.unboundedPreceding, 0))
+    return every.withColumn("reach", reach).filter("pos is not null and reach >= lno").select("o", "th", "pos", "words")
 
 
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50, gram_words: int = 40, window_words: int = 10) -> DataFrame:

@@ -295,6 +295,42 @@ def test_runs_of_any_cut_are_found(spark):
     assert got == {i: 60 * (i % 2) for i in range(k)}
 
 
+def brute_repeated(rows, min_words=50):
+    """Deleted words by id: all pairs of lines, compared onwards while they agree."""
+    texts = {k: [line for line in t.split("\n") if line.split()] for k, t in sorted(rows)}
+    at = [(k, i) for k, x in texts.items() for i in range(len(x))]
+    gone = defaultdict(set)
+    for n, (k, i) in enumerate(at):
+        for k2, i2 in at[:n]:
+            e = 0
+            while i + e < len(texts[k]) and i2 + e < len(texts[k2]) and texts[k][i + e] == texts[k2][i2 + e]:
+                e += 1
+            if sum(len(x.split()) for x in texts[k][i : i + e]) >= min_words:
+                gone[k].update(range(i, i + e))
+    return {k: sum(len(x[i].split()) for i in gone[k]) for k, x in texts.items()}
+
+
+def test_a_shorter_first_occurrence_hides_no_run(spark):
+    """A fragment of 45 words comes first, in another text or in the same one; the run of 55 words that holds it comes later."""
+    rows, k = [], 0
+    for case in range(12):
+        part, more = lines_of(case * 1000, case * 1000 + 1, case * 1000 + 2, n=15), lines_of(case * 1000 + 3, n=10)
+        run = [*part, *more] if case % 2 else [*more, *part]
+        once = [*lines_of(50_000 + k), *part, *lines_of(60_000 + k)]
+        for n in range(4):
+            own = [*lines_of(70_000 + 10 * k), *run, *lines_of(80_000 + 10 * k)]
+            first = once if n == 0 and case < 6 else [*once[1:], *own] if case >= 6 and n < 2 else own
+            rows.append((k, "\n".join(first)))
+            k += 1
+    r = random.Random(4)
+    pool = lines_of(*range(900, 912), n=1) + [" ".join(prose(i, r.randrange(3, 60))) for i in range(912, 924)]
+    for _ in range(40):
+        rows.append((k, "\n".join(r.choice(pool) for _ in range(r.randrange(1, 30)))))
+        k += 1
+    got = {x["doc_id"]: x["n_deleted_words"] for x in line_dedup.remove_repeated(docs(spark, [(i, t, "a") for i, t in rows])).collect()}
+    assert got == brute_repeated(rows)
+
+
 def test_line_dedup_odd_rows(spark):
     df = docs(spark, ODD)
     got = line_dedup.remove_repeated(df)
