@@ -4,7 +4,8 @@ Markup is stripped to one line per block element. A line's weight is its text le
 menus, headers, footers, adverts and the like, and 0 for lines that are mostly link text; where the
 page jumps over such a part, empty lines stand in for it. The weights of `window` lines from each line
 on are summed. A surge point is where that sum rises over the threshold and the lines after it have
-text; the dive point is where it falls to nothing. The lines between the two are the text.
+text; the dive point is where it falls to nothing. The lines between the two are the text, and with
+them what else stands in the same container, on both sides of skipped parts.
 """
 
 from __future__ import annotations
@@ -25,6 +26,11 @@ SKIPPED = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button
 BLOCKS = set("address article aside blockquote body center dd details dir div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 #: Elements that the next of their kind ends; a paragraph ends at any block.
 IMPLIED = {"p", "li", "dd", "dt", "tr", "td", "th", "option"}
+#: Elements that hold a text's blocks. Outside of them, the page between two skipped parts other than adverts is one container.
+CONTAINERS = {"article", "main", "section", "div", "center"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PROSE = HEADINGS | {"p", "blockquote", "pre", "dd", "dt"}
+ADVERTS = set("ad ads adv advert adverts advertisement advertising adsense adslot promo promos promotion promoted sponsor sponsored sponsors newsletter subscribe subscription signup share sharing social related recommended recommendations".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "note"}
 NAMES = set(
@@ -34,14 +40,19 @@ NAMES = set(
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[^a-z0-9]+")
+#: What a class says that a part has or lacks is not what the part is.
+_STATE = re.compile(r"(?<![a-z0-9])(?:no|not|non|has|with|without)[-_]\S*")
 
 
 @dataclass
 class Line:
-    """A block's text. part: the article or main element it stands in (0: none). gap: a skipped part lies before it."""
+    """A block's text. part: the outermost article or main element it stands in (0: none), home: that one's container. gap: a skipped part lies before it. box: its container, tag: its element."""
 
     part: int
     gap: bool
+    home: int = 0
+    box: int = 0
+    tag: str = ""
     texts: list[str] = field(default_factory=list)
     linked: int = 0
     length: int = 0
@@ -61,7 +72,7 @@ def _boilerplate(name: str, attributes: str) -> bool:
             return True
         if key == "role" and value in ROLES:
             return True
-        if key in ("class", "id") and name not in ("html", "body", "main") and NAMES.intersection(_NAME.split(value)):
+        if key in ("class", "id") and name not in ("html", "body", "main") and NAMES.intersection(_NAME.split(_STATE.sub(" ", value))):
             return True
     return False
 
@@ -70,8 +81,9 @@ def lines(page: str) -> list[Line]:
     """The page's blocks with text outside skipped parts."""
     out: list[Line] = []
     now = Line(0, False)
-    parts: list[tuple[str, int]] = []
-    skipping, depth, links, count, at = "", 0, 0, 0, 0
+    parts: list[tuple[str, int, int]] = []
+    boxes: list[tuple[str, int]] = []
+    skipping, depth, links, count, at, stretch = "", 0, 0, 0, 0, 0
 
     def close(gap: bool = False) -> None:
         nonlocal now
@@ -79,9 +91,10 @@ def lines(page: str) -> list[Line]:
         if now.text:
             now.length = len(now.text)
             out.append(now)
-            now = Line(parts[-1][1] if parts else 0, gap)
         else:
-            now = Line(parts[-1][1] if parts else 0, gap or now.gap)
+            gap = gap or now.gap
+        part, home = parts[-1][1:] if parts else (0, 0)
+        now = Line(part, gap, home, boxes[-1][1] if boxes else stretch)
 
     def add(raw: str) -> None:
         if raw and not skipping:
@@ -120,6 +133,9 @@ def lines(page: str) -> list[Line]:
             else:
                 continue
         if not closing and name not in VOID and _boilerplate(name, m[3]):
+            if not boxes and name != "aside" and not ADVERTS.intersection(_NAME.split(m[3].lower())):
+                close(True)
+                stretch -= 1
             close(True)
             skipping, depth = name, 1
             continue
@@ -129,18 +145,25 @@ def lines(page: str) -> list[Line]:
             now.texts.append(" ")
         elif name in BLOCKS:
             links = 0
+            close()
             if name in ("article", "main"):
-                close()
                 if closing:
                     if any(p[0] == name for p in parts):
                         while parts.pop()[0] != name:
                             pass
                 else:
                     count += 1
-                    parts.append((name, count))
-                now.part = parts[-1][1] if parts else 0
-            else:
+                    parts.append((name, *parts[-1][1:]) if parts else (name, count, now.box))
+            if name in CONTAINERS:
+                if not closing:
+                    count += 1
+                    boxes.append((name, count))
+                elif any(b[0] == name for b in boxes):
+                    while boxes.pop()[0] != name:
+                        pass
+            if name in CONTAINERS:
                 close()
+            now.tag = "" if closing else name
     close()
     return out
 
@@ -148,39 +171,56 @@ def lines(page: str) -> list[Line]:
 def main_text(page: str, window: int = 3, surge_chars: int = 80, link_share: float = 0.5) -> str:
     """The page's main text, blocks joined by newlines; empty if there is none.
 
-    If the page marks an article or a main part, the one with the most text is it: lines elsewhere
-    weigh nothing, and any text in it is a surge. Otherwise a run of lines must reach `surge_chars`.
+    If the page marks an article or a main part, the one with the most text is it, with the parts in
+    it, those beside it and the headings of their container: lines elsewhere weigh nothing, and any
+    text in it is a surge. Otherwise a run of lines must reach `surge_chars`; if none does, the
+    container with the most text is taken. Lists of links count only between other lines.
     """
     found = lines(page)
     sizes: dict[int, int] = {}
+    homes: dict[int, int] = {}
     for line in found:
         sizes[line.part] = sizes.get(line.part, 0) + line.length
+        homes[line.part] = line.home
     marked = [p for p in sizes if p]
-    best = max(marked, key=lambda p: (sizes[p], -p)) if marked else 0
+    if marked:
+        home = homes[max(marked, key=lambda p: (sizes[p], -p))]
+        return "\n".join(line.text for line in found if (line.part and line.home == home) or (not line.part and line.box == home and line.tag in HEADINGS))
     weights: list[int] = []
     owners: list[int] = []
     for k, line in enumerate(found):
-        if line.gap or k and line.part != found[k - 1].part:
+        if line.gap:
             weights += [0] * window
             owners += [-1] * window
-        inside = line.part == best
-        weights.append(line.length if inside and (best or line.linked <= link_share * line.length) else 0)
+        weights.append(line.length if line.linked <= link_share * line.length else 0)
         owners.append(k)
     weights += [0] * window
     owners += [-1] * window
     sums = [sum(weights[k : k + window]) for k in range(len(weights))]
-    over = 1 if best else surge_chars
-    kept: list[str] = []
+    kept: set[int] = set()
     k = 0
     while k < len(weights):
-        if weights[k] and sums[k] >= over:
+        if weights[k] and sums[k] >= surge_chars:
             while k < len(weights) and sums[k] > 0:
                 if weights[k]:
-                    kept.append(found[owners[k]].text)
+                    kept.add(owners[k])
                 k += 1
         else:
             k += 1
-    return "\n".join(kept)
+    plain = {owners[k] for k in range(len(weights)) if weights[k]}
+    of_box: dict[int, int] = {}
+    for k in sorted(kept or plain):
+        of_box[found[k].box] = of_box.get(found[k].box, 0) + found[k].length
+    held = {b for b, n in of_box.items() if n >= surge_chars} if kept else set(sorted(of_box, key=lambda b: -of_box[b])[:1])
+    ends: dict[int, list[int]] = {}
+    for k, line in enumerate(found):
+        if line.box in held and (k in plain or line.tag in PROSE):
+            kept.add(k)
+            ends.setdefault(line.box, [k, k])[1] = k
+    for k, line in enumerate(found):
+        if line.box in ends and ends[line.box][0] < k < ends[line.box][1]:
+            kept.add(k)
+    return "\n".join(found[k].text for k in sorted(kept))
 
 
 def extract(pages: DataFrame, page: str = "html", keep: list[str] | None = None, window: int = 3, surge_chars: int = 80) -> DataFrame:

@@ -157,6 +157,34 @@ def test_without_an_article_the_surge_decides():
     assert html_text.main_text(page).split("\n") == [" ".join(prose(i, 30)) for i in range(4)]
 
 
+def test_an_advert_in_the_text_cuts_nothing_off():
+    long = [" ".join(prose(i, 30)) for i in range(3)]
+    inner = f"<h1>Head</h1><div class='ad'>Buy</div><p>{long[0]}</p><p>{long[1]}</p><div class='ad'>Buy</div><p>{long[2]}</p><aside>Buy</aside><p>The end.</p>"
+    want = "\n".join(["Head", *long, "The end."])
+    menu = "<div><ul><li><a href='/'>Home</a></li><li><a href='/b'>Other things to read</a></li></ul></div>"
+    assert html_text.main_text(f"<body>{menu}<div>{inner}</div><div>Imprint</div></body>") == want
+    assert html_text.main_text(f"<body><nav>x</nav>{inner}<footer>y</footer><p>tail</p></body>") == want
+    assert html_text.main_text(f"<body>{menu}<div><h1>Head</h1><p>Short.</p></div></body>") == "Head\nShort."
+
+
+def test_a_block_of_links_in_the_text_stays():
+    long = [" ".join(prose(i, 30)) for i in range(2)]
+    page = f"<body><div><ul><li><a>Home</a></li></ul><h1><a href='/x'>Head</a></h1><p>{long[0]}</p><ul><li><a href='/s'>A source of this</a></li></ul><p>{long[1]}</p><ul><li><a>Next</a></li></ul></div></body>"
+    assert html_text.main_text(page) == "\n".join(["Head", long[0], "A source of this", long[1]])
+
+
+def test_parts_of_a_main_part_are_one():
+    assert html_text.main_text("<body><p>no</p><main><h1>Head</h1><p>Intro.</p><article><p>One, the longest part.</p></article><div class='ad'>Buy</div><article><p>Two.</p></article></main><p>no</p></body>") == "Head\nIntro.\nOne, the longest part.\nTwo."
+    assert html_text.main_text("<body><div><p>no</p></div><div><h1>Head</h1><article><p>One, the longest part.</p></article><article><p>Two.</p></article></div></body>") == "Head\nOne, the longest part.\nTwo."
+
+
+def test_a_class_that_tells_what_a_part_has_skips_nothing():
+    for name in ("no-sidebar", "has-ads wide", "page with-header", "layout-without-nav", "no_ads"):
+        assert html_text.main_text(f"<body><div class='{name}'><p>Text.</p></div></body>") == "Text."
+        assert html_text.main_text(f"<body><article><div class='{name}'><p>Text.</p></div></article></body>") == "Text."
+    assert html_text.main_text("<body><article><p>Text.</p><div class='ad has-image'>Buy</div></article></body>") == "Text."
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, "u", None), (3, None, ""), (3, None, "")], "page_id long, url string, html string")
     got = html_text.extract(pages.withColumn("text", F.lit("clash"))).collect()
