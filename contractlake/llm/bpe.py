@@ -15,7 +15,6 @@ grows to both sides whole, which is the plain encoding.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -104,18 +103,18 @@ class Bpe:
         self.learn({w for words in split for w in words if w not in memory})
         return [[p for p in map(memory.__getitem__, words) if p[1]] for words in split]
 
-    def answers(self, texts: list[str], out: str) -> list[tuple]:
-        if out == "digest":
-            return [(sum([p[0] for p in got]), _sha(" ".join([p[1] for p in got])), _sha(" ".join([p[2] for p in got]))) for got in self.pieces(texts)]
-        return [([int(i) for p in got for i in p[1].split()], " ".join([p[2] for p in got])) for got in self.pieces(texts)]
+    def answers(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
+        return [(np.fromstring(" ".join([p[1] for p in got]), np.int32, sep=" ") if got else np.zeros(0, np.int32), " ".join([p[2] for p in got])) for got in self.pieces(texts)]
 
-    def answer(self, ids: list[int], out: str) -> tuple:
-        text = self.tokenizer.decode(ids, skip_special_tokens=False)
-        return (len(ids), _sha(" ".join(map(str, ids))), _sha(text)) if out == "digest" else (ids, text)
+    def answer(self, ids: list[int]) -> tuple[list[int], str]:
+        return ids, self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
-def _sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def digests(tokens: DataFrame) -> DataFrame:
+    """ids and decoded of encode_texts replaced by n_tokens, ids_sha256 and decoded_sha256."""
+    joined = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    kept = [c for c in tokens.columns if c not in ("ids", "decoded")]
+    return tokens.select(*kept, F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def _cuts(tokens: list[Span], text: str, offset: int) -> dict[Span, int]:
@@ -183,17 +182,15 @@ def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
     """
     short_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
-    kinds = {"digest": "n_tokens long, ids_sha256 string, decoded_sha256 string", "ids": "ids array<int>, decoded string"}
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names, strict=True)], text_column(docs[text]).alias("body"))
-    schema = ", ".join([f"{n} {rows.schema[n].dataType.simpleString()}" for n in names] + [kinds[out]])
-    fields = [x.split()[0] for x in kinds[out].split(", ")]
-    types = [pa.int64(), pa.string(), pa.string()] if out == "digest" else [pa.list_(pa.int32()), pa.string()]
+    schema = ", ".join([f"{n} {rows.schema[n].dataType.simpleString()}" for n in names] + ["ids array<int>, decoded string"])
+    fields, types = ["ids", "decoded"], [pa.list_(pa.int32()), pa.string()]
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.of(tokenizer)
         for batch in slices(batches):
-            got = bpe.answers(batch.column("body").to_pylist(), out)
+            got = bpe.answers(batch.column("body").to_pylist())
             columns = [pa.array([g[k] for g in got], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + columns, names=names + fields)
 
@@ -207,7 +204,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
         bpe = Bpe.of(tokenizer)
         group = group.sort_values("leaf")
         tokens = [list(map(tuple, np.asarray(s, dtype=np.int64).reshape(-1, 3).tolist())) for s in group["spans"]]
-        got = bpe.answer(tree_concatenate(bpe.spans, group["body"].tolist(), tokens), out)
+        got = bpe.answer(tree_concatenate(bpe.spans, group["body"].tolist(), tokens))
         return pd.DataFrame({n: group[n].iloc[:1].to_numpy() for n in names} | dict(zip(fields, ([g] for g in got), strict=True)))
 
     long = F.length("body") > long_chars
@@ -221,4 +218,6 @@ def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
     )
     encoded = leaves.mapInArrow(leaf, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in leaves.schema) + ", spans array<int>")
     joined = encoded.groupBy("row").applyInPandas(whole, schema)
-    return plain.unionByName(joined).select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *fields)
+    both = plain.unionByName(joined)
+    both, fields = (digests(both), ["n_tokens", "ids_sha256", "decoded_sha256"]) if out == "digest" else (both, fields)
+    return both.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *fields)

@@ -2,7 +2,8 @@
 one document of each near-duplicate class, mix the sources, encode.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents; the last writes the
+tokenized mix and returns its digests.
 """
 
 from __future__ import annotations
@@ -39,8 +40,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs.select(*COLUMNS))
 
 
+def tokens(docs: DataFrame) -> DataFrame:
+    """The tokenized mix: doc_id, lang, source, ids array<int>, decoded string."""
+    return bpe.encode_texts(docs, queries.tokenizer_path(), keep=["doc_id", "lang", "source"], out="ids")
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_texts(docs, queries.tokenizer_path())
+    """The mix is written to tokenized-mix-* in the shared folder; its digests are returned, as the contract asks."""
+    return bpe.digests(written(tokens(docs), "tokenized-mix").drop("lang", "source"))
 
 
 STAGES = [

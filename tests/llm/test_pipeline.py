@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +66,12 @@ def test_the_mix_holds_its_copies(spark, stages):
 def test_all_of_the_mix_is_encoded(spark, stages):
     assert stages[5].count() == stages[4].count()
     assert stages[5].filter("n_tokens > 0").count() == stages[4].filter(F.trim("text") != "").count()
+
+
+def test_the_tokenized_mix_is_written(spark, stages):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    found = sorted(Path(shared.removeprefix("file:")).glob("tokenized-mix-*"), key=lambda x: x.stat().st_mtime)
+    mix = spark.read.parquet(str(found[-1])).collect()
+    assert Counter((r["doc_id"], r["lang"], r["source"]) for r in mix) == Counter((r["doc_id"], r["lang"], r["source"]) for r in stages[4].collect())
+    ids = Counter((r["doc_id"], len(r["ids"]), hashlib.sha256(" ".join(map(str, r["ids"])).encode()).hexdigest(), hashlib.sha256(r["decoded"].encode()).hexdigest()) for r in mix)
+    assert ids == Counter(map(tuple, stages[5].collect()))
