@@ -36,7 +36,7 @@ def buckets(word: str) -> tuple[int, ...]:
 
 
 class Terms:
-    """Buckets of a text, ascending, and their counts (255 stands for more); remembers words, up to a bound."""
+    """Buckets of a text, ascending, and their counts; remembers words, up to a bound."""
 
     def __init__(self, wanted: dict[int, int] | None = None, most: int = 100_000) -> None:
         self.memory: dict[str, tuple[int, ...]] = {}
@@ -57,7 +57,12 @@ class Terms:
             for x in of:
                 found[x] = found.get(x, 0) + n
         names = sorted(found)
-        return np.array(names, dtype=np.int32), np.array([min(found[x], 255) for x in names], dtype=np.uint8)
+        return np.array(names, dtype=np.int32), np.array([found[x] for x in names], dtype=np.int64)
+
+
+def logs(counts: np.ndarray) -> np.ndarray:
+    """log2(1 + count) as the bits of a float16: Spark has no such type."""
+    return np.log2(1 + counts).astype(np.float16).view(np.int16)
 
 
 @dataclass
@@ -78,7 +83,7 @@ class Machine:
 
 
 def train(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, most_columns: int = 1500, rank: int = 6, epochs: int = 14, batch: int = 128, rate: float = 0.03, decay: float = 2e-4, seed: int = 5) -> Machine:
-    """Logistic loss, Adam, on the buckets that tell the labels apart best by chi-square."""
+    """rows: buckets of each text, values: log2(1 + count) of each bucket. Logistic loss, Adam, on the buckets that tell the labels apart best by chi-square."""
     y = np.asarray(labels, dtype=np.float32)
     n = len(rows)
     lengths = [len(r) for r in rows]
@@ -102,7 +107,7 @@ def train(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray,
     at = np.searchsorted(chosen, flat)
     ok = (at < m) & (chosen[np.minimum(at, m - 1)] == flat)
     X = np.zeros((n, m), dtype=np.float32)
-    X[owner[ok], at[ok]] = np.log2(1 + np.concatenate(values)[ok].astype(np.float32))
+    X[owner[ok], at[ok]] = np.concatenate(values)[ok]
     rng = np.random.default_rng(seed)
     P = {"b": np.zeros(1, np.float32), "w": np.zeros(m, np.float32), "v": rng.normal(0, 0.01, (m, rank)).astype(np.float32)}
     M, S, t = {k: np.zeros_like(x) for k, x in P.items()}, {k: np.zeros_like(x) for k, x in P.items()}, 0
@@ -140,14 +145,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "to
         of = Terms()
         for batch in slices(batches):
             got = [of(t) for t in batch.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1].astype(np.int8) for g in got], pa.list_(pa.int8()))], names=["y", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([logs(g[1]) for g in got], pa.list_(pa.int16()))], names=["y", "terms", "logs"])
 
-    got = texts.mapInArrow(terms, "y int, terms array<int>, counts array<tinyint>").toArrow().combine_chunks()
+    got = texts.mapInArrow(terms, "y int, terms array<int>, logs array<smallint>").toArrow().combine_chunks()
     y = got.column("y").to_numpy()
     bags = [x.values.to_numpy() for x in got.column("terms").combine_chunks()]
-    counts = [x.values.to_numpy().view(np.uint8) for x in got.column("counts").combine_chunks()]
+    values = [x.values.to_numpy().view(np.float16) for x in got.column("logs").combine_chunks()]
     order = sorted(range(len(bags)), key=lambda k: (int(y[k]), len(bags[k]), bags[k].tobytes()))
-    return train([bags[k] for k in order], [counts[k] for k in order], y[order])
+    return train([bags[k] for k in order], [values[k] for k in order], y[order])
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -436,6 +436,16 @@ def test_pairs_count_beyond_their_parts():
     assert score(1, 2, 101) > 0.8 and score(1, 101) < 0.3 and score(2, 101) < 0.3
 
 
+def test_term_counts_have_no_cap(spark):
+    """A word of 300, 1,000 and 100,000 times has three scores, and keeps its count in training."""
+    (bucket,) = toxicity.buckets("ab")
+    m = toxicity.Machine({bucket: 0}, -3.0, np.array([0.2]), np.zeros((1, 6)))
+    times = [0, 1, 255, 300, 1000, 100_000]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, [(n, "ab " * n, "s") for n in times]), m).collect()}
+    assert all(abs(got[n] - 1 / (1 + np.exp(3 - 0.2 * np.log2(1 + n)))) < 1e-12 for n in times)
+    assert abs(toxicity.logs(toxicity.Terms()("ab " * 100_000)[1]).view(np.float16)[0] - np.log2(100_001)) < 0.01
+
+
 def test_attention_slopes():
     """Backward agrees with finite differences."""
     rng = np.random.default_rng(0)
