@@ -1,11 +1,18 @@
 """N-gram Jaccard self join with a MinHash LSH forest.
 
 Texts equal as strings are one text. A text's signature is cut into trees; in each tree its minhash
-values, in order, are a path of a trie. Two texts meet if they share a path prefix in some tree. The
-prefix starts at the full depth and is shortened, value by value, until texts at the threshold meet
-with the target probability. Texts that meet, directly or through others, form a candidate group;
-within a group every pair is verified exactly on its shingle sets, large groups in blocks, so the
-forest decides only which texts come together and a pair that shares no prefix itself is found too.
+values, in order, are a path of a trie. The paths are sorted, so a node of a trie, all paths with one
+prefix, is a run of rows, and its size is known at every depth from the shortest prefix on.
+
+How far a text's prefixes are shortened depends on the text and on the tree. At first they are whole.
+Then they are shortened where that brings the least company, up to a limit of company that grows until
+the product of the chances to miss a partner at the threshold, over all trees, is at most 1 - recall:
+prefixes become short where the trie is sparse and stay long where many texts crowd in a node. Two
+texts are candidates if in some tree they share the prefix that one of them ended with.
+
+Each candidate pair is verified exactly on its shingle sets, once. The texts of a node meet under its
+least text, the hub; the nodes of one hub form one group, large groups are cut into blocks, and a pair
+that meets in several trees belongs to the hub of the first.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, short_batches, slices, text_column, written
@@ -24,13 +31,9 @@ from .graph import components
 
 _WORD = re.compile(WORD)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def forest_depth(trees: int, depth: int, threshold: float, recall: float) -> int:
-    """The longest prefix at which texts of similarity `threshold` meet in one of the trees with probability `recall`; at least 1."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+#: Values of a path, and of the shortest prefix; a value has 16 bits.
+DEPTH, SHORTEST = 8, 4
+DEPTHS = range(SHORTEST, DEPTH + 1)
 
 
 class Shingles:
@@ -49,10 +52,9 @@ class Shingles:
         words = _WORD.findall(text)
         if not words:
             return np.zeros(0, dtype=np.uint64)
-        for w in set(words):
-            if w not in memory:
-                memory[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
-        h = np.fromiter((memory[w] for w in words), dtype=np.uint64, count=len(words))
+        for w in set(words).difference(memory):
+            memory[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
+        h = np.fromiter(map(memory.__getitem__, words), dtype=np.uint64, count=len(words))
         k = min(self.n, len(h))
         out = np.zeros(len(h) - k + 1, dtype=np.uint64)
         for i in range(k):
@@ -61,23 +63,78 @@ class Shingles:
         return np.unique(out)
 
 
-def bands(shingles: np.ndarray, seeds: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """One 64-bit hash of the path prefix per tree."""
-    least = np.empty(len(seeds), dtype=np.uint64)
-    for k, (a, b) in enumerate(seeds):
-        x = (shingles ^ b) * a
-        least[k] = (x ^ (x >> np.uint64(32))).min()
-    paths = least.reshape(trees, depth)
-    out = np.zeros(trees, dtype=np.uint64)
-    for d in range(depth):
-        out = (out ^ paths[:, d]) * _MIX
-        out ^= out >> np.uint64(31)
-    return out.view(np.int64)
+def _seeds(count: int, seed: int = 29) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 32, size=(2, count, 1), dtype=np.uint32) | np.array([[[1]], [[0]]], dtype=np.uint32)
 
 
-def _seeds(count: int, seed: int = 29) -> np.ndarray:
-    x = np.random.default_rng(seed).integers(0, 1 << 63, size=(count, 2), dtype=np.uint64)
-    return x * np.uint64(2) + np.uint64(1)
+def paths(shingles: np.ndarray, seeds: np.ndarray, step: int = 512) -> np.ndarray:
+    """Of each tree two 64-bit numbers: the first four values of its path, and the last four."""
+    odd, flip = seeds
+    s = (shingles >> np.uint64(32)).astype(np.uint32)[None, :]
+    least = np.full(odd.shape[0], 0xFFFFFFFF, dtype=np.uint32)
+    for k in range(0, s.shape[1], step):
+        x = s[:, k : k + step] ^ flip
+        x *= odd
+        np.minimum(least, x.min(axis=1), out=least)
+    values = ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint64).reshape(-1, 4)
+    return ((values[:, 0] << np.uint64(48)) | (values[:, 1] << np.uint64(32)) | (values[:, 2] << np.uint64(16)) | values[:, 3]).view(np.int64)
+
+
+def shorten(company: np.ndarray, owner: np.ndarray, texts: int, trees: int, threshold: float, recall: float) -> np.ndarray:
+    """The depth at which each row's prefix ends.
+
+    company: one row for each text and tree in which the text shares its shortest prefix; the numbers
+    of texts that share the prefixes of each depth, from the shortest on. owner: the row's text. In
+    trees without a row the prefix is shortened as far as it goes, at no cost.
+    """
+    miss = np.log1p(-(min(float(threshold), 1 - 1e-9) ** np.maximum(1, np.arange(DEPTH + 1))))
+    goal = np.log1p(-recall)
+    alone = (trees - np.bincount(owner, minlength=texts)) * miss[SHORTEST]
+    depth = np.full(len(owner), -1)
+    limit = 0
+    while (depth < 0).any():
+        fits = company <= limit
+        at = np.where(fits.any(axis=1), SHORTEST + fits.argmax(axis=1), DEPTH)
+        met = (alone + np.bincount(owner, weights=miss[at], minlength=texts) <= goal) | (limit > company.max())
+        depth = np.where((depth < 0) & met[owner], at, depth)
+        limit = max(1, limit * 2)
+    return depth
+
+
+def tries(texts: DataFrame, trees: int, threshold: float, recall: float) -> DataFrame:
+    """texts: id, paths (two numbers a tree). Rows id, tree, hub (64 bits) for each text and tree in which it has company.
+
+    Rows of one shortest prefix meet in one task: id and three numbers each, sorted outside memory if
+    they are many. Nothing but their counts and the least id is taken of them.
+    """
+    tail = [F.shiftright("q", 16 * (DEPTH - d)).alias(f"q{d}") for d in DEPTHS[1:]]
+    nodes = {d: ["tree", "p", *(f"q{k}" for k in range(SHORTEST + 1, d + 1))] for d in DEPTHS}
+    rows = texts.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.get("paths", 2 * t).alias("p"), F.get("paths", 2 * t + 1).alias("q")))).alias("x")).select("id", "x.*")
+    rows = rows.repartition("tree", "p").withColumn(f"n{SHORTEST}", F.count("*").over(Window.partitionBy("tree", "p"))).filter(f"n{SHORTEST} > 1").select("*", *tail)
+    for d in reversed(DEPTHS[1:]):
+        rows = rows.withColumn(f"n{d}", F.count("*").over(Window.partitionBy(*nodes[d])))
+    # at most one entry a tree
+    company = rows.groupBy("id").agg(F.collect_list(F.struct("tree", "p", "q", *(f"n{d}" for d in DEPTHS))).alias("met"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met = batch.column("met")
+            owner = np.repeat(np.arange(batch.num_rows), met.value_lengths().to_numpy())
+            flat = pa.Table.from_batches([pa.RecordBatch.from_struct_array(met.flatten())]).combine_chunks()
+            if not len(owner):
+                continue
+            counts = np.stack([flat.column(f"n{d}").to_numpy() for d in DEPTHS], axis=1) - 1
+            ends = shorten(counts, owner, batch.num_rows, trees, threshold, recall)
+            columns = [batch.column("id").take(pa.array(owner)), *(flat.column(c).combine_chunks() for c in ("tree", "p", "q")), pa.array(ends.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], names=["id", "tree", "p", "q", "ends"])
+
+    ended = company.mapInArrow(choose, "id binary, tree int, p long, q long, ends int").repartition("tree", "p").select("*", *tail)
+    for d in reversed(DEPTHS):
+        node = Window.partitionBy(*nodes[d])
+        # a node at which one text's prefix ends brings all its texts together
+        ended = ended.withColumn(f"at{d}", F.when(F.max(F.col("ends") == d).over(node), F.struct(F.count("*").over(node).alias("n"), F.min("id").over(node).alias("hub"))))
+    first = F.coalesce(*(f"at{d}" for d in DEPTHS))
+    return ended.select("id", "tree", first.alias("at")).filter("at.n > 1").select("id", "tree", F.xxhash64("at.hub").alias("hub"))
 
 
 def similar(sets: list[np.ndarray], others: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -109,42 +166,70 @@ def similar(sets: list[np.ndarray], others: list[np.ndarray] | None, threshold:
     return out
 
 
-def _roots(links: np.ndarray) -> np.ndarray:
-    """The least index that each index reaches over a symmetric boolean matrix."""
-    root = np.full(len(links), -1)
-    for k in range(len(links)):
-        if root[k] < 0:
-            root[k], stack = k, [k]
-            while stack:
-                for j in np.flatnonzero(links[stack.pop()] & (root < 0)):
-                    root[j] = k
-                    stack.append(j)
-    return root
-
-
-def _verify(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Verify one block, or one pair of blocks, of each candidate group that the rows hold."""
-    out = []
-    for (_, i, j), g in group.groupby(["root", "i", "j"], sort=False):
-        own = g["block"] == i
-        left = g[own]
+def candidates(own: np.ndarray, other: np.ndarray | None, group: int) -> np.ndarray:
+    """Pairs (i, j) that belong to the group: the first tree in which both have the same hub has this one. own, other: hubs by tree, 0 for none; without other: pairs i < j of own."""
+    right = own if other is None else other
+    found = np.zeros((len(own), len(right)), dtype=bool)
+    open_ = np.ones_like(found)
+    if other is None:
+        open_ = np.triu(open_, 1)
+    for t in range(own.shape[1]):
+        same = (own[:, t, None] == right[None, :, t]) & (own[:, t, None] != 0) & open_
+        found |= same & (own[:, t, None] == group)
+        open_ &= ~same
+    return np.argwhere(found)
+
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray] | None, pairs: np.ndarray, threshold: float) -> np.ndarray:
+    """Those of the pairs that reach the threshold: one by one, or all by matrix products where they are many."""
+    other = left if right is None else right
+    m, n = np.array([len(s) for s in left])[pairs[:, 0]], np.array([len(s) for s in other])[pairs[:, 1]]
+    pairs = pairs[np.minimum(m, n) >= threshold * np.maximum(m, n) - 1e-6]
+    if len(pairs) > 8 * (len(left) + len(other)):
+        return pairs[similar(left, right, threshold)[pairs[:, 0], pairs[:, 1]]]
+    ok = np.zeros(len(pairs), dtype=bool)
+    for k, (i, j) in enumerate(pairs):
+        both = len(np.intersect1d(left[i], other[j], assume_unique=True))
+        ok[k] = both >= threshold * (len(left[i]) + len(other[j]) - both) - 1e-6
+    return pairs[ok]
+
+
+def _roots(size: int, pairs: np.ndarray) -> np.ndarray:
+    """The least index that each index reaches over the pairs."""
+    root = np.arange(size)
+    while True:
+        least = root.copy()
+        np.minimum.at(least, pairs[:, 0], root[pairs[:, 1]])
+        np.minimum.at(least, pairs[:, 1], root[pairs[:, 0]])
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
+def _verify(rows: pd.DataFrame, trees: int, threshold: float) -> pd.DataFrame:
+    """Verify one block, or one pair of blocks, of each group that the rows hold."""
+    out: list[tuple] = []
+    for (hub, i, j), g in rows.groupby(["hub", "i", "j"], sort=False):
+        if len(g) < 2:
+            continue
+        hubs = np.zeros((len(g), trees), dtype=np.int64)
+        hubs[np.repeat(np.arange(len(g)), g["trees"].map(len)), np.concatenate(g["trees"].to_list())] = np.concatenate(g["hubs"].to_list())
+        own = (g["block"] == i).to_numpy()
+        sets, ids = g["shingles"].to_list(), g["id"].to_numpy()
         if i == j:
-            links = similar(left["shingles"].tolist(), None, threshold)
-            ids, full = left["id"].to_numpy(), links
+            pairs = _linked(sets, None, candidates(hubs, None, hub), threshold)
         else:
-            right = g[~own]
-            links = similar(left["shingles"].tolist(), right["shingles"].tolist(), threshold)
-            n = len(left)
-            ids = np.concatenate([left["id"].to_numpy(), right["id"].to_numpy()])
-            full = np.zeros((len(ids), len(ids)), dtype=bool)
-            full[:n, n:], full[n:, :n] = links, links.T
-        degree = full.sum(1)
-        root = _roots(full)
-        out += [(ids[k], int(degree[k]), ids[root[k]]) for k in np.flatnonzero(degree)]
+            a, b = np.flatnonzero(own), np.flatnonzero(~own)
+            pairs = _linked([sets[k] for k in a], [sets[k] for k in b], candidates(hubs[a], hubs[b], hub), threshold)
+            pairs = np.stack([a[pairs[:, 0]], b[pairs[:, 1]]], axis=1)
+        if len(pairs):
+            degree, root = np.bincount(pairs.ravel(), minlength=len(g)), _roots(len(g), pairs)
+            out += [(ids[k], int(degree[k]), ids[root[k]]) for k in np.flatnonzero(degree)]
     return pd.DataFrame(out, columns=["id", "links", "root"])
 
 
-def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, trees: int = 24, depth: int = 8, recall: float = 0.9999, block: int = 1024) -> DataFrame:
+def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, trees: int = 32, recall: float = 0.99999, block: int = 1024, block_shingles: int = 1_000_000) -> DataFrame:
     """One row per document: key, class_id, n_links long, n_copies long, first boolean.
 
     Linked are different texts with n-gram Jaccard similarity `threshold` or more; a text with fewer
@@ -154,16 +239,16 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     with the least (key, text hash) of its class; rows equal in key and text are all marked. Nulls
     sort last. A null text, and one without a word, links to nothing and is its own class; its
     n_copies is 0. No link is capped; at the threshold itself a pair is missed with a probability of
-    at most 1 - recall, and less above it.
+    at most 1 - recall, and less above it. A text of any length is taken whole; blocks of a group hold
+    about `block` texts and `block_shingles` shingles, or one text. An empty table gives no rows.
     """
-    return _classes(docs, key, text, n, threshold, trees, depth, recall, block).select(F.col("key").alias(key), "class_id", "n_links", "n_copies", "first")
+    return _classes(docs, key, text, n, threshold, trees, recall, block, block_shingles).select(F.col("key").alias(key), "class_id", "n_links", "n_copies", "first")
 
 
-def _classes(docs: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, trees: int = 24, depth: int = 8, recall: float = 0.9999, block: int = 1024) -> DataFrame:
+def _classes(docs: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, trees: int = 32, recall: float = 0.99999, block: int = 1024, block_shingles: int = 1_000_000) -> DataFrame:
     """jaccard_classes with the columns kh and id, hashes of key and text."""
     short_batches(docs.sparkSession)
-    depth = forest_depth(trees, depth, threshold, recall)
-    seeds = _seeds(trees * depth)
+    seeds = _seeds(trees * DEPTH)
     rows = docs.select(docs[key].alias("key"), text_column(docs[text]).alias("body"))
     identity: Column = F.unhex(F.md5("body"))
 
@@ -171,37 +256,37 @@ def _classes(docs: DataFrame, key: str, text: str, n: int = 5, threshold: float
         shingles = Shingles(n)
         for batch in slices(batches):
             found = [shingles(t) for t in batch.column("body").to_pylist()]
-            signed = [bands(s, seeds, trees, depth) if len(s) else None for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(signed, pa.list_(pa.int64()))], names=["key", "id", "bands"])
+            signed = pa.array([paths(s, seeds) if len(s) else None for s in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), signed, pa.array(map(len, found), pa.int64())], names=["key", "id", "paths", "size"])
 
     kind = docs.schema[key].dataType.simpleString()
-    signed = written(rows.withColumn("id", identity).select("key", "id", "body").mapInArrow(sign, f"key {kind}, id binary, bands array<bigint>"), "signed")
+    signed = written(rows.withColumn("id", identity).select("key", "id", "body").mapInArrow(sign, f"key {kind}, id binary, paths array<bigint>, size bigint"), "signed")
     # least key of each different text, and how often it occurs; nulls last
     least = F.min(F.struct(F.col("key").isNull().alias("no"), "key"))
-    texts = written(signed.filter("bands is not null").groupBy("id").agg(least.alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "texts")
-    nodes = texts.select("id", F.posexplode("bands").alias("tree", "band"))
-    met = nodes.groupBy("tree", "band").agg(F.min("id").alias("hub"), F.count("*").alias("met")).filter("met > 1")
-    groups = written(components(nodes.join(met, ["tree", "band"]).select(F.col("id").alias("a"), F.col("hub").alias("b"))), "groups")
+    texts = written(signed.filter("size > 0").groupBy("id").agg(least.alias("least"), F.count("*").alias("copies"), F.first("paths").alias("paths"), F.first("size").alias("size")), "texts")
+    # at most one entry a tree
+    met = tries(texts, trees, threshold, recall).groupBy("id").agg(F.collect_list(F.struct("tree", "hub")).alias("met"))
+    met = met.join(texts.select("id", "size", F.xxhash64("least.key").alias("kh")), "id").select("id", "kh", "size", F.col("met.tree").alias("trees"), F.col("met.hub").alias("hubs"))
+    met = written(met, "met")
 
     # blocks of large groups; each text goes once to every block that its own is compared with
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    members = groups.withColumnRenamed("node", "id").join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    wanted = members.join(texts.select("id", F.xxhash64("least.key").alias("kh")), "id")
-    bodies = rows.select(F.xxhash64("key").alias("kh"), identity.alias("id"), "body").join(wanted, ["kh", "id"]).dropDuplicates(["kh", "id"]).select("id", "root", "blocks", "block", "body")
+    members = met.select("id", F.explode(F.array_distinct("hubs")).alias("hub"), "size")
+    sizes = members.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / block_shingles)).alias("blocks"), F.count("*").alias("members"))
+    bodies = rows.select(F.xxhash64("key").alias("kh"), identity.alias("id"), "body").join(met, ["kh", "id"]).dropDuplicates(["kh", "id"]).select("id", "trees", "hubs", "body")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
         for batch in slices(batches):
             found = pa.array([shingles(t).view(np.int64) for t in batch.column("body").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "root", "blocks", "block")), found], names=["id", "root", "blocks", "block", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "trees", "hubs")), found], names=["id", "trees", "hubs", "shingles"])
 
-    sets = bodies.mapInArrow(cut, "id binary, root binary, blocks bigint, block bigint, shingles array<bigint>")
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
-    tasks = sets.select("id", "root", "blocks", "block", "shingles", other).select("id", "root", "blocks", "block", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sets = bodies.mapInArrow(cut, "id binary, trees array<int>, hubs array<bigint>, shingles array<bigint>")
+    placed = sets.select("*", F.explode(F.array_distinct("hubs")).alias("hub")).join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select("hub", "id", "trees", "hubs", "shingles", "blocks", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     # small groups share a bin, so that no task starts for each of them
-    bins = max(1, groups.count() // 200)
-    tasks = tasks.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root", "i", "j")))
-    verified = written(tasks.groupBy("bin").applyInPandas(lambda g: _verify(g, threshold), "id binary, links bigint, root binary"), "verified")
+    bins = max(1, sizes.count() // 200)
+    tasks = tasks.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("hub"), F.lit(bins))).otherwise(F.xxhash64("hub", "i", "j"))).drop("blocks")
+    verified = written(tasks.groupBy("bin").applyInPandas(lambda g: _verify(g, trees, threshold), "id binary, links bigint, root binary"), "verified")
 
     linked = components(verified.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
     links = verified.groupBy("id").agg(F.sum("links").alias("n_links"))
@@ -210,7 +295,7 @@ def _classes(docs: DataFrame, key: str, text: str, n: int = 5, threshold: float
     top = known.groupBy("root").agg(F.min(F.struct("least", "id")).alias("top"))
     of = known.join(top, "root").select("id", "copies", "n_links", "top")
     # a text that many documents share is split by Spark's skew join; its rows are small
-    own = signed.select("key", "id", F.col("bands").isNotNull().alias("worded")).join(of, "id", "left")
+    own = signed.select("key", "id", (F.col("size") > 0).alias("worded")).join(of, "id", "left")
     worded = F.col("worded")
     return own.select(
         "key",

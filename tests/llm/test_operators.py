@@ -106,10 +106,34 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.jaccard_classes(docs(spark, [])).count() == 0 and jaccard.keep_first(docs(spark, [])).count() == 0
 
 
-def test_forest_shortens_prefixes_to_the_recall():
-    assert jaccard.forest_depth(24, 8, 0.8, 0.9999) == 5
-    assert jaccard.forest_depth(24, 8, 0.8, 0.9) > jaccard.forest_depth(24, 8, 0.8, 0.99999)
-    assert jaccard.forest_depth(1, 8, 0.8, 0.9999) == 1
+def test_prefixes_are_shortened_where_company_is_least():
+    """Every text meets the recall over all trees, whatever crowds around it."""
+    rng = np.random.default_rng(1)
+    trees, texts = 32, 300
+    owner = np.sort(rng.choice(texts * trees, 5000, replace=False)) // trees
+    company = np.sort(rng.geometric(rng.choice([0.5, 0.05, 0.001], size=(5000, 1)), size=(5000, 5)), axis=1)[:, ::-1]
+    ends = jaccard.shorten(company, owner, texts, trees, 0.8, 0.9999)
+    for k in range(texts):
+        own = ends[owner == k]
+        miss = np.prod(1 - 0.8**own.astype(float)) * (1 - 0.8**4) ** (trees - len(own))
+        assert miss <= 1e-4 * (1 + 1e-9) and ((own >= 4) & (own <= 8)).all()
+    one = np.array([[900] * 5] * 16 + [[3, 2, 1, 1, 0]] * 16)
+    crowded = jaccard.shorten(one, np.zeros(32, dtype=int), 1, 32, 0.8, 0.9999)
+    assert crowded[:16].min() > crowded[16:].max()  # short where it is sparse
+    assert (jaccard.shorten(one, np.zeros(32, dtype=int), 1, 32, 0.8, 0.999999) == 4).all()
+
+
+def test_forest_finds_pairs_at_the_threshold(spark):
+    """Pairs of similarity 0.8 to 0.83: none of 300 is lost."""
+    rows = []
+    for k in range(300):
+        w = prose(9000 + k, 104)
+        v = list(w)
+        v[30] = v[70] = "other"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_classes(df).collect()
+    assert len({r["class_id"] for r in got}) == 300 and {r["n_links"] for r in got} == {1}
 
 
 def test_components(spark):
