@@ -17,7 +17,7 @@ that meets in several trees belongs to the hub of the first.
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, short_batches, slices, text_column, written
+from .common import short_batches, slices, text_column, written
 from .graph import components
 
-_WORD = re.compile(WORD)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Values of a path, and of the shortest prefix; a value has 16 bits.
 DEPTH, SHORTEST = 8, 4
@@ -37,30 +36,50 @@ DEPTHS = range(SHORTEST, DEPTH + 1)
 
 
 class Shingles:
-    """64-bit hashes of a text's distinct n-grams of words; a shorter text with a word has itself as its one n-gram."""
+    """64-bit hashes of a text's distinct n-grams of words; a shorter text with a word has itself as its one n-gram.
 
-    def __init__(self, n: int, most: int = 100_000) -> None:
-        self.n, self.most = n, most
-        self.memory: dict[str, int] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        import xxhash
+    Takes the text's UTF-8 bytes. All words are hashed at once: each byte stands for a random number,
+    these are weighted by place and summed over the word, and the sum is mixed.
+    """
 
-        memory = self.memory
-        if len(memory) > self.most:
-            memory.clear()
-        words = _WORD.findall(text)
-        if not words:
+    LONG = 256  # a word of more bytes is hashed by itself
+
+    def __init__(self, n: int, seed: int = 31) -> None:
+        self.n = n
+        rng = np.random.default_rng(seed)
+        self.byte = rng.integers(1, 1 << 64, size=256, dtype=np.uint64)
+        self.byte[[32, *range(9, 14)]] = 0  # white space adds nothing
+        self.place = np.cumprod(np.full(self.LONG + 1, 0xD6E8FEB86659FD93, dtype=np.uint64))
+
+    def words(self, raw: bytes) -> np.ndarray:
+        of = self.byte[np.frombuffer(raw, dtype=np.uint8)]
+        blank = np.ones(len(of) + 2, dtype=bool)
+        blank[1:-1] = of == 0
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
             return np.zeros(0, dtype=np.uint64)
-        for w in set(words).difference(memory):
-            memory[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
-        h = np.fromiter(map(memory.__getitem__, words), dtype=np.uint64, count=len(words))
+        of = of[starts[0] :]
+        place = np.arange(len(of)) - np.repeat(starts - starts[0], np.diff(np.append(starts, starts[0] + len(of))))
+        h = np.add.reduceat(of * self.place[np.minimum(place, self.LONG)], starts - starts[0])
+        for k in np.flatnonzero(ends - starts > self.LONG):
+            h[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]], digest_size=8).digest(), "little")
+        h ^= h >> np.uint64(32)
+        h *= _MIX
+        return h ^ (h >> np.uint64(29))
+
+    def __call__(self, raw: bytes) -> np.ndarray:
+        h = self.words(raw)
+        if not len(h):
+            return h
         k = min(self.n, len(h))
         out = np.zeros(len(h) - k + 1, dtype=np.uint64)
         for i in range(k):
-            out = (out ^ (h[i : len(h) - k + 1 + i])) * _MIX
+            out ^= h[i : len(h) - k + 1 + i]
+            out *= _MIX
             out ^= out >> np.uint64(29)
-        return np.unique(out)
+        out.sort()
+        return out[np.append(True, out[1:] != out[:-1])]
 
 
 def _seeds(count: int, seed: int = 29) -> np.ndarray:
@@ -255,7 +274,7 @@ def _classes(docs: DataFrame, key: str, text: str, n: int = 5, threshold: float
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
         for batch in slices(batches):
-            found = [shingles(t) for t in batch.column("body").to_pylist()]
+            found = [shingles(t) for t in batch.column("body").cast(pa.binary()).to_pylist()]
             signed = pa.array([paths(s, seeds) if len(s) else None for s in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), signed, pa.array(map(len, found), pa.int64())], names=["key", "id", "paths", "size"])
 
@@ -277,7 +296,7 @@ def _classes(docs: DataFrame, key: str, text: str, n: int = 5, threshold: float
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
         for batch in slices(batches):
-            found = pa.array([shingles(t).view(np.int64) for t in batch.column("body").to_pylist()], pa.list_(pa.int64()))
+            found = pa.array([shingles(t).view(np.int64) for t in batch.column("body").cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "trees", "hubs")), found], names=["id", "trees", "hubs", "shingles"])
 
     sets = bodies.mapInArrow(cut, "id binary, trees array<int>, hubs array<bigint>, shingles array<bigint>")
