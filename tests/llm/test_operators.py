@@ -290,6 +290,35 @@ def test_mix(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [(1, None, "a")])).first()["taken"] == 0
 
 
+def test_longer_documents_are_likelier_and_the_odds_change_the_order(spark):
+    rows = [(i, " ".join(prose(i, 20 if i % 2 else 900)), "a") for i in range(1200)] + [(5000 + i, " ".join(prose(i, 300)), "b") for i in range(2500)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    a = [r for r in got if r["source_size"] == got[0]["source_size"]] if got[0]["doc_id"] < 5000 else [r for r in got if r["doc_id"] < 5000]
+    b = [r for r in got if r["doc_id"] >= 5000]
+    side = b if any(r["target"] / r["source_size"] % 1 for r in b) else a
+    assert abs(sum(r["taken"] for r in side) - side[0]["target"]) <= 450
+    rows = [(i, " ".join(["w"] * (20 if i % 2 else 900)), s) for i in range(2000) for s in ("a", "b", "c")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("target % source_size > 0")
+    mean = {r["size"]: r["m"] for r in got.groupBy("size").agg(F.avg(F.col("copies") - F.floor(F.col("target") / F.col("source_size"))).alias("m")).collect()}
+    assert mean[900] > mean[20] + 0.03 > 0.03  # the short ones' share is lower, though the draw is alike
+    by = got.groupBy("target").agg(F.sum("taken").alias("t")).collect()
+    assert by and all(abs(r["t"] - r["target"]) <= 450 for r in by)
+
+
+def test_repeated_rows_do_not_miss_the_target(spark):
+    """A third of a source is one document, given again and again: some of the rows go in, some don't."""
+    one = " ".join(prose(1, 40))
+    rows = [(7, one, "a")] * 400 + [(100 + i, " ".join(prose(i, 30)), "a") for i in range(40)] + [(1000 + i, " ".join(prose(i, 50)), "b") for i in range(900)] + [(None, one, "c")] * 90
+    df = docs(spark, rows).repartition(7)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    for s in {r["source_size"] for r in got}:
+        own = [r for r in got if r["source_size"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 25
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.coalesce(2)).collect()))
+    assert mixing.mixed(df).count() == sum(r["copies"] for r in got)
+
+
 # --- language
 
 
