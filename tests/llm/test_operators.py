@@ -449,6 +449,9 @@ def test_nearest(spark):
         hit += len(set(best) & {i for i, _ in got[q].values()})
     assert len(got) == 60 and hit / 300 >= 0.9
     assert [got[100][k][0] for k in range(1, 6)] == [101, 102, 103, 104, 105]
+    clash = df.select("vec_id", "embedding", *(F.lit(1).alias(c) for c in ("id", "v", "prefix", "pivot", "block", "asks", "copy", "score")))
+    again = permutation_index.nearest(clash, F.col("vec_id") % 50 == 0)
+    assert again.columns == ["query_id", "rank", "vec_id", "score"] and again.count() == 300
     few = permutation_index.nearest(df.filter("vec_id in (0, 1, 2, 5000)"), F.col("vec_id") == 0)
     assert few.count() == 2 and permutation_index.nearest(df.limit(0), F.lit(True)).count() == 0
 
