@@ -1,11 +1,14 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to one line per block element. A line's weight is its text length, 0 for text in
-menus, headers, footers, adverts and the like, and 0 for lines that are mostly link text; where the
-page jumps over such a part, empty lines stand in for it. The weights of `window` lines from each line
-on are summed. A surge point is where that sum rises over the threshold and the lines after it have
-text; the dive point is where it falls to nothing. The lines between the two are the text, and with
-them what else stands in the same container, on both sides of skipped parts.
+Markup is stripped to one line per block element. A line's weight is its text length: more in an article
+or main part, 0 for lines that are mostly link text. Menus, headers, footers and the like hold no lines;
+where the page jumps over such a part, empty lines stand in for it. The weights of `window` lines from
+each line on are summed. A surge point is where that sum rises over the threshold and its first line has
+text; the dive point is where it falls to nothing. The lines between the two are the text, and with them
+what else stands in the same container, on both sides of skipped parts.
+
+A class name can tell of furniture or of a layout. A part that is skipped for its class comes back if
+without it no text is left, or if it holds several times the text of all the rest.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import short_batches, slices, text_column
 
 # fixed values: element and attribute names of HTML
-RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "object", "svg", "canvas", "select", "math")
+RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "object", "svg", "canvas", "select")
 SKIPPED = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "head", "fieldset"}
 BLOCKS = set("address article aside blockquote body center dd details dir div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 #: Elements that the next of their kind ends; a paragraph ends at any block.
@@ -33,11 +36,12 @@ PROSE = HEADINGS | {"p", "blockquote", "pre", "dd", "dt"}
 ADVERTS = set("ad ads adv advert adverts advertisement advertising adsense adslot promo promos promotion promoted sponsor sponsored sponsors newsletter subscribe subscription signup share sharing social related recommended recommendations".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "note"}
+COMMENTS = set("comment comments commentlist replies reply respond disqus discussion".split())
 NAMES = set(
     "toc ad ads adv advert adverts advertisement advertising adsense adslot banner banners breadcrumb breadcrumbs comment comments commentlist replies reply respond disqus discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup promo promos promotion promoted sponsor sponsored sponsors share sharing social related recommended recommendations nav navbar navigation menu menubar topbar toolbar sidebar sidebars side rail widget widgets footer foot footnav header masthead copyright login search pagination pager skip hidden".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|[^<>]*(?:>|\Z))|</?\Z", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[^a-z0-9]+")
 #: What a class says that a part has or lacks is not what the part is.
@@ -59,31 +63,47 @@ class Line:
     text: str = ""
 
 
-def _boilerplate(name: str, attributes: str) -> bool:
+#: Why a part is skipped: for what it is, for a class name that adverts or comments bear, for another class name.
+IS, BEARS, NAMED = 3, 2, 1
+#: A line of an article or main part weighs so many times its length.
+MARKED = 4
+#: A named part with so many times the text of the rest is no furniture.
+MOST = 4
+
+
+def _boilerplate(name: str, attributes: str) -> int:
     if name in SKIPPED:
-        return True
+        return IS
     if not attributes or name in ("html", "body", "article", "main", "a", "p", "span", "b", "i", "em", "strong") and "hidden" not in attributes and "class" not in attributes and "role" not in attributes and "id" not in attributes:
-        return False
+        return 0
+    named = 0
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return IS
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return IS
         if key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "main") and NAMES.intersection(_NAME.split(_STATE.sub(" ", value))):
-            return True
-    return False
+            return IS
+        if key in ("class", "id") and name not in ("html", "body", "main"):
+            words = NAMES.intersection(_NAME.split(_STATE.sub(" ", value)))
+            if words:
+                named = max(named, BEARS if words & (COMMENTS if name == "article" else ADVERTS | COMMENTS) else NAMED)
+    return named
 
 
-def lines(page: str) -> list[Line]:
-    """The page's blocks with text outside skipped parts."""
+def lines(page: str, pardoned: frozenset[int] = frozenset()) -> tuple[list[Line], dict[int, tuple[int, int]]]:
+    """The page's blocks with text outside skipped parts; and of each part skipped for its class: its place, why, and how much text it holds outside links and parts in it.
+
+    pardoned: places of parts that are not skipped.
+    """
     out: list[Line] = []
+    named: dict[int, tuple[int, int]] = {}
+    inner = 0  # depth of skipped parts in the skipped part
     now = Line(0, False)
     parts: list[tuple[str, int, int]] = []
     boxes: list[tuple[str, int]] = []
-    skipping, depth, links, count, at, stretch = "", 0, 0, 0, 0, 0
+    skipping, depth, links, count, at, stretch, place = "", 0, 0, 0, 0, 0, -1
 
     def close(gap: bool = False) -> None:
         nonlocal now
@@ -97,7 +117,11 @@ def lines(page: str) -> list[Line]:
         now = Line(part, gap, home, boxes[-1][1] if boxes else stretch)
 
     def add(raw: str) -> None:
-        if raw and not skipping:
+        if skipping:
+            if place in named and not inner and not links:
+                why, held = named[place]
+                named[place] = why, held + len(raw.strip())
+        elif raw:
             text = html.unescape(raw)
             now.texts.append(text)
             if links:
@@ -112,14 +136,18 @@ def lines(page: str) -> list[Line]:
         at = m.end()
         if not m[2]:
             continue
-        closing, name = bool(m[1]), m[2].lower()
+        closing, name, attributes = bool(m[1]), m[2].lower(), m[3].removesuffix(">")
         if name in RAW:
-            if not closing and not (m[3] or "").endswith("/"):
+            if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
         if skipping:
-            if not closing and name in ("article", "main") and not _boilerplate(name, m[3]) and skipping not in ("aside", "article", "main"):
+            if name == "a":
+                links = 0 if closing else 1
+            elif name not in VOID and name != skipping and (inner or not closing and _boilerplate(name, attributes)) and name in BLOCKS:
+                inner = max(0, inner + (-1 if closing else 1))
+            if not closing and name in ("article", "main") and not _boilerplate(name, attributes) and skipping not in ("aside", "article", "main"):
                 skipping = ""  # a part that was never closed ends where the article begins
             elif skipping in IMPLIED and (not closing and name == skipping or skipping == "p" and name != "p" and name in BLOCKS):
                 skipping = ""
@@ -132,12 +160,15 @@ def lines(page: str) -> list[Line]:
                 continue
             else:
                 continue
-        if not closing and name not in VOID and _boilerplate(name, m[3]):
-            if not boxes and name != "aside" and not ADVERTS.intersection(_NAME.split(m[3].lower())):
+        why = 0 if closing or name in VOID or m.start() in pardoned else _boilerplate(name, attributes)
+        if why:
+            if not boxes and name != "aside" and not ADVERTS.intersection(_NAME.split(attributes.lower())):
                 close(True)
                 stretch -= 1
             close(True)
-            skipping, depth = name, 1
+            skipping, depth, inner, links, place = name, 1, 0, 0, m.start()
+            if why < IS:
+                named[place] = why, 0
             continue
         if name == "a":
             links = 0 if closing else 1
@@ -165,53 +196,43 @@ def lines(page: str) -> list[Line]:
                 close()
             now.tag = "" if closing else name
     close()
-    return out
+    return out, named
 
 
-def main_text(page: str, window: int = 3, surge_chars: int = 80, link_share: float = 0.5) -> str:
-    """The page's main text, blocks joined by newlines; empty if there is none.
+def between(weights: list[int], window: int, surge: int) -> set[int]:
+    """Places of the lines with weight from each surge point to the dive point after it."""
+    sums = [sum(weights[k : k + window]) for k in range(len(weights))]
+    kept: set[int] = set()
+    inside = False
+    for k, w in enumerate(weights):
+        inside = sums[k] > 0 and (inside or (w > 0 and sums[k] >= surge))
+        if inside and w:
+            kept.add(k)
+    return kept
 
-    If the page marks an article or a main part, the one with the most text is it, with the parts in
-    it, those beside it and the headings of their container: lines elsewhere weigh nothing, and any
-    text in it is a surge. Otherwise a run of lines must reach `surge_chars`; if none does, the
-    container with the most text is taken. Lists of links count only between other lines.
-    """
-    found = lines(page)
-    sizes: dict[int, int] = {}
-    homes: dict[int, int] = {}
-    for line in found:
-        sizes[line.part] = sizes.get(line.part, 0) + line.length
-        homes[line.part] = line.home
-    marked = [p for p in sizes if p]
-    if marked:
-        home = homes[max(marked, key=lambda p: (sizes[p], -p))]
-        return "\n".join(line.text for line in found if (line.part and line.home == home) or (not line.part and line.box == home and line.tag in HEADINGS))
+
+def choose(found: list[Line], window: int, surge_chars: int, link_share: float) -> list[Line]:
+    """The lines of the main text. See main_text."""
     weights: list[int] = []
     owners: list[int] = []
     for k, line in enumerate(found):
         if line.gap:
             weights += [0] * window
             owners += [-1] * window
-        weights.append(line.length if line.linked <= link_share * line.length else 0)
+        weights.append(line.length * (MARKED if line.part else 1) if line.linked <= link_share * line.length else 0)
         owners.append(k)
-    weights += [0] * window
-    owners += [-1] * window
-    sums = [sum(weights[k : k + window]) for k in range(len(weights))]
-    kept: set[int] = set()
-    k = 0
-    while k < len(weights):
-        if weights[k] and sums[k] >= surge_chars:
-            while k < len(weights) and sums[k] > 0:
-                if weights[k]:
-                    kept.add(owners[k])
-                k += 1
-        else:
-            k += 1
+    surging = {owners[k] for k in between(weights, window, surge_chars)}
     plain = {owners[k] for k in range(len(weights)) if weights[k]}
+    of_home: dict[int, int] = {}
     of_box: dict[int, int] = {}
-    for k in sorted(kept or plain):
-        of_box[found[k].box] = of_box.get(found[k].box, 0) + found[k].length
-    held = {b for b, n in of_box.items() if n >= surge_chars} if kept else set(sorted(of_box, key=lambda b: -of_box[b])[:1])
+    for k in sorted(surging or plain):
+        of, at = (of_home, found[k].home) if found[k].part else (of_box, found[k].box)
+        of[at] = of.get(at, 0) + found[k].length
+    if of_home and (surging or MARKED * max(of_home.values()) >= max([*of_box.values(), 0])):
+        home = max(of_home, key=lambda h: (of_home[h], -h))
+        return [line for line in found if (line.part and line.home == home) or (not line.part and line.box == home and line.tag in HEADINGS)]
+    held = {b for b, n in of_box.items() if n >= surge_chars} if surging else set(sorted(of_box, key=lambda b: -of_box[b])[:1])
+    kept = set(surging)
     ends: dict[int, list[int]] = {}
     for k, line in enumerate(found):
         if line.box in held and (k in plain or line.tag in PROSE):
@@ -220,14 +241,39 @@ def main_text(page: str, window: int = 3, surge_chars: int = 80, link_share: flo
     for k, line in enumerate(found):
         if line.box in ends and ends[line.box][0] < k < ends[line.box][1]:
             kept.add(k)
-    return "\n".join(found[k].text for k in sorted(kept))
+    return [found[k] for k in sorted(kept)]
+
+
+def main_text(page: str, window: int = 3, surge_chars: int = 80, link_share: float = 0.5) -> str:
+    """The page's main text, blocks joined by newlines; empty if there is none.
+
+    Runs of lines must reach `surge_chars` within `window` lines; lines of an article or main part weigh
+    MARKED times their length. If such lines surge, the text is the container of parts in which most
+    surges, with the headings beside them: lines elsewhere are not its text. Otherwise it is the
+    containers of the runs, or, if nothing surges, the container with the most text. Lists of links
+    count only between other lines. A part skipped for its class is tried, the one with the most text
+    first, if nothing else is left or if its text outweighs the rest MOST times; for the words of
+    adverts and comments only the first holds.
+    """
+    pardoned: frozenset[int] = frozenset()
+    found, named = lines(page)
+    while True:
+        kept = choose(found, window, surge_chars, link_share)
+        rest = sum(line.length for line in found)
+        rivals = [(held, -at) for at, (why, held) in named.items() if held and (not kept or (why == NAMED and held >= MOST * rest))]
+        if not rivals:
+            return "\n".join(line.text for line in kept)
+        pardoned |= {-max(rivals)[1]}
+        found, named = lines(page, pardoned)
 
 
 def extract(pages: DataFrame, page: str = "html", keep: list[str] | None = None, window: int = 3, surge_chars: int = 80) -> DataFrame:
     """Kept columns (default page_id and url) with text string and n_chars long, of each whole page.
 
     A null or empty page has the empty text. Truncated pages, unclosed and crossing elements are read
-    as far as they go. Each page is read on its own; nothing is shuffled.
+    as far as they go; a tag that the page's end cuts is no text. A very long page is read whole.
+    Repeated rows are answered each, an empty table gives no rows. Each page is read on its own;
+    nothing is shuffled.
     """
     short_batches(pages.sparkSession)
     keep = ["page_id", "url"] if keep is None else keep

@@ -209,6 +209,60 @@ def test_a_class_that_tells_what_a_part_has_skips_nothing():
     assert html_text.main_text("<body><article><p>Text.</p><div class='ad has-image'>Buy</div></article></body>") == "Text."
 
 
+def test_a_class_word_never_erases_a_page():
+    long = [" ".join(prose(i, 30)) for i in range(3)]
+    inner = "".join(f"<p>{x}</p>" for x in long)
+    for wrap in ("div id='layout-with-sidebar'", "div class='content widget-area-right'", "article class='post share-enabled'", "section class='search-results-explained'", "div class='comments-on'"):
+        for rest in ("", "<nav>x</nav><footer>y</footer>", "<p>Copyright and so on and on and on</p>" if "comments" not in wrap else ""):
+            page = f"<body><{wrap}><div class='ad'>Buy</div>{inner}</{wrap.split()[0]}>{rest}</body>"
+            assert html_text.main_text(page).startswith("\n".join(long)), page
+    comments = f"<section class='comments'>{inner * 4}</section>"
+    assert html_text.main_text(f"<body><div><p>{long[0]}</p></div>{comments}</body>") == long[0]
+    assert html_text.main_text(f"<body><article><h1>Head</h1><p>Short.</p></article>{comments}<div class='sidebar'><p>Side</p></div></body>") == "Head\nShort."
+
+
+def test_cut_tags_and_open_quotes_are_no_text():
+    for end in ("<", "</", "</p", '<div class="fo', "<img src='a b", "<!-- x", "<a href=x"):
+        assert html_text.main_text(f"<body><article><p>One.</p>{end}") == "One."
+    assert html_text.main_text('<body><article><p>One. <a href="x>two</a></p></article>') == "One. two"
+    assert html_text.main_text("<article><p>So <math><mi>x</mi> = 1</math> holds, 2 < 3 &lt; 4.</p></article>") == "So x = 1 holds, 2 < 3 < 4."
+
+
+def brute_between(weights, window, surge):
+    """Every pair of surge and dive point, by its definition."""
+    total = lambda k: sum(weights[k : k + window])
+    out = set()
+    for a in range(len(weights)):
+        if weights[a] and total(a) >= surge:
+            for b in range(a, len(weights)):
+                if total(b) == 0:
+                    break
+                out |= {b} if weights[b] else set()
+    return out
+
+
+def test_surges_and_dives():
+    r = random.Random(5)
+    for _ in range(3000):
+        weights = [r.choice([0, 0, 0, r.randrange(60), r.randrange(200)]) for _ in range(r.randrange(30))]
+        window, surge = r.randrange(1, 5), r.randrange(1, 200)
+        assert html_text.between(weights, window, surge) == brute_between(weights, window, surge)
+
+
+def test_what_surges_decides():
+    """Article elements that hold no text to speak of don't win over the text beside them."""
+    long = " ".join(prose(1, 60))
+    cards = "".join(f"<article><h2><a href='/{i}'>Read {i}</a></h2></article>" for i in range(6))
+    assert html_text.main_text(f"<body><div>{cards}</div><div><p>{long}</p></div></body>") == long
+    assert html_text.main_text(f"<body><div><p>{long}</p></div><article><p>{long} x</p></article></body>") == f"{long} x"
+
+
+def test_a_very_long_page():
+    paragraphs = [" ".join(prose(i, 20)) for i in range(5000)]
+    page = "<body><nav>x</nav><article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article></body>"
+    assert html_text.main_text(page) == "\n".join(paragraphs)
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, "u", None), (3, None, ""), (3, None, "")], "page_id long, url string, html string")
     got = html_text.extract(pages.withColumn("text", F.lit("clash"))).collect()
