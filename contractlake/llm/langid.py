@@ -2,8 +2,8 @@
 
 A language's dictionary is raw text: excerpts of labelled documents of that language. A text is cut
 into blocks, each block is compressed with the dictionary of every language, and the language with
-the fewest bytes in total is chosen. Both are put in lower case before. Blocks keep a long text from becoming its own dictionary, so
-all of a text counts alike.
+the fewest bytes in total is chosen. Both are put in lower case before. Blocks keep a long text from
+becoming its own dictionary, so all of a text counts alike.
 """
 
 from __future__ import annotations
@@ -21,14 +21,16 @@ from .common import short_batches, slices, text_column
 def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", excerpts: int = 96, excerpt_chars: int = 2000) -> dict[str, bytes]:
     """Each language's dictionary, from the rows for which `train` holds.
 
-    The sample is bounded: at most `excerpts` excerpts of `excerpt_chars` characters a language, the
-    rows with the least key hash in each of as many hash buckets. A language that has one usable row
+    The sample is bounded: at most `excerpts` excerpts of `excerpt_chars` characters a language, from the
+    rows with the least key hash in each of as many hash buckets. Where in its text an excerpt begins is
+    drawn by another hash, over the whole text. A language that has one usable row
     is learned. Rows without a language or without a letter teach nothing.
     """
-    rows = docs.filter(train & docs[lang].isNotNull() & text_column(docs[text]).rlike(r"\p{L}")).select(docs[lang].alias("lang"), docs[text].alias("text"), F.xxhash64(docs[key], F.lit(11)).alias("h"))
+    rows = docs.filter(train & docs[lang].isNotNull() & text_column(docs[text]).rlike(r"\p{L}")).select(docs[lang].alias("lang"), docs[text].alias("text"), F.xxhash64(docs[key], F.lit(11)).alias("h"), F.xxhash64(docs[key], F.lit(12)).alias("place"))
     least = rows.groupBy("lang", F.pmod("h", F.lit(excerpts)).alias("bucket")).agg(F.min("h").alias("h"))
     # at most `excerpts` hashes a language
-    chosen = rows.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).select("lang", "h", F.substring("text", 1, excerpt_chars).alias("text"))
+    start = F.pmod("place", F.greatest(F.length("text") - excerpt_chars + 1, F.lit(1))).cast("int") + 1
+    chosen = rows.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).select("lang", "h", F.substring("text", start, F.lit(excerpt_chars)).alias("text"))
     got = chosen.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     found: dict[str, list[tuple[int, str]]] = {}
     for r in got:
@@ -42,7 +44,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
     lang_pred is `und` for a text that is null or has no letter, or if no language was learned; its
     score and margin are 0. margin is the share of bytes that the chosen language saves against the
     next; accepted is false where it is below `min_margin`. Ties go to the first language by name.
-    score is 1 where the bytes leave no doubt and 1 / languages where all are equal.
+    score is 1 where the bytes leave no doubt and 1 / languages where all are equal. A text of any
+    length is compressed whole, repeated rows are answered each, an empty table gives no rows.
     """
     short_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep

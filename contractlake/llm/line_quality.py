@@ -40,13 +40,14 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50, repeat_percent: int = 50, line_limit: int = 20, keep_percent: int = 50) -> DataFrame:
-    """One row per document: key, the five counts long, base_failed, n_line_words, n_removed_words long, kept boolean.
+    """One row per document: key, the five counts long, base_failed, n_removed_words long, kept boolean.
 
     base_failed: fewer than `min_words` words, or more than `repeat_percent` % of them repeated. A line
     is removed if more than `line_limit` different texts of the host hold it; texts that are equal
     are one document here, so exact copies do not make a document's own lines boilerplate. A document
     that passed the base rules is kept if at least `keep_percent` % of its words remain. A null text
-    has no word and fails; a null host is a host of its own.
+    has no word and fails; a null host is a host of its own. A text of any length is read whole, an empty
+    table gives no rows.
     """
     short_batches(docs.sparkSession)
     rows = docs.select(docs[key].alias("key"), docs[host].alias("host"), text_column(docs[text]).alias("body"))

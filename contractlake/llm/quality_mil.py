@@ -136,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "qu
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Kept columns (default doc_id) with score double (0 to 1), predicted int (1 from `threshold` on), n_passages long and top_weight double (the largest attention weight).
 
-    All passages of every whole text count; a null text counts as empty, one passage of zeros.
+    All passages of every whole text count; a null text counts as empty, one passage of zeros. Repeated
+    rows are answered each, an empty table gives no rows.
     """
     short_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep

@@ -159,6 +159,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, text: str =
     """Kept columns (default doc_id) with score double (0 to 1) and predicted int (1 from `threshold` on).
 
     Every whole text is scored; a null text counts as empty and gets the machine's bias alone.
+    Repeated rows are answered each, an empty table gives no rows.
     """
     short_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
