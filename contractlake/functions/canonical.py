@@ -108,17 +108,19 @@ def _kind(value: Any) -> str:
     return {str: "string", list: "array", dict: "object"}[type(value)]
 
 
-def _walk(value: Any, pointer: str, key: str | None) -> Iterator[tuple[str, str | None, Any]]:
+def _walk(value: Any, pointer: str, key: str | None, arrays: bool) -> Iterator[tuple[str, str | None, Any]]:
     stack = [(value, pointer, key)]
     while stack:
         v, p, k = stack.pop()
         yield p, k, v
-        children = v.items() if isinstance(v, dict) else ((str(i), x) for i, x in enumerate(v)) if isinstance(v, list) else ()
+        children = v.items() if isinstance(v, dict) else ((str(i), x) for i, x in enumerate(v)) if arrays and isinstance(v, list) else ()
         stack += [(x, f"{p}/{c.replace('~', '~0').replace('/', '~1')}", c) for c, x in children]
 
 
-def walk_json(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per JSON node: key, pointer (RFC 6901; the root's is empty), name (of the member or index), kind, value (canonical, of leaves and whole arrays), error.
+def walk_json(docs: DataFrame, key: str, text: str, arrays: bool = True, objects: bool = False) -> DataFrame:
+    """One row per JSON node: key, pointer (RFC 6901; the root's is empty), name (of the member or index), kind, value (canonical, of leaves and whole arrays, and with objects of whole objects), error.
+
+    arrays: whether what stands in arrays has rows of its own.
 
     A text that is no strict JSON gives one row with its error.
     """
@@ -133,7 +135,7 @@ def walk_json(docs: DataFrame, key: str, text: str) -> DataFrame:
                 except ValueError as e:
                     out.append((k, "", None, None, None, str(e) if isinstance(e, _Refused) else "no JSON"))
                     continue
-                out += [(k, p, n, _kind(v), None if isinstance(v, dict) else canonical(v, "ascii"), None) for p, n, v in _walk(root, "", None)]
+                out += [(k, p, n, _kind(v), None if isinstance(v, dict) and not objects else canonical(v, "ascii"), None) for p, n, v in _walk(root, "", None, arrays)]
             yield pd.DataFrame(out, columns=["k", "pointer", "name", "kind", "value", "error"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -141,35 +143,46 @@ def walk_json(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def schema_paths(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per path of each JSON Schema: key, path (a.b member, a.* map value, a[] item), location, required, types, digest.
+    """A row per schema node of each JSON Schema: key, path (a.b member, a.* map value, a[] item; the root's is empty), location, required, types, digest.
 
-    Local references and allOf, anyOf, oneOf are followed; a reference that is being followed stops.
+    Nodes are objects and booleans. A local reference is a node itself; its target follows at the same
+    path, then what stands beside it. allOf, anyOf, oneOf are followed; a reference that is being
+    followed stops. A reference that leads nowhere ends there.
     """
     rows = docs.select(docs[key].alias("k"), docs[text].alias("t")).filter("t is not null")
 
+    def target(root: Any, ref: str) -> Any:
+        node = root
+        for part in ref[1:].lstrip("/").split("/") if ref != "#" else []:
+            name = part.replace("~1", "/").replace("~0", "~")
+            node = node.get(name) if isinstance(node, dict) else None
+        return node
+
+    def below(node: dict, path: str, location: str, required: bool) -> Iterator[tuple[Any, str, str, bool]]:
+        """The nodes of a node, with path, location and whether they are required."""
+        for word in ("allOf", "anyOf", "oneOf"):
+            branches = node.get(word)
+            yield from ((b, path, f"{location}/{word}/{i}", required) for i, b in enumerate(branches if isinstance(branches, list) else []))
+        need = node.get("required") if isinstance(node.get("required"), list) else []
+        members = node.get("properties")
+        for name, child in sorted(members.items()) if isinstance(members, dict) else []:
+            yield child, f"{path}.{name}" if path else name, f"{location}/properties/{name.replace('~', '~0').replace('/', '~1')}", name in need
+        if node.get("additionalProperties") is not False:
+            yield node.get("additionalProperties"), f"{path}.*" if path else "*", f"{location}/additionalProperties", False
+        yield node.get("items"), f"{path}[]", f"{location}/items", False
+
     def visit(root: Any, node: Any, path: str, location: str, required: bool, seen: tuple[str, ...], out: list) -> None:
-        if not isinstance(node, dict):
-            return
-        ref = node.get("$ref")
-        if isinstance(ref, str) and ref.startswith("#"):
-            if ref not in seen:
-                target = root
-                for part in ref.lstrip("#").strip("/").split("/") if ref != "#" else []:
-                    target = target.get(part.replace("~1", "/").replace("~0", "~"), {}) if isinstance(target, dict) else {}
-                visit(root, target, path, ref, required, (*seen, ref), out)
+        if not isinstance(node, (dict, bool)):
             return
-        kinds = node.get("type")
+        kinds = node.get("type") if isinstance(node, dict) else None
         kinds = sorted(kinds) if isinstance(kinds, list) else [kinds] if isinstance(kinds, str) else []
-        if path:
-            out.append((path, location, required, kinds, hashlib.sha256(canonical(node, "utf8").encode()).hexdigest()))
-        need = node.get("required") if isinstance(node.get("required"), list) else []
-        for name, child in sorted((node.get("properties") or {}).items()):
-            visit(root, child, f"{path}.{name}" if path else name, f"{location}/properties/{name}", name in need, seen, out)
-        visit(root, node.get("additionalProperties"), f"{path}.*" if path else "*", f"{location}/additionalProperties", False, seen, out)
-        visit(root, node.get("items"), f"{path}[]", f"{location}/items", False, seen, out)
-        for word in ("allOf", "anyOf", "oneOf"):
-            for i, child in enumerate(node.get(word) or []):
-                visit(root, child, path, f"{location}/{word}/{i}", required, seen, out)
+        out.append((path, location, required, kinds, hashlib.sha256(canonical(node, "utf8").encode()).hexdigest()))
+        if isinstance(node, dict):
+            ref = node.get("$ref")
+            if isinstance(ref, str) and ref.startswith("#") and ref not in seen:
+                visit(root, target(root, ref), path, ref, required, (*seen, ref), out)
+            for child, p, at, need in below(node, path, location, required):
+                visit(root, child, p, at, need, seen, out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -180,7 +193,7 @@ def schema_paths(docs: DataFrame, key: str, text: str) -> DataFrame:
                     root = parse(t)
                 except ValueError:
                     continue
-                visit(root, root, "", "#", False, (), found)
+                visit(root, root, "", "#", True, (), found)
                 out += [(k, *f) for f in found]
             yield pd.DataFrame(out, columns=["k", "path", "location", "required", "types", "digest"])
 

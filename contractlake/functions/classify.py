@@ -124,15 +124,26 @@ def condition_predicate(condition: Column) -> Column:
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
+def _after_call(text: Column) -> Column:
+    """What follows the parenthesis that matches the first character, an opening one; null if none does."""
+    step = lambda s, c: F.struct((s["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("depth"), (s["at"] + 1).alias("at"), F.when(s["end"] > 0, s["end"]).when((c == ")") & (s["depth"] == 1), s["at"] + 1).otherwise(0).alias("end"))
+    end = F.aggregate(F.split(text, ""), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end")), step)["end"]
+    return F.when(end > 0, F.substring(text, end + 1, F.length(text)))
+
+
 def emission_kind(expression: Column, gates: Column, locals_: Column) -> Column:
     """struct(kind, gate, machine_evaluable) of a field's value expression, white space squeezed out.
 
     gates, locals_: arrays of the known gate and local names.
     """
     e = F.regexp_replace(F.trim(expression), r"\s+", "")
-    gate = F.regexp_extract(e, rf"^({_NAME})\.then_some\(.*\)(?:\.flatten\(\))?$", 1)
-    gated = gate != ""
-    option = e.endswith(".flatten()")
+    # parentheses in string and character literals don't count
+    bare = F.regexp_replace(F.regexp_replace(e, r'"(?:[^"\\]|\\.)*"', '""'), r"'(?:[^'\\]|\\.)'", "''")
+    called = F.regexp_extract(bare, rf"^{_NAME}\.then_some(\(.*)$", 1)
+    after = _after_call(called)
+    gated = (called != "") & after.isin("", ".flatten()")
+    gate = F.when(gated, F.regexp_extract(e, rf"^({_NAME})\.", 1))
+    option = after == ".flatten()"
 
     def made(kind: str, evaluable: Column | bool = True, of: Column | None = None) -> Column:
         return F.struct(F.lit(kind).alias("kind"), (of if of is not None else F.lit(None).cast("string")).alias("gate"), (evaluable if isinstance(evaluable, Column) else F.lit(evaluable)).alias("machine_evaluable"))

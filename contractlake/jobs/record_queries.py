@@ -66,13 +66,13 @@ def j12(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "j13_build_env_map",
-    """SELECT event_id, list_sort(list_filter([CASE WHEN event_id % 3 = 0 OR event_id % 3 = 1 THEN 'PATH' END, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'API_KEY' END, CASE WHEN event_id % 3 = 0 THEN 'LANG' END, 'EXTRA', CASE WHEN event_id % 5 = 0 THEN 'THREAD_ID' END], lambda x: x IS NOT NULL)) AS names FROM events""",
+    """SELECT event_id, list_sort(list_filter([CASE WHEN event_id % 3 = 0 OR event_id % 3 = 1 THEN 'PATH' END, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'API_KEY' END, CASE WHEN event_id % 3 = 0 THEN 'LANG' END, CASE WHEN event_id % 3 = 0 THEN 'AXB' END, 'EXTRA', CASE WHEN event_id % 5 = 0 THEN 'THREAD_ID' END], lambda x: x IS NOT NULL)) AS names FROM events""",
 )
 def j13(spark: SparkSession, sf: str) -> DataFrame:
     s = F.lit
-    parent = F.create_map(s("PATH"), s("/bin"), s("API_KEY"), s("k"), s("LANG"), s("C"), s("TMPDIR"), s("/t"), s("NOISE"), s("n"))
+    parent = F.create_map(s("PATH"), s("/bin"), s("API_KEY"), s("k"), s("LANG"), s("C"), s("TMPDIR"), s("/t"), s("NOISE"), s("n"), s("A.B"), s("1"), s("AXB"), s("2"))
     inherit = F.when(_k() % 3 == 0, "all").when(_k() % 3 == 1, "core").otherwise("none")
-    env = records.env_map(parent, inherit, _k() % 2 == 0, F.array(s("tmp*")), F.create_map(s("EXTRA"), s("1"), s("NOISE"), s("2")), F.array().cast("array<string>"), F.when(_k() % 5 == 0, F.col("user_id").cast("string")), ("PATH",), ("NOISE",))
+    env = records.env_map(parent, inherit, _k() % 2 == 0, F.array(s("tmp*"), s("a.b")), F.create_map(s("EXTRA"), s("1"), s("NOISE"), s("2")), F.array().cast("array<string>"), F.when(_k() % 5 == 0, F.col("user_id").cast("string")), ("PATH",), ("NOISE",))
     return table(spark, sf, "events").select("event_id", F.array_sort(F.map_keys(env)).alias("names"))
 
 
@@ -109,8 +109,9 @@ def w10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "k24_fork_history",
-    """WITH i AS (SELECT o_custkey AS rollout, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ordinal, o_orderkey AS item FROM orders), f AS (SELECT c_custkey AS rollout, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey // 2 END AS base, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 7 END AS cut FROM customer)
-SELECT f.rollout, 0 AS part, ordinal, item FROM f JOIN i ON i.rollout = f.base WHERE cut IS NULL OR ordinal < cut UNION ALL SELECT f.rollout, 1, ordinal, item FROM f JOIN i ON i.rollout = f.rollout""",
+    """WITH RECURSIVE i AS (SELECT o_custkey AS rollout, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ordinal, o_orderkey AS item FROM orders), f AS (SELECT c_custkey AS rollout, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey // 2 END AS base, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 7 END AS cut FROM customer),
+c AS (SELECT rollout, base AS node, 1 AS hops, cut FROM f WHERE base IS NOT NULL UNION ALL SELECT c.rollout, f.base, c.hops + 1, CASE WHEN c.cut IS NULL OR f.cut < c.cut THEN f.cut ELSE c.cut END FROM c JOIN f ON f.rollout = c.node WHERE f.base IS NOT NULL)
+SELECT c.rollout, hops, ordinal, item FROM c JOIN i ON i.rollout = c.node WHERE cut IS NULL OR ordinal < cut UNION ALL SELECT f.rollout, 0, ordinal, item FROM f JOIN i ON i.rollout = f.rollout""",
 )
 def k24(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
@@ -263,7 +264,7 @@ def g2(spark: SparkSession, sf: str) -> DataFrame:
 @query("g3_rollout_ancestors", f"WITH RECURSIVE {_THREADS}, r AS (SELECT n AS start, n AS node, 0 AS hops FROM t UNION ALL SELECT r.start, t.p, r.hops + 1 FROM r JOIN t ON t.n = r.node WHERE t.p IS NOT NULL) SELECT start, node, hops FROM r")
 def g3(spark: SparkSession, sf: str) -> DataFrame:
     t = _threads(spark, sf)
-    return lineage.closure(t.filter("parent is not null").select(F.col("thread").alias("from_id"), F.col("parent").alias("to_id")), t.select(F.col("thread").alias("id")), most_hops=64)
+    return lineage.closure(t.filter("parent is not null").select(F.col("thread").alias("from_id"), F.col("parent").alias("to_id")), t.select(F.col("thread").alias("id")))
 
 
 @query("g4_delete_safety", f"WITH {_THREADS}, d AS (SELECT n % 10 AS set_id, n AS rollout FROM t WHERE n % 30 < 12), i AS (SELECT DISTINCT d.set_id, t.n AS rollout FROM t JOIN d ON t.p = d.rollout), o AS (SELECT set_id, list_sort(list(rollout)) AS b FROM i WHERE (set_id, rollout) NOT IN (SELECT set_id, rollout FROM d) GROUP BY 1) SELECT s.set_id, coalesce(b, []) AS blockers, b IS NULL AS safe FROM (SELECT DISTINCT set_id FROM d) s LEFT JOIN o USING (set_id)")
@@ -319,17 +320,24 @@ def j6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "k7_entity_leaf_diff",
-    """WITH b AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_custkey AS c FROM orders WHERE o_orderkey % 9 <> 0), a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 = 0 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey + 1 ELSE o_custkey END AS c FROM orders WHERE o_orderkey % 10 <> 0),
-l AS (SELECT coalesce(b.k, a.k) AS k, u.* FROM b FULL JOIN a ON a.k = b.k, unnest([{'p': '/s', 'b': '"' || b.s || '"', 'a': '"' || a.s || '"'}, {'p': '/c', 'b': b.c::VARCHAR, 'a': a.c::VARCHAR}]) x(u))
-SELECT k AS entity, p AS pointer, b AS before, a AS after FROM l WHERE a IS DISTINCT FROM b""",
+    """WITH v AS (SELECT o_orderkey AS k, o_orderkey % 9 <> 0 AS hb, o_orderkey % 10 <> 0 AS ha, '"' || o_orderstatus || '"' AS s1, CASE WHEN o_orderkey % 6 = 0 THEN '"X"' ELSE '"' || o_orderstatus || '"' END AS s2, o_custkey AS c1, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey + 1 ELSE o_custkey END AS c2,
+  '{"x":' || o_custkey || '}' AS m1, CASE WHEN o_orderkey % 5 = 0 THEN '1' WHEN o_orderkey % 7 = 0 THEN '{"x":[]}' ELSE '{"x":' || o_custkey || '}' END AS m2, o_orderkey % 8 = 0 AS e FROM orders),
+t AS (SELECT *, CASE WHEN hb THEN '{"c":' || c1 || ',"m":' || m1 || ',"s":' || s1 || '}' END AS b, CASE WHEN ha THEN '{"c":' || c2 || CASE WHEN e THEN ',"e":{}' ELSE '' END || ',"m":' || m2 || ',"s":' || s2 || '}' END AS a FROM v)
+SELECT k AS entity, '' AS pointer, b AS before, a AS after FROM t WHERE hb <> ha UNION ALL SELECT k, '/s', s1, s2 FROM t WHERE hb AND ha AND s1 <> s2 UNION ALL SELECT k, '/c', c1::VARCHAR, c2::VARCHAR FROM t WHERE hb AND ha AND c1 <> c2
+UNION ALL SELECT k, '/e', NULL, '{}' FROM t WHERE hb AND ha AND e UNION ALL SELECT k, '/m', m1, '1' FROM t WHERE hb AND ha AND m2 = '1' UNION ALL SELECT k, '/m/x', c1::VARCHAR, '[]' FROM t WHERE hb AND ha AND m2 = '{"x":[]}'""",
 )
 def k7(spark: SparkSession, sf: str) -> DataFrame:
     from contractlake.operators.timelines import entity_diff
 
-    k = F.col("o_orderkey")
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
     o = table(spark, sf, "orders")
-    before = o.filter(k % 9 != 0).select(k.alias("entity"), F.to_json(F.struct(F.col("o_orderstatus").alias("s"), F.col("o_custkey").alias("c"))).alias("json"))
-    after = o.filter(k % 10 != 0).select(k.alias("entity"), F.to_json(F.struct(F.when(k % 6 == 0, "X").otherwise(F.col("o_orderstatus")).alias("s"), F.when(k % 4 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("c"))).alias("json"))
+    plain = F.concat(F.lit('{"x":'), c, F.lit("}"))
+    m = F.when(k % 5 == 0, "1").when(k % 7 == 0, '{"x":[]}').otherwise(plain)
+    status = F.when(k % 6 == 0, "X").otherwise(F.col("o_orderstatus"))
+    c2 = F.when(k % 4 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).cast("string")
+    text = lambda c, e, m, s: F.concat(F.lit('{"s":"'), s, F.lit('","m":'), m, F.lit(',"c":'), c, e, F.lit("}")).alias("json")
+    before = o.filter(k % 9 != 0).select(k.alias("entity"), text(c, F.lit(""), plain, F.col("o_orderstatus")))
+    after = o.filter(k % 10 != 0).select(k.alias("entity"), text(c2, F.when(k % 8 == 0, ',"e":{}').otherwise(""), m, status))
     return entity_diff(before, after, "entity", "json")
 
 

@@ -93,9 +93,10 @@ def a9(spark: SparkSession, sf: str) -> DataFrame:
     return rollups.merge_schema_paths(rows, ["report"])
 
 
-@query("a2_source_set_digest", "WITH f AS (SELECT source AS snapshot, 'f' || lpad(doc_id::VARCHAR, 9, '0') AS path, sha256(text) AS s FROM documents) SELECT snapshot, sha256(string_agg(path || chr(0) || s || chr(0), '' ORDER BY path, s)) AS set_sha256, count(*) AS files FROM f GROUP BY ALL")
+@query("a2_source_set_digest", "WITH f AS (SELECT doc_id // 160 AS snapshot, 'f' || lpad(doc_id::VARCHAR, 9, '0') AS path, coalesce(text, '') AS t FROM documents) SELECT snapshot, sha256(string_agg(path || chr(0) || t || chr(0), '' ORDER BY path)) AS set_sha256, count(*) AS files FROM f GROUP BY ALL")
 def a2(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "documents").select(F.col("source").alias("snapshot"), F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.sha2("text", 256).alias("sha256"))
+    """Sets of 160 files, as many as a snapshot has."""
+    files = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 160).alias("snapshot"), F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.col("text").alias("content"))
     return rollups.set_digest(files, ["snapshot"])
 
 

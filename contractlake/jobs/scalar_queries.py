@@ -102,16 +102,16 @@ def p10(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", C.condition_predicate(F.col("c")).alias("p")).select("event_id", "p.*")
 
 
-EXPRESSIONS = ["gate_a.then_some(self.x)", "gate_b.then_some(self.y).flatten()", "&self.extra", "non_empty_tags(&self.tags)", "self.name.as_deref()", "&self.kind", "local_value", "compaction", "weird(self)"]
+EXPRESSIONS = ["gate_a.then_some(self.x)", "gate_b.then_some(self.y).flatten()", "&self.extra", "non_empty_tags(&self.tags)", "self.name.as_deref()", "&self.kind", "local_value", "compaction", "weird(self)", "gate_a.then_some(x).unwrap_or(y)", 'gate_a.then_some(f("(", x))']
 _EXPRESSIONS_SQL = "[" + ", ".join(f"'{c}'" for c in EXPRESSIONS) + "]"
 
 
 @query(
     "p11_emission_kind",
-    f"""WITH e AS (SELECT o_orderkey, {_EXPRESSIONS_SQL}[o_orderkey % 9 + 1] AS e FROM orders)
-SELECT o_orderkey, CASE WHEN regexp_matches(e, '^\\w+\\.then_some\\(.*\\)\\.flatten\\(\\)$') THEN 'conditional_option_passthrough' WHEN regexp_matches(e, '^\\w+\\.then_some\\(.*\\)$') THEN 'conditional_value' WHEN e = '&self.extra' THEN 'flattened_extra'
+    f"""WITH e AS (SELECT o_orderkey, {_EXPRESSIONS_SQL}[o_orderkey % 11 + 1] AS e FROM orders)
+SELECT o_orderkey, CASE WHEN contains(e, 'unwrap_or') THEN 'unclassified' WHEN regexp_matches(e, '^\\w+\\.then_some\\(.*\\)\\.flatten\\(\\)$') THEN 'conditional_option_passthrough' WHEN regexp_matches(e, '^\\w+\\.then_some\\(.*\\)$') THEN 'conditional_value' WHEN e = '&self.extra' THEN 'flattened_extra'
   WHEN e LIKE 'non_empty%' THEN 'non_empty_projection' WHEN regexp_matches(e, '^self\\.\\w+\\.as_(deref|ref)\\(\\)$') THEN 'option_passthrough' WHEN regexp_matches(e, '^&?self\\.\\w+$') THEN 'value_passthrough' WHEN e IN ('local_value', 'compaction') THEN 'derived_local' ELSE 'unclassified' END AS kind,
-  CASE WHEN contains(e, 'then_some') THEN split_part(e, '.', 1) END AS gate, NOT (e LIKE 'gate_b%' OR e LIKE 'weird%') AS machine_evaluable FROM e""",
+  CASE WHEN contains(e, 'then_some') AND NOT contains(e, 'unwrap_or') THEN split_part(e, '.', 1) END AS gate, NOT (e LIKE 'gate_b%' OR e LIKE 'weird%' OR contains(e, 'unwrap_or')) AS machine_evaluable FROM e""",
 )
 def p11(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")

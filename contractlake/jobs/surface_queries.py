@@ -19,24 +19,36 @@ def _name(prefix: str, column):
 
 
 def _rust(spark: SparkSession, sf: str) -> DataFrame:
-    """A source text around each part's name."""
+    """A source text around each part's name: two constants, of which one's name begins the other's, headers, and a map that is none."""
     k = F.col("p_partkey")
+    n = lambda m: (k % m).cast("string")
     text = F.concat(
-        F.lit("pub mod "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(';\nconst H_'), (k % 40).cast("string"), F.lit(': &str = "x-head-'), (k % 40).cast("string"),
-        F.lit('";\nfn f() { h.insert("X-Lit-'), (k % 7).cast("string"), F.lit('", v); h.get(H_'), (k % 50).cast("string"), F.lit('); kind("response.'), F.lower("p_type"), F.lit('"); kind("session.done"); }\npub use PartClient;')
+        F.lit("pub mod "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(";\npub(crate) const H_"), n(40), F.lit('X: &str = "other";\n  const   H_'), n(40), F.lit(': &str = "x-head-'), n(40),
+        F.lit('";\nfn f() { headers.insert("X-Lit-'), n(7), F.lit('", v); map.insert("plain-key", 1); insert_header(req, "x-real-'), n(5), F.lit('"); response_headers.get(H_'), n(50), F.lit('); kind("response.'), F.lower("p_type"), F.lit('"); kind("session.done"); }\npub use PartClient;')
     )
-    return table(spark, sf, "part").select(k.alias("file"), text.alias("text"))
+    return table(spark, sf, "part").select(k.alias("file"), F.col("p_brand").alias("snapshot"), text.alias("text"))
 
 
-@query("p2_const_definitions", """SELECT p_partkey AS file, 'H_' || p_partkey % 40 AS name, 'x-head-' || p_partkey % 40 AS value, 11 + length(p_name) AS offset FROM part""")
+_RUST = """t AS (SELECT p_partkey AS k, p_brand AS snapshot, 'pub mod ' || replace(p_name, ' ', '_') || ';' || chr(10) || 'pub(crate) const H_' || p_partkey % 40 || 'X: &str = "other";' || chr(10) || '  const   H_' || p_partkey % 40 || ': &str = "x-head-' || p_partkey % 40 || '";' AS head FROM part)"""
+
+
+@query(
+    "p2_const_definitions",
+    f"""WITH {_RUST} SELECT k AS file, 'H_' || k % 40 || 'X' AS name, 'other' AS value, strpos(head, 'const H_')::INT AS offset FROM t UNION ALL SELECT k, 'H_' || k % 40, 'x-head-' || k % 40, strpos(head, 'const   H_')::INT FROM t""",
+)
 def p2(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.const_definitions(_rust(spark, sf), ["file"])
 
 
-@query("p3_header_candidates", """SELECT p_partkey AS file, 'written' AS direction, 'x-lit-' || p_partkey % 7 AS header, 'X-Lit-' || p_partkey % 7 AS name FROM part UNION ALL SELECT p_partkey, 'read', 'x-head-' || p_partkey % 50, 'x-head-' || p_partkey % 50 FROM part WHERE p_partkey % 50 < 40""")
+@query(
+    "p3_header_candidates",
+    f"""WITH {_RUST}, c AS (SELECT DISTINCT snapshot, k % 40 AS n FROM t) SELECT k AS file, snapshot, 'written' AS direction, 'x-lit-' || k % 7 AS header, 'X-Lit-' || k % 7 AS name FROM t UNION ALL SELECT k, snapshot, 'written', 'x-real-' || k % 5, 'x-real-' || k % 5 FROM t
+UNION ALL SELECT k, t.snapshot, 'read', 'x-head-' || n, 'x-head-' || n FROM t JOIN c ON c.snapshot = t.snapshot AND c.n = t.k % 50""",
+)
 def p3(spark: SparkSession, sf: str) -> DataFrame:
     files = _rust(spark, sf)
-    return coverage.header_candidates(files, coverage.const_definitions(files, ["file"]), ["file"])
+    keys = ["file", "snapshot"]
+    return coverage.header_candidates(files, coverage.const_definitions(files, keys), keys, ["snapshot"])
 
 
 @query("p4_event_kinds", "SELECT p_partkey AS file, ['response.' || lower(p_type), 'session.done'] AS names FROM part")
@@ -58,26 +70,44 @@ def j2(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.key_collisions(table(spark, sf, "customer").select(k.alias("doc"), text.alias("t")), "doc", "t")
 
 
-RULES = [("/kind", "enum", "click,view"), ("/k", "type", "integer"), ("/k", "max", "80"), ("/user", "pattern", "^u[0-9]+$"), ("/need", "required", None), ("", "closed", "kind,k,user,need,more")]
+RULES = [
+    ("/kind", "enum", "click,view"), ("/k", "type", "integer"), ("/k", "max", "80"), ("/user", "pattern", "^u[0-9]+$"), ("/need", "required", None), ("", "closed", "kind,k,user,need,more,score,lang,tags"),
+    ("/score", "max", "80.5"), ("/score", "min", "3"), ("/lang", "enum", "\u00e9,b"), ("/tags", "max_properties", "2"), ("/tags", "members", "string"), ("", "not_required", "need,odd"), ("", "one_of", "kind|click:need,k|view:"),
+]
 
 
 @query(
     "j15_schema_conformance",
-    """WITH r AS (SELECT event_id, CASE WHEN event_id % 20 = 0 THEN [{'p': '', 'r': 'parse'}] ELSE list_filter([CASE WHEN event_type NOT IN ('click', 'view') THEN {'p': '/kind', 'r': 'enum'} END, CASE WHEN json_extract(props, '$.k')::INT > 80 THEN {'p': '/k', 'r': 'max'} END,
-  CASE WHEN event_id % 3 = 0 THEN {'p': '/user', 'r': 'pattern'} END, CASE WHEN event_id % 4 = 0 THEN {'p': '/need', 'r': 'required'} END, CASE WHEN event_id % 5 = 0 THEN {'p': '/odd', 'r': 'closed'} END], lambda x: x IS NOT NULL) END AS e FROM events) SELECT event_id, u.p AS pointer, u.r AS rule FROM (SELECT event_id, unnest(e) AS u FROM r)""",
+    """WITH e AS (SELECT event_id, event_type AS kind, event_id % 20 = 0 AS broken, json_extract(props, '$.k')::INT AS k, event_id % 4 <> 0 AS need, event_id % 5 = 0 AS odd, 1.5 + event_id % 100 AS score FROM events),
+r AS (SELECT event_id, CASE WHEN broken THEN [{'p': '', 'r': 'parse'}] ELSE list_filter([CASE WHEN kind NOT IN ('click', 'view') THEN {'p': '/kind', 'r': 'enum'} END, CASE WHEN k > 80 THEN {'p': '/k', 'r': 'max'} END,
+  CASE WHEN event_id % 3 = 0 THEN {'p': '/user', 'r': 'pattern'} END, CASE WHEN NOT need THEN {'p': '/need', 'r': 'required'} END, CASE WHEN odd THEN {'p': '/odd', 'r': 'closed'} END,
+  CASE WHEN score > 80.5 THEN {'p': '/score', 'r': 'max'} END, CASE WHEN score < 3 THEN {'p': '/score', 'r': 'min'} END, CASE WHEN event_id % 7 = 0 THEN {'p': '/lang', 'r': 'enum'} END,
+  CASE WHEN event_id % 6 = 0 THEN {'p': '/tags', 'r': 'max_properties'} END, CASE WHEN event_id % 6 = 0 THEN {'p': '/tags', 'r': 'members'} END,
+  CASE WHEN need AND odd THEN {'p': '', 'r': 'not_required'} END, CASE WHEN NOT (kind = 'view' OR (kind = 'click' AND need AND k IS NOT NULL)) THEN {'p': '', 'r': 'one_of'} END], lambda x: x IS NOT NULL) END AS e FROM e)
+SELECT event_id, u.p AS pointer, u.r AS rule FROM (SELECT event_id, unnest(e) AS u FROM r)""",
 )
 def j15(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("event_id")
-    doc = F.to_json(F.struct(F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("int").alias("k"), F.concat(F.when(k % 3 == 0, "x").otherwise("u"), F.col("user_id").cast("string")).alias("user"), F.when(k % 4 != 0, 1).alias("need"), F.when(k % 5 == 0, 1).alias("odd")))
+    tags = F.struct(F.lit("x").alias("a"), F.lit("y").alias("b"), F.when(k % 6 == 0, 1).alias("c"))
+    doc = F.to_json(
+        F.struct(
+            F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("int").alias("k"), F.concat(F.when(k % 3 == 0, "x").otherwise("u"), F.col("user_id").cast("string")).alias("user"), F.when(k % 4 != 0, 1).alias("need"), F.when(k % 5 == 0, 1).alias("odd"),
+            (k % 100 + F.lit(1.5)).cast("double").alias("score"), F.when(k % 7 == 0, "\u00e8").otherwise("\u00e9").alias("lang"), tags.alias("tags"),
+        )
+    )
     docs = table(spark, sf, "events").select("event_id", F.when(k % 20 == 0, "{").otherwise(doc).alias("t"))
     return coverage.schema_conformance(docs, spark.createDataFrame(RULES, "pointer string, rule string, arg string"), "event_id", "t")
 
 
-@query("j16_schema_paths", """SELECT p_partkey AS doc, u.p AS path, u.r AS required, [u.t] AS types FROM (SELECT p_partkey, unnest([{'p': 'a', 'r': true, 't': 'object'}, {'p': 'a.b', 'r': false, 't': 'string'}, {'p': 'a.*', 'r': false, 't': 'number'}, {'p': 'l', 'r': false, 't': 'array'}, {'p': 'l[]', 'r': false, 't': 'integer'}, {'p': 'r', 'r': false, 't': 'boolean'}]) AS u FROM part)""")
+@query(
+    "j16_schema_paths",
+    """SELECT p_partkey AS doc, u.p AS path, u.r AS required, CASE WHEN u.t <> '' THEN [u.t] ELSE [] END AS types FROM (SELECT p_partkey, unnest([{'p': '', 'r': true, 't': ''}, {'p': 'a', 'r': true, 't': 'object'}, {'p': 'a.b', 'r': false, 't': 'string'}, {'p': 'a.*', 'r': false, 't': 'number'}, {'p': 'l', 'r': false, 't': 'array'}, {'p': 'l[]', 'r': false, 't': 'integer'},
+  {'p': 'r', 'r': false, 't': ''}, {'p': 'r', 'r': false, 't': 'boolean'}, {'p': 'r', 'r': false, 't': ''}, {'p': 'r.' || replace(p_name, ' ', '_'), 'r': true, 't': ''}, {'p': 'any', 'r': false, 't': ''}]) AS u FROM part)""",
+)
 def j16(spark: SparkSession, sf: str) -> DataFrame:
-    """The definition r refers to itself below, which stops there."""
-    schema = '{"required":["a"],"properties":{"a":{"type":"object","properties":{"b":{"type":"string"}},"additionalProperties":{"type":"number"}},"l":{"type":"array","items":{"type":"integer"}},"r":{"$ref":"#/d/r"}},"d":{"r":{"type":"boolean","allOf":[{"$ref":"#/d/r"}],"title":"'
-    text = F.concat(F.lit(schema), F.col("p_name"), F.lit('"}}}'))
+    """The definition r refers to itself below, which stops there; a member stands beside a reference, and one schema is only true."""
+    schema = '{"required":["a"],"properties":{"a":{"type":"object","properties":{"b":{"type":"string"}},"additionalProperties":{"type":"number"}},"l":{"type":"array","items":{"type":"integer"}},"any":true,"r":{"$ref":"#/d/r","additionalProperties":false,"required":["NAME"],"properties":{"NAME":true}}},"d":{"r":{"type":"boolean","allOf":[{"$ref":"#/d/r"}]}}}'
+    text = F.replace(F.lit(schema), F.lit("NAME"), F.replace("p_name", F.lit(" "), F.lit("_")))
     return canonical.schema_paths(table(spark, sf, "part").select(F.col("p_partkey").alias("doc"), text.alias("t")), "doc", "t").select("doc", "path", "required", "types")
 
 

@@ -7,29 +7,63 @@ from pyspark.sql import functions as F
 
 from contractlake.functions.canonical import nfc, walk_json
 
-#: const NAME: &str = "value";
-CONST = r'const\s+([A-Z_][A-Z0-9_]*)\s*:\s*&(?:\'static\s+)?str\s*=\s*"([^"]*)"\s*;'
+# fixed values: how a string constant is declared, and where header names are written and read, literally or by a constant
+CONST = r'(?ms)^\s*(?:pub(?:\([^)]*\))?\s+)?const\s+([A-Z][A-Z0-9_]*)\s*:\s*&str\s*=\s*"([^"]+)"\s*;'
+BEFORE_CONST = r"^\s*(?:pub(?:\([^)]*\))?\s+)?"
+WRITTEN = (
+    r'insert_header\([^,]+,\s*"([A-Za-z0-9_-]+)"',
+    r'\.(?:header)\(\s*"([A-Za-z0-9_-]+)"',
+    r'\b(?:headers|extra_headers|default_headers|provider_headers)\.insert\(\s*"([A-Za-z0-9_-]+)"',
+)
+WRITTEN_BY_NAME = (
+    r"insert_header\([^,]+,\s*(?:http::header::)?([A-Z][A-Z0-9_]*)",
+    r"\b(?:headers|extra_headers|default_headers|provider_headers)\.insert\(\s*(?:http::header::)?([A-Z][A-Z0-9_]*)",
+    r"HeaderName::from_static\(\s*([A-Z][A-Z0-9_]*)",
+)
+READ = (
+    r'\b(?:headers|response_headers)\.(?:get|contains_key)\(\s*"([A-Za-z0-9_-]+)"',
+    r'\b(?:parse_header_str|extract_header|upload_response_header)\([^\n,]+,\s*"([A-Za-z0-9_-]+)"',
+    r'\.headers\(\)\.get\(\s*"([A-Za-z0-9_-]+)"',
+)
+READ_BY_NAME = (
+    r"\b(?:headers|response_headers)\.(?:get|contains_key)\(\s*(?:http::header::)?([A-Z][A-Z0-9_]*)",
+    r"\b(?:parse_header_str|extract_header)\([^\n,]+,\s*(?:http::header::)?([A-Z][A-Z0-9_]*)",
+    r"\.headers\(\)\.get\(\s*(?:http::header::)?([A-Z][A-Z0-9_]*)",
+)
 
 
 def const_definitions(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Every string constant that the files define: keys, name, value, offset (of its name, from 1)."""
-    names, values = (F.regexp_extract_all(text, F.lit(CONST), F.lit(i)) for i in (1, 2))
-    out = files.select(*keys, F.col(text).alias("t"), F.explode(F.arrays_zip(names.alias("name"), values.alias("value"))).alias("c"))
-    return out.select(*keys, "c.name", "c.value", F.position(F.concat(F.lit("const "), F.col("c.name")), F.col("t")).alias("offset"))
+    """Every string constant that the files define: keys, name, value, offset (of its `const`, from 1).
 
+    What lies before a definition is what the text splits into there, and the definitions before it.
+    """
+    whole, names, values = (F.regexp_extract_all(text, F.lit(CONST), F.lit(i)) for i in (0, 1, 2))
+    found = files.select(*keys, F.split(text, CONST, -1).alias("between"), whole.alias("whole"), names.alias("names"), values.alias("values"))
+    out = found.select(*keys, "between", "whole", F.posexplode(F.arrays_zip("names", "values")).alias("i", "c"))
+    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+    before = length(F.slice("between", 1, F.col("i") + 1)) + length(F.slice("whole", 1, F.col("i")))
+    lead = F.length(F.regexp_extract(F.get("whole", "i"), BEFORE_CONST, 0))
+    return out.select(*keys, F.col("c.names").alias("name"), F.col("c.values").alias("value"), (before + lead + 1).alias("offset"))
+
+
+def header_candidates(files: DataFrame, constants: DataFrame, keys: list[str], scope: list[str], text: str = "text") -> DataFrame:
+    """Header names that the files write or read, literally or by a constant's name: keys, direction, header (lower case), name. Distinct without case.
 
-def header_candidates(files: DataFrame, constants: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Header names that the files insert or read, literally or by a constant's name: keys, direction, name. Distinct without case."""
+    scope: those of the keys that a constant must share with the file, such as the snapshot. Inserts
+    into maps of other names are no headers. Of a constant defined more than once every value counts.
+    """
     t = F.col(text)
+    known = constants.select(*scope, F.col("name").alias("constant"), F.col("value").alias("name")).distinct()
+
+    def matches(patterns: tuple[str, ...]) -> Column:
+        return F.explode(F.flatten(F.array(*(F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in patterns))))
 
-    def found(direction: str, method: str) -> DataFrame:
-        literal = F.regexp_extract_all(t, F.lit(rf'\.{method}\(\s*"([A-Za-z0-9-]+)"'), F.lit(1))
-        token = F.regexp_extract_all(t, F.lit(rf"\.{method}\(\s*([A-Z_][A-Z0-9_]*)\b"), F.lit(1))
-        plain = files.select(*keys, F.lit(direction).alias("direction"), F.explode(literal).alias("name"))
-        named = files.select(*keys, F.lit(direction).alias("direction"), F.explode(token).alias("constant")).join(constants.select(F.col("name").alias("constant"), F.col("value").alias("name")).distinct(), "constant").drop("constant")
-        return plain.unionByName(named)
+    def found(direction: str, literal: tuple[str, ...], by_name: tuple[str, ...]) -> DataFrame:
+        plain = files.select(*keys, F.lit(direction).alias("direction"), matches(literal).alias("name"))
+        named = files.select(*keys, F.lit(direction).alias("direction"), matches(by_name).alias("constant")).join(known, [*scope, "constant"])
+        return plain.unionByName(named.select(*keys, "direction", "name"))
 
-    both = found("written", "insert").unionByName(found("read", "get"))
+    both = found("written", WRITTEN, WRITTEN_BY_NAME).unionByName(found("read", READ, READ_BY_NAME))
     return both.groupBy(*keys, "direction", F.lower("name").alias("header")).agg(F.min("name").alias("name"))
 
 
@@ -99,31 +133,57 @@ def key_collisions(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def schema_conformance(docs: DataFrame, rules: DataFrame, key: str, text: str, most: int = 20) -> DataFrame:
-    """Records against rules (pointer, rule, arg): required, type, const, enum (comma list), pattern, max, closed (comma list of the members an object may have). key, pointer, rule of the first `most` errors of each record by pointer.
+    """Records against rules (pointer, rule, arg); key, pointer, rule of the first `most` errors of each record by pointer.
 
-    A text that is no strict JSON has one error, rule parse.
+    Of values: type, const, enum (comma list), pattern, min, max. Of objects: required (the pointer must
+    be there if its object is), closed (comma list of the members there may be), max_properties, members
+    (the type of every member), not_required (comma list of members that must not all be there), one_of
+    (`tag|value:members|value:members`: the member tag has one of the values, and the members listed
+    for it are there). A text that is no strict JSON has one error, rule parse. A record is parsed once.
     """
+    from .lineage import written
     from .rollups import first_errors
 
-    nodes = walk_json(docs, key, text)
     r = F.broadcast(rules)  # a literal rule table
-    at = nodes.filter("error is null").join(r.filter("rule not in ('required', 'closed')"), "pointer")
-    v = F.col("value")
-    plain = F.when(F.col("kind") == "string", F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
-    kind = F.when((F.col("arg") == "integer"), (F.col("kind") == "number") & v.rlike(r"^-?\d+$")).otherwise(F.col("kind") == F.col("arg"))
+    nodes = written(walk_json(docs, key, text).withColumn("object", F.when(F.col("name").isNotNull(), F.regexp_replace("pointer", "/[^/]*$", ""))))
+    sound = nodes.filter("error is null")
+    v, arg = F.col("value"), F.col("arg")
+    decoded = F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")
+    plain = F.when(F.col("kind") == "string", decoded).otherwise(v)
+    number = F.when(F.col("kind") == "number", v.try_cast("double"))
+    kind = F.when(arg == "integer", (F.col("kind") == "number") & (number == F.floor(number))).otherwise(F.col("kind") == arg)
     ok = (
         F.when(F.col("rule") == "type", kind)
-        .when(F.col("rule") == "const", plain == F.col("arg"))
-        .when(F.col("rule") == "enum", F.array_contains(F.split("arg", ","), plain))
-        .when(F.col("rule") == "pattern", F.rlike(plain, F.col("arg")))
-        .when(F.col("rule") == "max", F.try_to_number(plain, F.lit("S999999999999")).cast("double") <= F.col("arg").cast("double"))
+        .when(F.col("rule") == "const", plain == arg)
+        .when(F.col("rule") == "enum", F.array_contains(F.split(arg, ","), plain))
+        .when(F.col("rule") == "pattern", (F.col("kind") != "string") | F.rlike(plain, arg))
+        .when(F.col("rule") == "min", (F.col("kind") != "number") | (number >= arg.cast("double")))
+        .when(F.col("rule") == "max", (F.col("kind") != "number") | (number <= arg.cast("double")))
     )
+    at = sound.join(r.filter("rule in ('type', 'const', 'enum', 'pattern', 'min', 'max')"), "pointer")
     wrong = at.filter(~F.coalesce(ok, F.lit(False))).select(key, "pointer", F.col("rule").alias("code"))
-    closed = nodes.filter("name is not null").withColumn("object", F.regexp_replace("pointer", "/[^/]*$", "")).join(r.filter("rule = 'closed'").select(F.col("pointer").alias("object"), "arg"), "object")
-    extra = closed.filter(~F.array_contains(F.split("arg", ","), F.col("name"))).select(key, "pointer", F.lit("closed").alias("code"))
+    closed = sound.join(r.filter("rule = 'closed'").select(F.col("pointer").alias("object"), "arg"), "object")
+    extra = closed.filter(~F.array_contains(F.split(arg, ","), F.col("name"))).select(key, "pointer", F.lit("closed").alias("code"))
     parse = nodes.filter("error is not null").select(key, "pointer", F.lit("parse").alias("code"))
-    need = r.filter("rule = 'required'").select("pointer")
-    roots = nodes.filter("pointer = '' and error is null").select(key)
-    missing = roots.join(need).join(nodes.filter("error is null").select(key, "pointer"), [key, "pointer"], "left_anti").select(key, "pointer", F.lit("required").alias("code"))
-    every = wrong.unionByName(extra).unionByName(parse).unionByName(missing).withColumnRenamed("pointer", "path")
+    need = r.filter("rule = 'required'").select(F.col("pointer").alias("wanted"), F.regexp_replace("pointer", "/[^/]*$", "").alias("pointer"))
+    holders = sound.filter("kind = 'object'").join(need, "pointer").select(key, F.col("wanted").alias("pointer"))
+    missing = holders.join(sound.select(key, "pointer"), [key, "pointer"], "left_anti").select(key, "pointer", F.lit("required").alias("code"))
+    # the members of one object at a time
+    shaped = r.filter("rule in ('max_properties', 'members', 'not_required', 'one_of')").select(F.col("pointer").alias("object"), "rule", "arg")
+    objects = sound.filter("kind = 'object'").select(key, F.col("pointer").alias("object")).join(shaped, "object")
+    members = sound.join(F.broadcast(rules.select(F.col("pointer").alias("object")).distinct()), "object").groupBy(key, "object").agg(F.collect_list(F.struct("name", "kind", plain.alias("value"))).alias("members"))
+    shape = objects.join(members, [key, "object"], "left").withColumn("members", F.coalesce("members", F.expr("cast(array() as array<struct<name:string,kind:string,value:string>>)")))
+    names, listed = F.col("members.name"), F.split(arg, ",")
+    cases = F.split(arg, r"\|")
+    tag = F.get(F.filter("members", lambda m: m["name"] == F.get(cases, 0)), 0)["value"]
+    chosen = F.get(F.filter(F.slice(cases, 2, F.size(cases) - 1), lambda c: F.substring_index(c, ":", 1) == tag), 0)
+    needed = F.array_remove(F.split(F.substring_index(chosen, ":", -1), ","), "")
+    fits = (
+        F.when(F.col("rule") == "max_properties", F.size("members") <= arg.cast("int"))
+        .when(F.col("rule") == "members", F.forall("members", lambda m: m["kind"] == arg))
+        .when(F.col("rule") == "not_required", F.size(F.array_except(listed, names)) > 0)
+        .when(F.col("rule") == "one_of", F.size(F.array_except(needed, names)) == 0)
+    )
+    misshapen = shape.filter(~F.coalesce(fits, F.lit(False))).select(key, F.col("object").alias("pointer"), F.col("rule").alias("code"))
+    every = wrong.unionByName(extra).unionByName(parse).unionByName(missing).unionByName(misshapen).withColumnRenamed("pointer", "path")
     return first_errors(every, [key], most).select(key, F.col("path").alias("pointer"), F.col("code").alias("rule"))

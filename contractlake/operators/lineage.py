@@ -19,14 +19,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{path}/{name}-{uuid.uuid4().hex}"
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Cut the lineage by a table in the shared folder."""
     target = scratch(df.sparkSession, "lineage")
     df.write.parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
-def roots(nodes: DataFrame, node: str, parent: str, most_rounds: int = 40) -> DataFrame:
+def roots(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """Root and depth of every node. A parent that is no node ends the chain at its child; nodes on a cycle have a null root.
 
     Pointer doubling: a round joins each node's ancestor with that one's own, so a chain of n nodes
@@ -35,36 +35,61 @@ def roots(nodes: DataFrame, node: str, parent: str, most_rounds: int = 40) -> Da
     known = nodes.select(F.col(node).alias("p")).distinct()
     start = nodes.select(F.col(node).alias("n"), F.col(parent).alias("p")).join(known.withColumn("there", F.lit(True)), "p", "left")
     up = F.when(F.col("there"), F.col("p"))
-    now = _written(start.select("n", up.alias("up"), F.when(up.isNull(), 0).otherwise(1).cast("long").alias("depth"), F.when(up.isNull(), F.col("n")).alias("root")))
+    now = written(start.select("n", up.alias("up"), F.when(up.isNull(), 0).otherwise(1).cast("long").alias("depth"), F.when(up.isNull(), F.col("n")).alias("root")))
     open_before = None
-    for _ in range(most_rounds):
+    while True:
         waiting = now.filter("root is null").count()
-        if waiting == 0 or waiting == open_before and _ > 33:
+        # while a chain is open, each round reaches the root from some of its nodes; else only cycles are left
+        if waiting in (0, open_before):
             break
         open_before = waiting
         a = now.select(F.col("n").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("root").alias("r2"))
         j = now.filter("root is null").join(a, "up")
         moved = j.select("n", F.when(F.col("r2").isNull(), F.col("up2")).alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), F.col("r2").alias("root"))
-        now = _written(now.filter("root is not null").unionByName(moved))
+        now = written(now.filter("root is not null").unionByName(moved))
     return now.select(F.col("n").alias(node), F.col("root"), F.when(F.col("root").isNotNull(), F.col("depth")).alias("depth"))
 
 
-def closure(edges: DataFrame, starts: DataFrame, most_hops: int = 20) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame, most_hops: int | None = None) -> DataFrame:
     """What each start reaches over directed edges (from_id, to_id), with the fewest hops (the start itself: 0). Cycles stop, as a pair is kept once.
 
-    starts: id. Breadth first, so the rows are (start, node) pairs; most_hops bounds the depth.
+    starts: id. Breadth first, until nothing new is reached; the rows are (start, node) pairs. Where
+    most_hops is given and something new lies beyond it, RuntimeError.
     """
     frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct().withColumn("hops", F.lit(0))
-    seen = _written(frontier)
+    seen = written(frontier)
     frontier = seen
     e = edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("next")).distinct()
-    for hop in range(1, most_hops + 1):
+    hop = 0
+    while True:
+        hop += 1
         step = frontier.join(e, "node").select("start", F.col("next").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        frontier = _written(step.withColumn("hops", F.lit(hop)))
+        frontier = written(step.withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
-            break
+            return seen
+        if most_hops is not None and hop > most_hops:
+            raise RuntimeError(f"a node lies over {most_hops} hops away")
         seen = seen.unionByName(frontier)
-    return seen
+        if hop % 16 == 0:
+            seen = written(seen)
+
+
+def chains(links: DataFrame) -> DataFrame:
+    """links: start, node, cut; at most one a start. All ancestors: start, node, hops, cut (the smallest on the way; null: none). A cycle ends before it comes back.
+
+    A round joins each chain with the chains of its end, so a chain of n links takes log2(n) rounds;
+    only counts reach the driver.
+    """
+    now = written(links.filter("node is not null and start != node").select("start", "node", F.lit(1).alias("hops"), "cut"))
+    known = now.count()
+    while True:
+        after = now.select(F.col("start").alias("node"), F.col("node").alias("end"), F.col("hops").alias("more"), F.col("cut").alias("then"))
+        longer = now.join(after, "node").filter(F.col("start") != F.col("end")).select("start", F.col("end").alias("node"), (F.col("hops") + F.col("more")).alias("hops"), F.least("cut", "then").alias("cut"))
+        now = written(now.unionByName(longer).groupBy("start", "node").agg(F.min(F.struct("hops", "cut")).alias("m")).select("start", "node", "m.*"))
+        reached = now.count()
+        if reached == known:
+            return now
+        known = reached
 
 
 def delete_safety(references: DataFrame, doomed: DataFrame) -> DataFrame:

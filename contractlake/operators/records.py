@@ -58,7 +58,8 @@ def env_map(parent: Column, inherit: Column, ignore_default_excludes: Column, ex
     empty = F.from_json(F.lit("{}"), T.MapType(T.StringType(), T.StringType()))
 
     def like_any(name: Column, patterns: Column) -> Column:
-        return F.exists(patterns, lambda p: F.rlike(F.upper(name), F.concat(F.lit("^"), F.replace(F.upper(p), F.lit("*"), F.lit(".*")), F.lit("$"))))
+        literal = lambda p: F.regexp_replace(F.upper(p), r"([^\p{L}\p{N}_*])", r"\\$1")
+        return F.exists(patterns, lambda p: F.rlike(F.upper(name), F.concat(F.lit("(?s)^"), F.replace(literal(p), F.lit("*"), F.lit(".*")), F.lit("$"))))
 
     base = F.when(inherit == "all", parent).when(inherit == "core", F.map_filter(parent, lambda k, v: k.isin(*core))).otherwise(empty)
     secret = F.array(F.lit("*KEY*"), F.lit("*SECRET*"), F.lit("*TOKEN*"))
@@ -202,13 +203,18 @@ def thread_clock(thread_id: Column) -> Column:
 
 
 def fork_history(forks: DataFrame, items: DataFrame) -> DataFrame:
-    """forks: rollout, base, cut (ordinals from it on are not taken; null: all); items: rollout, ordinal, item. Each fork's effective items: those of its base before the cut, then its own.
+    """forks: rollout, base, cut (ordinals of the base's history from it on are not taken; null: all); items: rollout, ordinal, item. Each fork's effective items: rollout, hops (0: its own, 1: its base's, and so on), ordinal, item.
 
-    A range join: the equality on the base partitions, the cut is checked on the way.
+    A base that is a fork itself hands on its own effective history, so the chain of bases is followed
+    and the smallest cut on the way holds. A range join: the equality on the ancestor partitions, the
+    cut is checked on the way.
     """
-    i = items.select(F.col("rollout").alias("base"), "ordinal", "item")
-    taken = forks.filter("base is not null").join(i, "base").filter("cut is null or ordinal < cut").select("rollout", F.lit(0).alias("part"), "ordinal", "item")
-    own = forks.select("rollout").join(items, "rollout").select("rollout", F.lit(1).alias("part"), "ordinal", "item")
+    from .lineage import chains
+
+    above = chains(forks.select(F.col("rollout").alias("start"), F.col("base").alias("node"), "cut"))
+    i = items.select(F.col("rollout").alias("node"), "ordinal", "item")
+    taken = above.join(i, "node").filter("cut is null or ordinal < cut").select(F.col("start").alias("rollout"), "hops", "ordinal", "item")
+    own = forks.select("rollout").distinct().join(items, "rollout").select("rollout", F.lit(0).alias("hops"), "ordinal", "item")
     return taken.unionByName(own)
 
 

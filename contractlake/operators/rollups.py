@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 IDENTITY = ["category", "code", "source_id", "field_id", "location"]
@@ -72,10 +80,35 @@ def merge_schema_paths(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("variants", F.array_except("all", F.array("digest"))).withColumn("variant_count", F.size("all")).drop("all")
 
 
-def set_digest(files: DataFrame, keys: list[str], path: str = "path", sha256: str = "sha256") -> DataFrame:
-    """One digest per set of files: sha256 over path, NUL, the file's hash, NUL, in path order. File hashes stand for the bytes, so a set of any size fits a row of about 100 bytes a file."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(path, sha256))), lambda x: F.concat(x[path], F.lit("\0"), x[sha256], F.lit("\0")))
-    return files.groupBy(*keys).agg(F.sha2(F.array_join(lines, ""), 256).alias("set_sha256"), F.count("*").alias("files"))
+def set_digest(files: DataFrame, keys: list[str], path: str = "path", content: str = "content") -> DataFrame:
+    """One digest per set of files: sha256 over path, NUL, the file's bytes, NUL, in path order (by UTF-8 bytes): keys, set_sha256, files.
+
+    The files of a set are sorted in one task, outside memory if they are large, and flow through the
+    digest one by one. Null paths and contents count as empty.
+    """
+    bare = lambda c: F.coalesce(F.col(c).cast("binary"), F.lit(b""))
+    rows = files.select(F.struct(*keys).alias("of"), bare(path).alias("path"), bare(content).alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ended() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([last]), pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], names=["of", "set_sha256", "files"])
+
+        last, digest, n = None, hashlib.sha256(), 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                of = batch.column("of").slice(i, 1)
+                if last is None or of[0] != last[0]:
+                    if last is not None:
+                        yield ended()
+                    last, digest, n = of, hashlib.sha256(), 0
+                for part in (batch.column("path")[i].as_buffer(), b"\0", batch.column("content")[i].as_buffer(), b"\0"):
+                    digest.update(part)
+                n += 1
+        if last is not None:
+            yield ended()
+
+    of = rows.schema["of"].dataType.simpleString()
+    return rows.repartition("of").sortWithinPartitions("of", "path").mapInArrow(run, f"of {of}, set_sha256 string, files long").select("of.*", "set_sha256", "files")
 
 
 def group_counts(rows: DataFrame, keys: list[str], category: str) -> DataFrame:

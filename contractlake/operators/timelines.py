@@ -42,16 +42,25 @@ def select_version(asked: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def entity_diff(before: DataFrame, after: DataFrame, key: str, text: str) -> DataFrame:
-    """Leaves that differ between two versions of JSON entities: key, pointer, before, after.
+    """What differs between two versions of JSON entities: key, pointer, before, after (canonical JSON, null where missing).
 
-    Only entities whose texts differ are walked. Arrays compare whole; a missing leaf is null.
+    Objects are compared member by member, arrays whole. A member that one side lacks, or that changes
+    its kind, is one change with all it holds; so is an entity that one side lacks, at the root. Only
+    entities whose texts differ are walked.
     """
-    j = before.select(key, F.col(text).alias("b")).join(after.select(key, F.col(text).alias("a")), key, "full_outer").filter(~F.col("b").eqNullSafe(F.col("a")))
+    from .lineage import written
 
-    def leaves(side: str) -> DataFrame:
-        walked = walk_json(j.select(key, F.col(side).alias("t")), key, "t").filter("value is not null")
-        arrays = walked.filter("kind = 'array'").select(key, F.col("pointer").alias("root"))
-        inside = walked.alias("w").join(arrays.alias("r"), (F.col(f"w.{key}") == F.col(f"r.{key}")) & F.col("w.pointer").startswith(F.concat("r.root", F.lit("/"))), "left_anti")
-        return inside.select(key, "pointer", F.col("value").alias("before" if side == "b" else "after"))
+    j = before.select(key, F.col(text).alias("b")).join(after.select(key, F.col(text).alias("a")), key, "full_outer").filter(~F.col("b").eqNullSafe(F.col("a")))
 
-    return leaves("b").join(leaves("a"), [key, "pointer"], "full_outer").filter(~F.col("before").eqNullSafe(F.col("after")))
+    def nodes(side: str) -> DataFrame:
+        walked = walk_json(j.select(key, F.col(side).alias("t")), key, "t", arrays=False, objects=True)
+        return walked.filter("error is null").select(key, "pointer", F.col("kind").alias(f"{side}_kind"), F.col("value").alias(side))
+
+    both = written(nodes("b").join(nodes("a"), [key, "pointer"], "full_outer"))
+    opened = F.col("b_kind").eqNullSafe("object") & F.col("a_kind").eqNullSafe("object")
+    inner = both.filter(opened).select(key, F.col("pointer").alias("parent"))
+    changed = both.filter(~opened & ~(F.col("b").eqNullSafe(F.col("a")) & F.col("b_kind").eqNullSafe(F.col("a_kind"))))
+    top = changed.filter("pointer = ''")
+    rest = changed.filter("pointer != ''").withColumn("parent", F.regexp_replace("pointer", "/[^/]*$", "")).join(inner, [key, "parent"], "left_semi")
+    columns = [key, "pointer", F.col("b").alias("before"), F.col("a").alias("after")]
+    return top.select(*columns).unionByName(rest.select(*columns))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contractlake.functions import canonical, classify, ids
-from contractlake.operators import checks, coverage, diffs, lineage, records, rollups
+from contractlake.operators import checks, coverage, diffs, lineage, records, rollups, timelines
 from contractlake.streaming import turns
 
 
@@ -129,7 +129,75 @@ def test_pointer_updates(spark):
 def test_schema_paths_stop_at_a_reference_to_itself(spark):
     doc = '{"properties":{"n":{"$ref":"#/d"}},"d":{"type":"object","properties":{"n":{"$ref":"#/d"}},"required":["n"]}}'
     got = {r["path"] for r in canonical.schema_paths(spark.createDataFrame([(1, doc), (2, "{"), (3, None)], "k int, t string"), "k", "t").collect()}
-    assert got == {"n"}
+    assert got == {"", "n", "n.n"}
+
+
+def test_constants_are_found_where_they_stand(spark):
+    text = 'const AB: &str = "x";\n  pub const   A: &str = "y";\nlet z = headers.get(A); cache.insert("plain-key", 1); insert_header(req, "x-real"); client.header("X-H", v)'
+    files = spark.createDataFrame([("s", 1, text), ("t", 2, "response_headers.get(A)")], "snapshot string, file int, text string")
+    constants = coverage.const_definitions(files, ["snapshot", "file"])
+    assert sorted((r["name"], r["offset"]) for r in constants.collect()) == [("A", text.index("const   A") + 1), ("AB", 1)]
+    got = sorted((r["file"], r["direction"], r["name"]) for r in coverage.header_candidates(files, constants, ["snapshot", "file"], ["snapshot"]).collect())
+    assert got == [(1, "read", "y"), (1, "written", "X-H"), (1, "written", "x-real")]
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [("g.then_some(x)", "conditional_value"), ("g.then_some(f(x)).flatten()", "conditional_option_passthrough"), ("g.then_some(x).unwrap_or(y)", "unclassified"), ('g.then_some(")")', "conditional_value"), ("g.then_some(x", "unclassified"), ("g.then_some(')', x).flatten()", "conditional_option_passthrough")],
+)
+def test_what_follows_the_call_decides(spark, text, kind):
+    got = one(spark, classify.emission_kind(F.lit(text), F.array(F.lit("g")), F.array().cast("array<string>")))
+    assert got["kind"] == kind and got["machine_evaluable"] == (kind != "unclassified")
+
+
+def test_conformance(spark):
+    rules = [("/n", "max", "80"), ("/n", "min", "1.5"), ("/e", "enum", "é,b"), ("/o", "max_properties", "1"), ("/o", "members", "number"), ("", "not_required", "x,y"), ("", "one_of", "t|a:n|b:"), ("/o/r", "required", None)]
+    docs = [(1, '{"n": 1.5, "e": "é", "o": {"r": 2}, "t": "a"}'), (2, '{"n": 80.5, "e": "è", "o": {"r": "s", "q": 1}, "t": "c"}'), (3, '{"x": 1, "y": 2, "t": "a", "o": {}}'), (4, "{"), (5, '{"n": 1, "t": "b"}'), (6, None)]
+    got = sorted(map(tuple, coverage.schema_conformance(spark.createDataFrame(docs, "k int, t string"), spark.createDataFrame(rules, "pointer string, rule string, arg string"), "k", "t").collect()))
+    assert got == [(2, "", "one_of"), (2, "/e", "enum"), (2, "/n", "max"), (2, "/o", "max_properties"), (2, "/o", "members"), (3, "", "not_required"), (3, "", "one_of"), (3, "/o/r", "required"), (4, "", "parse"), (5, "/n", "min")]
+
+
+def test_entity_changes(spark):
+    def diff(a, b):
+        s = "k int, t string"
+        return sorted(tuple(r)[1:] for r in timelines.entity_diff(spark.createDataFrame([(1, a)], s), spark.createDataFrame([(1, b)] if b else [], s), "k", "t").collect())
+
+    assert diff('{"a": 1}', '{"a": {"b": 1}}') == [("/a", "1", '{"b":1}')]
+    assert diff('{"a": 1}', '{"a": 1, "b": {}}') == [("/b", None, "{}")]
+    assert diff('{"a": [1, {"x": 1}]}', '{"a": [1, {"x": 2}]}') == [("/a", '[1,{"x":1}]', '[1,{"x":2}]')]
+    assert diff('{"a": {"b": {"c": 1}, "d": 1}}', '{"a": {"b": {"c": true}}}') == [("/a/b/c", "1", "true"), ("/a/d", "1", None)]
+    assert diff('{"a": 1}', None) == [("", '{"a":1}', None)]
+
+
+def test_exclude_patterns_are_no_regular_expressions(spark):
+    s = F.lit
+    env = records.env_map(F.create_map(s("A.B"), s("1"), s("AXB"), s("2"), s("C+"), s("3"), s("CC"), s("4"), s("PREFIX_X"), s("5")), s("all"), s(True), F.array(s("a.b"), s("c+"), s("prefix*")), F.from_json(s("{}"), "map<string,string>"), F.array().cast("array<string>"), s(None).cast("string"), (), ())
+    assert one(spark, F.array_sort(F.map_keys(env))) == ["AXB", "CC"]
+
+
+def test_a_fork_of_a_fork_has_its_bases_history(spark):
+    forks = spark.createDataFrame([("r0", None, None), ("r1", "r0", 2), ("r2", "r1", None), ("r3", "r2", 3), ("x", "y", 1), ("y", "x", None)], "rollout string, base string, cut int")
+    items = spark.createDataFrame([("r0", i, c) for i, c in enumerate("abz")] + [("r1", 2, "c"), ("r1", 3, "d"), ("r2", 4, "e"), ("r3", 3, "f")], "rollout string, ordinal int, item string")
+    got = records.fork_history(forks, items).orderBy("rollout", F.desc("hops"), "ordinal").groupBy("rollout").agg(F.collect_list("item").alias("i"))
+    assert {r["rollout"]: "".join(r["i"]) for r in got.collect()} == {"r0": "abz", "r1": "abcd", "r2": "abcde", "r3": "abcf"}
+
+
+def test_closure_has_no_silent_end(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(40, 35)], "from_id int, to_id int")
+    start = spark.createDataFrame([(0,)], "id int")
+    got = {r["node"]: r["hops"] for r in lineage.closure(edges, start).collect()}
+    assert got == {i: i for i in range(41)}
+    with pytest.raises(RuntimeError, match="hops"):
+        lineage.closure(edges, start, most_hops=20)
+
+
+def test_set_digest_is_that_of_the_bytes(spark):
+    import hashlib
+
+    rows = [("s", "b", b"2"), ("s", "a", b"\xff\x00"), ("t", "x", None), (None, "n", b"")]
+    got = {r["s"]: (r["set_sha256"], r["files"]) for r in rollups.set_digest(spark.createDataFrame(rows, "s string, path string, content binary"), ["s"]).collect()}
+    want = lambda *parts: hashlib.sha256(b"".join(p + b"\0" for p in parts)).hexdigest()
+    assert got == {"s": (want(b"a", b"\xff\x00", b"b", b"2"), 2), "t": (want(b"x", b""), 1), None: (want(b"n", b""), 1)}
 
 
 def test_turn_state_is_terminal(spark):
