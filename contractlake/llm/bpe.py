@@ -4,7 +4,7 @@ Short texts are encoded as they are. A long text is cut into leaves of equal len
 to words, and the leaves are encoded as rows of their own, spread over the cluster. Neighbours are then
 joined, pair by pair, up a tree: the text around a join is encoded again in a window that grows until
 it agrees with the left side at one token and with the right side at one token. What lies between those
-two tokens is taken from the window. Runs of leaves meet first, then the runs of a text.
+two tokens is taken from the window. Of a very long text, runs of leaves meet first, then the runs.
 
 Why agreement at one token is enough: a sequence of BPE tokens is the encoding of its text when each
 pair of neighbours is. Pairs inside a side or inside the window are; the pair at the cut is a pair of
@@ -117,6 +117,18 @@ def id_lists(raw: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), dtype=np.int32)))
 
 
+def packed(spans: Spans) -> np.ndarray:
+    """Gaps before the tokens, their lengths, their ids: small numbers, which shuffle files compress well."""
+    ends = np.concatenate([[0], spans[:-1, 1]]) if len(spans) else spans[:, 1]
+    return np.concatenate([spans[:, 0] - ends, spans[:, 1] - spans[:, 0], spans[:, 2]]).astype(np.int32)
+
+
+def unpacked(numbers: np.ndarray) -> Spans:
+    gaps, lengths, ids = np.asarray(numbers, dtype=np.int64).reshape(3, -1)
+    ends = np.cumsum(gaps + lengths)
+    return np.column_stack([ends - lengths, ends, ids])
+
+
 def digests(tokens: DataFrame) -> DataFrame:
     """ids and decoded of encode_texts replaced by n_tokens, ids_sha256 and decoded_sha256."""
     joined = F.concat_ws(" ", F.col("ids").cast("array<string>"))
@@ -193,8 +205,8 @@ def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
     table gives no rows.
     Returns the kept columns and, with out="digest", n_tokens long, ids_sha256 string (of the decimal
     ids joined by spaces) and decoded_sha256 string; with out="ids", ids array<int> and decoded string.
-    Texts of more than `long_chars` characters go through the tree, in leaves of `leaf_chars`; runs of
-    `run` leaves are joined in tasks of their own before the whole text is.
+    Texts of more than `long_chars` characters go through the tree, in leaves of `leaf_chars`; where a
+    text has more than `run` leaves, runs of so many are joined in tasks of their own first.
 
     tokenizer: path of a tokenizer file, the same on every executor, whose normalisation and splitting
     keep words apart at white space.
@@ -216,36 +228,37 @@ def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe.of(tokenizer)
         for batch in slices(batches, 64):
-            flat = [bpe.spans(t).astype(np.int32).ravel() for t in batch.column("body").to_pylist()]
+            flat = [packed(bpe.spans(t)) for t in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flat, pa.list_(pa.int32()))], names=[*batch.schema.names, "spans"])
 
     def joined(group: pd.DataFrame) -> tuple[str, Spans]:
         group = group.sort_values("leaf")
         bpe, leaves = Bpe.of(tokenizer), group["body"].tolist()
-        return "".join(leaves), tree_concatenate(bpe.spans, leaves, [np.asarray(s, dtype=np.int64).reshape(-1, 3) for s in group["spans"]], bpe.window)
+        return "".join(leaves), tree_concatenate(bpe.spans, leaves, [unpacked(s) for s in group["spans"]], bpe.window)
 
     def some(group: pd.DataFrame) -> pd.DataFrame:
         body, spans = joined(group)
         first = group.iloc[:1].drop(columns=["run"])
-        return first.assign(leaf=group["leaf"].min(), body=body, spans=[spans.astype(np.int32).ravel()])
+        return first.assign(leaf=group["leaf"].min(), body=body, spans=[packed(spans)])
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
         ids = id_lists([joined(group)[1][:, 2].astype(np.int32).tobytes()])
         return pd.DataFrame({n: group[n].iloc[:1].to_numpy() for n in names} | {"ids": [ids.values.to_numpy()], "decoded": Bpe.of(tokenizer).decoded(ids).to_pylist()})
 
-    long = F.length("body") > long_chars
-    plain = rows.filter(~long).mapInArrow(short, schema)
-    at: Column = F.explode(F.sequence(F.lit(0), F.floor((F.length("body") - 1) / leaf_chars).cast("int")))
-    leaves = (
-        rows.filter(long)
-        .withColumn("row", F.monotonically_increasing_id())
-        .select("row", *names, "body", at.alias("leaf"))
-        .withColumn("body", F.substring("body", F.col("leaf") * leaf_chars + 1, F.lit(leaf_chars)))
-        .repartition("row", "leaf")
-    )
+    count = F.ceil(F.length("body") / leaf_chars).cast("int")
+    plain = rows.filter(F.length("body") <= long_chars).mapInArrow(short, schema)
     tree = ", ".join(["row long", *(f"{n} {kinds[n]}" for n in names), "body string, leaf int, spans array<int>"])
-    encoded = leaves.select("row", *names, "body", "leaf").mapInArrow(leaf, tree)
-    runs = encoded.withColumn("run", F.expr(f"leaf div {run}")).groupBy("row", "run").applyInPandas(some, tree)
-    both = plain.unionByName(runs.groupBy("row").applyInPandas(whole, schema))
+
+    def leaves(long: DataFrame) -> DataFrame:
+        at: Column = F.explode(F.sequence(F.lit(0), count - 1))
+        cut = long.withColumn("row", F.monotonically_increasing_id()).select("row", *names, "body", at.alias("leaf"))
+        return cut.withColumn("body", F.substring("body", F.col("leaf") * leaf_chars + 1, F.lit(leaf_chars))).repartition("row", "leaf").mapInArrow(leaf, tree)
+
+    long = rows.filter(F.length("body") > long_chars)
+    few = leaves(long.filter(count <= run))
+    runs = leaves(long.filter(count > run)).withColumn("run", F.expr(f"leaf div {run}")).groupBy("row", "run").applyInPandas(some, tree)
+    both = plain
+    for parts in (few, runs):
+        both = both.unionByName(parts.groupBy("row").applyInPandas(whole, schema))
     both, fields = (digests(both), ["n_tokens", "ids_sha256", "decoded_sha256"]) if out == "digest" else (both, fields)
     return both.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *fields)

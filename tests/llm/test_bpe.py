@@ -49,3 +49,10 @@ def test_memory_starts_anew(monkeypatch):
     t = bpe.Bpe(tokenizer_path())
     for x in ("one two. three four five", "six two three", "", "one. two."):
         assert t.answers([x]).to_pylist() == [t.tokenizer.encode(x, add_special_tokens=False).ids]
+
+
+def test_spans_are_packed_and_back():
+    t = bpe.Bpe(tokenizer_path())
+    for x in ("", "a", " one  two🙂🙂 x\u0301\u0323 ", "İ. 漢字"):
+        s = t.spans(x)
+        assert (bpe.unpacked(bpe.packed(s)) == s).all()

@@ -287,7 +287,7 @@ HARD = ["It's <|endoftext|>. we'll 're''s café é İstanbul ΑΣ ΑΣ. 12345 
 @pytest.mark.parametrize(("long_chars", "leaf_chars"), [(50_000, 12_000), (40, 17), (10, 3)])
 def test_bpe_is_exact(spark, long_chars, leaf_chars):
     rows = [(i, t, "s") for i, t in enumerate(HARD + [t for _, t, _ in ODD[:7]])]
-    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode_texts(docs(spark, rows), Q.tokenizer_path(), long_chars=long_chars, leaf_chars=leaf_chars).collect()}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode_texts(docs(spark, rows), Q.tokenizer_path(), long_chars=long_chars, leaf_chars=leaf_chars, run=16).collect()}
     want = encoded([t for _, t, _ in rows])
     assert [i for i in range(len(rows)) if got[i] != want[i]] == []
 
