@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import WORD, text_column, written
 
 #: Rank intervals of each of the two divisions.
-INTERVALS = 4096
+INTERVALS = 1024
 #: r, of STEPS steps, is half of them at a size of HALF words.
 STEPS, HALF = 4096, 256
 #: u is a hash of this many hexadecimal digits, so that it is exact in a double.
