@@ -197,7 +197,7 @@ def tree_concatenate(encode: Callable[[str, int], Spans], leaves: list[str], tok
     return parts[0][1] if parts else np.zeros((0, 3), dtype=np.int64)
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None, long_chars: int = 24_000, leaf_chars: int = 12_000, run: int = 64, out: str = "digest") -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None, long_chars: int = 36_000, leaf_chars: int = 12_000, run: int = 64, out: str = "digest") -> DataFrame:
     """Encode every whole text and decode it again.
 
     docs: any columns; `keep` (default ["doc_id"]) are carried along. Null texts count as empty and
