@@ -58,7 +58,7 @@ def prefixes(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 
 def places(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The place of every pivot in each vector's order."""
-    order = np.argsort(-_nearness(x, pivots), axis=1, kind="stable")
+    order = np.argsort(-_nearness(x, pivots), axis=1)
     out = np.empty(order.shape, dtype=np.int32)
     np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.int32)[None, :], 1)
     return out
@@ -72,6 +72,14 @@ def footrule(place: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     return out
 
 
+def looks_and_limit(x: np.ndarray, pivots: np.ndarray, sample: np.ndarray, looks: int, worth: float) -> np.ndarray:
+    """Of each query the files it looks into, nearest first, and the footrule distance within which lies the share `worth` of the sample's prefixes."""
+    place = places(x, pivots)
+    at = min(len(pivots) - 1, int(np.ceil(worth * len(pivots))))
+    first = np.argsort(place, axis=1)[:, :looks]
+    return np.column_stack([first, np.partition(footrule(place, sample), at, axis=1)[:, at]]).astype(np.int32)
+
+
 def _mapped(vectors: DataFrame, key: str, vector: str, column: str, of) -> DataFrame:
     """id, v and an int array that `of` makes of each batch of vectors."""
 
@@ -85,7 +93,7 @@ def _mapped(vectors: DataFrame, key: str, vector: str, column: str, of) -> DataF
     return vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"id long, v array<double>, {column} array<int>")
 
 
-def _search(found: pd.DataFrame, asked: pd.DataFrame, pivots: np.ndarray, sample: np.ndarray, k: int, posts: int, worth: float) -> pd.DataFrame:
+def _search(found: pd.DataFrame, asked: pd.DataFrame, pivots: np.ndarray, k: int, posts: int) -> pd.DataFrame:
     """One block of one inverted file against the queries that look into it: each query's k best of it."""
     none = pd.DataFrame({"query_id": pd.Series(dtype=np.int64), "vec_id": pd.Series(dtype=np.int64), "score": pd.Series(dtype=np.float64)})
     if not len(found) or not len(asked):
@@ -94,13 +102,12 @@ def _search(found: pd.DataFrame, asked: pd.DataFrame, pivots: np.ndarray, sample
     file = int(found["pivot"].iloc[0])
     ids, x, prefix = found["id"].to_numpy(), np.stack(found["v"].to_list()), np.stack(found["prefix"].to_list())
     norms = np.sqrt((x * x).sum(1))
-    at = min(len(pivots) - 1, int(np.ceil(worth * len(pivots))))
     out = []
     for k0 in range(0, len(asked), 64):
         part = asked.iloc[k0 : k0 + 64]
         v = np.stack(part["v"].to_list())
         place = places(v, pivots)
-        limit = np.partition(footrule(place, sample), at, axis=1)[:, at]
+        limit = part["limit"].to_numpy()
         # a vector is measured in the first of its files that the query looks into
         here = place[:, prefix[:, :posts]].min(axis=2) == place[:, file, None]
         here &= ids[None, :] != part["id"].to_numpy()[:, None]
@@ -144,7 +151,7 @@ def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: st
     share = min(1.0, worth / total**0.5)
     sample = np.concatenate([prefixes(chosen[at : at + 1024], chosen, prefix) for at in range(0, m, 1024)])
     shared, samples = (vectors.sparkSession.sparkContext.broadcast(x) for x in (chosen, sample))
-    asked = _mapped(rows.filter("asks"), key, vector, "prefix", lambda x: prefixes(x, shared.value, looks)).dropDuplicates(["id", "v"])
+    asked = _mapped(rows.filter("asks"), key, vector, "prefix", lambda x: looks_and_limit(x, shared.value, samples.value, looks, share)).dropDuplicates(["id", "v"])
     own = rows.select(key, vector).dropDuplicates([key, vector])
     stand = own.withColumn("copy", F.row_number().over(Window.partitionBy(vector).orderBy(key))).filter(F.col("copy") <= k + 1)
     index = written(_mapped(stand, key, vector, "prefix", lambda x: prefixes(x, shared.value, prefix)), "index")
@@ -152,12 +159,14 @@ def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: st
     blocks = posted.groupBy("pivot").agg(F.ceil(F.count("*") / block).alias("blocks"))
     # one row per pivot, at most most_pivots
     posted = posted.join(F.broadcast(blocks), "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
-    looking = asked.select("id", "v", F.explode("prefix").alias("pivot")).join(F.broadcast(blocks.toDF("pivot", "each")), "pivot")
+    looking = asked.select("id", "v", F.element_at("prefix", -1).alias("limit"), F.explode(F.slice("prefix", 1, looks)).alias("pivot")).join(F.broadcast(blocks.toDF("pivot", "each")), "pivot")
     looking = looking.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("each") - 1))).drop("each")
     found = (
         posted.groupBy("pivot", "block")
         .cogroup(looking.groupBy("pivot", "block"))
-        .applyInPandas(lambda a, b: _search(a, b, shared.value, samples.value, k, posts, share), "query_id long, vec_id long, score double")
+        .applyInPandas(lambda a, b: _search(a, b, shared.value, k, posts), "query_id long, vec_id long, score double")
     )
+    # should rounding in two files order two pivots differently, a vector could be found in both
+    found = found.dropDuplicates(["query_id", "vec_id"])
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
