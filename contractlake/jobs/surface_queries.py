@@ -198,13 +198,13 @@ def s5(spark: SparkSession, sf: str) -> DataFrame:
     return S.file_manifest(files).withColumn("path", F.regexp_extract("path", "[^/]+$", 0))
 
 
-@query("u1_extractor_registry", """SELECT source AS snapshot, 'chars' AS extractor_id, sum(length(text))::VARCHAR AS data, count(*) > 0 AS complete FROM documents WHERE lang IN ('en', 'de') GROUP BY 1 UNION ALL SELECT source, 'lines', sum(len(string_split(text, chr(10))))::VARCHAR, true FROM documents WHERE lang = 'fr' GROUP BY 1""")
+@query("u1_extractor_registry", """SELECT source AS snapshot, 'chars' AS extractor_id, sum(length(text))::VARCHAR AS data, count(*) > 0 AS complete FROM documents WHERE lang IS DISTINCT FROM 'fr' GROUP BY 1 UNION ALL SELECT source, 'lines', sum(len(string_split(text, chr(10))))::VARCHAR, true FROM documents WHERE lang = 'fr' GROUP BY 1""")
 def u1(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "documents").select(F.col("source").alias("snapshot"), F.col("lang").alias("source"), "text")
+    files = table(spark, sf, "documents").select(F.col("source").alias("snapshot"), F.coalesce("lang", F.lit("unknown")).alias("source"), "text")
     registry = ExtractorRegistry()
     summed = lambda c: lambda d: d.groupBy("snapshot").agg(F.sum(c).cast("string").alias("data"), F.lit(True).alias("complete"))
     registry.register("lines", ("fr",), summed(F.size(F.split("text", "\n"))))
-    registry.register("chars", ("en", "de"), summed(F.length("text")))
+    registry.register("chars", ("en", "de", "es", "unknown"), summed(F.length("text")))
     return registry.run(files)
 
 
