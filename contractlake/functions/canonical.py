@@ -88,6 +88,17 @@ def canonical_json(text: Column, dialect: str, drop: tuple[str, ...] = ()) -> Co
     return run(text)
 
 
+def verify_seal(text: Column, dialect: str, seal: str = "integrity", claim: str = "sha256") -> Column:
+    """struct(claimed, sha256, code) of a sealed JSON text: its digest without the member `seal`, and the one that this member claims.
+
+    code: null where they agree, SEAL_MISSING, SEAL_MISMATCH, or why the text is no JSON. Null text gives nulls.
+    """
+    made = canonical_json(text, dialect, drop=(seal,))
+    claimed = F.get_json_object(text, f"$.{seal}.{claim}")
+    code = F.when(made["error"].isNotNull(), made["error"]).when(text.isNotNull() & claimed.isNull(), F.lit("SEAL_MISSING")).when(claimed != made["sha256"], F.lit("SEAL_MISMATCH"))
+    return F.struct(claimed.alias("claimed"), made["sha256"].alias("sha256"), code.alias("code"))
+
+
 def nfc(text: Column) -> Column:
     """Unicode normal form C."""
 

@@ -14,19 +14,52 @@ from .registry import query, table
 
 @query(
     "k18_referential_integrity",
-    """WITH nodes AS (SELECT o_orderpriority AS r, 'o' || o_orderkey AS id FROM orders WHERE o_orderkey % 50 <> 0), e AS (SELECT o_orderpriority AS r, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id, 'o' || l_orderkey AS f, 'o' || (l_orderkey + l_linenumber) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    """WITH nodes AS (SELECT o_orderpriority AS r, 'o' || o_orderkey AS id FROM orders WHERE o_totalprice >= 20000), e AS (SELECT o_orderpriority AS r, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id, 'o' || l_orderkey AS f, 'o' || (l_orderkey + l_linenumber) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT r, 'EDGE_SOURCE_UNRESOLVED' AS code, id AS source_id, f AS target_id FROM e WHERE (r, f) NOT IN (SELECT r, id FROM nodes) UNION ALL SELECT r, 'EDGE_TARGET_UNRESOLVED', id, t FROM e WHERE (r, t) NOT IN (SELECT r, id FROM nodes)
 UNION ALL SELECT r, 'OWNER_UNRESOLVED', id, 'o' || (substr(id, 2)::BIGINT - 1) FROM nodes WHERE (r, 'o' || (substr(id, 2)::BIGINT - 1)) NOT IN (SELECT r, id FROM nodes)""",
 )
 def k18(spark: SparkSession, sf: str) -> DataFrame:
     o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     name = lambda c: F.concat(F.lit("o"), c.cast("string"))
-    nodes = o.filter("o_orderkey % 50 != 0").select(F.col("o_orderpriority").alias("r"), name(F.col("o_orderkey")).alias("id"), name(F.col("o_orderkey") - 1).alias("owner_id"))
+    nodes = o.filter("o_totalprice >= 20000").select(F.col("o_orderpriority").alias("r"), name(F.col("o_orderkey")).alias("id"), name(F.col("o_orderkey") - 1).alias("owner_id"))
     j = l.join(o, l["l_orderkey"] == o["o_orderkey"])
     edges = j.select(F.col("o_orderpriority").alias("r"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), name(F.col("l_orderkey")).alias("from_id"), name(F.col("l_orderkey") + F.col("l_linenumber")).alias("to_id"))
     return checks.referential_integrity(edges, nodes, nodes, ["r"])
 
 
+@query(
+    "k18_reference_kinds",
+    """WITH l AS (SELECT l_linestatus AS report, l_orderkey || '-' || l_linenumber AS s, 'p' || l_partkey AS p, 's' || l_suppkey AS u, l_returnflag AS f, l_quantity AS q FROM lineitem), r AS (SELECT report, 'schema' AS kind, s, p AS t FROM l UNION ALL SELECT report, 'source', s, u FROM l UNION ALL SELECT report, 'status', s, f FROM l),
+k AS (SELECT report, 'schema' AS kind, p AS t FROM l WHERE q > 45 UNION SELECT report, 'source', u FROM l WHERE q > 49 UNION SELECT report, 'status', f FROM l WHERE report = 'F')
+SELECT report, upper(kind) || '_UNRESOLVED' AS code, s AS source_id, t AS target_id FROM r WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.report = r.report AND k.kind = r.kind AND k.t = r.t)""",
+)
+def k18_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    l = table(spark, sf, "lineitem").withColumn("report", F.col("l_linestatus"))
+    ids = {"schema": F.concat(F.lit("p"), F.col("l_partkey").cast("string")), "source": F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), "status": F.col("l_returnflag")}
+    there = {"schema": F.col("l_quantity") > 45, "source": F.col("l_quantity") > 49, "status": F.col("l_linestatus") == "F"}
+    wide = l.select("report", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("source_id"), F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("target_id"), there[k].alias("there")) for k, c in ids.items()])))
+    return checks.reference_integrity(wide.drop("there"), wide.filter("there").select("report", "kind", F.col("target_id").alias("id")), ["report"])
+
+
+@query(
+    "k19_transition_integrity",
+    """WITH keys AS (SELECT 'c' || c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 'c' || (c_custkey * 2) END AS r FROM customer), o AS (SELECT 't' || o_orderkey AS id, 'v' || o_custkey AS version, o_orderpriority AS key, o_orderstatus AS state, 'e' || o_orderkey AS ref, o_totalprice AS p FROM orders),
+d AS (SELECT version, key FROM o WHERE p >= 50000), t AS (SELECT id, version, key, CASE WHEN p > 200000 THEN 'F' ELSE state END AS state FROM o), e AS (SELECT 'e' || l_orderkey AS ref FROM lineitem WHERE l_quantity > 45)
+SELECT id AS entity_id, 'REPLACEMENT_UNRESOLVED' AS code FROM keys WHERE r IS NOT NULL AND r NOT IN (SELECT id FROM keys)
+UNION ALL SELECT DISTINCT version, 'KEY_SET_MISMATCH' FROM o WHERE (version, key) NOT IN (SELECT version, key FROM d)
+UNION ALL SELECT id, 'TRANSITION_TARGET_INACTIVE' FROM t WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.version = t.version AND o.key = t.key AND o.state = t.state)
+UNION ALL SELECT id, 'EVIDENCE_UNRESOLVED' FROM o WHERE ref NOT IN (SELECT ref FROM e)""",
+)
+def k19_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    k = F.col("c_custkey")
+    keys = table(spark, sf, "customer").select(name("c", k).alias("id"), F.when(F.col("c_acctbal") < 0, name("c", k * 2)).alias("replaced_by"))
+    o = table(spark, sf, "orders").select(name("t", F.col("o_orderkey")).alias("id"), name("v", F.col("o_custkey")).alias("version"), F.col("o_orderpriority").alias("key"), F.col("o_orderstatus").alias("state"), name("e", F.col("o_orderkey")).alias("ref"), "o_totalprice")
+    transitions = o.withColumn("state", F.when(F.col("o_totalprice") > 200000, "F").otherwise(F.col("state")))
+    evidence = table(spark, sf, "lineitem").filter("l_quantity > 45").select(name("e", F.col("l_orderkey")).alias("ref"))
+    return checks.transition_integrity(keys, o.filter("o_totalprice >= 50000"), o, transitions, o.select(F.col("id").alias("entity"), "ref"), evidence)
+
+
 @query("a10_duplicates", "SELECT l_orderkey, l_linenumber, count(*) AS n, min(l_partkey) <> max(l_partkey) AS conflicting FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def a10(spark: SparkSession, sf: str) -> DataFrame:
     return checks.duplicates(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], F.col("l_partkey"))
@@ -34,7 +67,7 @@ def a10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "k3_source_coverage",
-    """WITH s AS (SELECT doc_id % 4 AS snapshot, 'spec' || doc_id AS spec_id, 'p' || doc_id AS path, doc_id % 2 = 0 AS required, ['the', 'der ', 'zzz'] AS symbols FROM documents), f AS (SELECT doc_id % 4 AS snapshot, 'p' || doc_id AS path, text FROM documents WHERE doc_id % 7 <> 0),
+    """WITH s AS (SELECT doc_id % 4 AS snapshot, 'spec' || doc_id AS spec_id, 'p' || doc_id AS path, doc_id % 2 = 0 AS required, ['the', 'der ', 'zzz'] AS symbols FROM documents), f AS (SELECT doc_id % 4 AS snapshot, 'p' || doc_id AS path, text FROM documents WHERE length(text) >= 300),
 j AS (SELECT s.*, f.text, list_sort(list_filter(symbols, lambda x: NOT contains(f.text, x))) AS absent FROM s LEFT JOIN f USING (snapshot, path))
 SELECT snapshot, spec_id, CASE WHEN text IS NULL AND required THEN 'REQUIRED_SOURCE_UNAVAILABLE' WHEN text IS NULL THEN 'OPTIONAL_SOURCE_UNAVAILABLE' ELSE 'EXPECTED_SYMBOL_ABSENT' END AS code, CASE WHEN text IS NULL AND required THEN 'error' ELSE 'warning' END AS severity, CASE WHEN text IS NOT NULL THEN absent END AS symbols
 FROM j WHERE text IS NULL OR len(absent) > 0""",
@@ -44,7 +77,7 @@ def k3(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("doc_id")
     path = F.concat(F.lit("p"), k.cast("string")).alias("path")
     specs = d.select((k % 4).alias("snapshot"), F.concat(F.lit("spec"), k.cast("string")).alias("spec_id"), path, (k % 2 == 0).alias("required"), F.array(F.lit("the"), F.lit("der "), F.lit("zzz")).alias("symbols"))
-    return checks.source_coverage(specs, d.filter("doc_id % 7 != 0").select((k % 4).alias("snapshot"), path, "text"))
+    return checks.source_coverage(specs, d.filter("length(text) >= 300").select((k % 4).alias("snapshot"), path, "text"))
 
 
 @query(
@@ -188,7 +221,7 @@ def p21(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "k19_history_integrity",
-    """WITH keys AS (SELECT c_custkey AS id, ['s' || c_custkey, 's' || (c_custkey + 1)] AS refs, CASE WHEN c_custkey % 9 = 0 THEN 's0x' ELSE 's' || c_custkey END AS cur FROM customer WHERE c_custkey % 12 <> 0), states AS (SELECT 's' || c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN c_custkey ELSE c_custkey - c_custkey % 2 END AS owner FROM customer WHERE c_custkey % 8 <> 0),
+    """WITH keys AS (SELECT c_custkey AS id, ['s' || c_custkey, 's' || (c_custkey + 1)] AS refs, CASE WHEN c_custkey % 9 = 0 THEN 's0x' ELSE 's' || c_custkey END AS cur FROM customer WHERE c_acctbal >= 0), states AS (SELECT 's' || c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN c_custkey ELSE c_custkey - c_custkey % 2 END AS owner FROM customer WHERE c_mktsegment <> 'BUILDING'),
 v AS (SELECT o_orderkey AS version, o_custkey AS key, 's' || o_custkey AS state FROM orders), r AS (SELECT id, unnest(refs) AS ref FROM keys)
 SELECT r.id AS entity_id, CASE WHEN owner IS NULL THEN 'STATE_UNRESOLVED' ELSE 'STATE_OWNER_MISMATCH' END AS code FROM r LEFT JOIN states s ON s.id = ref WHERE owner IS NULL OR owner <> r.id
 UNION ALL SELECT id, 'CURRENT_NOT_DECLARED' FROM keys WHERE NOT list_contains(refs, cur) UNION ALL SELECT version, 'VERSION_STATE_UNRESOLVED' FROM v WHERE state NOT IN (SELECT id FROM states) UNION ALL SELECT version, 'VERSION_KEY_UNKNOWN' FROM v WHERE key NOT IN (SELECT id FROM keys)""",
@@ -197,7 +230,7 @@ def k19(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
     k = F.col("c_custkey")
     s = lambda x: F.concat(F.lit("s"), x.cast("string"))
-    keys = c.filter("c_custkey % 12 != 0").select(k.alias("id"), F.array(s(k), s(k + 1)).alias("state_refs"), F.when(k % 9 == 0, F.lit("s0x")).otherwise(s(k)).alias("current_state"))
-    states = c.filter("c_custkey % 8 != 0").select(s(k).alias("id"), F.when(k % 5 == 0, k).otherwise(k - k % 2).alias("owner"))
+    keys = c.filter("c_acctbal >= 0").select(k.alias("id"), F.array(s(k), s(k + 1)).alias("state_refs"), F.when(k % 9 == 0, F.lit("s0x")).otherwise(s(k)).alias("current_state"))
+    states = c.filter("c_mktsegment != 'BUILDING'").select(s(k).alias("id"), F.when(k % 5 == 0, k).otherwise(k - k % 2).alias("owner"))
     versions = table(spark, sf, "orders").select(F.col("o_orderkey").alias("version"), F.col("o_custkey").alias("key"), s(F.col("o_custkey")).alias("state"))
     return checks.history_integrity(keys, states, versions)

@@ -163,11 +163,11 @@ def w2(spark: SparkSession, sf: str) -> DataFrame:
     return version_view(diff_queries.history(spark, sf), ["catalog", "key"], F.lit(1997 * 12))
 
 
-@query("w3_ordinal_contiguity", "WITH v AS (SELECT conv_id, turn FROM conversations WHERE (conv_id + turn) % 9 <> 0), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS expected FROM v) SELECT conv_id, turn, expected::INT AS expected FROM n WHERE turn <> expected")
+@query("w3_ordinal_contiguity", "WITH v AS (SELECT conv_id, turn FROM conversations WHERE length(text) >= 60), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS expected FROM v) SELECT conv_id, turn, expected::INT AS expected FROM n WHERE turn <> expected")
 def w3(spark: SparkSession, sf: str) -> DataFrame:
     from contractlake.operators.timelines import ordinal_gaps
 
-    return ordinal_gaps(table(spark, sf, "conversations").filter("(conv_id + turn) % 9 != 0").select("conv_id", "turn"), ["conv_id"], "turn")
+    return ordinal_gaps(table(spark, sf, "conversations").filter("length(text) >= 60").select("conv_id", "turn"), ["conv_id"], "turn")
 
 
 @query("k10_select_version", """WITH v AS (SELECT n_nationkey AS catalog, 'v' || i AS version, 'c' || (n_nationkey * 10 + i) AS commit, i = 4 AS current FROM nation, range(5) t(i)), q AS (SELECT c_custkey AS request, c_nationkey AS catalog, CASE WHEN c_custkey % 3 = 0 THEN 'v' || c_custkey % 6 END AS version, CASE WHEN c_custkey % 3 = 1 THEN 'c' || (c_nationkey * 10 + c_custkey % 8) END AS commit FROM customer)
@@ -212,6 +212,20 @@ def w9(spark: SparkSession, sf: str) -> DataFrame:
     return records.page_items(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("thread"), F.col("l_partkey").alias("item")), ["thread"], "item", 25)
 
 
+@query(
+    "w9_page_after",
+    """WITH q AS (SELECT s_suppkey * 2 + b AS request, s_suppkey AS thread, CASE WHEN s_acctbal >= 0 THEN floor(s_acctbal / 50)::BIGINT END AS cur, 10 + s_nationkey AS size, b = 1 AS backward FROM supplier, range(2) t(b)), i AS (SELECT DISTINCT l_suppkey AS thread, l_partkey AS item FROM lineitem),
+n AS (SELECT request, size, item, row_number() OVER (PARTITION BY request ORDER BY CASE WHEN backward THEN -item ELSE item END) AS position FROM q JOIN i USING (thread) WHERE cur IS NULL OR CASE WHEN backward THEN item < cur ELSE item > cur END),
+c AS (SELECT request, max(item) FILTER (position = size) AS last_item, max(position) > max(size) AS more FROM n GROUP BY request)
+SELECT request, position::INT AS position, item, CASE WHEN more THEN last_item END AS next_cursor FROM n JOIN c USING (request) WHERE position <= size""",
+)
+def w9_after(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier").withColumn("b", F.explode(F.array(F.lit(0), F.lit(1))))
+    cursor = F.when(F.col("s_acctbal") >= 0, F.floor(F.col("s_acctbal") / 50))
+    requests = s.select((F.col("s_suppkey") * 2 + F.col("b")).alias("request"), F.col("s_suppkey").alias("thread"), cursor.alias("cursor"), (F.col("s_nationkey") + 10).alias("size"), (F.col("b") == 1).alias("backward"))
+    return records.page_after(requests, table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "thread"), ["thread"], "l_partkey")
+
+
 _URLS = ["https://a.example/x?q=1#f", "https://a.example:443/y", "http://a.example/z", "https://u:p@b.example/w"]
 
 
@@ -285,7 +299,13 @@ def g5(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.closure(edges, table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id")))
 
 
-@query("w7_pointer_cas")
+@query(
+    "w7_pointer_cas",
+    """WITH RECURSIVE u AS (SELECT user_id AS thread, event_id AS seq, CASE WHEN value < 50 THEN NULL ELSE event_type END AS expected, event_type AS new, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT thread, seq, n, CASE WHEN expected IS NULL THEN 'accepted' ELSE 'conflict' END AS outcome, CASE WHEN expected IS NULL THEN new END AS pointer FROM u WHERE n = 1
+UNION ALL SELECT u.thread, u.seq, u.n, CASE WHEN u.expected IS NOT DISTINCT FROM r.pointer THEN 'accepted' ELSE 'conflict' END, CASE WHEN u.expected IS NOT DISTINCT FROM r.pointer THEN u.new ELSE r.pointer END FROM r JOIN u ON u.thread = r.thread AND u.n = r.n + 1)
+SELECT thread, seq, outcome, pointer FROM r""",
+)
 def w7(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(F.col("user_id").alias("thread"), F.col("event_id").alias("seq"), F.when(F.col("value") < 50, F.lit(None).cast("string")).otherwise(F.col("event_type")).alias("expected"), F.col("event_type").alias("new"))
     return CJ.cas_fold(e)
@@ -298,6 +318,20 @@ def j1_j3(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", CJ.canonical_json(text, "utf8", drop=("integrity",)).alias("c")).select("event_id", "c.*")
 
 
+@query(
+    "j3_verify_seal",
+    """WITH s AS (SELECT event_id, event_type, value, sha256('{"a":' || user_id || ',"k":"' || event_type || '"}') AS sha256 FROM events), c AS (SELECT event_id, CASE WHEN event_type = 'click' THEN NULL WHEN value < 50 THEN sha256(event_type) ELSE sha256 END AS claimed, sha256 FROM s)
+SELECT event_id, claimed, sha256, CASE WHEN claimed IS NULL THEN 'SEAL_MISSING' WHEN claimed <> sha256 THEN 'SEAL_MISMATCH' END AS code FROM c""",
+)
+def j3_verify(spark: SparkSession, sf: str) -> DataFrame:
+    """Seals of other texts where the value is small, and none on clicks."""
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    own = F.sha2(F.concat(F.lit('{"a":'), user, F.lit(',"k":"'), kind, F.lit('"}')), 256)
+    seal = F.concat(F.lit(', "integrity": {"sha256": "'), F.when(F.col("value") < 50, F.sha2(kind, 256)).otherwise(own), F.lit('"}'))
+    text = F.concat(F.lit('{ "k" : "'), kind, F.lit('"'), F.when(kind == "click", F.lit("")).otherwise(seal), F.lit(', "a": '), user, F.lit(" }"))
+    return table(spark, sf, "events").select("event_id", CJ.verify_seal(text, "utf8").alias("s")).select("event_id", "s.*")
+
+
 @query("j4_duplicate_json_keys", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'duplicate key a' WHEN 1 THEN 'no JSON' END AS error FROM events")
 def j4(spark: SparkSession, sf: str) -> DataFrame:
     text = F.when(_k() % 3 == 0, F.lit('{"a":1,"a":2}')).when(_k() % 3 == 1, F.lit("{")).otherwise(F.col("props"))

@@ -119,11 +119,38 @@ def a11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "a12_graph_views",
-    "WITH e AS (SELECT o_custkey AS f, o_orderkey % 400 AS t FROM orders), k AS (SELECT DISTINCT c_custkey AS t FROM customer WHERE c_custkey % 3 <> 0) SELECT f AS from_id, list_sort(list(DISTINCT t)) AS targets, coalesce(list_sort(list(DISTINCT t) FILTER (t NOT IN (SELECT t FROM k))), []) AS unresolved FROM e GROUP BY f",
+    "WITH e AS (SELECT o_custkey AS f, o_orderkey % 400 AS t FROM orders), k AS (SELECT DISTINCT c_custkey AS t FROM customer WHERE c_acctbal >= 0) SELECT f AS from_id, list_sort(list(DISTINCT t)) AS targets, coalesce(list_sort(list(DISTINCT t) FILTER (t NOT IN (SELECT t FROM k))), []) AS unresolved FROM e GROUP BY f",
 )
 def a12(spark: SparkSession, sf: str) -> DataFrame:
     edges = table(spark, sf, "orders").select(F.col("o_custkey").alias("from_id"), (F.col("o_orderkey") % 400).alias("to_id"))
-    return rollups.graph_views(edges, table(spark, sf, "customer").filter("c_custkey % 3 != 0").select(F.col("c_custkey").alias("id")), [])
+    return rollups.graph_views(edges, table(spark, sf, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("id")), [])
+
+
+_EDGES = "e AS (SELECT l_returnflag AS report, l_orderkey || '-' || l_linenumber AS id, 'p' || l_partkey AS f, 's' || l_suppkey AS t, CASE WHEN l_tax > 0.04 THEN l_linestatus END AS x FROM lineitem)"
+
+
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    feature = F.when(F.col("l_tax") > 0.04, F.col("l_linestatus")).alias("feature")
+    return table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("report"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), name("p", "l_partkey").alias("from_id"), name("s", "l_suppkey").alias("to_id"), feature, "l_discount")
+
+
+@query("a12_edge_views", f"WITH {_EDGES} SELECT report, 'source' AS kind, f AS member, id AS edge_id FROM e UNION SELECT report, 'target', t, id FROM e UNION SELECT report, 'feature', x, id FROM e WHERE x IS NOT NULL")
+def a12_views(spark: SparkSession, sf: str) -> DataFrame:
+    return rollups.edge_views(_edges(spark, sf), ["report"])
+
+
+@query(
+    "a12_graph_coverage",
+    f"""WITH {_EDGES}, n AS (SELECT l_returnflag AS report, 'p' || l_partkey AS id FROM lineitem WHERE l_discount > 0.06 UNION SELECT l_returnflag, 's' || l_suppkey FROM lineitem WHERE l_discount > 0.06 UNION SELECT 'N', 'c' || c_custkey FROM customer), u AS (SELECT report, f AS id FROM e UNION SELECT report, t FROM e),
+j AS (SELECT coalesce(n.report, u.report) AS report, n.id IS NOT NULL AS known, u.id IS NOT NULL AS used FROM n FULL JOIN u ON n.report = u.report AND n.id = u.id), c AS (SELECT report, count(*) FILTER (known) AS nodes, count(*) FILTER (known AND used) AS linked, count(*) FILTER (NOT known) AS unresolved FROM j GROUP BY report), m AS (SELECT report, count(DISTINCT id) AS edges FROM e GROUP BY report)
+SELECT report, nodes, linked, unresolved, coalesce(edges, 0) AS edges FROM c LEFT JOIN m USING (report)""",
+)
+def a12_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    edges = _edges(spark, sf)
+    nodes = edges.filter("l_discount > 0.06").select("report", F.explode(F.array("from_id", "to_id")).alias("id"))
+    alone = table(spark, sf, "customer").select(F.lit("N").alias("report"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+    return rollups.graph_coverage(edges, nodes.unionByName(alone), ["report"])
 
 
 @query(

@@ -124,35 +124,35 @@ def k13(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.frame_mapping(frames, headers, pairs, ["k"])
 
 
-@query("k14_feature_crosswalk", """WITH f AS (SELECT c_custkey AS x FROM customer WHERE c_custkey % 5 <> 0), p AS (SELECT DISTINCT o_custkey AS x FROM orders WHERE o_orderkey % 3 = 0) SELECT 'f' || coalesce(f.x, p.x) AS feature, CASE WHEN f.x IS NULL THEN 'schema_only' WHEN p.x IS NOT NULL THEN 'direct' WHEN f.x % 7 = 0 THEN 'embedded' WHEN f.x % 7 = 1 THEN 'intentionally_omitted' ELSE 'missing' END AS representation FROM f FULL JOIN p ON f.x = p.x""")
+@query("k14_feature_crosswalk", """WITH f AS (SELECT c_custkey AS x FROM customer WHERE c_acctbal >= 0), p AS (SELECT DISTINCT o_custkey AS x FROM orders WHERE o_totalprice < 100000) SELECT 'f' || coalesce(f.x, p.x) AS feature, CASE WHEN f.x IS NULL THEN 'schema_only' WHEN p.x IS NOT NULL THEN 'direct' WHEN f.x % 7 = 0 THEN 'embedded' WHEN f.x % 7 = 1 THEN 'intentionally_omitted' ELSE 'missing' END AS representation FROM f FULL JOIN p ON f.x = p.x""")
 def k14(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
-    c = table(spark, sf, "customer").select(k, _name("f", k).alias("feature"))
+    c = table(spark, sf, "customer").select(k, "c_acctbal", _name("f", k).alias("feature"))
     policy = c.filter("c_custkey % 7 < 2").select("feature", F.when(k % 7 == 0, "embed").otherwise("omit").alias("action"))
-    return coverage.feature_crosswalk(c.filter("c_custkey % 5 != 0").select("feature"), table(spark, sf, "orders").filter("o_orderkey % 3 = 0").select(_name("f", F.col("o_custkey")).alias("feature")), policy)
+    return coverage.feature_crosswalk(c.filter("c_acctbal >= 0").select("feature"), table(spark, sf, "orders").filter("o_totalprice < 100000").select(_name("f", F.col("o_custkey")).alias("feature")), policy)
 
 
-@query("k15_effect_links", """WITH e AS (SELECT o_orderkey AS effect, unnest(['p' || o_custkey, 'q' || o_orderkey % 10]) AS asked FROM orders), x AS (SELECT 'p' || c_custkey AS path FROM customer WHERE c_custkey % 2 = 0 UNION SELECT 'profiles.*.p' || c_custkey FROM customer WHERE c_custkey % 3 = 0),
+@query("k15_effect_links", """WITH e AS (SELECT o_orderkey AS effect, unnest(['p' || o_custkey, 'q' || o_orderkey % 10]) AS asked FROM orders), x AS (SELECT 'p' || c_custkey AS path FROM customer WHERE c_acctbal >= 3000 UNION SELECT 'profiles.*.p' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'),
 h AS (SELECT effect, asked, path, true AS found FROM e JOIN x ON path = asked OR path = 'profiles.*.' || asked) SELECT * FROM h UNION ALL SELECT effect, asked, asked, false FROM e WHERE (effect, asked) NOT IN (SELECT effect, asked FROM h)""")
 def k15(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("c_custkey")
     effects = table(spark, sf, "orders").select(F.col("o_orderkey").alias("effect"), F.array(_name("p", F.col("o_custkey")), _name("q", F.col("o_orderkey") % 10)).alias("paths"))
     customers = table(spark, sf, "customer")
-    paths = customers.filter("c_custkey % 2 = 0").select(_name("p", c).alias("path")).unionByName(customers.filter("c_custkey % 3 = 0").select(_name("profiles.*.p", c).alias("path")))
+    paths = customers.filter("c_acctbal >= 3000").select(_name("p", c).alias("path")).unionByName(customers.filter("c_mktsegment = 'BUILDING'").select(_name("profiles.*.p", c).alias("path")))
     return coverage.effect_links(effects, paths)
 
 
-@query("k16_surface_coverage", """WITH x AS (SELECT o_custkey AS module, bool_and(o_orderkey % 5 <> 0) AS a FROM orders GROUP BY 1) SELECT c_custkey AS module, CASE WHEN c_custkey % 10 = 0 THEN 'excluded' WHEN a IS NULL THEN 'unclassified' WHEN a THEN 'classified' ELSE 'incomplete' END AS state FROM customer LEFT JOIN x ON module = c_custkey""")
+@query("k16_surface_coverage", """WITH x AS (SELECT o_custkey AS module, bool_and(o_totalprice >= 30000) AS a FROM orders GROUP BY 1) SELECT c_custkey AS module, CASE WHEN c_acctbal < 0 THEN 'excluded' WHEN a IS NULL THEN 'unclassified' WHEN a THEN 'classified' ELSE 'incomplete' END AS state FROM customer LEFT JOIN x ON module = c_custkey""")
 def k16(spark: SparkSession, sf: str) -> DataFrame:
     c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
     surface = F.col("o_orderkey").alias("surface")
-    return coverage.surface_coverage(c.select(F.col("c_custkey").alias("module")), o.select(F.col("o_custkey").alias("module"), surface), o.filter("o_orderkey % 5 != 0").select(surface), c.filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("module")))
+    return coverage.surface_coverage(c.select(F.col("c_custkey").alias("module")), o.select(F.col("o_custkey").alias("module"), surface), o.filter("o_totalprice >= 30000").select(surface), c.filter("c_acctbal < 0").select(F.col("c_custkey").alias("module")))
 
 
-@query("k17_event_catalog", """WITH d AS (SELECT DISTINCT 'k' || l_partkey AS kind FROM lineitem WHERE l_partkey % 3 <> 0), p AS (SELECT 'k' || p_partkey AS kind, p_type AS disposition FROM part WHERE p_partkey % 2 = 0) SELECT coalesce(d.kind, p.kind) AS kind, coalesce(disposition, 'discovered_not_classified') AS disposition, d.kind IS NOT NULL AS discovered FROM d FULL JOIN p ON d.kind = p.kind""")
+@query("k17_event_catalog", """WITH d AS (SELECT DISTINCT 'k' || l_partkey AS kind FROM lineitem WHERE l_quantity > 45), p AS (SELECT 'k' || p_partkey AS kind, p_type AS disposition FROM part WHERE p_size < 25) SELECT coalesce(d.kind, p.kind) AS kind, coalesce(disposition, 'discovered_not_classified') AS disposition, d.kind IS NOT NULL AS discovered FROM d FULL JOIN p ON d.kind = p.kind""")
 def k17(spark: SparkSession, sf: str) -> DataFrame:
-    discovered = table(spark, sf, "lineitem").filter("l_partkey % 3 != 0").select(_name("k", F.col("l_partkey")).alias("kind"))
-    return coverage.event_catalog(discovered, table(spark, sf, "part").filter("p_partkey % 2 = 0").select(_name("k", F.col("p_partkey")).alias("kind"), F.col("p_type").alias("disposition")))
+    discovered = table(spark, sf, "lineitem").filter("l_quantity > 45").select(_name("k", F.col("l_partkey")).alias("kind"))
+    return coverage.event_catalog(discovered, table(spark, sf, "part").filter("p_size < 25").select(_name("k", F.col("p_partkey")).alias("kind"), F.col("p_type").alias("disposition")))
 
 
 @query("k20_profile_evaluation", """WITH r AS (SELECT o_custkey AS report, list(DISTINCT o_orderpriority) AS o, o_custkey % 9 = 0 AS legacy, o_custkey % 2 AS p FROM orders GROUP BY 1), m AS (SELECT *, list_sort(list_filter(CASE p WHEN 0 THEN ['1-URGENT', '2-HIGH'] ELSE ['3-MEDIUM', '5-LOW', '9-NONE'] END, lambda x: NOT list_contains(o, x))) AS missing FROM r) SELECT report, missing, len(missing) = 0 AND (NOT legacy OR p = 1) AS complete FROM m""")
@@ -208,6 +208,20 @@ def u1(spark: SparkSession, sf: str) -> DataFrame:
     return registry.run(files)
 
 
+@query(
+    "u1_extractor_diagnostics",
+    """WITH s AS (SELECT DISTINCT source AS snapshot FROM documents), w AS (SELECT snapshot, e.id AS extractor_id, unnest(e.w) AS wanted FROM s, (VALUES ('chars', ['en', 'de', 'es', 'unknown']), ('lines', ['fr', 'it']), ('none', ['xx'])) e(id, w)), d AS (SELECT DISTINCT source AS snapshot, coalesce(lang, 'unknown') AS lang FROM documents),
+g AS (SELECT w.snapshot, extractor_id, list_sort(list(wanted) FILTER (d.lang IS NOT NULL)) AS present, list_sort(list(wanted) FILTER (d.lang IS NULL)) AS missing FROM w LEFT JOIN d ON w.snapshot IS NOT DISTINCT FROM d.snapshot AND d.lang = wanted GROUP BY w.snapshot, extractor_id)
+SELECT snapshot, extractor_id, coalesce(present, []) AS present, missing, CASE WHEN present IS NULL THEN 'SOURCES_ABSENT' ELSE 'SOURCES_PARTIAL' END AS code FROM g WHERE missing IS NOT NULL""",
+)
+def u1_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    files = table(spark, sf, "documents").select(F.col("source").alias("snapshot"), F.coalesce("lang", F.lit("unknown")).alias("source"))
+    registry = ExtractorRegistry()
+    for name, sources in (("lines", ("fr", "it")), ("chars", ("en", "de", "es", "unknown")), ("none", ("xx",))):
+        registry.register(name, sources, lambda d: d)
+    return registry.diagnostics(files)
+
+
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a stream of files."""
     schema = table(spark, sf, "events").schema
@@ -239,6 +253,18 @@ def t2(spark: SparkSession, sf: str) -> DataFrame:
     return changes.groupBy("thread", "turn").agg(F.max(F.struct("seq", "status")).alias("m")).select("thread", "turn", "m.*")
 
 
+@query("t2_reduce_items", "WITH e AS (SELECT user_id AS thread, event_id // 500 AS turn, value < 50 AS item, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'Completed' WHEN 'signup' THEN 'Interrupted' WHEN 'error' THEN 'Failed' ELSE 'InProgress' END AS status FROM events), t AS (SELECT thread, turn, item, min(seq) FILTER (status <> 'InProgress') AS ts, arg_min(status, seq) FILTER (status <> 'InProgress') AS st, min(seq) AS fs FROM e GROUP BY ALL) SELECT thread, turn, item, coalesce(ts, fs) AS seq, coalesce(st, 'InProgress') AS status FROM t")
+def t2_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The items of turns, under a watermark that lets ended ones be forgotten."""
+    s = _stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "Completed").when(kind == "signup", "Interrupted").when(kind == "error", "Failed").otherwise("InProgress")
+    e = s.select(F.col("user_id").alias("thread"), F.floor(F.col("event_id") / 500).alias("turn"), (F.col("value") < 50).alias("item"), F.col("event_id").alias("seq"), status.alias("status"), "ts")
+    keys = ("thread", "turn", "item")
+    changes = T.finished(T.reduce_turns(e, keys, "ts"), lineage.scratch(spark, "items"), lineage.scratch(spark, "state"))
+    return changes.groupBy(*keys).agg(F.max(F.struct("seq", "status")).alias("m")).select(*keys, "m.*")
+
+
 @query("t2_reduce_turns_batch", f"WITH {_TURNS} SELECT thread, turn, coalesce(ts, fs) AS seq, coalesce(st, 'InProgress') AS status FROM t")
 def t2_batch(spark: SparkSession, sf: str) -> DataFrame:
     return T.reduce_turns_batch(_turn_events(table(spark, sf, "events")))

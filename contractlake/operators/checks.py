@@ -25,6 +25,17 @@ def referential_integrity(edges: DataFrame, nodes: DataFrame, owners: DataFrame,
     return start.unionByName(end).unionByName(owner)
 
 
+def reference_integrity(references: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """References of all kinds in one join. references: keys, kind, source_id, target_id; known: keys, kind, id. Rows keys, code (the kind and _UNRESOLVED), source_id, target_id.
+
+    kind names what the target must be (schema, field, source, status, entity, …): an id of another
+    kind resolves nothing, nor does a null one.
+    """
+    ids = known.select(*keys, "kind", F.col("id").alias("target_id")).distinct()
+    lost = references.join(ids, [*keys, "kind", "target_id"], "left_anti")
+    return lost.select(*keys, F.concat(F.upper("kind"), F.lit("_UNRESOLVED")).alias("code"), "source_id", "target_id")
+
+
 def duplicates(rows: DataFrame, keys: list[str], content: Column) -> DataFrame:
     """Keys that occur more than once: keys, n, conflicting (their contents differ)."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), (F.min(content) != F.max(content)).alias("conflicting")).filter("n > 1")
@@ -201,3 +212,23 @@ def history_integrity(keys: DataFrame, states: DataFrame, versions: DataFrame) -
     lost = versions.join(states.select(F.col("id").alias("state")), "state", "left_anti").select(F.col("version").alias("entity_id"), F.lit("VERSION_STATE_UNRESOLVED").alias("code"))
     unknown = versions.join(keys.select(F.col("id").alias("key")), "key", "left_anti").select(F.col("version").alias("entity_id"), F.lit("VERSION_KEY_UNKNOWN").alias("code"))
     return bad.filter("code is not null").unionByName(current).unionByName(lost).unionByName(unknown)
+
+
+def transition_integrity(keys: DataFrame, declared: DataFrame, members: DataFrame, transitions: DataFrame, references: DataFrame, evidence: DataFrame) -> DataFrame:
+    """keys: id, replaced_by (null: by none); declared: version, key; members: version, key, state; transitions: id, version, key, state; references: entity, ref; evidence: ref. Rows entity_id, code.
+
+    REPLACEMENT_UNRESOLVED, KEY_SET_MISMATCH (once a version), TRANSITION_TARGET_INACTIVE, EVIDENCE_UNRESOLVED.
+    """
+
+    def lost(rows: DataFrame, among: DataFrame, on: list[str], entity: str, code: str) -> DataFrame:
+        return rows.join(among.select(*on).distinct(), on, "left_anti").select(F.col(entity).alias("entity_id"), F.lit(code).alias("code"))
+
+    replaced = keys.filter("replaced_by is not null").select("id", F.col("replaced_by").alias("key"))
+    pair = ["version", "key"]
+    sets = lost(members, declared, pair, "version", "KEY_SET_MISMATCH").unionByName(lost(declared, members, pair, "version", "KEY_SET_MISMATCH")).distinct()
+    return (
+        lost(replaced, keys.select(F.col("id").alias("key")), ["key"], "id", "REPLACEMENT_UNRESOLVED")
+        .unionByName(sets)
+        .unionByName(lost(transitions, members, [*pair, "state"], "id", "TRANSITION_TARGET_INACTIVE"))
+        .unionByName(lost(references, evidence, ["ref"], "entity", "EVIDENCE_UNRESOLVED"))
+    )

@@ -32,3 +32,14 @@ class ExtractorRegistry:
             own = files.filter(F.col("source").isin(*sources))
             parts.append(extract(own).select("snapshot", F.lit(name).alias("extractor_id"), "data", "complete"))
         return reduce(DataFrame.unionByName, parts)
+
+    def diagnostics(self, files: DataFrame) -> DataFrame:
+        """Extractors that lack sources in a snapshot: snapshot, extractor_id, present, missing (sorted), code SOURCES_ABSENT (it gives no row there) or SOURCES_PARTIAL."""
+        asked = sorted({s for sources, _ in self.known.values() for s in sources})
+        # a set of registered names at most
+        there = files.groupBy("snapshot").agg(F.collect_set(F.when(F.col("source").isin(*asked), F.col("source"))).alias("there"))
+        wanted = F.array(*[F.struct(F.lit(name).alias("extractor_id"), F.array(*map(F.lit, sources)).alias("wanted")) for name, (sources, _) in sorted(self.known.items())])
+        j = there.select("snapshot", "there", F.inline(wanted))
+        present, missing = F.array_sort(F.array_intersect("wanted", "there")), F.array_sort(F.array_except("wanted", "there"))
+        code = F.when(F.size(present) == 0, F.lit("SOURCES_ABSENT")).otherwise(F.lit("SOURCES_PARTIAL"))
+        return j.filter(F.size(missing) > 0).select("snapshot", "extractor_id", present.alias("present"), missing.alias("missing"), code.alias("code"))

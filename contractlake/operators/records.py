@@ -144,6 +144,21 @@ def page_items(items: DataFrame, keys: list[str], order: str, size: int) -> Data
     return paged.withColumn("next_cursor", F.when(F.coalesce(more, F.lit(False)), last)).drop("n", "next")
 
 
+def page_after(requests: DataFrame, items: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """requests: request, keys, cursor (null: from that end), size, backward. A page each: request, position (from 1), item, next_cursor (null where nothing lies beyond).
+
+    Forward takes the next different items after the cursor, backward those before it, the nearest
+    first. The join is on the keys: an item meets the requests of its own key alone.
+    """
+    j = requests.join(items.select(*keys, F.col(order).alias("item")).distinct(), keys)
+    beyond = F.when(F.col("backward"), F.col("item") < F.col("cursor")).otherwise(F.col("item") > F.col("cursor"))
+    w = Window.partitionBy("request").orderBy(F.when(F.col("backward"), F.col("item")).desc(), F.col("item"))
+    n = j.filter(F.col("cursor").isNull() | beyond).withColumn("position", F.row_number().over(w)).filter("position <= size + 1")
+    n = n.withColumn("before", F.lag("item").over(w))
+    n = n.withColumn("next_cursor", F.max(F.when(F.col("position") > F.col("size"), F.col("before"))).over(Window.partitionBy("request")))
+    return n.filter("position <= size").select("request", "position", "item", "next_cursor")
+
+
 def retry_plan(attempts: DataFrame, request: str, order: list[str], budget: int = 5, base_ms: int = 200) -> DataFrame:
     """attempts: retryable, retry_delay_ms, connection_failed. Adds attempt (from 1), action (stop, retry, fallback) and delay_ms.
 

@@ -7,10 +7,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 IDENTITY = ["category", "code", "source_id", "field_id", "location"]
@@ -128,6 +124,25 @@ def graph_views(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFram
     return j.groupBy(*keys, "from_id").agg(F.array_sort(F.collect_set("to_id")).alias("targets"), F.array_sort(F.collect_set(F.when(F.col("known").isNull(), F.col("to_id")))).alias("unresolved"))
 
 
+def edge_views(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """edges: keys, id, from_id, to_id, feature (null: none). The index of edges by what they touch: keys, kind (source, target, feature), member, edge_id.
+
+    Rows stay rows: the edges of a member that most of them touch need not fit in one task.
+    """
+    touched = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("member")) for kind, c in (("source", "from_id"), ("target", "to_id"), ("feature", "feature"))])
+    return edges.select(*keys, F.col("id").alias("edge_id"), F.inline(touched)).filter("member is not null").distinct()
+
+
+def graph_coverage(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of each report (keys, one at least): nodes, linked (nodes that an edge touches), unresolved (ids at an edge that are no node) and edges."""
+    ends = edges.select(*keys, F.explode(F.array("from_id", "to_id")).alias("id")).filter("id is not null").distinct()
+    known = nodes.select(*keys, "id").distinct().withColumn("known", F.lit(True))
+    j = known.join(ends.withColumn("used", F.lit(True)), [*keys, "id"], "full_outer")
+    counts = j.groupBy(*keys).agg(F.count("known").alias("nodes"), F.count_if(F.col("known") & F.col("used")).alias("linked"), F.count_if(F.col("known").isNull()).alias("unresolved"))
+    made = edges.groupBy(*keys).agg(F.count_distinct("id").alias("edges"))
+    return counts.join(made, keys, "left").fillna(0, "edges")
+
+
 def build_edges(rows: DataFrame) -> DataFrame:
     """rows: from_id, to_id, relation, seq. One edge per id, a hash of the three; the last seq stays."""
     from contractlake.functions.ids import fingerprint

@@ -36,13 +36,20 @@ def shrunk(projected: DataFrame, log: DataFrame) -> DataFrame:
     return a.join(b, "rollout", "left").filter("logged is null or logged < projected").withColumn("code", F.lit("ROLLOUT_LOG_SHRUNK"))
 
 
-def reduce_turns(events: DataFrame) -> DataFrame:
-    """events: thread, turn, seq, status. A row for each accepted change of a turn's status; the first terminal status stays, later events never reopen a turn.
+def reduce_turns(events: DataFrame, keys: tuple[str, ...] = ("thread", "turn"), time: str | None = None, keep_ms: int = 3_600_000) -> DataFrame:
+    """events: keys, seq, status. A row for each accepted change of status; the first terminal status stays, later events never reopen what has ended.
 
-    State is one short string per turn; a turn that has ended keeps it to reject late events.
+    keys say what has a status: turns, or with an item among them, items. State is one short string a
+    key. With time (a column under a watermark) what has ended is forgotten once the watermark is
+    keep_ms past its last event; rows behind the watermark are dropped, so they can't reopen it, while
+    a newer row starts it anew. Without, all that has ended is kept to reject late events.
     """
+    bounded = time is not None
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now = state.get[0] if state.exists else ""
         rows = pd.concat(list(batches)).sort_values("seq")
         out = []
@@ -51,9 +58,15 @@ def reduce_turns(events: DataFrame) -> DataFrame:
                 now = status
                 out.append((*key, int(seq), status))
         state.update((now,))
-        yield pd.DataFrame(out, columns=["thread", "turn", "seq", "status"])
-
-    return events.groupBy("thread", "turn").applyInPandasWithState(step, "thread long, turn long, seq long, status string", "status string", "append", "NoTimeout")
+        if bounded and now in TERMINAL:
+            state.setTimeoutTimestamp(max(int(rows["ms"].max()) + keep_ms, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=[*keys, "seq", "status"])
+
+    types = {f.name: f.dataType.simpleString() for f in events.schema}
+    rows = events.select(*keys, "seq", "status", time, F.unix_millis(time).alias("ms")) if bounded else events
+    out = ", ".join(f"{k} {types[k]}" for k in keys) + ", seq long, status string"
+    return rows.groupBy(*keys).applyInPandasWithState(step, out, "status string", "append", "EventTimeTimeout" if bounded else "NoTimeout")
 
 
 def reduce_turns_batch(events: DataFrame) -> DataFrame:

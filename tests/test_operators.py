@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +229,43 @@ def test_order_of_rows_does_not_matter(spark):
     one_way = sorted(map(tuple, diffs.diff_fields(a, b).collect()))
     other = sorted(map(tuple, diffs.diff_fields(a.repartition(7), b.repartition(3)).collect()))
     assert one_way == other
+
+
+def test_ended_turns_are_forgotten_behind_the_watermark(spark, tmp_path):
+    schema = "thread long, turn long, seq long, status string, ts timestamp"
+    hour = lambda h: f"timestamp'2024-01-01 {h:02d}:00:00'"
+    batches = [
+        [(1, 1, 1, "InProgress", 1), (1, 1, 2, "Completed", 1)],
+        [(2, 2, 3, "InProgress", 9)],
+        [(2, 2, 4, "InProgress", 9)],
+        [(1, 1, 5, "InProgress", 2), (2, 2, 6, "InProgress", 9)],
+    ]
+    for rows in batches:
+        values = ", ".join(f"({t}L, {u}L, {s}L, '{x}', {hour(h)})" for t, u, s, x, h in rows)
+        spark.sql(f"SELECT * FROM VALUES {values} AS t(thread, turn, seq, status, ts)").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "1 minute")
+    changes = turns.reduce_turns(events, time="ts")
+    q = changes.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r["turn"], r["seq"], r["status"]) for r in spark.read.schema(changes.schema).parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, 1, "InProgress"), (1, 2, "Completed"), (2, 3, "InProgress")}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_seals(spark):
+    body = '{"a":1}'
+    sha = hashlib.sha256(body.encode()).hexdigest()
+    texts = ['{"a": 1, "integrity": {"sha256": "%s"}}' % sha, '{"a": 2, "integrity": {"sha256": "%s"}}' % sha, body, "{", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["c"] for r in df.select("i", canonical.verify_seal(df["t"], "utf8")["code"].alias("c")).orderBy("i").collect()]
+    assert got == [None, "SEAL_MISMATCH", "SEAL_MISSING", "no JSON", None]
+
+
+def test_pages_go_both_ways(spark):
+    items = spark.createDataFrame([(1, x) for x in [1, 2, 2, 3, 4, 5]], "k int, x int")
+    requests = spark.createDataFrame([(1, 1, None, 2, False), (2, 1, 3, 9, False), (3, 1, 4, 2, True), (4, 1, None, 5, True)], "request int, k int, cursor int, size int, backward boolean")
+    got = {}
+    for r in records.page_after(requests, items, ["k"], "x").orderBy("request", "position").collect():
+        got.setdefault((r["request"], r["next_cursor"]), []).append(r["item"])
+    assert got == {(1, 2): [1, 2], (2, None): [4, 5], (3, 2): [3, 2], (4, None): [5, 4, 3, 2, 1]}
