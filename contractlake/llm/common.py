@@ -33,10 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it again."""
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Cut the lineage: write df to the shared folder and read it again. codec: of the Parquet files, else the session's."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

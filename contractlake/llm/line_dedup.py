@@ -115,29 +115,20 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     )
 
 
-#: DuckDB twin at the default parameters, over the table documents.
+#: DuckDB by brute force at the default parameters, over the table documents: every run of 50 words with all others, no fingerprints.
 SQL = """
 WITH docs AS (SELECT doc_id, text, coalesce(doc_id, 9223372036854775807) AS o FROM documents),
 split AS (SELECT o, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM (SELECT DISTINCT o, text FROM docs WHERE text IS NOT NULL)),
-counted AS (SELECT o, md5(text) AS th, pos, ('0x' || substr(md5(line), 1, 15))::BIGINT AS h, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM split),
-lines AS (SELECT *, row_number() OVER w AS lno, sum(words) OVER w - words AS before FROM counted WHERE words > 0 WINDOW w AS (PARTITION BY o, th ORDER BY pos)),
-grams AS (SELECT *, sum(words) OVER w AS total, list(h) OVER w AS hs FROM lines WINDOW w AS (PARTITION BY o, th ORDER BY before RANGE BETWEEN CURRENT ROW AND 39 FOLLOWING)),
-hashed AS (SELECT * EXCLUDE (hs), CASE WHEN total >= 40 THEN ('0x' || substr(md5(array_to_string(hs, ',')), 1, 15))::BIGINT END AS g FROM grams),
-least_ AS (SELECT *, min(CASE WHEN g IS NOT NULL THEN {'g': g, 'lno': lno} END) OVER (PARTITION BY o, th ORDER BY before RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS m FROM hashed),
-picked AS (SELECT *, list(m.lno) OVER (PARTITION BY o, th ORDER BY before RANGE BETWEEN 9 PRECEDING AND CURRENT ROW) AS ps FROM least_),
-prints AS (SELECT o, th, lno, g, before, before + total AS after, lag(lno) OVER (PARTITION BY o, th, g ORDER BY lno) AS prev FROM picked WHERE g IS NOT NULL AND list_contains(ps, lno)),
-firsts AS (SELECT g, min({'o': o, 'th': th, 'lno': lno}) AS f FROM prints GROUP BY g HAVING count(*) > 1),
-met AS (
-  SELECT p.o, p.th, f.f.o AS o2, f.f.th AS th2, p.lno - f.f.lno AS delta, p.before, p.after FROM prints p JOIN firsts f USING (g) WHERE p.prev IS NULL AND (p.o <> f.f.o OR p.th <> f.f.th)
-  UNION ALL SELECT o, th, o, th, lno - prev, before, after FROM prints WHERE prev IS NOT NULL),
-pairs AS (SELECT o, th, o2, th2, delta, min(before) AS s, max(after) AS e FROM met GROUP BY ALL),
-same AS (
-  SELECT p.o, p.th, p.o2, p.th2, p.delta, t.lno, t.pos, t.words FROM pairs p
-  JOIN lines t ON p.o = t.o AND p.th = t.th AND t.before + t.words > p.s - 50 AND t.before < p.e + 50
-  JOIN lines c ON p.o2 = c.o AND p.th2 = c.th AND t.lno - p.delta = c.lno AND t.h = c.h),
-runs AS (SELECT *, lno - row_number() OVER (PARTITION BY o, th, o2, th2, delta ORDER BY lno) AS run FROM same),
-totals AS (SELECT *, sum(words) OVER (PARTITION BY o, th, o2, th2, delta, run) AS total_words FROM runs),
-gone AS (SELECT DISTINCT o, th, pos, words FROM totals WHERE total_words >= 50),
+counted AS (SELECT o, md5(text) AS th, pos, md5(line) AS h, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM split),
+lines AS (SELECT *, row_number() OVER w AS lno, sum(words) OVER w AS upto FROM counted WHERE words > 0 WINDOW w AS (PARTITION BY o, th ORDER BY pos)),
+runs AS (
+  SELECT o, th, lno AS s, max(lno) OVER w AS e, sum(words) OVER w AS total, list(h) OVER w AS hs FROM lines WINDOW w AS (PARTITION BY o, th ORDER BY upto - words RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION ALL
+  SELECT o, th, min(lno) OVER w, lno, sum(words) OVER w, list(h) OVER w FROM lines WINDOW w AS (PARTITION BY o, th ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+keyed AS (SELECT o, th, s, e, md5(array_to_string(hs, ',')) AS k FROM runs WHERE total >= 50),
+firsts AS (SELECT k, min({'o': o, 'th': th, 's': s}) AS f FROM keyed GROUP BY k),
+later AS (SELECT DISTINCT o, th, s, e FROM keyed JOIN firsts USING (k) WHERE {'o': o, 'th': th, 's': s} <> f),
+gone AS (SELECT DISTINCT l.o, l.th, l.pos, l.words FROM lines l JOIN later r ON l.o = r.o AND l.th = r.th AND l.lno BETWEEN r.s AND r.e),
 per AS (SELECT o, th, list(pos) AS ps, sum(words)::BIGINT AS ws FROM gone GROUP BY ALL)
 SELECT d.doc_id,
   CASE WHEN p.o IS NULL THEN d.text ELSE array_to_string(list_transform(list_filter(range(len(string_split(d.text, chr(10)))), lambda i: NOT list_contains(p.ps, i)), lambda i: string_split(d.text, chr(10))[i + 1]), chr(10)) END AS text,

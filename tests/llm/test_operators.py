@@ -7,7 +7,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -464,6 +466,9 @@ def test_a_shorter_first_occurrence_hides_no_run(spark):
         k += 1
     got = {x["doc_id"]: x["n_deleted_words"] for x in line_dedup.remove_repeated(docs(spark, [(i, t, "a") for i, t in rows])).collect()}
     assert got == brute_repeated(rows)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert dict(con.execute(f"SELECT doc_id, n_deleted_words FROM ({line_dedup.SQL})").fetchall()) == got
 
 
 def test_line_dedup_odd_rows(spark):

@@ -75,3 +75,25 @@ def test_the_tokenized_mix_is_written(spark, stages):
     assert Counter((r["doc_id"], r["lang"], r["source"]) for r in mix) == Counter((r["doc_id"], r["lang"], r["source"]) for r in stages[4].collect())
     ids = Counter((r["doc_id"], len(r["ids"]), hashlib.sha256(" ".join(map(str, r["ids"])).encode()).hexdigest(), hashlib.sha256(r["decoded"].encode()).hexdigest()) for r in mix)
     assert ids == Counter(map(tuple, stages[5].collect()))
+
+
+def test_odd_rows_and_an_empty_table(spark, tmp_path):
+    """Null and blank texts, null ids, languages and sources, rows given twice, a very long text, columns that clash with the stages' own; and no row at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, o long, th long, pos long, k0 string, body string, score double"
+    long = " ".join(f"w{i * i % 7919}" for i in range(40_000))
+    whole = [(i, f"{' '.join(f'v{i * 100 + k}' for k in range(60))}\n", "en", "a" if i % 3 else None, 60) for i in range(30)]
+    odd = [(100, None, "en", "a", None), (101, "", None, None, 0), (102, " \n\t ", "en", "b", 4), (None, "an id that is null", "en", "b", 18), (103, "given twice", "en", "b", 11), (103, "given twice", "en", "b", 11), (104, long, "en", "c", len(long))]
+    for name, rows in (("odd", whole + odd), ("empty", [])):
+        sf = str(tmp_path / name)
+        spark.createDataFrame([(*r, 1, 2, 3, "k", "b", 0.5) for r in rows], schema).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(r[0], 0, 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        at, kept = spark.read.parquet(f"{sf}/documents.parquet"), []
+        for stage, run in P.STAGES[:3]:
+            at = written(run(spark, at, sf), f"odd-{stage}")
+            kept.append(Counter((r["doc_id"], r["text"]) for r in at.collect()))
+            assert at.columns == P.COLUMNS
+        want = Counter((r[0], r[1]) for r in rows)
+        assert kept[0] == kept[1] == want  # nothing toxic, no run twice
+        assert {k for k in kept[2] if (k[1] or "").strip()} == {k for k in want if (k[1] or "").strip()} and kept[2][103, "given twice"] <= 1
+        out = P.run(spark, sf).collect()
+        assert {r["doc_id"] for r in out} <= {k[0] for k in kept[2]} and (len(out) > 0) == (len(rows) > 0)
