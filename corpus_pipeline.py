@@ -47,7 +47,7 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix is written to tokenized-mix-* in the shared folder; its digests are returned, as the contract asks."""
-    return bpe.digests(written(tokens(docs), "tokenized-mix").drop("lang", "source"))
+    return bpe.digests(written(tokens(docs), "tokenized-mix", "zstd").drop("lang", "source"))
 
 
 STAGES = [
