@@ -119,28 +119,38 @@ def p11(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", kind.alias("k")).select("o_orderkey", "k.*")
 
 
-GATES = ["kind.is_none_or(|k| k.allowed())", "thread.is_some_and(Thread::is_root)", "true", "false", "a && b"]
+# a gate's expression, from an order's status, priority and customer
+_GATES_SQL = """SELECT o_orderkey, 'g_' || lower(o_orderstatus) AS s, 'p_' || regexp_replace(lower(o_orderpriority), '[^a-z]+', '_', 'g') || o_custkey AS c, CASE o_orderkey % 5 WHEN 0 THEN s || '.is_none_or(|k| ' || c || '(k))' WHEN 1 THEN s || '.is_some_and(' || c || '::is_root)' WHEN 2 THEN ' true' WHEN 3 THEN 'false' ELSE s || ' && ' || c END AS e FROM orders"""
 
 
 @query(
     "p12_gate_predicate",
-    "WITH g AS (SELECT o_orderkey, replace([" + ", ".join(f"'{g}'" for g in GATES) + """][o_orderkey % 5 + 1], ' ', '') AS e FROM orders)
-SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'any' WHEN 1 THEN 'all' WHEN 4 THEN 'rust_expression' ELSE 'const' END AS op,
-  CASE WHEN o_orderkey % 5 < 2 THEN split_part(e, '.', 1) ELSE e END AS subject, CASE o_orderkey % 5 WHEN 0 THEN '|k|k.allowed()' WHEN 1 THEN 'Thread::is_root' END AS function, o_orderkey % 5 <> 4 AS machine_evaluable FROM g""",
+    f"""WITH g AS (SELECT o_orderkey, replace(e, ' ', '') AS e FROM ({_GATES_SQL})),
+m AS (SELECT o_orderkey, e, regexp_matches(e, '^\\w+\\.is_none_or\\(.+\\)$') AS none_, regexp_matches(e, '^\\w+\\.is_some_and\\(.+\\)$') AS some_, e IN ('true', 'false') AS const_ FROM g)
+SELECT o_orderkey, CASE WHEN none_ THEN 'any' WHEN some_ THEN 'all' WHEN const_ THEN 'const' ELSE 'rust_expression' END AS op, CASE WHEN none_ OR some_ THEN split_part(e, '.', 1) ELSE e END AS subject,
+  CASE WHEN none_ OR some_ THEN regexp_extract(e, '^[^(]*\\((.*)\\)$', 1) END AS function, none_ OR some_ OR const_ AS machine_evaluable FROM m""",
 )
 def p12(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select("o_orderkey", C.gate_predicate(_pick(GATES, "o_orderkey")).alias("p")).select("o_orderkey", "p.*")
+    o = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("g_"), F.lower("o_orderstatus")).alias("s"), F.concat(F.lit("p_"), F.regexp_replace(F.lower("o_orderpriority"), "[^a-z]+", "_"), F.col("o_custkey").cast("string")).alias("c"))
+    forms = [F.concat("s", F.lit(".is_none_or(|k| "), "c", F.lit("(k))")), F.concat("s", F.lit(".is_some_and("), "c", F.lit("::is_root)")), F.lit(" true"), F.lit("false"), F.concat("s", F.lit(" && "), "c")]
+    e = F.get(F.array(*forms), (F.col("o_orderkey") % 5).cast("int"))
+    return o.select("o_orderkey", C.gate_predicate(e).alias("p")).select("o_orderkey", "p.*")
 
 
-FIELDS = ["installation_id", "session_id", "turn_id", "root_turn_id", "sandbox", "tool_namespaces_info", "history_ingest_requested", "compaction", "extra", "anything"]
+FIELDS = sorted(f for names in C.IDENTITY_DOMAINS.values() for f in names) + ["anything", "Session_id", ""]
+_FIELDS_SQL = "[" + ", ".join(f"'{f}'" for f in FIELDS) + "]"
 
 
 @query(
     "p13_identity_domain",
-    "SELECT p_partkey, ['request_identity', 'thread_identity', 'turn_identity', 'lineage', 'execution_context', 'tool_inventory', 'timing_and_history', 'compaction', 'flattened_extra', 'other'][p_partkey % 10 + 1] AS domain FROM part",
+    f"""WITH f AS (SELECT p_partkey, {_FIELDS_SQL}[p_partkey % {len(FIELDS)} + 1] AS f FROM part)
+SELECT p_partkey, f AS field, CASE WHEN f IN ('installation_id', 'request_kind') OR contains(f, 'window') THEN 'request_identity' WHEN f IN ('session_id', 'thread_id', 'agent_name') THEN 'thread_identity' WHEN f = 'turn_id' THEN 'turn_identity'
+  WHEN regexp_matches(f, '^(forked_from|parent|root_turn|subagent)_|^thread_source$|^turn_trigger$') THEN 'lineage' WHEN regexp_matches(f, '^(sandbox|auto_review|node_repl)|^workspaces$') THEN 'execution_context' WHEN f LIKE 'tool%' THEN 'tool_inventory'
+  WHEN regexp_matches(f, '^turn_started_at|^history_ingest') THEN 'timing_and_history' WHEN f = 'compaction' THEN f WHEN f = 'extra' THEN 'flattened_extra' ELSE 'other' END AS domain FROM f""",
 )
 def p13(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", C.identity_domain(_pick(FIELDS, "p_partkey")).alias("domain"))
+    f = table(spark, sf, "part").select("p_partkey", _pick(FIELDS, "p_partkey").alias("field"))
+    return f.withColumn("domain", C.identity_domain(F.col("field")))
 
 
 PATHS = ["work/core-api/src/client/mod.rs", "work/core/src/lib.rs", "docs/readme.md", ""]
@@ -169,31 +179,40 @@ def p16(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", C.secret_kinds(F.col("text"), patterns).alias("kinds")).filter(F.size("kinds") > 0)
 
 
-CASES = ["src/a.rs", "/abs", "a/../b", "a//b", "C:/x", "a\\\\b", ".git/config", "a/./b", "", "ok"]
-
-
 @query(
     "p17_safe_path",
-    "WITH p AS (SELECT o_orderkey, ['src/a.rs', '/abs', 'a/../b', 'a//b', 'C:/x', 'a\\\\b', '.git/config', 'a/./b', '', 'ok'][o_orderkey % 10 + 1] AS p FROM orders) SELECT p AS path, p IN ('src/a.rs', 'ok') AS safe, count(*) AS n FROM p GROUP BY ALL",
+    r"""WITH u AS (SELECT page_id, url, regexp_replace(url, '^[a-z]+://', '') AS p FROM pages),
+p AS (SELECT page_id, unnest([url, p, '/' || p, p || '/', replace(p, '/', '/../'), replace(p, '/', '/./'), replace(p, '/', '//'), replace(p, '/', chr(92)), p || '/.Git/config', p || '/.gitignore', '']) AS path FROM u)
+SELECT page_id, path, path <> '' AND NOT contains(path, ':') AND NOT contains(path, chr(92)) AND NOT contains('/' || path || '/', '//') AND NOT contains('/' || path || '/', '/./') AND NOT contains('/' || path || '/', '/../') AND NOT contains('/' || lower(path) || '/', '/.git/') AS safe FROM p""",
 )
 def p17(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "orders").select(_pick(CASES, "o_orderkey").alias("path"))
-    return p.groupBy("path", C.is_safe_path(F.col("path")).alias("safe")).agg(F.count("*").alias("n"))
+    u = table(spark, sf, "pages").select("page_id", "url", F.regexp_replace("url", "^[a-z]+://", "").alias("p"))
+    swapped = [F.replace("p", F.lit("/"), F.lit(x)) for x in ("/../", "/./", "//", "\\")]
+    forms = F.array("url", "p", F.concat(F.lit("/"), "p"), F.concat("p", F.lit("/")), *swapped, F.concat("p", F.lit("/.Git/config")), F.concat("p", F.lit("/.gitignore")), F.lit(""))
+    return u.select("page_id", F.explode(forms).alias("path")).withColumn("safe", C.is_safe_path(F.col("path")))
 
 
 MESSAGES = ["Optional source unavailable", "required file missing", "unclassified event kind", "unclassified header seen", "mcp anchor changed", "config anchor changed", "anchor check failed", "symbol not found", "event odd", "header odd", "config odd", "plain words"]
+ENDINGS = ["", "in the MCP server", "of the response", "absent upstream", "anchor failed", "optional, missing"]
 
 
 @query(
     "p18_diagnostic_code",
-    "WITH m AS (SELECT event_id, lower('/contract/' || ["
+    "WITH m AS (SELECT event_id, lower(["
     + ", ".join(f"'{m}'" for m in MESSAGES)
-    + """][event_id % 12 + 1]) AS l FROM events), c AS (SELECT event_id, substr(l, 11) AS m, CASE WHEN regexp_matches(l, 'source|unavailable|not found') THEN 'source_coverage' WHEN contains(l, 'event') THEN 'event_coverage' WHEN contains(l, 'header') THEN 'header_coverage'
-  WHEN contains(l, 'config') THEN 'config_coverage' WHEN contains(l, 'mcp') THEN 'mcp_coverage' WHEN contains(l, 'response') THEN 'responses_coverage' ELSE 'coverage' END AS category FROM m)
-SELECT event_id, category, ['OPTIONAL_SOURCE_UNAVAILABLE', 'REQUIRED_SOURCE_UNAVAILABLE', 'RESPONSE_EVENT_UNCLASSIFIED', 'HEADER_CANDIDATE_UNCLASSIFIED', 'MCP_SOURCE_ANCHOR_CHANGED', 'CONFIG_SOURCE_ANCHOR_CHANGED', 'SOURCE_ANCHOR_CHANGED', 'SOURCE_SYMBOL_NOT_FOUND', 'RESPONSE_EVENT_COVERAGE_WARNING', 'HEADER_COVERAGE_WARNING', 'CONFIG_COVERAGE_WARNING', 'COVERAGE_WARNING'][event_id % 12 + 1] AS code FROM c""",
+    + "][event_id % 12 + 1] || ' ' || ["
+    + ", ".join(f"'{m}'" for m in ENDINGS)
+    + """][user_id % 6 + 1]) AS m FROM events), c AS (SELECT event_id, m, CASE WHEN regexp_matches(m, 'source|unavailable|not found') THEN 'source_coverage' WHEN contains(m, 'event') THEN 'event_coverage' WHEN contains(m, 'header') THEN 'header_coverage'
+  WHEN contains(m, 'config') THEN 'config_coverage' WHEN contains(m, 'mcp') THEN 'mcp_coverage' WHEN contains(m, 'response') THEN 'responses_coverage' ELSE 'coverage' END AS category,
+  regexp_matches(m, 'unavailable|missing') AS gone, regexp_matches(m, 'anchor changed') OR (contains(m, 'anchor') AND contains(m, 'failed')) AS anchor FROM m)
+SELECT event_id, category, CASE WHEN gone AND contains(m, 'optional') THEN 'OPTIONAL_SOURCE_UNAVAILABLE' WHEN gone AND contains(m, 'required') THEN 'REQUIRED_SOURCE_UNAVAILABLE'
+  WHEN contains(m, 'unclassified') AND contains(m, 'event') THEN 'RESPONSE_EVENT_UNCLASSIFIED' WHEN contains(m, 'unclassified') AND contains(m, 'header') THEN 'HEADER_CANDIDATE_UNCLASSIFIED'
+  WHEN anchor THEN CASE WHEN category IN ('mcp_coverage', 'config_coverage', 'responses_coverage') THEN upper(split_part(category, '_', 1)) || '_' ELSE '' END || 'SOURCE_ANCHOR_CHANGED'
+  WHEN regexp_matches(m, 'not found|absent upstream') THEN 'SOURCE_SYMBOL_NOT_FOUND' WHEN category = 'coverage' THEN 'COVERAGE_WARNING' WHEN category = 'event_coverage' THEN 'RESPONSE_EVENT_COVERAGE_WARNING'
+  ELSE upper(split_part(category, '_', 1)) || '_COVERAGE_WARNING' END AS code FROM c""",
 )
 def p18(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("event_id", _pick(MESSAGES, "event_id").alias("m"))
+    e = table(spark, sf, "events").select("event_id", F.concat_ws(" ", _pick(MESSAGES, "event_id"), _pick(ENDINGS, "user_id")).alias("m"))
     e = e.withColumn("category", C.warning_category(F.lit("/contract/"), F.col("m")))
     return e.select("event_id", "category", C.diagnostic_code(F.col("category"), F.col("m")).alias("code"))
 
