@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +78,35 @@ def bounded_sample(df: DataFrame, key: Column, rows: int, seed: int = 17) -> Dat
     if total <= rows:
         return df
     return df.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * rows / total)).limit(2 * rows)
+
+
+def grid(vectors: pa.ListArray, scale: int, size: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """floor(scale * component) of lists of doubles: which rows are sound, their lengths, and all their numbers in one row (int64).
+
+    Unsound are null lists, those with a null or non-finite component and, where size is given, those of
+    another length. What a long can't hold becomes the nearest long.
+    """
+    length = pc.list_value_length(vectors).fill_null(-1).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(length >= 0 if size is None else length == size)
+    flat = pc.list_flatten(vectors.take(pa.array(at))).cast(pa.float64()).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(at)), length[at])
+    broken = np.zeros(len(at), dtype=bool)
+    broken[owner[~np.isfinite(flat)]] = True
+    at, flat = at[~broken], np.floor(flat[~broken[owner]] * scale)
+    inside = np.abs(flat) < 2.0**63
+    whole = np.where(inside, flat, 0).astype(np.int64)
+    whole[~inside] = np.where(flat[~inside] > 0, np.iinfo(np.int64).max, np.iinfo(np.int64).min)
+    return at, length[at].astype(np.int64), whole
+
+
+def folded(rows: DataFrame, parts: int, combine: Callable[[pd.DataFrame], pd.DataFrame], fan: int = 32) -> DataFrame:
+    """Rows that partitions made, combined into one by a tree: `fan` rows meet in a task, then their results, and so on.
+
+    rows: column part, the partition (0 to parts - 1), and what combine takes and gives, part excepted.
+    """
+    while True:
+        groups = -(-parts // fan)
+        rows = rows.withColumn("part", F.col("part") % groups).groupBy("part").applyInPandas(lambda g: combine(g).assign(part=g["part"].iloc[0]), rows.schema)
+        if groups == 1:
+            return rows
+        parts = groups

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, jaccard, langid, line_dedup, line_quality, mixing, permutation_index, quality_mil, toxicity
+from . import bpe, centroids, html_text, inner_product, jaccard, langid, line_dedup, line_quality, mixing, permutation_index, quality_mil, toxicity, whitening
 from .common import fold, table
 
 
@@ -69,6 +69,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_product.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard": op1_jaccard,
@@ -81,8 +94,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest": op8_nearest,
         "op9_quality": op9_quality,
         "op10_toxicity": op10_toxicity,
+        "op11_whiten": op11_whiten,
+        "op12_centroids": op12_centroids,
+        "op13_inner_product": op13_inner_product,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard": jaccard.SQL, "op4_line_quality": line_quality.SQL, "op5_mix": mixing.SQL, "op7_line_dedup": line_dedup.SQL}
+    return {
+        "op1_jaccard": jaccard.SQL,
+        "op4_line_quality": line_quality.SQL,
+        "op5_mix": mixing.SQL,
+        "op7_line_dedup": line_dedup.SQL,
+        "op12_centroids": centroids.sql(),
+        "op13_inner_product": inner_product.SQL,
+    }
