@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -33,9 +34,50 @@ def _number(text: str) -> Any:
     raise _Refused(f"{text} is no JSON number")
 
 
-def parse(text: str) -> Any:
-    """Strict: repeated keys, NaN and infinities are refused."""
-    return json.loads(text, object_pairs_hook=_pairs, parse_constant=_number)
+#: Digits of a number, and of a whole number's text, beyond which it is refused.
+MOST_DIGITS = 4000
+
+
+def _float(text: str) -> float:
+    value = float(text)
+    if math.isinf(value):
+        raise _Refused("number out of range")
+    return value
+
+
+def _int(text: str) -> int:
+    if len(text) > MOST_DIGITS:
+        raise _Refused("number out of range")
+    return int(text)
+
+
+def parse(text: str, number: Callable[[str], Any] = _float) -> Any:
+    """Strict: repeated keys, NaN, infinities and numbers that no double holds are refused. number: makes those with a fraction or exponent."""
+    return json.loads(text, object_pairs_hook=_pairs, parse_constant=_number, parse_float=number, parse_int=_int)
+
+
+def refusal(error: Exception) -> str:
+    """What a text is refused for."""
+    if isinstance(error, _Refused):
+        return str(error)
+    if isinstance(error, RecursionError):
+        return "nested too deep"
+    return "lone surrogate" if isinstance(error, UnicodeEncodeError) else "no JSON"
+
+
+#: What parsing and writing JSON raise on texts that are none, are nested too deep, or hold what UTF-8 can't.
+REFUSALS = (ValueError, RecursionError)
+
+
+def encodable_error(error: Exception) -> str:
+    """refusal() with what UTF-8 hasn't written as escapes."""
+    return refusal(error).encode("utf-8", "backslashreplace").decode()
+
+
+def encodable(text: str) -> str:
+    """The text, if UTF-8 has it."""
+    text.encode()
+    return text
 
 
 def _normal(value: Any) -> Any:
@@ -61,8 +103,17 @@ def canonical(value: Any, dialect: str) -> str:
     return out + "\n" if dialect == "nfc" else out
 
 
+def _without(value: Any, path: list[str]) -> Any:
+    """The value without the member at the path, if objects lead there."""
+    if not isinstance(value, dict) or path[0] not in value:
+        return value
+    rest = {k: v for k, v in value.items() if k != path[0]}
+    return rest if len(path) == 1 else {**rest, path[0]: _without(value[path[0]], path[1:])}
+
+
 def canonical_json(text: Column, dialect: str, drop: tuple[str, ...] = ()) -> Column:
-    """struct(json, sha256, error) of a JSON text. drop: members of a root object left out, such as its own seal. Null text gives nulls."""
+    """struct(json, sha256, error) of a JSON text. drop: members of objects left out, such as its own seal, each named (a member of the root) or by its pointer. Null text gives nulls."""
+    paths = [[part.replace("~1", "/").replace("~0", "~") for part in d[1:].split("/")] if d.startswith("/") else [d] for d in drop]
     if dialect not in DIALECTS:
         raise ValueError(f"unknown dialect {dialect}")
 
@@ -75,25 +126,23 @@ def canonical_json(text: Column, dialect: str, drop: tuple[str, ...] = ()) -> Co
                 continue
             try:
                 value = parse(t)
-                if drop and isinstance(value, dict):
-                    value = {k: v for k, v in value.items() if k not in drop}
+                for path in paths:
+                    value = _without(value, path)
                 out = canonical(value, dialect)
-                rows.append((out, hashlib.sha256(out.encode("utf-8", "surrogatepass")).hexdigest(), None))
-            except _Refused as e:
-                rows.append((None, None, str(e)))
-            except ValueError:
-                rows.append((None, None, "no JSON"))
+                rows.append((out, hashlib.sha256(out.encode()).hexdigest(), None))
+            except REFUSALS as e:
+                rows.append((None, None, encodable_error(e)))
         return pd.DataFrame(rows, columns=["json", "sha256", "error"])
 
     return run(text)
 
 
-def verify_seal(text: Column, dialect: str, seal: str = "integrity", claim: str = "sha256") -> Column:
-    """struct(claimed, sha256, code) of a sealed JSON text: its digest without the member `seal`, and the one that this member claims.
+def verify_seal(text: Column, dialect: str, seal: str = "integrity", claim: str = "sha256", unsealed: tuple[str, ...] = ()) -> Column:
+    """struct(claimed, sha256, code) of a sealed JSON text: its digest without the member `seal` and the unsealed members (names or pointers), and the one that `seal` claims.
 
     code: null where they agree, SEAL_MISSING, SEAL_MISMATCH, or why the text is no JSON. Null text gives nulls.
     """
-    made = canonical_json(text, dialect, drop=(seal,))
+    made = canonical_json(text, dialect, drop=(seal, *unsealed))
     claimed = F.get_json_object(text, f"$.{seal}.{claim}")
     code = F.when(made["error"].isNotNull(), made["error"]).when(text.isNotNull() & claimed.isNull(), F.lit("SEAL_MISSING")).when(claimed != made["sha256"], F.lit("SEAL_MISMATCH"))
     return F.struct(claimed.alias("claimed"), made["sha256"].alias("sha256"), code.alias("code"))
@@ -133,7 +182,8 @@ def walk_json(docs: DataFrame, key: str, text: str, arrays: bool = True, objects
 
     arrays: whether what stands in arrays has rows of its own.
 
-    A text that is no strict JSON gives one row with its error.
+    A text that is no strict JSON, is nested too deep to be read, or names a member by a lone surrogate
+    gives one row with its error and no other.
     """
     rows = docs.select(docs[key].alias("k"), docs[text].alias("t")).filter("t is not null")
 
@@ -142,11 +192,9 @@ def walk_json(docs: DataFrame, key: str, text: str, arrays: bool = True, objects
             out = []
             for k, t in zip(batch["k"], batch["t"], strict=True):
                 try:
-                    root = parse(t)
-                except ValueError as e:
-                    out.append((k, "", None, None, None, str(e) if isinstance(e, _Refused) else "no JSON"))
-                    continue
-                out += [(k, p, n, _kind(v), None if isinstance(v, dict) and not objects else canonical(v, "ascii"), None) for p, n, v in _walk(root, "", None, arrays)]
+                    out += [(k, encodable(p), n, _kind(v), None if isinstance(v, dict) and not objects else canonical(v, "ascii"), None) for p, n, v in _walk(parse(t), "", None, arrays)]
+                except REFUSALS as e:
+                    out.append((k, "", None, None, None, encodable_error(e)))
             yield pd.DataFrame(out, columns=["k", "pointer", "name", "kind", "value", "error"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -158,7 +206,8 @@ def schema_paths(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Nodes are objects and booleans. A local reference is a node itself; its target follows at the same
     path, then what stands beside it. allOf, anyOf, oneOf are followed; a reference that is being
-    followed stops. A reference that leads nowhere ends there.
+    followed stops. A reference that leads nowhere ends there. A schema that is no JSON or nested too deep
+    has no rows.
     """
     rows = docs.select(docs[key].alias("k"), docs[text].alias("t")).filter("t is not null")
 
@@ -202,10 +251,10 @@ def schema_paths(docs: DataFrame, key: str, text: str) -> DataFrame:
                 found: list = []
                 try:
                     root = parse(t)
-                except ValueError:
+                    visit(root, root, "", "#", True, (), found)
+                    out += [(k, encodable(path), encodable(at), *rest) for path, at, *rest in found]
+                except REFUSALS:
                     continue
-                visit(root, root, "", "#", True, (), found)
-                out += [(k, *f) for f in found]
             yield pd.DataFrame(out, columns=["k", "path", "location", "required", "types", "digest"])
 
     kind = docs.schema[key].dataType.simpleString()

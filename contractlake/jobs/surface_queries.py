@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractlake.functions import canonical
-from contractlake.operators import coverage, lineage
+from contractlake.operators import conformance, coverage, lineage
 from contractlake.operators.extractors import ExtractorRegistry
 from contractlake.sources import records as S
 from contractlake.streaming import turns as T
@@ -24,7 +24,7 @@ def _rust(spark: SparkSession, sf: str) -> DataFrame:
     n = lambda m: (k % m).cast("string")
     text = F.concat(
         F.lit("pub mod "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(";\npub(crate) const H_"), n(40), F.lit('X: &str = "other";\n  const   H_'), n(40), F.lit(': &str = "x-head-'), n(40),
-        F.lit('";\nfn f() { headers.insert("X-Lit-'), n(7), F.lit('", v); map.insert("plain-key", 1); insert_header(req, "x-real-'), n(5), F.lit('"); response_headers.get(H_'), n(50), F.lit('); kind("response.'), F.lower("p_type"), F.lit('"); kind("session.done"); }\npub use PartClient;')
+        F.lit('";\nfn f() { headers.insert("X-Lit-'), n(7), F.lit('", v); map.insert("plain-key", 1); insert_header(req, "x-real-'), n(5), F.lit('"); response_headers.get(H_'), n(50), F.lit('); kind("response.'), F.col("p_type"), F.lit('-Item_1.done"); kind("session.done"); kind("other.x"); }\n  pub(in crate::x) mod '), F.col("p_type"), F.lit(";\nstruct HttpClient; // a FooClient\npub use client::Part"), F.col("p_type"), F.lit("Client;\n use inner::OtherClient;")
     )
     return table(spark, sf, "part").select(k.alias("file"), F.col("p_brand").alias("snapshot"), text.alias("text"))
 
@@ -51,12 +51,12 @@ def p3(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.header_candidates(files, coverage.const_definitions(files, keys), keys, ["snapshot"])
 
 
-@query("p4_event_kinds", "SELECT p_partkey AS file, ['response.' || lower(p_type), 'session.done'] AS names FROM part")
+@query("p4_event_kinds", "SELECT p_partkey AS file, ['response.' || p_type || '-Item_1.done', 'session.done'] AS names FROM part")
 def p4(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage.literals(_rust(spark, sf), ["file"], coverage.EVENT_KINDS)
+    return coverage.literals(_rust(spark, sf), ["file"], coverage.event_kinds("response", "session"))
 
 
-@query("p5_module_inventory", "SELECT p_partkey AS file, [replace(p_name, ' ', '_')] AS modules, ['PartClient'] AS clients FROM part")
+@query("p5_module_inventory", "SELECT p_partkey AS file, list_sort([replace(p_name, ' ', '_'), p_type]) AS modules, ['Part' || p_type || 'Client'] AS clients FROM part")
 def p5(spark: SparkSession, sf: str) -> DataFrame:
     files = _rust(spark, sf)
     modules = coverage.literals(files, ["file"], coverage.MODULES).withColumnRenamed("names", "modules")
@@ -99,6 +99,38 @@ def j15(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.schema_conformance(docs, spark.createDataFrame(RULES, "pointer string, rule string, arg string"), "event_id", "t")
 
 
+_SCHEMA = """{"type":"object","required":["orders"],"properties":{"key":{"type":"integer","maximum":%s},"bal":{"exclusiveMinimum":0},"orders":{"minItems":4,"items":{"$ref":"#/$defs/order"},"contains":{"properties":{"s":{"const":"P"}},"required":["s"]}},"by":{"additionalProperties":{"type":"integer"},"propertyNames":{"pattern":"^[FO]$"}}},"oneOf":[{"properties":{"bal":{"minimum":5000}}},{"properties":{"key":{"minimum":%s}}}],"$defs":{"order":{"required":["p"],"properties":{"s":{"enum":["O","F",7]},"p":{"maximum":%s}}}}}"""
+
+
+@query(
+    "j15_compiled_schemas",
+    f"""WITH s AS (SELECT c_mktsegment AS schema, format('{_SCHEMA.replace("{", "{{").replace("}", "}}").replace("%s", "{}")}', max(c_custkey) - 50, max(c_custkey) // 2, 100000 + 1000 * length(c_mktsegment))::JSON AS j FROM customer GROUP BY 1),
+r AS (SELECT schema, json_extract(j, '$.properties.key.maximum')::BIGINT AS most, json_extract(j, '$.properties.bal.exclusiveMinimum')::DOUBLE AS over, json_extract(j, '$.properties.orders.minItems')::INT AS least, json_extract_string(j, '$.properties.orders.contains.properties.s.const') AS one, json_extract_string(j, '$.properties.by.propertyNames.pattern') AS pattern,
+  json_extract(j, '$."$defs".order.properties.s.enum')::JSON[] AS listed, json_extract(j, '$."$defs".order.properties.p.maximum')::DOUBLE AS price, json_extract(j, '$.oneOf[0].properties.bal.minimum')::DOUBLE AS bal0, json_extract(j, '$.oneOf[1].properties.key.minimum')::BIGINT AS key1 FROM s),
+c AS (SELECT *, c_custkey AS doc, c_mktsegment AS schema FROM customer), o AS (SELECT *, o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_totalprice >= 20000 AS priced FROM orders),
+n AS (SELECT doc, count(*) AS n, bool_or(o_orderstatus = 'P') AS p FROM o GROUP BY 1), e AS (
+SELECT doc, '/key' AS pointer, 'maximum' AS keyword FROM c JOIN r USING (schema) WHERE doc > most UNION ALL SELECT doc, '/bal', 'exclusiveMinimum' FROM c JOIN r USING (schema) WHERE c_acctbal <= over
+UNION ALL SELECT doc, '', 'required' FROM c WHERE doc NOT IN (SELECT doc FROM n) UNION ALL SELECT doc, '', 'oneOf' FROM c JOIN r USING (schema) WHERE (c_acctbal >= bal0) = (doc >= key1)
+UNION ALL SELECT doc, '/orders', 'minItems' FROM c JOIN r USING (schema) JOIN n USING (doc) WHERE n < least UNION ALL SELECT doc, '/orders', 'contains' FROM n WHERE NOT p
+UNION ALL SELECT doc, '/orders/' || i || '/s', 'enum' FROM o JOIN c USING (doc) JOIN r USING (schema) WHERE NOT list_contains(listed, to_json(o_orderstatus)) UNION ALL SELECT doc, '/orders/' || i, 'required' FROM o WHERE NOT priced
+UNION ALL SELECT doc, '/orders/' || i || '/p', 'maximum' FROM o JOIN c USING (doc) JOIN r USING (schema) WHERE priced AND o_totalprice > price
+UNION ALL SELECT doc, '/by', 'pattern' FROM (SELECT DISTINCT doc, o_orderstatus FROM o) JOIN c USING (doc) JOIN r USING (schema) WHERE NOT regexp_matches(o_orderstatus, pattern) UNION ALL SELECT doc, '/by/' || o_orderstatus, 'type' FROM o GROUP BY doc, o_orderstatus HAVING count(*) % 2 = 1)
+SELECT DISTINCT doc, pointer, keyword FROM e""",
+)
+def j15_compiled(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with their orders as records, a schema for each segment with limits of that segment's own rows."""
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    schemas = c.groupBy(F.col("c_mktsegment").alias("schema")).agg(F.format_string(_SCHEMA, (F.max(k) - 50).cast("string"), F.floor(F.max(k) / 2).cast("string"), (100000 + 1000 * F.length("c_mktsegment")).cast("string")).alias("text"))
+    order = F.struct("o_orderkey", F.col("o_orderstatus").alias("s"), F.when(F.col("o_totalprice") >= 20000, F.col("o_totalprice")).alias("p"))
+    o = table(spark, sf, "orders")
+    orders = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: F.struct(x["s"].alias("s"), x["p"].alias("p"))).alias("orders"))
+    by = o.groupBy(F.col("o_custkey").alias("c_custkey"), "o_orderstatus").agg((F.count("*") / 2).alias("n")).groupBy("c_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("by"))
+    text = F.to_json(F.struct(k.alias("key"), F.col("c_acctbal").alias("bal"), "orders", "by"))
+    docs = c.join(orders, "c_custkey", "left").join(by, "c_custkey", "left").select(k.alias("doc"), F.col("c_mktsegment").alias("schema"), text.alias("t"))
+    return conformance.conformance(docs, schemas, "doc", "t", most=1 << 30).select("doc", "pointer", "keyword")
+
+
 @query(
     "j16_schema_paths",
     """SELECT p_partkey AS doc, u.p AS path, u.r AS required, CASE WHEN u.t <> '' THEN [u.t] ELSE [] END AS types FROM (SELECT p_partkey, unnest([{'p': '', 'r': true, 't': ''}, {'p': 'a', 'r': true, 't': 'object'}, {'p': 'a.b', 'r': false, 't': 'string'}, {'p': 'a.*', 'r': false, 't': 'number'}, {'p': 'l', 'r': false, 't': 'array'}, {'p': 'l[]', 'r': false, 't': 'integer'},
@@ -155,12 +187,18 @@ def k17(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.event_catalog(discovered, table(spark, sf, "part").filter("p_size < 25").select(_name("k", F.col("p_partkey")).alias("kind"), F.col("p_type").alias("disposition")))
 
 
-@query("k20_profile_evaluation", """WITH r AS (SELECT o_custkey AS report, list(DISTINCT o_orderpriority) AS o, o_custkey % 9 = 0 AS legacy, o_custkey % 2 AS p FROM orders GROUP BY 1), m AS (SELECT *, list_sort(list_filter(CASE p WHEN 0 THEN ['1-URGENT', '2-HIGH'] ELSE ['3-MEDIUM', '5-LOW', '9-NONE'] END, lambda x: NOT list_contains(o, x))) AS missing FROM r) SELECT report, missing, len(missing) = 0 AND (NOT legacy OR p = 1) AS complete FROM m""")
+@query(
+    "k20_profile_evaluation",
+    """WITH r AS (SELECT o_custkey AS report, list(DISTINCT o_orderpriority) AS o, c_acctbal < 0 AS legacy, c_mktsegment AS p FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+m AS (SELECT *, list_sort(list_filter(CASE p WHEN 'BUILDING' THEN ['1-URGENT', '2-HIGH'] WHEN 'MACHINERY' THEN ['3-MEDIUM', '5-LOW'] ELSE [] END, lambda x: NOT list_contains(o, x))) AS missing FROM r),
+c AS (SELECT *, CASE WHEN p NOT IN ('BUILDING', 'MACHINERY') THEN 'PROFILE_UNKNOWN' WHEN len(missing) > 0 THEN 'REQUIRED_MISSING' WHEN legacy AND p = 'BUILDING' THEN 'LEGACY_NOT_ALLOWED' END AS code FROM m) SELECT report, missing, code IS NULL AS complete, code FROM c""",
+)
 def k20(spark: SparkSession, sf: str) -> DataFrame:
-    r = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("report")).agg(F.collect_set("o_orderpriority").alias("observed"))
-    reports = r.withColumn("profile", F.col("report") % 2).withColumn("legacy", F.col("report") % 9 == 0)
-    profiles = spark.createDataFrame([(0, ["1-URGENT", "2-HIGH"], False), (1, ["3-MEDIUM", "5-LOW", "9-NONE"], True)], "profile long, required array<string>, allow_legacy boolean")
-    return coverage.profile_evaluation(reports, profiles)
+    """Segments are profiles, of which two are known; an account below zero is legacy input."""
+    j = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    r = j.groupBy(F.col("o_custkey").alias("report"), F.col("c_mktsegment").alias("profile"), (F.col("c_acctbal") < 0).alias("legacy")).agg(F.collect_set("o_orderpriority").alias("observed"))
+    profiles = spark.createDataFrame([("BUILDING", ["1-URGENT", "2-HIGH"], False), ("MACHINERY", ["3-MEDIUM", "5-LOW"], True)], "profile string, required array<string>, allow_legacy boolean")
+    return coverage.profile_evaluation(r, profiles)
 
 
 @query("s2_read_records", """SELECT event_id, CASE event_id % 10 WHEN 0 THEN 'MALFORMED_JSON' WHEN 1 THEN 'ROOT_NOT_OBJECT' END AS code, CASE WHEN event_id % 10 > 1 THEN json_extract(props, '$.k')::INT END AS k FROM events""")

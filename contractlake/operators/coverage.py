@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,10 +74,14 @@ def literals(files: DataFrame, keys: list[str], pattern: str, text: str = "text"
     return files.select(*keys, F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))).alias("names"))
 
 
-#: Quoted event names, module declarations and exported clients.
-EVENT_KINDS = r'"((?:response|session)\.[a-z0-9_.]+)"'
-MODULES = r"(?m)^\s*(?:pub(?:\([a-z]+\))?\s+)?mod\s+([a-z_][a-z0-9_]*)\s*;"
-CLIENTS = r"\b([A-Z][A-Za-z0-9]*Client)\b"
+# fixed values: module declarations of any visibility, and the clients that a file exports from another
+MODULES = r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+([A-Za-z_][A-Za-z0-9_]*)\s*;"
+CLIENTS = r"(?m)^\s*pub\s+use\s+[A-Za-z_][A-Za-z0-9_]*::([A-Z][A-Za-z0-9_]*Client)\s*;"
+
+
+def event_kinds(*families: str) -> str:
+    """The pattern of quoted event names in families such as response."""
+    return rf'"((?:{"|".join(map(re.escape, families))})\.[A-Za-z0-9_.-]+)"'
 
 
 def frame_mapping(frames: DataFrame, headers: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,10 +126,18 @@ def event_catalog(discovered: DataFrame, dispatched: DataFrame) -> DataFrame:
 
 
 def profile_evaluation(reports: DataFrame, profiles: DataFrame) -> DataFrame:
-    """reports: report, profile, observed array, legacy; profiles: profile, required array, allow_legacy. Per report: what is missing, and whether it is complete (nothing missing, and no legacy input unless allowed)."""
-    j = reports.join(profiles, "profile", "left")
-    missing = F.array_sort(F.array_except("required", "observed"))
-    return j.select("report", missing.alias("missing"), ((F.size(missing) == 0) & (~F.col("legacy") | F.col("allow_legacy"))).alias("complete"))
+    """reports: report, profile, observed array, legacy; profiles: profile, required array, allow_legacy. Per report: what is missing, whether it is complete (nothing missing, and no legacy input unless allowed), and code.
+
+    A report whose profile is null or unknown is not complete: PROFILE_UNKNOWN. Else code is
+    REQUIRED_MISSING, then LEGACY_NOT_ALLOWED, or null. Null arrays are empty; a null legacy is no legacy input,
+    a null allow_legacy allows none.
+    """
+    j = reports.join(profiles.withColumn("known", F.lit(True)), "profile", "left")
+    none = F.array().cast("array<string>")
+    missing = F.array_sort(F.array_except(F.coalesce("required", none), F.coalesce("observed", none)))
+    legacy = F.coalesce("legacy", F.lit(False)) & ~F.coalesce("allow_legacy", F.lit(False))
+    code = F.when(F.col("known").isNull(), "PROFILE_UNKNOWN").when(F.size(missing) > 0, "REQUIRED_MISSING").when(legacy, "LEGACY_NOT_ALLOWED")
+    return j.select("report", missing.alias("missing"), code.isNull().alias("complete"), code.alias("code"))
 
 
 def key_collisions(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -135,7 +149,10 @@ def key_collisions(docs: DataFrame, key: str, text: str) -> DataFrame:
 def schema_conformance(docs: DataFrame, rules: DataFrame, key: str, text: str, most: int = 20) -> DataFrame:
     """Records against rules (pointer, rule, arg); key, pointer, rule of the first `most` errors of each record by pointer.
 
-    Of values: type, const, enum (comma list), pattern, min, max. Of objects: required (the pointer must
+    Rules written by hand, for exact pointers; schemas in tables are compiled by `conformance`. Of values:
+    type, const, enum (comma list), pattern, min, max. An argument of const and enum that is a JSON number,
+    true, false, null or a quoted string stands for that value, any other for the string; numbers are compared
+    exactly (up to 38 digits, ten of them behind the point). Of objects: required (the pointer must
     be there if its object is), closed (comma list of the members there may be), max_properties, members
     (the type of every member), not_required (comma list of members that must not all be there), one_of
     (`tag|value:members|value:members`: the member tag has one of the values, and the members listed
@@ -151,14 +168,30 @@ def schema_conformance(docs: DataFrame, rules: DataFrame, key: str, text: str, m
     decoded = F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")
     plain = F.when(F.col("kind") == "string", decoded).otherwise(v)
     number = F.when(F.col("kind") == "number", v.try_cast("double"))
+    whole = F.when(F.col("kind") == "number", v.try_cast("decimal(38,10)"))
     kind = F.when(arg == "integer", (F.col("kind") == "number") & (number == F.floor(number))).otherwise(F.col("kind") == arg)
+
+    def is_value(x: Column) -> Column:
+        """Whether the node is the value that an argument stands for."""
+        literal = F.rlike(x, F.lit(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"))
+        return (
+            F.when(literal, (F.col("kind") == "number") & F.coalesce(whole == x.try_cast("decimal(38,10)"), number == x.try_cast("double")))
+            .when(x.isin("true", "false"), (F.col("kind") == "boolean") & (v == x))
+            .when(x == "null", F.col("kind") == "null")
+            .when(F.rlike(x, F.lit('^".*"$')), (F.col("kind") == "string") & (plain == F.substring(x, F.lit(2), F.length(x) - 2)))
+            .otherwise((F.col("kind") == "string") & (plain == x))
+        )
+
+    def against(at_least: bool) -> Column:
+        limit, rough = arg.try_cast("decimal(38,10)"), arg.try_cast("double")
+        return F.coalesce(whole >= limit, number >= rough) if at_least else F.coalesce(whole <= limit, number <= rough)
     ok = (
         F.when(F.col("rule") == "type", kind)
-        .when(F.col("rule") == "const", plain == arg)
-        .when(F.col("rule") == "enum", F.array_contains(F.split(arg, ","), plain))
+        .when(F.col("rule") == "const", is_value(arg))
+        .when(F.col("rule") == "enum", F.exists(F.split(arg, ","), is_value))
         .when(F.col("rule") == "pattern", (F.col("kind") != "string") | F.rlike(plain, arg))
-        .when(F.col("rule") == "min", (F.col("kind") != "number") | (number >= arg.cast("double")))
-        .when(F.col("rule") == "max", (F.col("kind") != "number") | (number <= arg.cast("double")))
+        .when(F.col("rule") == "min", (F.col("kind") != "number") | against(True))
+        .when(F.col("rule") == "max", (F.col("kind") != "number") | against(False))
     )
     at = sound.join(r.filter("rule in ('type', 'const', 'enum', 'pattern', 'min', 'max')"), "pointer")
     wrong = at.filter(~F.coalesce(ok, F.lit(False))).select(key, "pointer", F.col("rule").alias("code"))

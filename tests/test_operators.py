@@ -269,3 +269,48 @@ def test_pages_go_both_ways(spark):
     for r in records.page_after(requests, items, ["k"], "x").orderBy("request", "position").collect():
         got.setdefault((r["request"], r["next_cursor"]), []).append(r["item"])
     assert got == {(1, 2): [1, 2], (2, None): [4, 5], (3, 2): [3, 2], (4, None): [5, 4, 3, 2, 1]}
+
+
+def test_rules_compare_by_kind(spark):
+    rules = [("/c", "const", "5"), ("/e", "enum", 'true,1,x,"2"'), ("/m", "max", "9007199254740992")]
+    docs = [(1, '{"c": 5.0, "e": true, "m": 9007199254740992}'), (2, '{"c": "5", "e": "true", "m": 9007199254740993}'), (3, '{"e": 1.0}'), (4, '{"e": "1"}'), (5, '{"e": "2"}'), (6, '{"e": 2}')]
+    got = sorted(map(tuple, coverage.schema_conformance(spark.createDataFrame(docs, "k int, t string"), spark.createDataFrame(rules, "pointer string, rule string, arg string"), "k", "t").collect()))
+    assert got == [(2, "/c", "const"), (2, "/e", "enum"), (2, "/m", "max"), (4, "/e", "enum"), (6, "/e", "enum")]
+
+
+def test_refused_json_is_a_row(spark):
+    deep = "[" * 60_000 + "]" * 60_000
+    half = "[" * 3_000 + "]" * 3_000
+    texts = ['{"a":1e999}', deep, '{"\\ud800":1}', '{"a":"\\ud800"}', '{"a":1}', "1" * 5_000, half, '{"\\ud800":1,"\\ud800":2}']
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    walked = {r["k"]: r["error"] for r in canonical.walk_json(docs, "k", "t").collect()}
+    assert [walked[i] for i in (0, 1, 2, 3, 4, 5, 7)] == ["number out of range", "nested too deep", "lone surrogate", None, None, "number out of range", "duplicate key \\ud800"]
+    for dialect, surrogate in (("ascii", None), ("utf8", "lone surrogate"), ("nfc", "lone surrogate")):
+        rows = {r["k"]: r["c"]["error"] for r in docs.select("k", canonical.canonical_json(F.col("t"), dialect).alias("c")).collect()}
+        assert [rows[i] for i in (0, 1, 2, 3, 4, 5)] == ["number out of range", "nested too deep", surrogate, surrogate, None, "number out of range"]
+    assert {r["k"] for r in canonical.schema_paths(docs, "k", "t").collect()} >= {4}
+
+
+def test_seals_leave_out_nested_members(spark):
+    def sealed(claim, at, status):
+        return f'{{"a": 1, "generated_at": "{at}", "status": {{"ok": true, "validated_at": "{status}"}}, "integrity": {{"sha256": "{claim}"}}}}'
+
+    claim = hashlib.sha256(b'{"a":1,"status":{"ok":true}}').hexdigest()
+    seal = lambda text: one(spark, canonical.verify_seal(F.lit(text), "ascii", unsealed=("generated_at", "/status/validated_at"))["code"])
+    assert seal(sealed(claim, "now", "then")) is None and seal(sealed(claim, "x", "y")) is None
+    assert seal(sealed("0", "now", "then")) == "SEAL_MISMATCH"
+
+
+def test_text_patterns(spark):
+    text = 'x("response.Output-Item"); y("codex.A_b.c"); z("other.x");\npub(in crate::x) mod foo;\nmod A1;\n// mod no\nstruct HttpClient;\n// FooClient\npub use a::BarClient;\nuse b::BazClient;'
+    files = spark.createDataFrame([(1, text)], "k int, text string")
+    found = lambda p: coverage.literals(files, ["k"], p).first()["names"]
+    assert found(coverage.event_kinds("response", "codex")) == ["codex.A_b.c", "response.Output-Item"]
+    assert found(coverage.MODULES) == ["A1", "foo"] and found(coverage.CLIENTS) == ["BarClient"]
+
+
+def test_profiles(spark):
+    reports = spark.createDataFrame([(1, "p", ["a"], False), (2, "p", None, None), (3, "q", ["a"], False), (4, None, [], True), (5, "p", ["a"], True)], "report int, profile string, observed array<string>, legacy boolean")
+    profiles = spark.createDataFrame([("p", ["a"], None)], "profile string, required array<string>, allow_legacy boolean")
+    got = sorted(map(tuple, coverage.profile_evaluation(reports, profiles).collect()))
+    assert got == [(1, [], True, None), (2, ["a"], False, "REQUIRED_MISSING"), (3, [], False, "PROFILE_UNKNOWN"), (4, [], False, "PROFILE_UNKNOWN"), (5, [], False, "LEGACY_NOT_ALLOWED")]
