@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractlake.functions import canonical as CJ
-from contractlake.operators import lineage, records
+from contractlake.operators import forks, lineage, records
 
 from . import diff_queries
 from .registry import query, table
@@ -123,6 +123,57 @@ def k24(spark: SparkSession, sf: str) -> DataFrame:
     return records.fork_history(forks, items)
 
 
+_DEPTHS = 9
+#: A conversation goes back to the one of a third of its number; its boundary follows from the lengths of its first texts.
+_FORKS = """i AS (SELECT conv_id, turn, role, text, (CASE WHEN conv_id = 0 THEN 0 ELSE floor(ln(conv_id + 0.5) / ln(3))::INT + 1 END) AS depth FROM conversations),
+n AS (SELECT conv_id AS rollout, depth, depth * 1000 + turn AS ordinal, 't' || turn // 2 AS turn, role = 'assistant' AS ends, (depth * 1000 + turn) * 10 AS at, length(text) AS size FROM i),
+f AS (SELECT rollout, any_value(depth) AS depth, CASE WHEN rollout > 0 THEN rollout // 3 END AS base, max(size) % 5 AS k, min(size) % 5 AS m FROM n GROUP BY 1),
+b AS (SELECT rollout, depth, base, CASE WHEN k = 0 AND base IS NOT NULL THEN (depth - 1) * 10000 + m * 10 + 5 END AS at, CASE WHEN k IN (1, 3) AND base IS NOT NULL THEN 't' || m END AS last_turn, CASE WHEN k IN (2, 3) AND base IS NOT NULL THEN 't' || m END AS before_turn FROM f),
+t AS (SELECT rollout AS node, turn, min(ordinal) AS first, max(ordinal) AS last, bool_or(ends) AS completed FROM n GROUP BY ALL),
+o AS (SELECT rollout AS base, min(ordinal) AS low FROM n GROUP BY 1), l AS (SELECT b.rollout, coalesce(max(ordinal) + 1, any_value(low)) AS cut FROM b JOIN o USING (base) LEFT JOIN n ON n.rollout = b.base AND n.at <= b.at WHERE b.at IS NOT NULL GROUP BY b.rollout),
+h0 AS MATERIALIZED (SELECT rollout, rollout AS node, 0 AS hops, NULL::BIGINT AS cut FROM b WHERE base IS NULL), r0 AS (SELECT rollout, base, NULL AS boundary, NULL::BIGINT AS cut, NULL AS code FROM b WHERE base IS NULL)"""
+
+
+def _fork_level(d: int) -> str:
+    return f"""q{d} AS (SELECT b.rollout, arg_min({{'first': t.first, 'last': t.last, 'whole': completed AND (h.cut IS NULL OR t.last < h.cut)}}, hops) AS t FROM b JOIN h{d - 1} h ON h.rollout = b.base JOIN t ON t.node = h.node AND t.turn = coalesce(b.last_turn, b.before_turn) WHERE b.depth = {d} AND (h.cut IS NULL OR t.first < h.cut) GROUP BY 1),
+r{d} AS MATERIALIZED (SELECT rollout, base, CASE WHEN last_turn IS NOT NULL AND before_turn IS NOT NULL THEN NULL WHEN last_turn IS NOT NULL THEN 'through_turn' WHEN before_turn IS NOT NULL THEN 'before_turn' ELSE 'latest' END AS boundary, CASE WHEN code IS NULL THEN CASE WHEN last_turn IS NOT NULL THEN q.t.last + 1 WHEN before_turn IS NOT NULL THEN q.t.first ELSE l.cut END END::BIGINT AS cut, code
+ FROM (SELECT *, CASE WHEN last_turn IS NOT NULL AND before_turn IS NOT NULL THEN 'BOUNDARY_CONFLICT' WHEN coalesce(last_turn, before_turn) IS NOT NULL AND q.t IS NULL THEN 'TURN_NOT_IN_HISTORY' WHEN last_turn IS NOT NULL AND NOT q.t.whole THEN 'TURN_NOT_COMPLETED' END AS code FROM b LEFT JOIN q{d} q USING (rollout) WHERE depth = {d}) q LEFT JOIN l USING (rollout)),
+h{d} AS MATERIALIZED (SELECT rollout, rollout AS node, 0 AS hops, NULL::BIGINT AS cut FROM b WHERE depth = {d} UNION ALL SELECT r.rollout, h.node, h.hops + 1, CASE WHEN h.cut IS NULL OR r.cut < h.cut THEN r.cut ELSE h.cut END FROM r{d} r JOIN h{d - 1} h ON h.rollout = r.base WHERE r.code IS NULL)"""
+
+
+_RESOLVED = "WITH " + ", ".join([_FORKS, *(_fork_level(d) for d in range(1, _DEPTHS + 1))])
+
+
+def _forks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, sf, "conversations")
+    k, size = F.col("conv_id"), F.length("text")
+    depth = F.when(k == 0, 0).otherwise(F.floor(F.ln(k + F.lit(0.5)) / F.ln(F.lit(3))).cast("int") + 1)
+    ordinal = depth * 1000 + F.col("turn")
+    items = c.select(k.alias("rollout"), depth.alias("depth"), ordinal.alias("ordinal"), F.concat(F.lit("t"), F.floor(F.col("turn") / 2).cast("string")).alias("turn"), (F.col("role") == "assistant").alias("ends"), (ordinal * 10).alias("at"), size.alias("size"))
+    f = items.groupBy("rollout", "depth").agg((F.max("size") % 5).alias("k"), (F.min("size") % 5).alias("m")).withColumn("base", F.when(F.col("rollout") > 0, F.floor(F.col("rollout") / 3)))
+    turn = F.concat(F.lit("t"), F.col("m").cast("string"))
+    has = F.col("base").isNotNull()
+    forks = f.select("rollout", "base", F.when(has & (F.col("k") == 0), (F.col("depth") - 1) * 10000 + F.col("m") * 10 + 5).alias("at"), F.when(has & F.col("k").isin(1, 3), turn).alias("last_turn"), F.when(has & F.col("k").isin(2, 3), turn).alias("before_turn"))
+    return forks, items
+
+
+@query("k24_fork_boundaries", _RESOLVED + " " + " UNION ALL ".join(f"SELECT * FROM r{d}" for d in range(_DEPTHS + 1)))
+def k24_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    return forks.resolve_boundaries(*_forks(spark, sf))
+
+
+@query(
+    "k24_bounded_history",
+    _RESOLVED + f", h AS ({' UNION ALL '.join(f'SELECT * FROM h{d}' for d in range(_DEPTHS + 1))}) SELECT h.rollout, hops, ordinal, turn AS item FROM h JOIN n ON n.rollout = h.node WHERE cut IS NULL OR ordinal < cut",
+)
+def k24_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole history of each conversation, up to nine forks deep."""
+    given, items = _forks(spark, sf)
+    found = forks.resolve_boundaries(given, items)
+    sound = found.select("rollout", F.when(F.col("code").isNull(), F.col("base")).alias("base"), "cut")
+    return records.fork_history(sound, items.select("rollout", "ordinal", F.col("turn").alias("item")))
+
+
 @query(
     "k25_steer_check",
     """WITH e AS (SELECT user_id AS thread, ts, event_id AS seq, CASE event_type WHEN 'view' THEN 'started' WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'steer' END AS kind, 't' || event_id // 4 AS turn FROM events WHERE event_type IN ('view', 'purchase', 'click')),

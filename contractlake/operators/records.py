@@ -217,18 +217,21 @@ def thread_clock(thread_id: Column) -> Column:
     return F.when(thread_id.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-"), F.timestamp_millis(F.conv(F.substring(digits, 1, 12), 16, 10).cast("long")))
 
 
-def fork_history(forks: DataFrame, items: DataFrame) -> DataFrame:
+def fork_history(forks: DataFrame, items: DataFrame, width: int = 1024) -> DataFrame:
     """forks: rollout, base, cut (ordinals of the base's history from it on are not taken; null: all); items: rollout, ordinal, item. Each fork's effective items: rollout, hops (0: its own, 1: its base's, and so on), ordinal, item.
 
     A base that is a fork itself hands on its own effective history, so the chain of bases is followed
-    and the smallest cut on the way holds. A range join: the equality on the ancestor partitions, the
-    cut is checked on the way.
+    and the smallest cut on the way holds. A range join on runs of `width` ordinals: a fork meets only the
+    runs that begin before its cut, and the items of a base with many forks are many keys.
     """
     from .lineage import chains
 
     above = chains(forks.select(F.col("rollout").alias("start"), F.col("base").alias("node"), "cut"))
-    i = items.select(F.col("rollout").alias("node"), "ordinal", "item")
-    taken = above.join(i, "node").filter("cut is null or ordinal < cut").select(F.col("start").alias("rollout"), "hops", "ordinal", "item")
+    i = items.select(F.col("rollout").alias("node"), "ordinal", "item", F.floor(F.col("ordinal") / width).alias("run"))
+    ends = i.groupBy("node").agg(F.min("run").alias("first"), F.max("run").alias("last"))
+    reach = above.join(ends, "node").withColumn("last", F.least("last", F.floor((F.col("cut") - 1) / width))).filter("first <= last")
+    runs = reach.select("start", "node", "hops", "cut", F.explode(F.sequence("first", "last")).alias("run"))
+    taken = runs.join(i, ["node", "run"]).filter("cut is null or ordinal < cut").select(F.col("start").alias("rollout"), "hops", "ordinal", "item")
     own = forks.select("rollout").distinct().join(items, "rollout").select("rollout", F.lit(0).alias("hops"), "ordinal", "item")
     return taken.unionByName(own)
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contractlake.functions import canonical, classify, ids
-from contractlake.operators import checks, coverage, diffs, lineage, records, rollups, timelines
+from contractlake.operators import checks, coverage, diffs, forks, lineage, records, rollups, timelines
 from contractlake.streaming import turns
 
 
@@ -314,3 +314,39 @@ def test_profiles(spark):
     profiles = spark.createDataFrame([("p", ["a"], None)], "profile string, required array<string>, allow_legacy boolean")
     got = sorted(map(tuple, coverage.profile_evaluation(reports, profiles).collect()))
     assert got == [(1, [], True, None), (2, ["a"], False, "REQUIRED_MISSING"), (3, [], False, "PROFILE_UNKNOWN"), (4, [], False, "PROFILE_UNKNOWN"), (5, [], False, "LEGACY_NOT_ALLOWED")]
+
+
+def fork_tables(spark, given, items):
+    f = spark.createDataFrame(given, "rollout string, base string, at int, last_turn string, before_turn string")
+    return f, spark.createDataFrame(items, "rollout string, ordinal long, turn string, ends boolean, at int")
+
+
+def test_boundaries(spark):
+    items = [("r", i, f"t{i // 2}", i % 2 == 1 and i < 6, i) for i in range(8)] + [("r", 8, None, None, 8)] + [("a", 4, "t9", True, 20), ("a", 5, "t2", True, 21)]
+    given = [
+        ("r", None, None, None, None), ("a", "r", None, "t1", None), ("b", "a", None, "t1", None), ("c", "a", None, "t2", None), ("d", "a", None, None, "t0"), ("e", "a", None, None, "t3"), ("f", "r", None, "t3", None), ("g", "r", None, "t1", "t2"),
+        ("h", "r", 3, None, None), ("i", "r", -1, None, None), ("j", "r", None, None, None), ("k", "d", None, "t0", None), ("l", "k", None, "t0", None), ("m", "h", None, "t1", None), ("n", "none", 5, None, None), ("o", "a", 20, None, None), ("p", "i", None, None, "t0"),
+    ]
+    got = {r["rollout"]: (r["boundary"], r["cut"], r["code"]) for r in forks.resolve_boundaries(*fork_tables(spark, given, items)).collect()}
+    lost = "TURN_NOT_IN_HISTORY"
+    assert got == {
+        "r": (None, None, None), "a": ("through_turn", 4, None), "b": ("through_turn", 4, None), "c": ("through_turn", 6, None), "d": ("before_turn", 0, None), "e": ("before_turn", None, lost), "f": ("through_turn", None, "TURN_NOT_COMPLETED"), "g": (None, None, "BOUNDARY_CONFLICT"),
+        "h": ("latest", 4, None), "i": ("latest", 0, None), "j": ("latest", None, None), "k": ("through_turn", None, lost), "l": ("through_turn", None, lost), "m": ("through_turn", 4, None), "n": ("latest", None, None), "o": ("latest", 5, None), "p": ("before_turn", None, lost),
+    }
+
+
+def test_a_turn_cut_in_the_middle_is_not_complete(spark):
+    items = [("r", i, "t", i == 3, i) for i in range(4)]
+    given = [("r", None, None, None, None), ("a", "r", 1, None, None), ("b", "a", None, "t", None), ("c", "b", None, None, "t")]
+    got = {r["rollout"]: (r["cut"], r["code"]) for r in forks.resolve_boundaries(*fork_tables(spark, given, items)).collect()}
+    assert got == {"r": (None, None), "a": (2, None), "b": (None, "TURN_NOT_COMPLETED"), "c": (None, "TURN_NOT_IN_HISTORY")}
+
+
+@pytest.mark.parametrize("width", [1, 3, 1024])
+def test_history_by_runs_of_ordinals(spark, width):
+    links = spark.createDataFrame([("r", None, None), ("a", "r", 7), ("b", "a", None), ("c", "b", 3), ("d", "r", 0)], "rollout string, base string, cut long")
+    items = spark.createDataFrame([("r", i, i) for i in range(2, 12)] + [("a", i, -i) for i in range(7, 10)], "rollout string, ordinal long, item int")
+    got = {}
+    for r in records.fork_history(links, items, width).collect():
+        got.setdefault(r["rollout"], []).append(r["item"])
+    assert {k: sorted(v) for k, v in got.items()} == {"r": list(range(2, 12)), "a": [-9, -8, -7, 2, 3, 4, 5, 6], "b": [-9, -8, -7, 2, 3, 4, 5, 6], "c": [2]}
