@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractlake.functions import canonical
 from contractlake.operators import conformance, coverage, lineage
 from contractlake.operators.extractors import ExtractorRegistry
 from contractlake.sources import records as S
+from contractlake.streaming import state
 from contractlake.streaming import turns as T
 
 from .registry import query, table
@@ -266,12 +267,26 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
+def _timed(spark: SparkSession, sf: str) -> DataFrame:
+    return _stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+
+
+def _in_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The events of every five days as a batch, so that the watermark moves and state is forgotten."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return state.staged(e, F.floor((F.dayofmonth("ts") - 1) / 5), 7, lineage.scratch(spark, "pieces")).withWatermark("ts", "1 hour")
+
+
 _STATUS = {"view": "InProgress", "click": "InProgress", "purchase": "Completed", "signup": "Interrupted", "error": "Failed"}
 
 
-def _turn_events(e: DataFrame) -> DataFrame:
+#: Longer than the given events: nothing is forgotten in between.
+_MONTH = 31 * 86_400_000
+
+
+def _turn_events(e: DataFrame, turn: Column | None = None) -> DataFrame:
     status = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in _STATUS.items()])
-    return e.select(F.col("user_id").alias("thread"), F.floor(F.col("event_id") / 500).alias("turn"), F.col("event_id").alias("seq"), status.alias("status"))
+    return e.select("ts", F.col("user_id").alias("thread"), (F.floor(F.col("event_id") / 500) if turn is None else turn).alias("turn"), F.col("event_id").alias("seq"), status.alias("status"))
 
 
 @query("t1_project_rollouts", "SELECT user_id AS rollout, event_id AS ordinal, event_type AS item FROM events")
@@ -287,19 +302,19 @@ _TURNS = "e AS (SELECT user_id AS thread, event_id // 500 AS turn, event_id AS s
 
 @query("t2_reduce_turns", f"WITH {_TURNS} SELECT thread, turn, coalesce(ts, fs) AS seq, coalesce(st, 'InProgress') AS status FROM t")
 def t2(spark: SparkSession, sf: str) -> DataFrame:
-    changes = T.finished(T.reduce_turns(_turn_events(_stream(spark, sf))), lineage.scratch(spark, "turns"), lineage.scratch(spark, "state"))
+    changes = T.finished(state.reduce_turns(_turn_events(_timed(spark, sf)), "ts", keep_ms=_MONTH), lineage.scratch(spark, "turns"), lineage.scratch(spark, "state"))
     return changes.groupBy("thread", "turn").agg(F.max(F.struct("seq", "status")).alias("m")).select("thread", "turn", "m.*")
 
 
 @query("t2_reduce_items", "WITH e AS (SELECT user_id AS thread, event_id // 500 AS turn, value < 50 AS item, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'Completed' WHEN 'signup' THEN 'Interrupted' WHEN 'error' THEN 'Failed' ELSE 'InProgress' END AS status FROM events), t AS (SELECT thread, turn, item, min(seq) FILTER (status <> 'InProgress') AS ts, arg_min(status, seq) FILTER (status <> 'InProgress') AS st, min(seq) AS fs FROM e GROUP BY ALL) SELECT thread, turn, item, coalesce(ts, fs) AS seq, coalesce(st, 'InProgress') AS status FROM t")
 def t2_items(spark: SparkSession, sf: str) -> DataFrame:
-    """The items of turns, under a watermark that lets ended ones be forgotten."""
-    s = _stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    """The items of turns."""
+    s = _timed(spark, sf)
     kind = F.col("event_type")
     status = F.when(kind == "purchase", "Completed").when(kind == "signup", "Interrupted").when(kind == "error", "Failed").otherwise("InProgress")
     e = s.select(F.col("user_id").alias("thread"), F.floor(F.col("event_id") / 500).alias("turn"), (F.col("value") < 50).alias("item"), F.col("event_id").alias("seq"), status.alias("status"), "ts")
     keys = ("thread", "turn", "item")
-    changes = T.finished(T.reduce_turns(e, keys, "ts"), lineage.scratch(spark, "items"), lineage.scratch(spark, "state"))
+    changes = T.finished(state.reduce_turns(e, "ts", keys, _MONTH), lineage.scratch(spark, "items"), lineage.scratch(spark, "state"))
     return changes.groupBy(*keys).agg(F.max(F.struct("seq", "status")).alias("m")).select(*keys, "m.*")
 
 
@@ -316,5 +331,35 @@ def t3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("t4_stream_model_changes", "WITH m AS (SELECT user_id AS stream, event_id AS seq, event_type AS model FROM events WHERE event_id % 3 <> 0), k AS (SELECT *, lag(model) OVER (PARTITION BY stream ORDER BY seq) AS previous FROM m) SELECT * FROM k WHERE model IS DISTINCT FROM previous")
 def t4(spark: SparkSession, sf: str) -> DataFrame:
-    e = _stream(spark, sf).select(F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("model"))
-    return T.finished(T.stream_model_changes(e), lineage.scratch(spark, "models"), lineage.scratch(spark, "state"))
+    e = _timed(spark, sf).select(F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("model"), "ts")
+    return T.finished(state.model_changes(e, "ts", _MONTH), lineage.scratch(spark, "models"), lineage.scratch(spark, "state"))
+
+
+@query(
+    "t2_turn_sessions",
+    """WITH e AS (SELECT user_id AS thread, floor(value / 25)::BIGINT AS turn, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'Completed' WHEN 'signup' THEN 'Interrupted' WHEN 'error' THEN 'Failed' ELSE 'InProgress' END AS status, epoch_ms(ts) AS ms FROM events),
+b AS (SELECT *, max(ms) OVER (PARTITION BY thread, turn ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e), r AS (SELECT *, sum(CASE WHEN ms - before > 86400000 THEN 1 ELSE 0 END) OVER (PARTITION BY thread, turn ORDER BY seq) AS run FROM b),
+w AS (SELECT *, lag(status) OVER p AS was, coalesce(max((status <> 'InProgress')::INT) OVER (PARTITION BY thread, turn, run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM r WINDOW p AS (PARTITION BY thread, turn, run ORDER BY seq)) SELECT thread, turn, seq, status FROM w WHERE ended = 0 AND status IS DISTINCT FROM was""",
+)
+def t2_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns that are forgotten after a day without an event."""
+    e = _turn_events(_in_pieces(spark, sf), F.floor(F.col("value") / 25))
+    return T.finished(state.reduce_turns(e, "ts", keep_ms=86_400_000), lineage.scratch(spark, "turns"), lineage.scratch(spark, "state"))
+
+
+@query("t3_dedupe_sessions", "SELECT user_id, event_type, event_id AS seq FROM (SELECT *, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS gap FROM events) WHERE gap IS NULL OR gap > 43200000")
+def t3_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Repeats within half a day go; one that comes after a longer silence is back."""
+    rows = state.dedupe(_in_pieces(spark, sf), ["user_id", "event_type"], "event_id", "ts", 43_200_000)
+    return T.finished(rows, lineage.scratch(spark, "dedupe"), lineage.scratch(spark, "state"))
+
+
+@query(
+    "t4_model_sessions",
+    """WITH m AS (SELECT user_id AS stream, event_id AS seq, CASE WHEN value >= 30 THEN event_type END AS model, epoch_ms(ts) AS ms FROM events), g AS (SELECT *, ms - lag(ms) OVER (PARTITION BY stream ORDER BY ms, seq) AS gap FROM m), r AS (SELECT *, sum(CASE WHEN gap > 86400000 THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY ms, seq) AS run FROM g),
+k AS (SELECT *, last_value(model IGNORE NULLS) OVER (PARTITION BY stream, run ORDER BY ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM r) SELECT stream, seq, model, previous FROM k WHERE model IS NOT NULL AND model IS DISTINCT FROM previous""",
+)
+def t4_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Models that are forgotten after a day without an event."""
+    e = _in_pieces(spark, sf).select(F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), F.when(F.col("value") >= 30, F.col("event_type")).alias("model"), "ts")
+    return T.finished(state.model_changes(e, "ts", 86_400_000), lineage.scratch(spark, "models"), lineage.scratch(spark, "state"))

@@ -1,16 +1,12 @@
-"""Streams of session events: projection, turn state, deduplication and change detection."""
+"""Streams of session events: projection, the state of turns in a batch, deduplication; what keeps state by key is in `state`."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-TERMINAL = ("Completed", "Interrupted", "Failed")
+from .state import TERMINAL, started
 
 
 def project_rollouts(items: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -36,39 +32,6 @@ def shrunk(projected: DataFrame, log: DataFrame) -> DataFrame:
     return a.join(b, "rollout", "left").filter("logged is null or logged < projected").withColumn("code", F.lit("ROLLOUT_LOG_SHRUNK"))
 
 
-def reduce_turns(events: DataFrame, keys: tuple[str, ...] = ("thread", "turn"), time: str | None = None, keep_ms: int = 3_600_000) -> DataFrame:
-    """events: keys, seq, status. A row for each accepted change of status; the first terminal status stays, later events never reopen what has ended.
-
-    keys say what has a status: turns, or with an item among them, items. State is one short string a
-    key. With time (a column under a watermark) what has ended is forgotten once the watermark is
-    keep_ms past its last event; rows behind the watermark are dropped, so they can't reopen it, while
-    a newer row starts it anew. Without, all that has ended is kept to reject late events.
-    """
-    bounded = time is not None
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = state.get[0] if state.exists else ""
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for seq, status in zip(rows["seq"], rows["status"], strict=True):
-            if now not in TERMINAL and status != now:
-                now = status
-                out.append((*key, int(seq), status))
-        state.update((now,))
-        if bounded and now in TERMINAL:
-            state.setTimeoutTimestamp(max(int(rows["ms"].max()) + keep_ms, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=[*keys, "seq", "status"])
-
-    types = {f.name: f.dataType.simpleString() for f in events.schema}
-    rows = events.select(*keys, "seq", "status", time, F.unix_millis(time).alias("ms")) if bounded else events
-    out = ", ".join(f"{k} {types[k]}" for k in keys) + ", seq long, status string"
-    return rows.groupBy(*keys).applyInPandasWithState(step, out, "status string", "append", "EventTimeTimeout" if bounded else "NoTimeout")
-
-
 def reduce_turns_batch(events: DataFrame) -> DataFrame:
     """The batch twin: each turn's final status and the seq at which it was reached."""
     terminal = F.col("status").isin(*TERMINAL)
@@ -81,26 +44,7 @@ def stream_dedupe(items: DataFrame, keys: list[str], time: str, delay: str) -> D
     return items.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_model_changes(events: DataFrame) -> DataFrame:
-    """events: stream, seq, model. Rows whose model is known and differs from the last one of the stream."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for seq, model in zip(rows["seq"], rows["model"], strict=True):
-            if model is not None and model != now:
-                out.append((*key, int(seq), model, now))
-                now = model
-        if now is not None:
-            state.update((now,))
-        yield pd.DataFrame(out, columns=["stream", "seq", "model", "previous"])
-
-    return events.groupBy("stream").applyInPandasWithState(step, "stream long, seq long, model string, previous string", "model string", "append", "NoTimeout")
-
-
 def finished(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a stream over all that is there now and read what it wrote."""
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    started(stream, path, checkpoint).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from contractlake.functions import canonical, classify, ids
 from contractlake.operators import checks, coverage, diffs, forks, lineage, records, rollups, timelines
-from contractlake.streaming import turns
+from contractlake.streaming import state, turns
 
 
 def one(spark, column, **values):
@@ -245,8 +245,8 @@ def test_ended_turns_are_forgotten_behind_the_watermark(spark, tmp_path):
         spark.sql(f"SELECT * FROM VALUES {values} AS t(thread, turn, seq, status, ts)").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         time.sleep(1.1)
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "1 minute")
-    changes = turns.reduce_turns(events, time="ts")
-    q = changes.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    changes = state.reduce_turns(events, "ts")
+    q = state.started(changes, str(tmp_path / "out"), str(tmp_path / "state"))
     q.awaitTermination()
     got = {(r["turn"], r["seq"], r["status"]) for r in spark.read.schema(changes.schema).parquet(str(tmp_path / "out")).collect()}
     assert got == {(1, 1, "InProgress"), (1, 2, "Completed"), (2, 3, "InProgress")}
