@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contractlake.functions import canonical
@@ -11,6 +11,7 @@ from contractlake.operators.extractors import ExtractorRegistry
 from contractlake.sources import records as S
 from contractlake.streaming import state
 from contractlake.streaming import turns as T
+from contractlake.streaming.projection import Projection
 
 from .registry import query, table
 
@@ -297,6 +298,45 @@ def t1(spark: SparkSession, sf: str) -> DataFrame:
     return T.projection(spark, out, items.columns)
 
 
+@query(
+    "t1_incremental_projection",
+    """WITH e AS (SELECT user_id AS rollout, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ordinal, event_type AS item, dayofmonth(ts) AS day FROM events), f AS (SELECT rollout, arg_min(item, ordinal) = 'signup' AS lost, arg_min(item, ordinal) = 'error' AS gapped FROM e GROUP BY 1),
+p AS (SELECT rollout, max(ordinal) + 1 AS n FROM e WHERE day <= 24 GROUP BY 1),
+g AS (SELECT rollout, any_value(lost) AS lost, any_value(gapped) AND count(*) > 1 AS gapped FROM e JOIN f USING (rollout) WHERE day > 24 GROUP BY rollout)
+SELECT rollout, ordinal, item, NULL AS code FROM e LEFT JOIN g USING (rollout) WHERE day <= 24 OR NOT (lost AND rollout IN (SELECT rollout FROM p) OR gapped)
+UNION ALL SELECT rollout, NULL, NULL, 'ROLLOUT_LOG_SHRUNK' FROM g JOIN p USING (rollout) WHERE lost UNION ALL SELECT rollout, NULL, NULL, 'ROLLOUT_LOG_GAP' FROM g WHERE gapped""",
+)
+def t1_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """A log in four batches, of which the third repeats rows of the second; before the fourth the stream is stopped and taken up again.
+
+    In the fourth, logs that began with a signup are read as empty, and those that began with an error lack an item.
+    """
+    by = Window.partitionBy("user_id").orderBy("event_id")
+    bytes_ = F.length("event_type").cast("long") + 1
+    offset = F.coalesce(F.sum(bytes_).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.first("event_type").over(by)
+    e = table(spark, sf, "events").select(F.col("user_id").alias("rollout"), (F.row_number().over(by) - 1).cast("long").alias("ordinal"), offset.alias("offset"), bytes_.alias("bytes"), F.col("event_type").alias("item"), F.dayofmonth("ts").alias("day"), first.alias("began"))
+    e = lineage.written(e)
+    last = Window.partitionBy("rollout", F.col("day") > 24).orderBy("ordinal")
+    e = e.withColumn("n", F.row_number().over(last)).withColumn("of", F.count("*").over(Window.partitionBy("rollout", F.col("day") > 24)))
+    e = e.withColumn("log_bytes", F.when((F.col("day") > 24) & (F.col("began") == "signup"), 0).otherwise(F.col("offset") + F.col("bytes")).cast("long"))
+    missing = (F.col("day") > 24) & (F.col("began") == "error") & (F.col("of") > 1) & (F.col("n") == 1)
+    rows = e.filter(~missing)
+    names = ["rollout", "ordinal", "offset", "bytes", "item", "log_bytes"]
+    log, out, at = lineage.scratch(spark, "log"), lineage.scratch(spark, "projection"), lineage.scratch(spark, "state")
+    put = lambda condition: rows.filter(condition).select(*names).coalesce(1).write.mode("append").parquet(log)
+    for condition in ("day <= 8", "day > 8 and day <= 16", "day > 12 and day <= 24"):
+        put(condition)
+    stream = spark.readStream.schema(rows.select(*names).schema).option("maxFilesPerTrigger", 1).parquet(log)
+    p = Projection(spark, out, stream.schema, compact_every=2)
+    p.follow(stream, at).awaitTermination()
+    put("day > 24")
+    p.follow(stream, at).awaitTermination()
+    none = F.lit(None)
+    errors = p.errors().select("rollout", none.cast("long").alias("ordinal"), none.cast("string").alias("item"), "code")
+    return p.items().select("rollout", "ordinal", "item", none.cast("string").alias("code")).unionByName(errors)
+
+
 _TURNS = "e AS (SELECT user_id AS thread, event_id // 500 AS turn, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'Completed' WHEN 'signup' THEN 'Interrupted' WHEN 'error' THEN 'Failed' ELSE 'InProgress' END AS status FROM events), t AS (SELECT thread, turn, min(seq) FILTER (status <> 'InProgress') AS ts, arg_min(status, seq) FILTER (status <> 'InProgress') AS st, min(seq) AS fs FROM e GROUP BY ALL)"
 
 
