@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contractlake.functions.canonical import nfc
+from contractlake.functions.canonical import nfc, walk_json
 from contractlake.functions.ids import blob_sha1
-from contractlake.operators import checks
+from contractlake.operators import checks, coverage, documents
 
 from .registry import query, table
 
@@ -41,6 +41,55 @@ def k18_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return checks.reference_integrity(wide.drop("there"), wide.filter("there").select("report", "kind", F.col("target_id").alias("id")), ["report"])
 
 
+_MEMBERS = {"source": "node", "target": "node", "x-entity-ref": "segment", "refs": "node"}
+_PLACES = {"node": "/nodes/*", "dropped": "/dropped/*", "segment": "/segments/*"}
+
+
+def _reports(spark: SparkSession, sf: str) -> DataFrame:
+    """A report a customer: its orders as nodes or dropped ones, edges from each order to the next, references, counts and the extractors that it names."""
+    o = table(spark, sf, "orders").withColumn("n", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")))
+    after = F.lead("n").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = o.withColumn("after", after).withColumn("node", F.col("o_totalprice") >= 60000).withColumn("gone", (F.col("o_totalprice") < 60000) | (F.col("o_orderstatus") == "P"))
+    entry = lambda c, i: F.map_from_entries(F.array_sort(F.collect_list(F.when(c, F.struct("n", F.struct(i.alias("id")).alias("v"))))))
+    edge = F.struct("n", F.struct(F.when(F.col("o_orderpriority") == "1-URGENT", "e").otherwise(F.col("n")).alias("id"), F.col("n").alias("source"), F.col("after").alias("target")).alias("v"))
+    r = o.groupBy("o_custkey").agg(
+        entry(F.col("node"), F.when(F.col("o_orderstatus") == "P", "x").otherwise(F.col("n"))).alias("nodes"), entry(F.col("gone"), F.col("n")).alias("dropped"), F.transform(F.array_sort(F.collect_list(edge)), lambda e: e["v"]).alias("edges"), F.array_sort(F.collect_list(F.when(F.col("o_orderstatus") == "O", F.col("n")))).alias("refs"), F.count("*").alias("all"), F.min("o_orderpriority").alias("first"), F.collect_set("o_orderstatus").alias("states"),
+    )
+    c = table(spark, sf, "customer").join(r, F.col("c_custkey") == F.col("o_custkey"))
+    segments = F.from_json(F.lit('{"BUILDING": {}, "MACHINERY": {}}'), "map<string,struct<id:string>>")
+    found = F.transform(F.array_sort("states"), lambda s: F.struct(F.concat(F.lit("extractor."), s).alias("extractor_id")))
+    report = F.struct("nodes", "dropped", "edges", segments.alias("segments"), F.struct(F.col("c_mktsegment").alias("x-entity-ref")).alias("about"), F.struct("refs", F.struct(F.col("all").alias("nodes")).alias("counts"), F.create_map(F.concat(F.lit("extractor."), F.col("first")), F.lit(1)).alias("seen")).alias("status"), found.alias("found"))
+    text = F.when(F.col("c_acctbal") < -900, "{").otherwise(F.to_json(report))
+    return c.select(F.col("c_custkey").alias("report"), text.alias("t"))
+
+
+@query(
+    "k18_document_references",
+    """WITH o AS (SELECT *, 'o' || o_orderkey AS n, lead('o' || o_orderkey) OVER w AS after, row_number() OVER w - 1 AS i, o_totalprice >= 60000 AS node, o_totalprice < 60000 OR o_orderstatus = 'P' AS gone FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+c AS (SELECT c_custkey AS o_custkey, c_mktsegment, c_acctbal < -900 AS bad FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)), g AS (SELECT o.* , row_number() OVER (PARTITION BY o_custkey ORDER BY n) - 1 AS k FROM o JOIN c USING (o_custkey) WHERE NOT bad), s AS (SELECT o_custkey, n FROM g WHERE node),
+r AS (SELECT o_custkey, '/edges/' || k || '/source' AS p, n AS t FROM g UNION ALL SELECT o_custkey, '/edges/' || k || '/target', after FROM g WHERE after IS NOT NULL UNION ALL SELECT o_custkey, '/status/refs/' || (row_number() OVER (PARTITION BY o_custkey ORDER BY n) - 1), n FROM g WHERE o_orderstatus = 'O')
+SELECT o_custkey AS report, 'NODE_UNRESOLVED' AS code, p AS pointer, t AS target FROM r WHERE (o_custkey, t) NOT IN (SELECT o_custkey, n FROM s) UNION ALL SELECT o_custkey, 'SEGMENT_UNRESOLVED', '/about/x-entity-ref', c_mktsegment FROM c WHERE NOT bad AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY')
+UNION ALL SELECT o_custkey, 'MAP_KEY_MISMATCH', '/nodes/' || n, 'x' FROM g WHERE node AND o_orderstatus = 'P' UNION ALL SELECT o_custkey, 'CONTRADICTORY_ID', '/nodes/' || n, n FROM g WHERE node AND gone
+UNION ALL SELECT o_custkey, 'COUNT_MISMATCH', '/status/counts/nodes', count(*) FILTER (node)::VARCHAR FROM g GROUP BY 1 HAVING bool_or(NOT node) UNION ALL SELECT o_custkey, 'DUPLICATE_ID', '/edges/*/id', 'e' FROM g WHERE o_orderpriority = '1-URGENT' GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT o_custkey, 'DOCUMENT_REFUSED', '', 'no JSON' FROM c WHERE bad""",
+)
+def k18_documents(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = walk_json(_reports(spark, sf), "report", "t")
+    return documents.document_checks(nodes, "report", _MEMBERS, _PLACES, exclusive=(("node", "dropped"),), counts={"/status/counts/nodes": "node"}, unique=("/edges/*/id",))
+
+
+@query(
+    "k20_observed_extractors",
+    """WITH o AS (SELECT o_custkey AS report, min(o_orderpriority) AS first, list(DISTINCT o_orderstatus) AS states FROM orders GROUP BY 1), c AS (SELECT report, CASE WHEN c_acctbal < -900 THEN [] ELSE list_sort(list_distinct(list_transform(list_append(states, first), lambda x: 'extractor.' || x))) END AS observed, c_mktsegment AS p FROM o JOIN customer ON report = c_custkey),
+m AS (SELECT *, list_filter(['extractor.1-URGENT', 'extractor.F', 'extractor.P'], lambda x: NOT list_contains(observed, x)) AS missing FROM c) SELECT report, CASE WHEN p = 'BUILDING' THEN missing ELSE [] END AS missing, p = 'BUILDING' AND len(missing) = 0 AS complete, CASE WHEN p <> 'BUILDING' THEN 'PROFILE_UNKNOWN' WHEN len(missing) > 0 THEN 'REQUIRED_MISSING' END AS code FROM m""",
+)
+def k20_observed(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles held against the extractors that reports name anywhere."""
+    observed = documents.observed_extractors(walk_json(_reports(spark, sf), "report", "t"), "report")
+    reports = observed.join(table(spark, sf, "customer").select(F.col("c_custkey").alias("report"), F.col("c_mktsegment").alias("profile")), "report").withColumn("legacy", F.lit(False))
+    profiles = spark.createDataFrame([("BUILDING", ["extractor.1-URGENT", "extractor.F", "extractor.P"], False)], "profile string, required array<string>, allow_legacy boolean")
+    return coverage.profile_evaluation(reports, profiles)
+
+
 @query(
     "k19_transition_integrity",
     """WITH keys AS (SELECT 'c' || c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 'c' || (c_custkey * 2) END AS r FROM customer), o AS (SELECT 't' || o_orderkey AS id, 'v' || o_custkey AS version, o_orderpriority AS key, o_orderstatus AS state, 'e' || o_orderkey AS ref, o_totalprice AS p FROM orders),

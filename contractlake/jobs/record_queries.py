@@ -76,35 +76,44 @@ def j13(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.array_sort(F.map_keys(env)).alias("names"))
 
 
-_CODES = ["context_length_exceeded", "slow_down", "odd_code", "server_is_overloaded"]
 
 
-def _attempts(spark: SparkSession, sf: str) -> DataFrame:
-    code = F.when(_k() % 3 == 0, F.get(F.array(*map(F.lit, _CODES)), (_k() % 4).cast("int")))
-    status = F.get(F.array(*map(F.lit, (200, 429, 500, 503, 418))), (F.col("user_id") % 5).cast("int"))
-    return table(spark, sf, "events").select("event_id", "user_id", "ts", code.alias("error_code"), status.alias("http_status"))
+_ATTEMPTS = """x AS (SELECT event_id, user_id, ts, CASE WHEN value < 10 THEN ['context_length_exceeded', 'slow_down', 'odd_code', 'server_is_overloaded'][length(event_type) % 4 + 1] WHEN value < 12 THEN 'websocket_connection_limit_reached' END AS error_code,
+  CASE event_type WHEN 'click' THEN 429 WHEN 'view' THEN 500 WHEN 'error' THEN 503 WHEN 'signup' THEN 418 ELSE CASE WHEN value < 60 THEN 500 ELSE 200 END END AS http_status, CASE WHEN value BETWEEN 12 AND 16 THEN 'io' WHEN value BETWEEN 16 AND 20 THEN 'idle_timeout' WHEN value BETWEEN 20 AND 22 THEN 'unheard' END AS socket_error FROM events),
+c AS (SELECT *, CASE WHEN error_code IS NULL AND socket_error IS NULL AND http_status < 400 THEN NULL ELSE coalesce(CASE error_code WHEN 'context_length_exceeded' THEN 'ContextWindowExceeded' WHEN 'slow_down' THEN 'RateLimitExceeded' WHEN 'server_is_overloaded' THEN 'ServerOverloaded' WHEN 'websocket_connection_limit_reached' THEN 'Retryable' END,
+  CASE socket_error WHEN 'io' THEN 'Transport::Network' WHEN 'idle_timeout' THEN 'Stream' END, CASE http_status WHEN 429 THEN 'RetryLimit' WHEN 500 THEN 'InternalServerError' WHEN 503 THEN 'ServerOverloaded' END, 'Retryable') END AS api_error FROM x),
+r AS (SELECT *, CASE api_error WHEN 'Retryable' THEN 'Stream' WHEN 'Transport::Network' THEN 'ConnectionFailed' ELSE api_error END AS domain_error FROM c), d AS (SELECT *, domain_error IN ('Stream', 'RateLimitExceeded', 'InternalServerError', 'ConnectionFailed') AS retryable FROM r)"""
 
 
-_ATTEMPTS = """x AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 = 0 THEN ['context_length_exceeded', 'slow_down', 'odd_code', 'server_is_overloaded'][event_id % 4 + 1] END AS error_code, [200, 429, 500, 503, 418][user_id % 5 + 1] AS http_status FROM events),
-c AS (SELECT *, CASE WHEN error_code IS NULL AND http_status < 400 THEN NULL ELSE coalesce(CASE error_code WHEN 'context_length_exceeded' THEN 'ContextWindowExceeded' WHEN 'slow_down' THEN 'RateLimitExceeded' WHEN 'server_is_overloaded' THEN 'ServerOverloaded' END,
-  CASE http_status WHEN 429 THEN 'RetryLimit' WHEN 500 THEN 'InternalServerError' WHEN 503 THEN 'ServerOverloaded' END, 'Retryable') END AS api_error FROM x)"""
+def _attempts(spark: SparkSession, sf: str) -> DataFrame:
+    v, kind = F.col("value"), F.col("event_type")
+    codes = F.array(*map(F.lit, ("context_length_exceeded", "slow_down", "odd_code", "server_is_overloaded")))
+    code = F.when(v < 10, F.get(codes, F.length(kind) % 4)).when(v < 12, "websocket_connection_limit_reached")
+    status = F.when(kind == "click", 429).when(kind == "view", 500).when(kind == "error", 503).when(kind == "signup", 418).when(v < 60, 500).otherwise(200)
+    socket = F.when(v.between(12, 16), "io").when(v.between(16, 20), "idle_timeout").when(v.between(20, 22), "unheard")
+    return table(spark, sf, "events").select("event_id", "user_id", "ts", "value", code.alias("error_code"), status.alias("http_status"), socket.alias("socket_error"))
 
 
-@query("k23_classify_errors", f"WITH {_ATTEMPTS} SELECT event_id, error_code, http_status, api_error, api_error IN ('Retryable', 'Stream', 'RateLimitExceeded', 'InternalServerError') AS retryable FROM c")
+@query("k23_classify_errors", f"WITH {_ATTEMPTS} SELECT event_id, error_code, http_status, socket_error, api_error, domain_error, retryable FROM d")
 def k23(spark: SparkSession, sf: str) -> DataFrame:
-    return records.classify_errors(_attempts(spark, sf)).select("event_id", "error_code", "http_status", "api_error", "retryable")
+    return records.classify_errors(_attempts(spark, sf)).select("event_id", "error_code", "http_status", "socket_error", "api_error", "domain_error", "retryable")
 
 
 @query(
     "w10_retry_plan",
-    f"""WITH {_ATTEMPTS}, n AS (SELECT event_id, user_id, coalesce(api_error IN ('Retryable', 'Stream', 'RateLimitExceeded', 'InternalServerError'), false) AS retryable, CASE WHEN event_id % 4 = 0 THEN 1234 END AS d, event_id % 6 = 0 AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM c),
-a AS (SELECT *, CASE WHEN NOT retryable THEN 'stop' WHEN attempt > 50 THEN 'fallback' ELSE 'retry' END AS action FROM n)
-SELECT event_id, attempt::INT AS attempt, action, CASE WHEN action = 'retry' THEN CASE WHEN f THEN least(5000 * pow(2, attempt - 1), 60000) ELSE coalesce(d, 200 * pow(2, least(attempt - 1, 30))) END::BIGINT END AS delay_ms FROM a""",
+    f"""WITH RECURSIVE {_ATTEMPTS}, n AS (SELECT event_id, user_id || '/' || dayofmonth(ts) // 11 AS request, retryable OR api_error IN ('RetryLimit', 'ServerOverloaded') AS retryable, CASE WHEN http_status = 503 THEN 1234 END AS d, coalesce(domain_error = 'ConnectionFailed', false) AS f, row_number() OVER (PARTITION BY user_id, dayofmonth(ts) // 11 ORDER BY ts, event_id) AS attempt FROM d),
+a AS (SELECT *, CASE WHEN retryable IS NULL THEN 'done' WHEN NOT retryable OR attempt >= 8 THEN 'stop' WHEN attempt = 4 THEN 'fallback' ELSE 'retry' END AS action FROM n),
+s AS (SELECT *, false AS over, action IN ('done', 'stop') AS ended FROM a WHERE attempt = 1 UNION ALL SELECT a.*, s.ended, s.ended OR a.action IN ('done', 'stop') FROM s JOIN a ON a.request = s.request AND a.attempt = s.attempt + 1),
+t AS (SELECT *, attempt - CASE WHEN attempt > 4 THEN 4 ELSE 0 END AS own FROM s)
+SELECT event_id, attempt::INT AS attempt, CASE WHEN NOT over THEN CASE WHEN attempt > 4 THEN 'fallback' ELSE 'primary' END END AS transport, CASE WHEN NOT over THEN action END AS action,
+  CASE WHEN NOT over AND action = 'retry' THEN CASE WHEN f THEN least(5000 * pow(2, own - 1), 60000) ELSE coalesce(d, 200 * pow(2, own - 1)) END::BIGINT END AS delay_ms, CASE WHEN over THEN 'ATTEMPT_AFTER_END' WHEN attempt >= 8 AND retryable THEN 'RETRIES_EXHAUSTED' END AS code FROM t""",
 )
 def w10(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of a user in a third of a month; limits and overload are retried here as well, so that chains grow long."""
     a = records.classify_errors(_attempts(spark, sf))
-    a = a.withColumn("retryable", F.coalesce("retryable", F.lit(False))).withColumn("retry_delay_ms", F.when(_k() % 4 == 0, 1234)).withColumn("connection_failed", _k() % 6 == 0)
-    return records.retry_plan(a, "user_id", ["ts", "event_id"], budget=50).select("event_id", "attempt", "action", "delay_ms")
+    a = a.withColumn("request", F.concat_ws("/", "user_id", F.floor(F.dayofmonth("ts") / 11))).withColumn("retryable", F.col("retryable") | F.col("api_error").isin("RetryLimit", "ServerOverloaded"))
+    a = a.withColumn("retry_delay_ms", F.when(F.col("http_status") == 503, 1234)).withColumn("connection_failed", F.coalesce(F.col("domain_error") == "ConnectionFailed", F.lit(False)))
+    return records.retry_plan(a, "request", ["ts", "event_id"], budget=3).select("event_id", "attempt", "transport", "action", "delay_ms", "code")
 
 
 @query(

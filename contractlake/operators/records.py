@@ -71,7 +71,7 @@ def env_map(parent: Column, inherit: Column, ignore_default_excludes: Column, ex
     return F.map_filter(kept, lambda k, v: ~k.isin(*not_inheritable))
 
 
-# fixed values: error codes and HTTP statuses, their API errors, and which domain errors are retried
+# fixed values: API errors by code, by status and code, by code of a wrapped message, by status and by socket error; their domain errors where the names differ; which of those are retried
 API_ERRORS = {
     "context_length_exceeded": "ContextWindowExceeded",
     "insufficient_quota": "QuotaExceeded",
@@ -83,20 +83,34 @@ API_ERRORS = {
     "server_is_overloaded": "ServerOverloaded",
     "rate_limit_exceeded": "RateLimitExceeded",
     "slow_down": "RateLimitExceeded",
+    "previous_response_not_found": "Retryable",
+    "websocket_connection_limit_reached": "Retryable",
 }
 STATUS_ERRORS = {500: "InternalServerError", 503: "ServerOverloaded", 429: "RetryLimit"}
-RETRIED = ("Retryable", "Stream", "RateLimitExceeded", "InternalServerError")
+SOCKET_ERRORS = {"closed": "Stream", "already_closed": "Stream", "idle_timeout": "Stream", "io": "Transport::Network", "other": "Transport::Network"}
+DOMAIN_ERRORS = {"Retryable": "Stream", "Transport::Network": "ConnectionFailed"}
+RETRIED = ("Stream", "RateLimitExceeded", "InternalServerError", "ConnectionFailed")
 
 
 def classify_errors(attempts: DataFrame) -> DataFrame:
-    """attempts with error_code and http_status: adds api_error and retryable. Unknown codes are Retryable; a row without code or failing status has no error."""
+    """attempts with error_code, http_status and, if there is one, socket_error: adds api_error, domain_error and retryable.
+
+    The most specific rule wins: a known code, then the socket error, then the status. Where none is known a
+    code, a socket error or a status of 400 or more is Retryable. A row with none of them has no error: all
+    three are null. One rule table is joined to the row's own keys, once a row.
+    """
     spark = attempts.sparkSession
-    codes = F.broadcast(spark.createDataFrame(list(API_ERRORS.items()), "error_code string, by_code string"))
-    statuses = F.broadcast(spark.createDataFrame(list(STATUS_ERRORS.items()), "http_status int, by_status string"))
-    j = attempts.join(codes, "error_code", "left").join(statuses, "http_status", "left")
-    failed = F.col("error_code").isNotNull() | (F.col("http_status") >= 400)
-    error = F.when(failed, F.coalesce("by_code", "by_status", F.lit("Retryable")))
-    return j.withColumn("api_error", error).withColumn("retryable", F.col("api_error").isin(*RETRIED)).drop("by_code", "by_status")
+    rules = [("code", k, v) for k, v in API_ERRORS.items()] + [("socket", k, v) for k, v in SOCKET_ERRORS.items()] + [("status", str(k), v) for k, v in STATUS_ERRORS.items()]
+    r = F.broadcast(spark.createDataFrame(rules, "of string, sign string, error string"))  # the literals above
+    has_socket = "socket_error" in attempts.columns
+    socket = F.col("socket_error") if has_socket else F.lit(None).cast("string")
+    j = attempts
+    for of, sign in (("code", F.col("error_code")), ("socket", socket), ("status", F.col("http_status").cast("string"))):
+        j = j.join(r.filter(F.col("of") == of).select(F.col("sign").alias(f"_{of}"), F.col("error").alias(f"_by_{of}")), sign == F.col(f"_{of}"), "left")
+    failed = F.col("error_code").isNotNull() | socket.isNotNull() | F.coalesce(F.col("http_status") >= 400, F.lit(False))
+    j = j.withColumn("api_error", F.when(failed, F.coalesce("_by_code", "_by_socket", "_by_status", F.lit("Retryable"))))
+    domain = F.coalesce(*[F.when(F.col("api_error") == k, F.lit(v)) for k, v in DOMAIN_ERRORS.items()], F.col("api_error"))
+    return j.withColumn("domain_error", domain).withColumn("retryable", F.col("domain_error").isin(*RETRIED)).drop(*[f"_{x}{of}" for of in ("code", "socket", "status") for x in ("", "by_")])
 
 
 def relation_check(records: DataFrame, relations: DataFrame) -> DataFrame:
@@ -160,14 +174,26 @@ def page_after(requests: DataFrame, items: DataFrame, keys: list[str], order: st
 
 
 def retry_plan(attempts: DataFrame, request: str, order: list[str], budget: int = 5, base_ms: int = 200) -> DataFrame:
-    """attempts: retryable, retry_delay_ms, connection_failed. Adds attempt (from 1), action (stop, retry, fallback) and delay_ms.
+    """attempts: retryable (null: the attempt succeeded), retry_delay_ms, connection_failed. Adds attempt (from 1), transport, action, delay_ms and code.
 
-    A server's delay wins over the local back-off, which doubles; connection failures wait 5 s, doubling up to 60 s. Past the budget the transport is switched.
+    action: done, stop (not retryable), retry, or, at the failure after `budget` retries, fallback: the other
+    transport is taken, with a budget of its own; when that is used up too, stop with RETRIES_EXHAUSTED. What
+    was recorded after a request was done or stopped should not have been sent: ATTEMPT_AFTER_END, without action.
+    A server's delay wins over the local back-off, which doubles with each retry of a transport; connection
+    failures wait 5 s, doubling up to 60 s.
     """
-    n = F.row_number().over(Window.partitionBy(request).orderBy(*order))
-    wait = F.when(F.col("connection_failed"), F.least(F.lit(5000) * F.pow(F.lit(2), F.col("attempt") - 1), F.lit(60000))).otherwise(F.coalesce("retry_delay_ms", F.lit(base_ms) * F.pow(F.lit(2), F.least(F.col("attempt") - 1, F.lit(30)))))
-    action = F.when(~F.col("retryable"), F.lit("stop")).when(F.col("attempt") > budget, F.lit("fallback")).otherwise(F.lit("retry"))
-    return attempts.withColumn("attempt", n).withColumn("action", action).withColumn("delay_ms", F.when(F.col("action") == "retry", wait.cast("long")))
+    w = Window.partitionBy(request).orderBy(*order)
+    n = attempts.withColumn("attempt", F.row_number().over(w))
+    each = F.col("attempt") - F.when(F.col("attempt") > budget + 1, budget + 1).otherwise(0)
+    last = F.col("attempt") >= 2 * (budget + 1)
+    ends = F.col("retryable").isNull() | ~F.col("retryable") | last
+    over = F.coalesce(F.max(ends.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
+    n = n.withColumn("_over", over).withColumn("_each", each)
+    action = F.when(F.col("retryable").isNull(), "done").when(~F.col("retryable") | last, "stop").when(F.col("attempt") == budget + 1, "fallback").otherwise("retry")
+    n = n.withColumn("action", F.when(~F.col("_over"), action)).withColumn("transport", F.when(~F.col("_over"), F.when(F.col("attempt") > budget + 1, "fallback").otherwise("primary")))
+    wait = F.when(F.col("connection_failed"), F.least(F.lit(5000) * F.pow(F.lit(2), F.least(F.col("_each") - 1, F.lit(30))), F.lit(60000))).otherwise(F.coalesce("retry_delay_ms", F.lit(base_ms) * F.pow(F.lit(2), F.least(F.col("_each") - 1, F.lit(30)))))
+    code = F.when(F.col("_over"), "ATTEMPT_AFTER_END").when(last & F.col("retryable"), "RETRIES_EXHAUSTED")
+    return n.withColumn("delay_ms", F.when(F.col("action") == "retry", wait.cast("long"))).withColumn("code", code).drop("_over", "_each")
 
 
 SENSITIVE_HEADERS = ("authorization", "cookie", "cookie2", "proxy-authorization", "www-authenticate")

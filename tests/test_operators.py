@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from contractlake.functions import canonical, classify, ids
-from contractlake.operators import checks, coverage, diffs, forks, lineage, records, rollups, timelines
+from contractlake.operators import checks, coverage, diffs, documents, forks, lineage, records, rollups, timelines
 from contractlake.streaming import state, turns
 
 
@@ -350,3 +351,45 @@ def test_history_by_runs_of_ordinals(spark, width):
     for r in records.fork_history(links, items, width).collect():
         got.setdefault(r["rollout"], []).append(r["item"])
     assert {k: sorted(v) for k, v in got.items()} == {"r": list(range(2, 12)), "a": [-9, -8, -7, 2, 3, 4, 5, 6], "b": [-9, -8, -7, 2, 3, 4, 5, 6], "c": [2]}
+
+
+def test_one_mutation_one_row(spark):
+    sound = {"nodes": {"a/b": {"id": "a/b"}, "c": {}}, "gone": {}, "edges": [{"id": "e1", "source": "a/b", "target": "c"}, {"id": "e2", "source": "c", "target": "c"}], "refs": ["c", "a/b"], "n": 2}
+    change = lambda **c: json.dumps({**sound, **c})
+    docs = [
+        (0, json.dumps(sound)), (1, change(edges=[{"source": "z"}])), (2, change(nodes={"a/b": {"id": "q"}, "c": {}})), (3, change(gone={"c": {}})), (4, change(n=3)),
+        (5, change(edges=[{"id": "e1", "source": "c"}, {"id": "e1", "source": "c"}])), (6, "{"), (7, change(refs=["c", "d", 5, None])), (8, change(refs="z")), (9, None),
+    ]
+    nodes = canonical.walk_json(spark.createDataFrame(docs, "k int, t string"), "k", "t")
+    got = documents.document_checks(nodes, "k", {"source": "node", "target": "node", "refs": "node"}, {"node": "/nodes/*", "gone": "/gone/*"}, (("node", "gone"),), {"/n": "node"}, ("/edges/*/id",))
+    assert sorted(map(tuple, got.collect())) == [
+        (1, "NODE_UNRESOLVED", "/edges/0/source", "z"), (2, "MAP_KEY_MISMATCH", "/nodes/a~1b", "q"), (3, "CONTRADICTORY_ID", "/nodes/c", "c"), (4, "COUNT_MISMATCH", "/n", "2"),
+        (5, "DUPLICATE_ID", "/edges/*/id", "e1"), (6, "DOCUMENT_REFUSED", "", "no JSON"), (7, "NODE_UNRESOLVED", "/refs/1", "d"), (8, "NODE_UNRESOLVED", "/refs", "z"),
+    ]
+
+
+def test_observed_extractors(spark):
+    docs = [(1, '{"a": {"extractor.x": 1}, "b": [{"extractor_id": "extractor.y"}, {"id": "other"}, {"name": "extractor.no"}], "diagnostics": [{"id": "extractor.z"}], "required_extractors": {"extractor.w": 1}}'), (2, "{}")]
+    nodes = canonical.walk_json(spark.createDataFrame(docs, "k int, t string"), "k", "t")
+    assert {r["k"]: r["observed"] for r in documents.observed_extractors(nodes, "k").collect()} == {1: ["extractor.x", "extractor.y"], 2: []}
+
+
+def test_error_chain(spark):
+    rows = [(1, "slow_down", 503, "io"), (2, None, 503, "io"), (3, None, 503, None), (4, None, 200, "idle_timeout"), (5, "new", 200, None), (6, None, 404, None), (7, None, 200, None), (8, None, None, None), (9, "usage_not_included", 429, None)]
+    got = {r["i"]: (r["api_error"], r["domain_error"], r["retryable"]) for r in records.classify_errors(spark.createDataFrame(rows, "i int, error_code string, http_status int, socket_error string")).collect()}
+    assert got == {
+        1: ("RateLimitExceeded", "RateLimitExceeded", True), 2: ("Transport::Network", "ConnectionFailed", True), 3: ("ServerOverloaded", "ServerOverloaded", False), 4: ("Stream", "Stream", True), 5: ("Retryable", "Stream", True),
+        6: ("Retryable", "Stream", True), 7: (None, None, None), 8: (None, None, None), 9: ("UsageNotIncluded", "UsageNotIncluded", False),
+    }
+
+
+def test_what_follows_an_end_is_flagged(spark):
+    def plan(*retryable, budget=2):
+        rows = [(1, i, r, None, False) for i, r in enumerate(retryable)]
+        out = records.retry_plan(spark.createDataFrame(rows, "q int, i int, retryable boolean, retry_delay_ms int, connection_failed boolean"), "q", ["i"], budget)
+        return [(r["transport"], r["action"], r["delay_ms"], r["code"]) for r in out.orderBy("i").collect()]
+
+    after = (None, None, None, "ATTEMPT_AFTER_END")
+    assert plan(True, None, True, None) == [("primary", "retry", 200, None), ("primary", "done", None, None), after, after]
+    assert plan(False, True) == [("primary", "stop", None, None), after]
+    assert plan(*[True] * 7) == [("primary", "retry", 200, None), ("primary", "retry", 400, None), ("primary", "fallback", None, None), ("fallback", "retry", 200, None), ("fallback", "retry", 400, None), ("fallback", "stop", None, "RETRIES_EXHAUSTED"), after]
