@@ -341,6 +341,21 @@ def g3(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.closure(t.filter("parent is not null").select(F.col("thread").alias("from_id"), F.col("parent").alias("to_id")), t.select(F.col("thread").alias("id")))
 
 
+@query(
+    "g3_rollout_kinds",
+    """WITH RECURSIVE e AS (SELECT c_custkey AS f, c_custkey // 3 AS t, 'fork' AS label FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_custkey >= 3 UNION ALL SELECT c_custkey, c_custkey // 4, 'parent' FROM customer WHERE c_acctbal >= 0 AND c_custkey >= 4),
+m(state, label, next) AS (VALUES ('fork', 'fork', 'fork'), ('fork', 'parent', 'parent of a fork'), ('parent', 'parent', 'parent')), r AS (SELECT c_custkey AS start, s AS from_state, s AS state, c_custkey AS node, 0 AS hops FROM customer, (VALUES ('fork'), ('parent')) AS x(s) UNION SELECT r.start, r.from_state, m.next, e.t, r.hops + 1 FROM r JOIN m ON m.state = r.state JOIN e ON e.f = r.node AND e.label = m.label)
+SELECT start, from_state, state, node, min(hops) AS hops FROM r GROUP BY ALL""",
+)
+def g3_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Forks, parents, and the parents of forks, each reached by its own kind of way."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    edge = lambda condition, n, label: c.filter(condition).select(k.alias("from_id"), F.floor(k / n).alias("to_id"), F.lit(label).alias("label"))
+    edges = edge("c_mktsegment <> 'BUILDING' and c_custkey >= 3", 3, "fork").unionByName(edge("c_acctbal >= 0 and c_custkey >= 4", 4, "parent"))
+    moves = spark.createDataFrame([("fork", "fork", "fork"), ("fork", "parent", "parent of a fork"), ("parent", "parent", "parent")], "state string, label string, to_state string")
+    return lineage.labelled_closure(edges, c.select(k.alias("id"), F.explode(F.array(F.lit("fork"), F.lit("parent"))).alias("state")), moves)
+
+
 @query("g4_delete_safety", f"WITH {_THREADS}, d AS (SELECT n % 10 AS set_id, n AS rollout FROM t WHERE n % 30 < 12), i AS (SELECT DISTINCT d.set_id, t.n AS rollout FROM t JOIN d ON t.p = d.rollout), o AS (SELECT set_id, list_sort(list(rollout)) AS b FROM i WHERE (set_id, rollout) NOT IN (SELECT set_id, rollout FROM d) GROUP BY 1) SELECT s.set_id, coalesce(b, []) AS blockers, b IS NULL AS safe FROM (SELECT DISTINCT set_id FROM d) s LEFT JOIN o USING (set_id)")
 def g4(spark: SparkSession, sf: str) -> DataFrame:
     t = _threads(spark, sf)

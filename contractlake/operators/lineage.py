@@ -50,28 +50,110 @@ def roots(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     return now.select(F.col("n").alias(node), F.col("root"), F.when(F.col("root").isNotNull(), F.col("depth")).alias("depth"))
 
 
+def _threads(e: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Edges e (node, next) with their threads taken together: links (node, next, length, thread) between what is left, and members (thread, at, node); None where there is no thread.
+
+    A thread is a run of nodes with one edge in and one out; `at` counts from the node before it. Each
+    node finds the start of its thread by doubling, so a thread of n nodes takes log2(n) rounds. A ring
+    of such nodes is cut at its least one.
+    """
+    outs = e.groupBy("node").agg(F.count("*").alias("outs"))
+    ins = e.groupBy(F.col("next").alias("node")).agg(F.count("*").alias("ins"))
+    inner = written(outs.filter("outs = 1").join(ins.filter("ins = 1"), "node").select("node"))
+    if inner.isEmpty():
+        return None
+    before = e.select(F.col("next").alias("node"), F.col("node").alias("up")).join(inner, "node").join(inner.select(F.col("node").alias("up"), F.lit(True).alias("open")), "up", "left")
+    now = written(before.select("node", "up", F.lit(1).cast("long").alias("at"), F.col("node").alias("thread"), F.least("node", "up").alias("least"), F.coalesce("open", F.lit(False)).alias("open")))
+    left = None
+    while True:
+        state = now.filter("open").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", "least").cast("decimal(38,0)")).alias("h")).first()
+        if state["n"] == 0 or (state["n"], state["h"]) == left:
+            break
+        left = (state["n"], state["h"])
+        j = now.filter("open").join(now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("at").alias("at2"), F.col("thread").alias("thread2"), F.col("least").alias("least2"), F.col("open").alias("open2")), "up")
+        moved = j.select("node", F.col("up2").alias("up"), (F.col("at") + F.col("at2")).alias("at"), F.col("thread2").alias("thread"), F.least("least", "least2").alias("least"), F.col("open2").alias("open"))
+        now = written(now.filter("not open").unionByName(moved))
+    if state["n"]:
+        # only rings are open; without their least nodes they are threads
+        cuts = now.filter("open and node = least").select("node")
+        rings = now.filter("open").select("node")
+        rest = _threads_of(e, written(inner.join(cuts, "node", "left_anti")), rings)
+        now = written(now.filter("not open").select("node", "up", "at", "thread").unionByName(rest))
+    members = now.select("thread", "at", "node", "up")
+    ends = members.groupBy("thread").agg(F.max(F.struct("at", "node")).alias("last"), F.first("up").alias("node"))
+    threads = ends.join(e.select(F.col("node").alias("tail"), "next"), F.col("last.node") == F.col("tail")).select("node", "next", (F.col("last.at") + 1).alias("length"), "thread")
+    through = members.select("node")
+    direct = e.join(through, "node", "left_anti").join(through.withColumnRenamed("node", "next"), "next", "left_anti")
+    kind = e.schema["node"].dataType
+    links = threads.unionByName(direct.select("node", "next", F.lit(1).cast("long").alias("length"), F.lit(None).cast(kind).alias("thread")))
+    return written(links), written(members.select("thread", "at", "node"))
+
+
+def _threads_of(e: DataFrame, inner: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, up, at, thread of those inner nodes that are among nodes, none of which is on a ring."""
+    before = e.select(F.col("next").alias("node"), F.col("node").alias("up")).join(inner, "node").join(nodes, "node").join(inner.select(F.col("node").alias("up"), F.lit(True).alias("open")), "up", "left")
+    now = written(before.select("node", "up", F.lit(1).cast("long").alias("at"), F.col("node").alias("thread"), F.coalesce("open", F.lit(False)).alias("open")))
+    while not now.filter("open").isEmpty():
+        j = now.filter("open").join(now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("at").alias("at2"), F.col("thread").alias("thread2"), F.col("open").alias("open2")), "up")
+        now = written(now.filter("not open").unionByName(j.select("node", F.col("up2").alias("up"), (F.col("at") + F.col("at2")).alias("at"), F.col("thread2").alias("thread"), F.col("open2").alias("open"))))
+    return now.drop("open")
+
+
 def closure(edges: DataFrame, starts: DataFrame, most_hops: int | None = None) -> DataFrame:
     """What each start reaches over directed edges (from_id, to_id), with the fewest hops (the start itself: 0). Cycles stop, as a pair is kept once.
 
-    starts: id. Breadth first, until nothing new is reached; the rows are (start, node) pairs. Where
-    most_hops is given and something new lies beyond it, RuntimeError.
+    starts: id. Runs of nodes with one way in and one way out are first taken together as single links
+    with a length (log2 of the longest run in rounds), then pairs are relaxed round by round over the
+    links until none gets shorter, and last the nodes inside the links come back. Rounds grow with the branchings
+    on the way, not with its hops; the rows are (start, node) pairs. Where most_hops is given and something new
+    lies beyond it, RuntimeError.
     """
-    frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct().withColumn("hops", F.lit(0))
-    seen = written(frontier)
-    frontier = seen
-    e = edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("next")).distinct()
-    hop = 0
+    e = written(edges.filter("from_id is not null and to_id is not null and from_id != to_id").select(F.col("from_id").alias("node"), F.col("to_id").alias("next")).distinct())
+    first = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct().withColumn("hops", F.lit(0).cast("long"))
+    found = _threads(e)
+    within = None
+    if found is None:
+        links = e.withColumn("length", F.lit(1).cast("long"))
+        seeds = first
+    else:
+        links, members = found
+        # a start inside a run reaches the rest of it and the run's end
+        inside = first.join(members, "node").select("start", "thread", F.col("at").alias("from"))
+        within = inside.join(members, "thread").filter(F.col("at") > F.col("from")).select("start", "node", (F.col("at") - F.col("from")).alias("hops"))
+        out = inside.join(links.select("thread", "next", "length"), "thread").select("start", F.col("next").alias("node"), (F.col("length") - F.col("from")).alias("hops"))
+        seeds = first.unionByName(out).groupBy("start", "node").agg(F.min("hops").alias("hops"))
+    step = links.groupBy("node", "next").agg(F.min("length").alias("length"))
+    known = written(seeds)
+    frontier = known
     while True:
-        hop += 1
-        step = frontier.join(e, "node").select("start", F.col("next").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        frontier = written(step.withColumn("hops", F.lit(hop)))
+        longer = frontier.join(step, "node").groupBy("start", F.col("next").alias("node")).agg(F.min(F.col("hops") + F.col("length")).alias("hops"))
+        better = longer.join(known.select("start", "node", F.col("hops").alias("best")), ["start", "node"], "left").filter("best is null or hops < best").drop("best")
+        frontier = written(better)
         if frontier.isEmpty():
-            return seen
-        if most_hops is not None and hop > most_hops:
+            break
+        known = written(known.unionByName(frontier).groupBy("start", "node").agg(F.min("hops").alias("hops")))
+        if most_hops is not None and not known.filter(F.col("hops") > most_hops).isEmpty() and found is None:
             raise RuntimeError(f"a node lies over {most_hops} hops away")
-        seen = seen.unionByName(frontier)
-        if hop % 16 == 0:
-            seen = written(seen)
+    if found is not None:
+        through = known.join(links.filter("thread is not null").select("node", "thread"), "node").join(members.select("thread", "at", F.col("node").alias("inner")), "thread")
+        known = known.unionByName(through.select("start", F.col("inner").alias("node"), (F.col("hops") + F.col("at")).alias("hops"))).unionByName(within)
+        known = written(known.groupBy("start", "node").agg(F.min("hops").alias("hops")))
+    if most_hops is not None and not known.filter(F.col("hops") > most_hops).isEmpty():
+        raise RuntimeError(f"a node lies over {most_hops} hops away")
+    return known.withColumn("hops", F.col("hops").cast("int"))
+
+
+def labelled_closure(edges: DataFrame, starts: DataFrame, moves: DataFrame, most_hops: int | None = None) -> DataFrame:
+    """Reachability over labelled edges by the moves of an automaton: start, state, node, hops (the fewest).
+
+    edges: from_id, to_id, label; starts: id, state; moves: state, label, to_state. A pair of state and node
+    is a node of its own, so ways of different kinds that meet in a node are never merged.
+    """
+    both = edges.join(moves, "label")
+    pair = lambda state, node: F.struct(F.col(state).alias("state"), F.col(node).alias("node"))
+    steps = both.select(pair("state", "from_id").alias("from_id"), pair("to_state", "to_id").alias("to_id"))
+    out = closure(steps, starts.select(pair("state", "id").alias("id")), most_hops)
+    return out.select(F.col("start.node").alias("start"), F.col("start.state").alias("from_state"), F.col("node.state").alias("state"), F.col("node.node").alias("node"), "hops")
 
 
 def chains(links: DataFrame) -> DataFrame:

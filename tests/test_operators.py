@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import time
 
 import pytest
@@ -393,3 +394,45 @@ def test_what_follows_an_end_is_flagged(spark):
     assert plan(True, None, True, None) == [("primary", "retry", 200, None), ("primary", "done", None, None), after, after]
     assert plan(False, True) == [("primary", "stop", None, None), after]
     assert plan(*[True] * 7) == [("primary", "retry", 200, None), ("primary", "retry", 400, None), ("primary", "fallback", None, None), ("fallback", "retry", 200, None), ("fallback", "retry", 400, None), ("fallback", "stop", None, "RETRIES_EXHAUSTED"), after]
+
+
+def bfs(edges, starts):
+    out = {}
+    for s in starts:
+        hops, now = {s: 0}, [s]
+        while now:
+            now = [b for a in now for x, b in edges if x == a and b not in hops and not hops.update({b: hops[a] + 1})]
+        out |= {(s, n): h for n, h in hops.items()}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_closure_equals_breadth_first_search(spark, seed):
+    r = random.Random(seed)
+    edges = {(r.randrange(30), r.randrange(30)) for _ in range(r.choice([15, 28, 45]))}
+    edges |= {(100 + i, 101 + i) for i in range(9)} | {(109, 3), (4, 100), (200, 201), (201, 202), (202, 200)} | {(300 + i, 300 + (i + 1) % 5) for i in range(5)} | {(105, 400)} if seed % 2 else {(100 + i, 101 + i) for i in range(9)} | {(109, 100), (5, 5)}
+    starts = [0, 3, 4, 103, 201, 303, 999]
+    got = {(x["start"], x["node"]): x["hops"] for x in lineage.closure(spark.createDataFrame(list(edges), "from_id int, to_id int"), spark.createDataFrame([(s,) for s in starts], "id int")).collect()}
+    assert got == bfs([e for e in edges if e[0] != e[1]], starts)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    tables = []
+    real = lineage.written
+    monkeypatch.setattr(lineage, "written", lambda df: tables.append(1) or real(df))
+    edges = spark.range(3000).select(F.col("id").alias("from_id"), (F.col("id") + 1).alias("to_id"))
+    got = lineage.closure(edges, spark.createDataFrame([(0,), (2990,)], "id long"))
+    rows = {(x["start"], x["node"]): x["hops"] for x in got.collect()}
+    assert rows == {(0, i): i for i in range(3001)} | {(2990, i): i - 2990 for i in range(2990, 3001)} and len(tables) < 30
+
+
+def test_kinds_of_edges_are_not_merged(spark):
+    edges = spark.createDataFrame([("a", "b", "fork"), ("b", "c", "parent"), ("b", "d", "fork"), ("c", "e", "fork"), ("a", "c", "parent")], "from_id string, to_id string, label string")
+    kinds = spark.createDataFrame([(k, k, k) for k in ("fork", "parent")], "state string, label string, to_state string")
+    starts = spark.createDataFrame([("a", "fork"), ("a", "parent")], "id string, state string")
+    got = sorted((r["state"], r["node"], r["hops"]) for r in lineage.labelled_closure(edges, starts, kinds).collect())
+    assert got == [("fork", "a", 0), ("fork", "b", 1), ("fork", "d", 2), ("parent", "a", 0), ("parent", "c", 1)]
+    # any number of forks, then one parent
+    moves = spark.createDataFrame([("f", "fork", "f"), ("f", "parent", "p")], "state string, label string, to_state string")
+    got = sorted((r["state"], r["node"], r["hops"]) for r in lineage.labelled_closure(edges, spark.createDataFrame([("a", "f")], "id string, state string"), moves).collect())
+    assert got == [("f", "a", 0), ("f", "b", 1), ("f", "d", 2), ("p", "c", 1)]
