@@ -2,13 +2,15 @@
 
 Markup is stripped to one line per block element. A line's weight is its text length: more in an article
 or main part, 0 for lines that are mostly link text. Menus, headers, footers and the like hold no lines;
-where the page jumps over such a part, empty lines stand in for it. The weights of `window` lines from
-each line on are summed. A surge point is where that sum rises over the threshold and its first line has
-text; the dive point is where it falls to nothing. The lines between the two are the text, and with them
-what else stands in the same container, on both sides of skipped parts.
-
-A class name can tell of furniture or of a layout. A part that is skipped for its class comes back if
-without it no text is left, or if it holds several times the text of all the rest.
+where the page jumps over such a part outside of an article, empty lines stand in for it. The weights of
+`window` lines from each line on are summed. A surge point is where that sum rises over the threshold and its
+first line has text; the dive point is where it falls to nothing. In an article or main part the text goes from
+its first surge point to its last dive point; elsewhere the lines between the points are the text, and with
+them what else stands in the same container, on both sides of skipped parts.
+
+A class name can tell of furniture or of a subject: its last word decides, layout words apart. A part that is
+skipped for its class, or a form, comes back if without it no text is left, or if it holds so much of the text
+that it can only be the page's own frame.
 """
 
 from __future__ import annotations
@@ -41,9 +43,15 @@ NAMES = set(
     "toc ad ads adv advert adverts advertisement advertising adsense adslot banner banners breadcrumb breadcrumbs comment comments commentlist replies reply respond disqus discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup promo promos promotion promoted sponsor sponsored sponsors share sharing social related recommended recommendations nav navbar navigation menu menubar topbar toolbar sidebar sidebars side rail widget widgets footer foot footnav header masthead copyright login search pagination pager skip hidden".split()
 )
 
+#: Words behind a name that tell of its layout only.
+LAYOUT = set(
+    "area areas article articles bar bars block blocks body bottom box boxes btn button buttons cell center col column columns component container content desktop div element fixed form group head icon icons image images inline inner item items label large layer left link links list lists main media mobile outer page panel posts post right row section slot small space stack top unit units view wrap wrapper zone".split()
+)
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|[^<>]*(?:>|\Z))|</?\Z", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[^a-z0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
 #: What a class says that a part has or lacks is not what the part is.
 _STATE = re.compile(r"(?<![a-z0-9])(?:no|not|non|has|with|without)[-_]\S*")
 
@@ -67,10 +75,30 @@ class Line:
 IS, BEARS, NAMED = 3, 2, 1
 #: A line of an article or main part weighs so many times its length.
 MARKED = 4
-#: A named part with so many times the text of the rest is no furniture.
+#: A named part with so many times the text of the rest is no furniture; within an article or main part, one of several paragraphs with as much.
 MOST = 4
 
 
+@dataclass
+class Named:
+    """A form or a part skipped for its class. held: how much text it has outside links and parts in it, blocks: how many headings and paragraphs, inside: whether it stands in an article or main part."""
+
+    why: int
+    inside: bool
+    held: int = 0
+    blocks: int = 0
+
+
+def names(value: str) -> set[str]:
+    """The words of class names that say what a part is: of each name the last one, words of layout and numbers apart, or if there are no others, the words of furniture among them."""
+    out = set()
+    for name in _STATE.sub(" ", value).split():
+        words = [w for w in _NAME.split(name) if w and not _DIGITS.fullmatch(w)]
+        told = [w for w in words if w not in LAYOUT]
+        out |= {told[-1]} if told else NAMES.intersection(words)
+    return out
+
+
 def _boilerplate(name: str, attributes: str) -> int:
     if name in SKIPPED:
         return IS
@@ -86,19 +114,19 @@ def _boilerplate(name: str, attributes: str) -> int:
         if key == "role" and value in ROLES:
             return IS
         if key in ("class", "id") and name not in ("html", "body", "main"):
-            words = NAMES.intersection(_NAME.split(_STATE.sub(" ", value)))
+            words = NAMES & names(value)
             if words:
                 named = max(named, BEARS if words & (COMMENTS if name == "article" else ADVERTS | COMMENTS) else NAMED)
     return named
 
 
-def lines(page: str, pardoned: frozenset[int] = frozenset()) -> tuple[list[Line], dict[int, tuple[int, int]]]:
-    """The page's blocks with text outside skipped parts; and of each part skipped for its class: its place, why, and how much text it holds outside links and parts in it.
+def lines(page: str, pardoned: frozenset[int] = frozenset()) -> tuple[list[Line], dict[int, Named]]:
+    """The page's blocks with text outside skipped parts; and by their places the forms and the parts skipped for their class.
 
     pardoned: places of parts that are not skipped.
     """
     out: list[Line] = []
-    named: dict[int, tuple[int, int]] = {}
+    named: dict[int, Named] = {}
     inner = 0  # depth of skipped parts in the skipped part
     now = Line(0, False)
     parts: list[tuple[str, int, int]] = []
@@ -119,8 +147,7 @@ def lines(page: str, pardoned: frozenset[int] = frozenset()) -> tuple[list[Line]
     def add(raw: str) -> None:
         if skipping:
             if place in named and not inner and not links:
-                why, held = named[place]
-                named[place] = why, held + len(raw.strip())
+                named[place].held += len(raw.strip())
         elif raw:
             text = html.unescape(raw)
             now.texts.append(text)
@@ -143,6 +170,8 @@ def lines(page: str, pardoned: frozenset[int] = frozenset()) -> tuple[list[Line]
                 at = end.end() if end else len(page)
             continue
         if skipping:
+            if not closing and name in PROSE and place in named:
+                named[place].blocks += 1
             if name == "a":
                 links = 0 if closing else 1
             elif name not in VOID and name != skipping and (inner or not closing and _boilerplate(name, attributes)) and name in BLOCKS:
@@ -162,13 +191,13 @@ def lines(page: str, pardoned: frozenset[int] = frozenset()) -> tuple[list[Line]
                 continue
         why = 0 if closing or name in VOID or m.start() in pardoned else _boilerplate(name, attributes)
         if why:
-            if not boxes and name != "aside" and not ADVERTS.intersection(_NAME.split(attributes.lower())):
+            if not boxes and name != "aside" and why != BEARS:
                 close(True)
                 stretch -= 1
             close(True)
             skipping, depth, inner, links, place = name, 1, 0, 0, m.start()
-            if why < IS:
-                named[place] = why, 0
+            if why < IS or name == "form":
+                named[place] = Named(why, bool(parts))
             continue
         if name == "a":
             links = 0 if closing else 1
@@ -216,7 +245,8 @@ def choose(found: list[Line], window: int, surge_chars: int, link_share: float)
     weights: list[int] = []
     owners: list[int] = []
     for k, line in enumerate(found):
-        if line.gap:
+        # what is cut out of an article leaves no gap in it
+        if line.gap and not (line.part and k and found[k - 1].part and found[k - 1].home == line.home):
             weights += [0] * window
             owners += [-1] * window
         weights.append(line.length * (MARKED if line.part else 1) if line.linked <= link_share * line.length else 0)
@@ -230,7 +260,16 @@ def choose(found: list[Line], window: int, surge_chars: int, link_share: float)
         of[at] = of.get(at, 0) + found[k].length
     if of_home and (surging or MARKED * max(of_home.values()) >= max([*of_box.values(), 0])):
         home = max(of_home, key=lambda h: (of_home[h], -h))
-        return [line for line in found if (line.part and line.home == home) or (not line.part and line.box == home and line.tag in HEADINGS)]
+        own = [k for k, line in enumerate(found) if line.part and line.home == home]
+        points = [at for at, k in enumerate(own) if k in surging]
+        first, last = (points[0], points[-1]) if points else (0, len(own) - 1)
+        # a heading in front belongs to what it heads; lines of links at the ends have no weight, the sums don't see them
+        while first and (found[own[first - 1]].tag in HEADINGS or own[first - 1] not in plain and found[own[first - 1]].tag in PROSE):
+            first -= 1
+        while last + 1 < len(own) and own[last + 1] not in plain and found[own[last + 1]].tag in PROSE:
+            last += 1
+        text = set(own[first : last + 1])
+        return [line for k, line in enumerate(found) if k in text or (not line.part and line.box == home and line.tag in HEADINGS)]
     held = {b for b, n in of_box.items() if n >= surge_chars} if surging else set(sorted(of_box, key=lambda b: -of_box[b])[:1])
     kept = set(surging)
     ends: dict[int, list[int]] = {}
@@ -248,19 +287,19 @@ def main_text(page: str, window: int = 3, surge_chars: int = 80, link_share: flo
     """The page's main text, blocks joined by newlines; empty if there is none.
 
     Runs of lines must reach `surge_chars` within `window` lines; lines of an article or main part weigh
-    MARKED times their length. If such lines surge, the text is the container of parts in which most
-    surges, with the headings beside them: lines elsewhere are not its text. Otherwise it is the
-    containers of the runs, or, if nothing surges, the container with the most text. Lists of links
-    count only between other lines. A part skipped for its class is tried, the one with the most text
-    first, if nothing else is left or if its text outweighs the rest MOST times; for the words of
-    adverts and comments only the first holds.
+    MARKED times their length. If such lines surge, the text stands in the container of parts in which most
+    surges, from the first surge point to the last dive point, with the headings beside it: lines elsewhere
+    are not its text. Otherwise it is the containers of the runs, or, if nothing surges, the container with the
+    most text. Lists of links count only between other lines. A part skipped for its class, or a form, is
+    tried, the one with the most text first, if nothing else is left or if its text outweighs the rest MOST
+    times (paragraphs within an article or main part: once); for the words of adverts and comments only the first holds.
     """
     pardoned: frozenset[int] = frozenset()
     found, named = lines(page)
     while True:
         kept = choose(found, window, surge_chars, link_share)
         rest = sum(line.length for line in found)
-        rivals = [(held, -at) for at, (why, held) in named.items() if held and (not kept or (why == NAMED and held >= MOST * rest))]
+        rivals = [(n.held, -at) for at, n in named.items() if n.held and (not kept or (n.why != BEARS and n.held >= (1 if n.inside and n.blocks > 1 else MOST) * rest))]
         if not rivals:
             return "\n".join(line.text for line in kept)
         pardoned |= {-max(rivals)[1]}

@@ -1,7 +1,7 @@
 """Quality rules: rules on a text alone, then line frequency across documents.
 
 Lines are normalised (lower case, white space to single spaces, ends trimmed) and hashed. For each
-host the different documents that hold a line are counted; lines held by more than the limit are
+host the documents that hold a line are counted, copies included; lines held by more than the limit are
 boilerplate and are removed, and a document of which too little remains is rejected.
 """
 
@@ -43,9 +43,8 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     """One row per document: key, the five counts long, base_failed, n_removed_words long, kept boolean.
 
     base_failed: fewer than `min_words` words, or more than `repeat_percent` % of them repeated. A line
-    is removed if more than `line_limit` different texts of the host hold it; texts that are equal
-    are one document here, so exact copies do not make a document's own lines boilerplate. A document
-    that passed the base rules is kept if at least `keep_percent` % of its words remain. A null text
+    is removed if more than `line_limit` documents of the host hold it; repeated rows and copies are
+    documents, a line repeated within one counts once. A document that passed the base rules is kept if at least `keep_percent` % of its words remain. A null text
     has no word and fails; a null host is a host of its own. A text of any length is read whole, an empty
     table gives no rows.
     """
@@ -66,14 +65,15 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     normal = F.trim(F.regexp_replace(F.lower("line"), r"[\x20\x09-\x0D]+", " "))
     words = rows.select("host", identity, line).select("host", "id", normal.alias("line")).filter("line != ''")
     words = words.select("host", "id", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(" ")).alias("blanks"))
-    # one row per host, text and line: copies of a text fall together before the shuffle
-    held = written(words.groupBy("host", "id", "h").agg(F.max(F.col("blanks") + 1).alias("words"), F.count("*").alias("times")), "lines")
-    common = held.groupBy("host", "h").agg(F.count("*").alias("texts")).filter(F.col("texts") > line_limit)
-    lost = held.alias("l").join(common.alias("c"), F.col("l.host").eqNullSafe(F.col("c.host")) & (F.col("l.h") == F.col("c.h"))).select("l.host", "l.id", "words", "times")
-    # a repeated text's lines were counted once for each copy; the share is of copies alike
+    # one row per host, text and line: copies of a text fall together before the shuffle, and their number is the documents'
+    held = words.groupBy("host", "id", "h").agg(F.max(F.col("blanks") + 1).alias("words"), F.count("*").alias("times"))
     copies = rows.groupBy("host", identity).agg(F.count("*").alias("copies"))
-    removed = lost.groupBy("host", "id").agg(F.sum(F.col("words") * F.col("times")).alias("removed"))
-    removed = removed.alias("r").join(copies.alias("k"), F.col("r.host").eqNullSafe(F.col("k.host")) & (F.col("r.id") == F.col("k.id"))).select(F.col("r.host").alias("h2"), F.col("r.id").alias("id2"), F.expr("removed div copies").alias("removed"))
+    same = lambda a, b, column: F.col(f"{a}.host").eqNullSafe(F.col(f"{b}.host")) & (F.col(f"{a}.{column}") == F.col(f"{b}.{column}"))
+    held = written(held.alias("l").join(copies.alias("k"), same("l", "k", "id")).select("l.host", "l.id", "h", "words", "times", "copies"), "lines")
+    common = held.groupBy("host", "h").agg(F.sum("copies").alias("documents")).filter(F.col("documents") > line_limit)
+    lost = held.alias("l").join(common.alias("c"), same("l", "c", "h")).select("l.host", "l.id", "words", "times", "copies")
+    # a repeated text's lines were counted once for each copy; the share is of copies alike
+    removed = lost.groupBy("host", "id").agg(F.expr("sum(words * times) div max(copies)").alias("removed")).select(F.col("host").alias("h2"), F.col("id").alias("id2"), "removed")
     both = counted.join(removed, F.col("host").eqNullSafe(F.col("h2")) & (F.col("id") == F.col("id2")), "left")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * repeat_percent)
     gone = F.coalesce("removed", F.lit(0)).cast("long")
@@ -91,7 +91,7 @@ repeats AS (SELECT r, count(*) AS n FROM (SELECT r, pos FROM often UNION SELECT
 lines AS (SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM docs),
 dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 normal AS (SELECT r, source, text, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM lines),
-common AS (SELECT source, line FROM normal WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT text) > 20),
+common AS (SELECT source, line FROM normal WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT r) > 20),
 removed AS (SELECT n.r, sum(len(string_split(n.line, ' '))) AS n FROM normal n JOIN common c ON n.line = c.line AND n.source IS NOT DISTINCT FROM c.source GROUP BY n.r),
 every AS (SELECT d.doc_id, coalesce(p.n_words, 0)::BIGINT AS n_words, coalesce(p.word_chars, 0)::BIGINT AS word_chars,
     len(regexp_extract_all(d.text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(u.n, 0)::BIGINT AS n_dup_lines, coalesce(x.n, 0)::BIGINT AS n_repeat_words, coalesce(m.n, 0)::BIGINT AS n_removed_words

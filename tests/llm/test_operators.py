@@ -259,6 +259,69 @@ def test_what_surges_decides():
     assert html_text.main_text(f"<body><div><p>{long}</p></div><article><p>{long} x</p></article></body>") == f"{long} x"
 
 
+P = [f"Paragraph number {i} tells at some length of what the {w} did in that year, and why." for i, w in enumerate("first second third fourth".split())]
+
+
+def para(*which):
+    return "".join(f"<p>{P[i]}</p>" for i in which)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article><h1>Head</h1>{para(0)}<section id='social-sciences'>{para(1, 2, 3)}</section></article>",
+        f"<article><h1>Head</h1>{para(0)}<section class='ad-hoc-networks'>{para(1, 2)}</section>{para(3)}</article>",
+        f"<article><h1>Head</h1>{para(0)}<div class='banner'>{para(1, 2, 3)}</div></article>",
+        f"<main><h1>Head</h1>{para(0)}<div class='banner'>{para(1, 2, 3)}</div></main>",
+        f"<article><h1>Head</h1><div class='skip-intro'>{para(0)}</div><div class='side-effects'>{para(1)}</div><section id='related-work'>{para(2, 3)}</section></article>",
+        f"<body><form id='aspnetForm'><div class='menu'>Home</div><div><h1>Head</h1>{para(0, 1, 2, 3)}</div></form></body>",
+        f"<body><form id='aspnetForm'><article><h1>Head</h1>{para(0, 1, 2, 3)}</article></form></body>",
+        f"<article><h1>Head</h1>{para(0, 1)}<div class='widget-area'>Other posts</div><div class='cookie-notice-bar'>We use cookies</div><div id='ad_slot_3'>Buy this now</div>{para(2, 3)}<form>Your name <input></form></article>",
+    ],
+)
+def test_names_of_subjects_are_no_furniture(page):
+    assert html_text.main_text(page) == "\n".join(["Head", *P])
+
+
+def test_the_threshold_decides_in_articles_too():
+    short = "".join(f"<p>Note {i}.</p>" for i in range(6))
+    page = f"<article><h1>Head</h1>{short}{para(0, 1, 2, 3)}{short}</article>"
+    whole = html_text.main_text(page)
+    assert whole.split("\n")[0] == "Head" and len(whole.split("\n")) == 17
+    late = html_text.main_text(page, surge_chars=400)
+    assert late.split("\n")[0] == "Note 5." and len(late) < len(whole)
+    wide = html_text.main_text(page, surge_chars=400, window=6)
+    assert len(late) < len(wide)
+
+
+def planted(r):
+    """A page around an article whose text is known."""
+    word = lambda n: " ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(r.randrange(99)) for _ in range(n))
+    furniture = [
+        lambda: f"<nav><ul>{''.join(f'<li><a href=/x>{word(2)}</a></li>' for _ in range(6))}</ul></nav>", lambda: f"<div class='{r.choice(['sidebar left', 'site-footer', 'cookie-notice', 'ad', 'adslot-2', 'newsletter-box', 'social-share'])}'>{word(8)}</div>", lambda: f"<aside><p>{word(9)}</p></aside>",
+        lambda: f"<script>var x = '<p>{word(4)}</p>';</script><style>p {{}}</style>", lambda: f"<form action=/s>{word(3)}<input><button>Go</button></form>", lambda: f"<!-- {word(3)} -->",
+    ]
+    some = lambda n: "".join(r.choice(furniture)() for _ in range(r.randrange(n)))
+    text, body = [word(4)], []
+    for _ in range(r.randrange(2, 9)):
+        kind = r.choice(["p", "p", "p", "h2", "li", "quote"])
+        t = word(3 if kind == "h2" else r.randrange(6, 40))
+        text.append(f"{t} & so" if kind == "p" else t)
+        body.append({"p": f"<p>{t} &amp; <b>so</b></p>", "h2": f"<h2>{t}</h2>", "li": f"<ul><li>{t}</li></ul>", "quote": f"<blockquote>{t}</blockquote>"}[kind] + (some(2) if r.random() < 0.3 else ""))
+    comments = f"<div class='comments'><p>{word(30)}</p></div>" if r.random() < 0.5 else ""
+    frame = r.choice(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class='content'><article>{}</article></div>"])
+    return f"<html><head><title>{word(3)}</title></head><body><header>{word(5)}</header>{some(3)}{frame.format(f'<h1>{text[0]}</h1>' + ''.join(body))}{comments}{some(3)}<footer>{word(6)}</footer></body></html>", "\n".join(text)
+
+
+def test_planted_articles(spark):
+    r = random.Random(12)
+    pages = [planted(r) for _ in range(400)]
+    rows = spark.createDataFrame([(i, "u", p) for i, (p, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {x["page_id"]: x["text"] for x in html_text.extract(rows).collect()}
+    wrong = [(pages[i], got[i]) for i in got if got[i] != pages[i][1]]
+    assert not wrong, wrong[0]
+
+
 def test_a_very_long_page():
     paragraphs = [" ".join(prose(i, 20)) for i in range(5000)]
     page = "<body><nav>x</nav><article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article></body>"
@@ -305,12 +368,13 @@ def test_bpe_ids_and_empty_table(spark):
 
 def test_quality_rules_odd_rows(spark):
     common = "this boilerplate line stands everywhere and says nothing " * 3
-    rows = ODD + [(100 + i, f"{common}\n" + " ".join(prose(i, 15)), "h") for i in range(25)] + [(200 + i, f"{common}\n" + " ".join(prose(i, 90)), "h") for i in range(3)] + [(300 + i, "\n".join(" ".join(prose(77, 60)) for _ in range(1)), "k") for i in range(30)]
+    rows = ODD + [(100 + i, f"{common}\n" + " ".join(prose(i, 15)), "h") for i in range(25)] + [(200 + i, f"{common}\n" + " ".join(prose(i, 90)), "h") for i in range(3)] + [(300 + i, "\n".join(" ".join(prose(77, 60)) for _ in range(1)), "k") for i in range(30)] + [(400 + i, " ".join(prose(78, 60)), "k") for i in range(20)]
     got = {r["doc_id"]: r for r in line_quality.quality(docs(spark, rows)).collect()}
     assert not any(got[100 + i]["kept"] for i in range(25))  # depleted, though not failed
     assert not any(got[100 + i]["base_failed"] for i in range(3) if got[100 + i]["n_words"] >= 50)
     assert all(got[200 + i]["kept"] for i in range(3))
-    assert all(got[300 + i]["kept"] for i in range(30))  # copies of one text are one document
+    assert not any(got[300 + i]["kept"] for i in range(30))  # copies are documents: their lines stand in 30 of them
+    assert all(got[400 + i]["kept"] for i in range(20))  # 20 are within the limit
     assert got[1]["n_words"] == 0 and got[1]["base_failed"] and got[6]["n_repeat_words"] == 30_000
     assert line_quality.quality(docs(spark, [])).count() == 0
 
