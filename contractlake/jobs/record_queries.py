@@ -64,6 +64,18 @@ def j12(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("event_id", p.alias("p")).select("event_id", F.element_at("p", "request_kind").alias("kind"), F.element_at("p", "a").alias("a"), F.size("p").alias("n"))
 
 
+@query("j12_shadowed_extras", "SELECT event_id, list_sort(list_filter(['kind', event_type, CASE WHEN value < 50 THEN NULL ELSE 'a' END, 'session_id'], lambda x: x IS NOT NULL AND (x <> event_type OR value >= 20))) AS keys FROM events")
+def j12_shadowed(spark: SparkSession, sf: str) -> DataFrame:
+    """Configuration names shadow the client's own, which are not sent to tools; a fixed field of that name stays."""
+    v = F.col("value")
+    s = F.lit
+    client = F.create_map(s("session_id"), s("s"), s("a"), s("1"), F.col("event_type"), s("2"))
+    none = F.create_map().cast("map<string,string>")
+    config = F.map_concat(F.when(v < 50, F.create_map(s("a"), s("x"), s("session_id"), s("y"))).otherwise(none), F.when(v < 20, F.create_map(F.col("event_type"), s("z"))).otherwise(none))
+    p = records.project_for_tool(client, (), F.create_map(s("kind"), s("tool")), config)
+    return table(spark, sf, "events").select("event_id", F.array_sort(F.map_keys(p)).alias("keys"))
+
+
 @query(
     "j13_build_env_map",
     """SELECT event_id, list_sort(list_filter([CASE WHEN event_id % 3 = 0 OR event_id % 3 = 1 THEN 'PATH' END, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'API_KEY' END, CASE WHEN event_id % 3 = 0 THEN 'LANG' END, CASE WHEN event_id % 3 = 0 THEN 'AXB' END, 'EXTRA', CASE WHEN event_id % 5 = 0 THEN 'THREAD_ID' END], lambda x: x IS NOT NULL)) AS names FROM events""",

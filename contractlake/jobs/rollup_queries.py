@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contractlake.operators import rollups
+from contractlake.operators import checks, headers, rollups
 
 from . import diff_queries
 from .registry import query, table
@@ -236,3 +236,88 @@ def g1(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select(F.col("p_brand").alias("surface"), F.col("p_name").alias("name"), "p_size")
     seen = p.groupBy("surface", "name").agg(F.bool_or(F.col("p_size") % 2 == 0).alias("http"), F.bool_or(F.col("p_size") % 3 == 0).alias("ws")).filter("http or ws")
     return seen.select("surface", "name", F.when(F.col("http") & F.col("ws"), "shared").when(F.col("http"), "http_only").otherwise("ws_only").alias("side"))
+
+
+_OCCURRENCES = """h AS (SELECT p_brand AS surface, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS row, CASE WHEN p_size > 25 THEN 'request' ELSE 'response' END AS direction, CASE WHEN p_retailprice > 1200 THEN upper(p_type) ELSE p_type END AS name, CASE WHEN p_size > 10 THEN p_brand END AS category, p_name AS origin, CASE WHEN p_size % 2 = 0 THEN 'text' ELSE 'number' END AS value_shape, CASE WHEN p_size < 40 THEN 'when ' || p_size // 10 END AS condition, NULL AS source_ref, p_size FROM part)"""
+
+
+def _occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    row = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    size = F.col("p_size")
+    return table(spark, sf, "part").select(
+        F.col("p_brand").alias("surface"), row.alias("row"), F.when(size > 25, "request").otherwise("response").alias("direction"), F.when(F.col("p_retailprice") > 1200, F.upper("p_type")).otherwise(F.col("p_type")).alias("name"), F.when(size > 10, F.col("p_brand")).alias("category"),
+        F.col("p_name").alias("origin"), F.when(size % 2 == 0, "text").otherwise("number").alias("value_shape"), F.when(size < 40, F.concat(F.lit("when "), F.floor(size / 10).cast("string"))).alias("condition"), F.lit(None).cast("string").alias("source_ref"), "p_size",
+    )
+
+
+@query(
+    "a6_header_index",
+    f"""WITH {_OCCURRENCES}, f AS (SELECT direction, lower(name) AS header, surface, row, unnest([{{'fact': 'name', 'value': name}}, {{'fact': 'category', 'value': category}}, {{'fact': 'origin', 'value': origin}}, {{'fact': 'value_shape', 'value': value_shape}}, {{'fact': 'condition', 'value': condition}}]) AS u FROM h)
+SELECT direction, header, u.fact AS fact, u.value AS value, min({{'s': surface, 'r': row}}).s AS surface, min({{'s': surface, 'r': row}}).r::INT AS row, count(*) AS occurrences FROM f WHERE u.value IS NOT NULL OR u.fact = 'condition' GROUP BY ALL""",
+)
+def a6_index(spark: SparkSession, sf: str) -> DataFrame:
+    return headers.header_index(_occurrences(spark, sf), [])
+
+
+@query("k16_undeclared_headers", f"WITH {_OCCURRENCES} SELECT DISTINCT surface, direction, lower(name) AS header FROM h WHERE (surface, direction, lower(name)) NOT IN (SELECT surface, direction, lower(name) FROM h WHERE p_size % 3 = 0)")
+def k16_undeclared(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _occurrences(spark, sf)
+    return headers.undeclared(rows, rows.filter("p_size % 3 = 0"), ["surface"])
+
+
+@query("g1_header_sides", f"WITH {_OCCURRENCES}, g AS (SELECT surface, min(name) AS name, bool_or(direction = 'request') AS a, bool_or(direction = 'response') AS b FROM h GROUP BY surface, lower(name)) SELECT surface, name, CASE WHEN a AND b THEN 'shared' WHEN a THEN 'http_only' ELSE 'ws_only' END AS side FROM g")
+def g1_sides(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _occurrences(spark, sf)
+    return headers.header_overlap(rows.filter("direction = 'request'"), rows.filter("direction = 'response'"), ["surface"])
+
+
+@query("a18_headers_by_category", f"WITH {_OCCURRENCES} SELECT surface, coalesce(category, 'uncategorized') AS category, true AS optional, p_size > 45 AS sensitive, direction, coalesce(origin, 'client') AS origin, false AS continuation, name, row AS seq FROM h")
+def a18_categories(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _occurrences(spark, sf).withColumn("optional", F.lit(None).cast("boolean")).withColumn("sensitive", F.when(F.col("p_size") > 45, True)).withColumn("continuation", F.lit(None).cast("boolean")).withColumn("seq", F.col("row").cast("long"))
+    return headers.by_category(rows, ["surface"])
+
+
+@query("a18_identity_fields", "SELECT p_brand AS report, CASE WHEN p_size > 10 THEN p_type ELSE 'other' END AS domain, p_name AS field, count(*) OVER (PARTITION BY p_brand, CASE WHEN p_size > 10 THEN p_type ELSE 'other' END) AS fields FROM (SELECT DISTINCT p_brand, p_name, CASE WHEN p_size > 10 THEN p_type END AS p_type, CASE WHEN p_size > 10 THEN 11 ELSE 1 END AS p_size FROM part)")
+def a18_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return rollups.identity_groups(table(spark, sf, "part").select(F.col("p_brand").alias("report"), F.when(F.col("p_size") > 10, F.col("p_type")).alias("identity_domain"), F.col("p_name").alias("name")), ["report"])
+
+
+@query(
+    "a5_unavailable_sources",
+    """WITH m AS (SELECT c_nationkey AS report, 's' || c_custkey AS source_id, 'src/' || c_custkey || '.rs' AS path, c_acctbal >= 0 AS available, c_mktsegment = 'BUILDING' AS required FROM customer), w AS (SELECT DISTINCT c_nationkey AS report, 'o' || o_orderpriority AS pointer, 'could not read src/' || o_custkey || '.rs: ' || o_orderstatus AS message, o_orderstatus AS source_ref, 's' || o_custkey AS named FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice < 30000)
+SELECT report, 'WARNING' AS code, 'warning' AS severity, message, list_sort(list(DISTINCT pointer)) AS pointers, list_sort(list_distinct(list_concat(list(DISTINCT source_ref), list(DISTINCT named)))) AS source_refs FROM w GROUP BY report, message
+UNION ALL SELECT report, CASE WHEN required THEN 'REQUIRED' ELSE 'OPTIONAL' END || '_SOURCE_UNAVAILABLE', CASE WHEN required THEN 'error' ELSE 'warning' END, 'expected source unavailable: ' || path, ['/source_manifest/files/' || source_id], [source_id] FROM m WHERE NOT available AND (report, source_id) NOT IN (SELECT report, named FROM w)""",
+)
+def a5_sources(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    path = lambda k: F.concat(F.lit("src/"), F.col(k).cast("string"), F.lit(".rs"))
+    manifest = c.select(F.col("c_nationkey").alias("report"), F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("source_id"), path("c_custkey").alias("path"), (F.col("c_acctbal") >= 0).alias("available"), (F.col("c_mktsegment") == "BUILDING").alias("required"))
+    o = table(spark, sf, "orders").filter("o_totalprice < 30000").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    warnings = o.select(F.col("c_nationkey").alias("report"), F.concat(F.lit("o"), F.col("o_orderpriority")).alias("pointer"), F.concat(F.lit("could not read "), path("o_custkey"), F.lit(": "), F.col("o_orderstatus")).alias("message"), F.col("o_orderstatus").alias("source_ref"))
+    return rollups.unavailable_sources(warnings, manifest, ["report"])
+
+
+@query(
+    "a11_compose_edges",
+    """WITH n AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_acctbal >= 0 UNION SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey > 0), e AS (SELECT DISTINCT 'home' AS family, 'c' || c_custkey AS from_id, 'n' || c_nationkey AS to_id, 'lives_in' AS relation FROM customer UNION SELECT DISTINCT 'order', 'c' || o_custkey, 'c' || (o_custkey + 1), 'orders_before' FROM orders)
+SELECT family || '.' || substr(sha256(from_id || ':' || to_id), 1, 16) AS id, from_id, to_id, relation FROM e WHERE from_id IN (SELECT id FROM n) AND to_id IN (SELECT id FROM n)""",
+)
+def a11_edges(spark: SparkSession, sf: str) -> DataFrame:
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    c, n, o = table(spark, sf, "customer"), table(spark, sf, "nation"), table(spark, sf, "orders")
+    nodes = c.filter("c_acctbal >= 0").select(name("c", F.col("c_custkey")).alias("id")).unionByName(n.filter("n_regionkey > 0").select(name("n", F.col("n_nationkey")).alias("id")))
+    home = c.select(F.lit("home").alias("family"), name("c", F.col("c_custkey")).alias("from_id"), name("n", F.col("c_nationkey")).alias("to_id"), F.lit("lives_in").alias("relation"))
+    orders = o.select(F.lit("order").alias("family"), name("c", F.col("o_custkey")).alias("from_id"), name("c", F.col("o_custkey") + 1).alias("to_id"), F.lit("orders_before").alias("relation"))
+    return rollups.compose_edges(home.unionByName(orders), nodes, [])
+
+
+@query(
+    "a17_field_order",
+    """WITH f AS (SELECT DISTINCT o_custkey AS owner, o_orderpriority AS field FROM orders), o AS (SELECT o_custkey AS owner, CASE WHEN o_totalprice < 20000 THEN 'unknown' ELSE o_orderpriority END AS field FROM orders WHERE o_orderstatus <> 'P'),
+e AS (SELECT owner, field, count(*) FILTER (k = 'o') AS o, count(*) FILTER (k = 'f') AS f FROM (SELECT owner, field, 'o' AS k FROM o UNION ALL SELECT owner, field, 'f' FROM f) GROUP BY ALL) SELECT owner, 'FIELD_ORDER_NOT_BIJECTIVE' AS code, count(*) FILTER (o = 0) AS missing, count(*) FILTER (f = 0) AS extra, count(*) FILTER (o > 1) AS repeated FROM e GROUP BY owner HAVING sum(o) > 0 AND bool_or(o <> 1 OR f = 0)""",
+)
+def a17_order(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").withColumn("owner", F.col("o_custkey"))
+    fields = o.select("owner", F.col("o_orderpriority").alias("field")).distinct()
+    order = o.filter("o_orderstatus <> 'P'").select("owner", F.when(F.col("o_totalprice") < 20000, "unknown").otherwise(F.col("o_orderpriority")).alias("field"))
+    return checks.field_order_bijection(order, fields, ["owner"])

@@ -142,6 +142,17 @@ def count_consistency(declared: DataFrame, items: DataFrame, keys: list[str]) ->
     return j.filter("declared != actual").select(*keys, "kind", "declared", "actual")
 
 
+def field_order_bijection(order: DataFrame, fields: DataFrame, keys: list[str]) -> DataFrame:
+    """order, fields: keys, field. Owners (keys) whose order does not name every field exactly once: keys, code, missing, extra, repeated (numbers of fields).
+
+    Owners with fields and no order at all are left out: nothing was declared.
+    """
+    both = order.select(*keys, "field", F.lit(1).alias("o"), F.lit(0).alias("f")).unionByName(fields.select(*keys, "field", F.lit(0).alias("o"), F.lit(1).alias("f")))
+    each = both.groupBy(*keys, "field").agg(F.sum("o").alias("o"), F.max("f").alias("f"))
+    out = each.groupBy(*keys).agg(F.count_if(F.col("o") == 0).alias("missing"), F.count_if(F.col("f") == 0).alias("extra"), F.count_if(F.col("o") > 1).alias("repeated"), F.sum("o").alias("said"))
+    return out.filter("said > 0 and missing + extra + repeated > 0").select(*keys, F.lit("FIELD_ORDER_NOT_BIJECTIVE").alias("code"), "missing", "extra", "repeated")
+
+
 def evidence_codes(scenarios: DataFrame, required: DataFrame, keys: list[str]) -> DataFrame:
     """One row per evidence: its sorted codes, the required scenarios that did not pass, and the status recomputed.
 

@@ -43,10 +43,16 @@ def extra_codes(extra: Column, pattern: str = KEY_PATTERN, reserved: tuple[str,
     return F.array_sort(F.array_compact(codes))
 
 
-def project_for_tool(metadata: Column, removed: tuple[str, ...], overrides: Column) -> Column:
-    """Metadata for a tool call: the removed fields go, the overrides are added and win."""
-    left = F.map_filter(metadata, lambda k, v: ~k.isin(*removed) & ~F.map_contains_key(overrides, k))
-    return F.map_concat(left, overrides)
+def project_for_tool(metadata: Column, removed: tuple[str, ...], overrides: Column, config: Column | None = None, fixed: tuple[str, ...] = KNOWN) -> Column:
+    """Metadata for a tool call: the removed fields go, the overrides are added and win.
+
+    config: keys of it shadow the client's extras of the same name, which go, but its values are not copied.
+    The fixed fields are no extras. Null maps are empty.
+    """
+    empty = F.from_json(F.lit("{}"), T.MapType(T.StringType(), T.StringType()))
+    over, shadow = F.coalesce(overrides, empty), F.coalesce(config, empty) if config is not None else empty
+    left = F.map_filter(F.coalesce(metadata, empty), lambda k, v: ~k.isin(*removed) & ~F.map_contains_key(over, k) & (k.isin(*fixed) | ~F.map_contains_key(shadow, k)))
+    return F.map_concat(left, over)
 
 
 def env_map(parent: Column, inherit: Column, ignore_default_excludes: Column, exclude: Column, overrides: Column, include_only: Column, thread_id: Column, core: tuple[str, ...], not_inheritable: tuple[str, ...], thread_variable: str = "THREAD_ID") -> Column:

@@ -48,6 +48,35 @@ def warnings_to_diagnostics(warnings: DataFrame, keys: list[str]) -> DataFrame:
     return warnings.groupBy(*keys, "message").agg(F.array_sort(F.collect_set("pointer")).alias("pointers"), F.array_sort(F.collect_set("source_ref")).alias("source_refs"))
 
 
+def unavailable_sources(warnings: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
+    """Warnings with the sources that they name, and a diagnostic for each unavailable source that none names: keys, code, severity, message, pointers, source_refs.
+
+    warnings: keys, pointer, message, source_ref; manifest: keys, source_id, path, available (null: yes),
+    required. A warning names a source if the source's path stands in its message as a word of its own, which
+    makes it a join on words and not a search of all paths in all messages. Warnings have the code WARNING.
+    """
+    own = warnings_to_diagnostics(warnings, keys)
+    word = F.explode(F.array_distinct(F.regexp_extract_all("message", F.lit(r"([^\s'\"`,;()]+)"), F.lit(1)))).alias("word")
+    words = own.select(*keys, "message", word).withColumn("path", F.regexp_replace("word", r"[.:]+$", ""))
+    named = words.join(manifest.filter("path != ''").select(*keys, "source_id", "path"), [*keys, "path"])
+    refs = named.groupBy(*keys, "message").agg(F.collect_set("source_id").alias("more"))
+    told = own.join(refs, [*keys, "message"], "left")
+    more = F.array_sort(F.array_distinct(F.concat("source_refs", F.coalesce("more", F.array().cast("array<string>")))))
+    warned = told.select(*keys, F.lit("WARNING").alias("code"), F.lit("warning").alias("severity"), "message", "pointers", more.alias("source_refs"))
+    lost = manifest.filter("not coalesce(available, true)").join(named.select(*keys, "source_id").distinct(), [*keys, "source_id"], "left_anti")
+    required = F.coalesce("required", F.lit(False))
+    escaped = F.replace(F.replace("source_id", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+    absent = lost.select(
+        *keys,
+        F.when(required, "REQUIRED_SOURCE_UNAVAILABLE").otherwise("OPTIONAL_SOURCE_UNAVAILABLE").alias("code"),
+        F.when(required, "error").otherwise("warning").alias("severity"),
+        F.concat(F.lit("expected source unavailable: "), F.coalesce("path", F.lit(""))).alias("message"),
+        F.array(F.concat(F.lit("/source_manifest/files/"), escaped)).alias("pointers"),
+        F.array("source_id").alias("source_refs"),
+    )
+    return warned.unionByName(absent)
+
+
 def header_registry(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows: keys, direction, name, category, origin, continuation. One row per direction and lower-cased name."""
     return rows.groupBy(*keys, "direction", F.lower("name").alias("header")).agg(
@@ -117,6 +146,20 @@ def compose_graph(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.groupBy(*keys, "id").agg(F.max(F.struct("priority", "kind", "label")).alias("m")).select(*keys, "id", "m.kind", "m.label")
 
 
+def compose_edges(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """edges: keys, family, from_id, to_id, relation; nodes: keys, id. keys, id, from_id, to_id, relation of edges whose both ends are nodes, once each; id is the family and a hash of the ends."""
+    known = nodes.select(*keys, F.col("id")).distinct()
+    whole = edges.distinct().join(known.withColumnRenamed("id", "from_id"), [*keys, "from_id"], "left_semi").join(known.withColumnRenamed("id", "to_id"), [*keys, "to_id"], "left_semi")
+    mark = F.substring(F.sha2(F.concat_ws(":", "from_id", "to_id"), 256), 1, 16)
+    return whole.select(*keys, F.concat_ws(".", "family", mark).alias("id"), "from_id", "to_id", "relation")
+
+
+def identity_groups(fields: DataFrame, keys: list[str], domain: str = "identity_domain", field: str = "name") -> DataFrame:
+    """Per identity domain its fields, one a row, with how many the domain has: keys, domain, field, fields. Null domains are other."""
+    own = fields.select(*keys, F.coalesce(F.col(domain), F.lit("other")).alias("domain"), F.col(field).alias("field")).distinct()
+    return own.join(own.groupBy(*keys, "domain").agg(F.count("*").alias("fields")), [*keys, "domain"])
+
+
 def graph_views(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Per edge source: its sorted targets, and those that are no node."""
     known = nodes.select(*keys, F.col("id").alias("to_id"), F.lit(True).alias("known")).distinct()
