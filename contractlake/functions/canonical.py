@@ -177,8 +177,8 @@ def _walk(value: Any, pointer: str, key: str | None, arrays: bool) -> Iterator[t
         stack += [(x, f"{p}/{c.replace('~', '~0').replace('/', '~1')}", c) for c, x in children]
 
 
-def walk_json(docs: DataFrame, key: str, text: str, arrays: bool = True, objects: bool = False) -> DataFrame:
-    """One row per JSON node: key, pointer (RFC 6901; the root's is empty), name (of the member or index), kind, value (canonical, of leaves and whole arrays, and with objects of whole objects), error.
+def walk_json(docs: DataFrame, key: str, text: str, arrays: bool = True) -> DataFrame:
+    """One row per JSON node: key, pointer (RFC 6901; the root's is empty), name (of the member or index), kind, value (canonical, of leaves and whole arrays), error.
 
     arrays: whether what stands in arrays has rows of its own.
 
@@ -192,7 +192,7 @@ def walk_json(docs: DataFrame, key: str, text: str, arrays: bool = True, objects
             out = []
             for k, t in zip(batch["k"], batch["t"], strict=True):
                 try:
-                    out += [(k, encodable(p), n, _kind(v), None if isinstance(v, dict) and not objects else canonical(v, "ascii"), None) for p, n, v in _walk(parse(t), "", None, arrays)]
+                    out += [(k, encodable(p), n, _kind(v), None if isinstance(v, dict) else canonical(v, "ascii"), None) for p, n, v in _walk(parse(t), "", None, arrays)]
                 except REFUSALS as e:
                     out.append((k, "", None, None, None, encodable_error(e)))
             yield pd.DataFrame(out, columns=["k", "pointer", "name", "kind", "value", "error"])
@@ -201,6 +201,52 @@ def walk_json(docs: DataFrame, key: str, text: str, arrays: bool = True, objects
     return rows.mapInPandas(run, f"k {kind}, pointer string, name string, kind string, value string, error string").withColumnRenamed("k", key)
 
 
+#: What stands where a side has nothing; a singleton in every process.
+_ABSENT = ...
+
+
+def _differences(before: Any, after: Any) -> Iterator[tuple[str, str | None, str | None]]:
+    """Pointers at which two values differ, with what is there (canonical; None: nothing). Every node is looked at once and what is equal is written nowhere."""
+    stack = [("", before, after)]
+    while stack:
+        pointer, b, a = stack.pop()
+        if isinstance(b, dict) and isinstance(a, dict):
+            stack += [(f"{pointer}/{k.replace('~', '~0').replace('/', '~1')}", b.get(k, _ABSENT), a.get(k, _ABSENT)) for k in {**b, **a}]
+            continue
+        x, y = (None if v is _ABSENT else canonical(v, "ascii") for v in (b, a))
+        if x != y:
+            yield encodable(pointer), x, y
+
+
+def json_changes(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """pairs: key and two JSON texts. What differs: key, pointer, before, after (canonical, null where missing).
+
+    Objects are compared member by member, anything else whole and by kind (1, 1.0 and true differ). A null
+    text, or one that is refused, is a side with nothing; of a pair with a name that UTF-8 hasn't, the
+    differences found before it remain.
+    """
+    rows = pairs.select(pairs[key].alias("k"), pairs[before].alias("b"), pairs[after].alias("a"))
+
+    def side(text: str | None) -> Any:
+        try:
+            return _ABSENT if text is None else parse(text)
+        except REFUSALS:
+            return _ABSENT
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, b, a in zip(batch["k"], batch["b"], batch["a"], strict=True):
+                try:
+                    out += ((k, *d) for d in _differences(side(b), side(a)))
+                except REFUSALS:
+                    continue
+            yield pd.DataFrame(out, columns=["k", "pointer", "before", "after"])
+
+    kind = pairs.schema[key].dataType.simpleString()
+    return rows.mapInPandas(run, f"k {kind}, pointer string, before string, after string").withColumnRenamed("k", key)
+
+
 def schema_paths(docs: DataFrame, key: str, text: str) -> DataFrame:
     """A row per schema node of each JSON Schema: key, path (a.b member, a.* map value, a[] item; the root's is empty), location, required, types, digest.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contractlake.functions.canonical import walk_json
+from contractlake.functions.canonical import json_changes
 
 
 def key_timeline(states: DataFrame, keys: list[str], version: str = "version", state: str = "state") -> DataFrame:
@@ -46,21 +46,7 @@ def entity_diff(before: DataFrame, after: DataFrame, key: str, text: str) -> Dat
 
     Objects are compared member by member, arrays whole. A member that one side lacks, or that changes
     its kind, is one change with all it holds; so is an entity that one side lacks, at the root. Only
-    entities whose texts differ are walked.
+    entities whose texts differ are parsed, both sides in one row, so only what differs is written or shuffled.
     """
-    from .lineage import written
-
     j = before.select(key, F.col(text).alias("b")).join(after.select(key, F.col(text).alias("a")), key, "full_outer").filter(~F.col("b").eqNullSafe(F.col("a")))
-
-    def nodes(side: str) -> DataFrame:
-        walked = walk_json(j.select(key, F.col(side).alias("t")), key, "t", arrays=False, objects=True)
-        return walked.filter("error is null").select(key, "pointer", F.col("kind").alias(f"{side}_kind"), F.col("value").alias(side))
-
-    both = written(nodes("b").join(nodes("a"), [key, "pointer"], "full_outer"))
-    opened = F.col("b_kind").eqNullSafe("object") & F.col("a_kind").eqNullSafe("object")
-    inner = both.filter(opened).select(key, F.col("pointer").alias("parent"))
-    changed = both.filter(~opened & ~(F.col("b").eqNullSafe(F.col("a")) & F.col("b_kind").eqNullSafe(F.col("a_kind"))))
-    top = changed.filter("pointer = ''")
-    rest = changed.filter("pointer != ''").withColumn("parent", F.regexp_replace("pointer", "/[^/]*$", "")).join(inner, [key, "parent"], "left_semi")
-    columns = [key, "pointer", F.col("b").alias("before"), F.col("a").alias("after")]
-    return top.select(*columns).unionByName(rest.select(*columns))
+    return json_changes(j, key, "b", "a")

@@ -436,3 +436,9 @@ def test_kinds_of_edges_are_not_merged(spark):
     moves = spark.createDataFrame([("f", "fork", "f"), ("f", "parent", "p")], "state string, label string, to_state string")
     got = sorted((r["state"], r["node"], r["hops"]) for r in lineage.labelled_closure(edges, spark.createDataFrame([("a", "f")], "id string, state string"), moves).collect())
     assert got == [("f", "a", 0), ("f", "b", 1), ("f", "d", 2), ("p", "c", 1)]
+
+
+def test_changes_of_odd_texts(spark):
+    pairs = [(1, None, "{}"), (2, "{", '{"a":1}'), (3, "{", "["), (4, '{"a/b":{"~":1}}', '{"a/b":{"~":2}}'), (5, '{"a":1}', '{"a":1.0}'), (6, "[1]", "[1]"), (7, '{"a":null}', "{}"), (8, "[" * 60_000, "1")]
+    got = sorted(map(tuple, canonical.json_changes(spark.createDataFrame(pairs, "k int, b string, a string"), "k", "b", "a").collect()))
+    assert got == [(1, "", None, "{}"), (2, "", None, '{"a":1}'), (4, "/a~1b/~0", "1", "2"), (5, "/a", "1", "1.0"), (7, "/a", "null", None), (8, "", None, "1")]
