@@ -70,7 +70,7 @@ class _Turns(_Forgetful):
         for at, (status, ms) in now.items():
             self.known.updateValue(at, (status, ms))
             self.remind(ms)
-        yield pd.DataFrame(out, columns=self.names)
+        yield pd.DataFrame(out, columns=self.names, dtype=object)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
@@ -102,7 +102,9 @@ class _Last(_Forgetful):
                 value = new
         self.last.update((value, last))
         self.remind(last)
-        yield all_.iloc[kept].assign(previous=previous)[self.names]
+        out = all_.iloc[kept].assign(previous=previous)
+        # plain objects: a column put together from several batches is one in pieces, which doesn't go out as it is
+        yield pd.DataFrame({name: out[name].tolist() for name in self.names}, dtype=object)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         before = self.last.get()
