@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import WORD, written
 
@@ -28,8 +29,10 @@ def line_hash(line: Column) -> Column:
 
 
 def _keys(docs: DataFrame, key: str, text: str) -> list[Column]:
-    """Order id (null: last) and text hash: rows that agree in both are one document."""
-    return [F.coalesce(docs[key].cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(docs[text]).alias("th")]
+    """Order id (null: last), in the order of the key's own type, and text hash: rows that agree in both are one document."""
+    whole = isinstance(docs.schema[key].dataType, IntegralType)
+    order = F.coalesce(docs[key].cast("long"), F.lit(_LAST)) if whole else F.struct(docs[key].isNull().alias("none"), docs[key].alias("key"))
+    return [order.alias("o"), F.xxhash64(docs[text]).alias("th")]
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -82,7 +85,10 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     """Lines to delete: o, th, pos, words. See remove_repeated."""
     table = written(lines(docs, key, text), "lines")
     found = runs(fingerprints(table, gram_words, window_words), min_words)
+    # counted per task before it shuffles, then written: its size is known to the join, which broadcasts it while
+    # it is small and else can cut up the rows of a passage that many documents share
     first = found.groupBy("key").agg(F.min(F.struct("o", "th", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
+    first = written(first, "first")
     later = found.join(first, "key").filter(F.struct("o", "th", "start") != F.col("first")).select("o", "th", F.col("start").alias("lno"), "end")
     # a line goes if a run that starts at or above it ends at or below it
     every = table.select("o", "th", "lno", "pos", "words", F.lit(None).cast(later.schema["end"].dataType).alias("end")).unionByName(later, allowMissingColumns=True)
@@ -94,7 +100,7 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     """docs with each text freed of repeated runs, and n_lines, n_deleted_lines, n_deleted_words long.
 
     A run is deleted if it has `min_words` words or more and occurs before, in a document with a
-    smaller id (null: last; equal ids: smaller text hash) or further up in the same text. Only equal
+    smaller id (of any type that has an order; null: last; equal ids: smaller text hash) or further up in the same text. Only equal
     lines match; blank lines are looked through and stay. A null text stays null, a text of which all
     lines go becomes empty or blank lines. Rows equal in id and text are one document given more than
     once and are answered alike. Other columns are carried along, whatever their names.
