@@ -99,12 +99,18 @@ def paths(shingles: np.ndarray, seeds: np.ndarray, step: int = 512) -> np.ndarra
     return ((values[:, 0] << np.uint64(48)) | (values[:, 1] << np.uint64(32)) | (values[:, 2] << np.uint64(16)) | values[:, 3]).view(np.int64)
 
 
+def least_trees(threshold: float, recall: float) -> int:
+    """So many trees reach the recall at the threshold if all prefixes are as short as they get."""
+    miss = np.log1p(-(min(float(threshold), 1 - 1e-9) ** SHORTEST))
+    return int(np.ceil(np.log1p(-recall) / miss))
+
+
 def shorten(company: np.ndarray, owner: np.ndarray, texts: int, trees: int, threshold: float, recall: float) -> np.ndarray:
     """The depth at which each row's prefix ends.
 
     company: one row for each text and tree in which the text shares its shortest prefix; the numbers
     of texts that share the prefixes of each depth, from the shortest on. owner: the row's text. In
-    trees without a row the prefix is shortened as far as it goes, at no cost.
+    trees without a row the prefix is shortened as far as it goes, at no cost. `trees` is at least least_trees.
     """
     miss = np.log1p(-(min(float(threshold), 1 - 1e-9) ** np.maximum(1, np.arange(DEPTH + 1))))
     goal = np.log1p(-recall)
@@ -248,7 +254,7 @@ def _verify(rows: pd.DataFrame, trees: int, threshold: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["id", "links", "root"])
 
 
-def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, trees: int = 32, recall: float = 0.99999, block: int = 1024, block_shingles: int = 1_000_000) -> DataFrame:
+def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, trees: int | None = None, recall: float = 0.99999, block: int = 1024, block_shingles: int = 1_000_000) -> DataFrame:
     """One row per document: key, class_id, n_links long, n_copies long, first boolean.
 
     Linked are different texts with n-gram Jaccard similarity `threshold` or more; a text with fewer
@@ -258,14 +264,21 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     with the least (key, text hash) of its class; rows equal in key and text are all marked. Nulls
     sort last. A null text, and one without a word, links to nothing and is its own class; its
     n_copies is 0. No link is capped; at the threshold itself a pair is missed with a probability of
-    at most 1 - recall, and less above it. A text of any length is taken whole; blocks of a group hold
+    at most 1 - recall, and less above it. trees: 32, or as many more as a low threshold takes (42 at
+    0.7, 179 at 0.5); a number that can't hold the recall is refused. A text of any length is taken whole; blocks of a group hold
     about `block` texts and `block_shingles` shingles, or one text. An empty table gives no rows.
     """
     return _classes(docs, key, text, n, threshold, trees, recall, block, block_shingles).select(F.col("key").alias(key), "class_id", "n_links", "n_copies", "first")
 
 
-def _classes(docs: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, trees: int = 32, recall: float = 0.99999, block: int = 1024, block_shingles: int = 1_000_000) -> DataFrame:
+def _classes(docs: DataFrame, key: str, text: str, n: int = 5, threshold: float = 0.8, trees: int | None = None, recall: float = 0.99999, block: int = 1024, block_shingles: int = 1_000_000) -> DataFrame:
     """jaccard_classes with the columns kh and id, hashes of key and text."""
+    if not (0 < threshold <= 1 and 0 < recall < 1):
+        raise ValueError("threshold is above 0 and at most 1, recall between both")
+    needed = least_trees(threshold, recall)
+    trees = max(32, needed) if trees is None else trees
+    if trees < needed:
+        raise ValueError(f"a recall of {recall} at {threshold} takes {needed} trees or more")
     short_batches(docs.sparkSession)
     seeds = _seeds(trees * DEPTH)
     rows = docs.select(docs[key].alias("key"), text_column(docs[text]).alias("body"))
