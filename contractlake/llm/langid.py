@@ -18,15 +18,19 @@ from pyspark.sql import functions as F
 from .common import short_batches, slices, text_column
 
 
-def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", excerpts: int = 96, excerpt_chars: int = 2000) -> dict[str, bytes]:
+def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", excerpts: int = 96, excerpt_chars: int = 2000, languages: int = 256) -> dict[str, bytes]:
     """Each language's dictionary, from the rows for which `train` holds.
 
     The sample is bounded: at most `excerpts` excerpts of `excerpt_chars` characters a language, from the
     rows with the least key hash in each of as many hash buckets. Where in its text an excerpt begins is
     drawn by another hash, over the whole text. A language that has one usable row
-    is learned. Rows without a language or without a letter teach nothing.
+    is learned. Rows without a language or without a letter teach nothing. Of more than `languages`
+    different values, those with most rows are learned (ties: by name), which bounds the sample where
+    the column holds anything else than languages; that takes one more pass, over two columns.
     """
-    rows = docs.filter(train & docs[lang].isNotNull() & text_column(docs[text]).rlike(r"\p{L}")).select(docs[lang].alias("lang"), docs[text].alias("text"), F.xxhash64(docs[key], F.lit(11)).alias("h"), F.xxhash64(docs[key], F.lit(12)).alias("place"))
+    known = docs.filter(train & docs[lang].isNotNull())
+    names = [r["lang"] for r in known.groupBy(docs[lang].alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    rows = known.filter(docs[lang].isin(names) & text_column(docs[text]).rlike(r"\p{L}")).select(docs[lang].alias("lang"), docs[text].alias("text"), F.xxhash64(docs[key], F.lit(11)).alias("h"), F.xxhash64(docs[key], F.lit(12)).alias("place"))
     least = rows.groupBy("lang", F.pmod("h", F.lit(excerpts)).alias("bucket")).agg(F.min("h").alias("h"))
     # at most `excerpts` hashes a language
     start = F.pmod("place", F.greatest(F.length("text") - excerpt_chars + 1, F.lit(1))).cast("int") + 1

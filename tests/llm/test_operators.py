@@ -138,6 +138,30 @@ def test_forest_finds_pairs_at_the_threshold(spark):
     assert len({r["class_id"] for r in got}) == 300 and {r["n_links"] for r in got} == {1}
 
 
+@pytest.mark.parametrize(("threshold", "changed"), [(0.7, (20, 60, 100)), (0.5, (15, 30, 45, 60, 75, 90))])
+def test_low_thresholds_hold_their_recall(spark, threshold, changed):
+    """Pairs a little above the threshold: none of 100 is lost."""
+    rows = []
+    for k in range(100):
+        w = prose(20_000 + k, 104)
+        v = [("other" if i in changed else x) for i, x in enumerate(w)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_classes(df, threshold=threshold).collect()
+    assert len({r["class_id"] for r in got}) == 100 and {r["n_links"] for r in got} == {1}
+
+
+def test_too_few_trees_are_refused(spark):
+    df = docs(spark, ODD)
+    for t in (0.7, 0.5, 0.8, 1.0):
+        n = jaccard.least_trees(t, 0.99999)
+        assert (1 - min(t, 1 - 1e-9) ** 4) ** n <= 1e-5 * (1 + 1e-9) and (n == 1 or (1 - t**4) ** (n - 1) > 1e-5)
+    with pytest.raises(ValueError, match="42 trees"):
+        jaccard.jaccard_classes(df, threshold=0.7, trees=32)
+    with pytest.raises(ValueError, match="threshold"):
+        jaccard.jaccard_classes(df, threshold=0)
+
+
 def test_components(spark):
     r = random.Random(4)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 480)]
@@ -450,6 +474,8 @@ def test_language(spark):
     model = langid.fit(df, F.lit(True))
     odd = langid.predict(docs(spark, [*ODD, (7, "123 !?", "a")]), model).collect()
     assert sorted(r["lang_pred"] for r in odd)[-4:] == ["und"] * 4 and all(0 <= r["score"] <= 1 for r in odd)
+    most = [r["lang"] for r in df.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(2).collect()]
+    assert sorted(langid.fit(df, F.lit(True), languages=2)) == sorted(most)
     none = langid.fit(docs(spark, []), F.lit(True))
     assert none == {} and langid.predict(docs(spark, ODD), none).filter("lang_pred != 'und'").count() == 0
     assert langid.predict(docs(spark, []), model).count() == 0
@@ -545,6 +571,14 @@ def test_line_dedup_odd_rows(spark):
         line_dedup.remove_repeated(df, min_words=30)
 
 
+def test_keys_of_any_type_with_an_order(spark):
+    body = "\n".join(lines_of(1, 2, 3))
+    rows = [("b", body, "x"), ("a9", body, "x"), ("a10", body + "\nmore", "x"), (None, body, "x"), ("c", "alone", "x")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    got = {r["doc_id"]: r["n_deleted_lines"] for r in line_dedup.remove_repeated(df).collect()}
+    assert got == {"a10": 0, "a9": 3, "b": 3, None: 3, "c": 0}
+
+
 def test_a_line_repeated_through_a_text_goes_once(spark):
     line = " ".join(prose(9, 60))
     r = line_dedup.remove_repeated(docs(spark, [(1, "\n".join([line] * 400), "a")])).first()
