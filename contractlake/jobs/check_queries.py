@@ -199,16 +199,16 @@ def s7(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "k22_provenance_check",
-    """WITH m AS (SELECT doc_id, doc_id % 3 AS snapshot, 'f' || doc_id AS path, CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS off, CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS bad FROM documents)
-SELECT snapshot, path, unnest(CASE WHEN doc_id % 12 = 0 THEN ['SOURCE_MISSING'] ELSE list_filter([CASE WHEN off = 1 THEN 'BYTE_LENGTH_MISMATCH' END, CASE WHEN bad = 1 THEN 'SHA256_MISMATCH' END], lambda x: x IS NOT NULL) END) AS code FROM m""",
+    """WITH f AS (SELECT source AS snapshot, 'f' || doc_id AS path, coalesce(text, '') AS t, CASE lang WHEN 'de' THEN lower(text) WHEN 'fr' THEN text || chr(10) WHEN 'es' THEN CASE WHEN length(text) >= 300 THEN text END ELSE coalesce(text, '') END AS c FROM documents WHERE source IS NOT NULL)
+SELECT snapshot, path, unnest(CASE WHEN c IS NULL THEN ['SOURCE_MISSING'] ELSE list_filter([CASE WHEN octet_length(encode(c)) <> octet_length(encode(t)) THEN 'BYTE_LENGTH_MISMATCH' END, CASE WHEN sha256(c) <> sha256(t) THEN 'SHA256_MISMATCH' END, CASE WHEN c <> t THEN 'BLOB_MISMATCH' END], lambda x: x IS NOT NULL) END) AS code FROM f""",
 )
 def k22(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    k = F.col("doc_id")
-    files = d.select("doc_id", (k % 3).alias("snapshot"), F.concat(F.lit("f"), k.cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))
-    sha = F.sha2("content", 256)
-    manifest = files.select("snapshot", "path", (F.octet_length("content") + (k % 9 == 0).cast("int")).alias("byte_length"), F.when(k % 10 == 0, F.sha2(sha, 256)).otherwise(sha).alias("sha256"), blob_sha1(F.col("content")).alias("blob_sha1"))
-    return checks.provenance_check(manifest, files.filter("doc_id % 12 != 0"))
+    """The manifest is of the texts; found are files in lower case (de), with a line end more (fr), or not at all (short ones in es)."""
+    d = table(spark, sf, "documents").filter("source is not null").select(F.col("source").alias("snapshot"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), "lang", "text")
+    t = F.coalesce("text", F.lit("")).cast("binary")
+    found = F.when(F.col("lang") == "de", F.lower("text")).when(F.col("lang") == "fr", F.concat("text", F.lit("\n"))).when(F.col("lang") == "es", F.when(F.length("text") >= 300, F.col("text"))).otherwise(F.coalesce("text", F.lit("")))
+    manifest = d.select("snapshot", "path", F.octet_length(t).alias("byte_length"), F.sha2(t, 256).alias("sha256"), blob_sha1(t).alias("blob_sha1"))
+    return checks.provenance_check(manifest, d.select("snapshot", "path", found.cast("binary").alias("content")).filter("content is not null"))
 
 
 @query(

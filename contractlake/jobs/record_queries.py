@@ -298,20 +298,25 @@ def w9_after(spark: SparkSession, sf: str) -> DataFrame:
     return records.page_after(requests, table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "thread"), ["thread"], "l_partkey")
 
 
-_URLS = ["https://a.example/x?q=1#f", "https://a.example:443/y", "http://a.example/z", "https://u:p@b.example/w"]
-
-
 @query(
     "w11_redirect_hops",
-    """WITH u AS (SELECT page_id // 5 AS chain, page_id % 5 AS hop, [{'u': 'https://a.example/x?q=1#f', 'o': 'https://a.example:443', 'b': 'https://a.example/x?q=1', 'r': 'https://a.example/'}, {'u': 'https://a.example:443/y', 'o': 'https://a.example:443', 'b': 'https://a.example:443/y', 'r': 'https://a.example:443/'}, {'u': 'http://a.example/z', 'o': 'http://a.example:80', 'b': 'http://a.example/z', 'r': 'http://a.example/'}, {'u': 'https://u:p@b.example/w', 'o': 'https://b.example:443', 'b': 'https://b.example/w', 'r': 'https://b.example/'}][page_id % 4 + 1] AS u, [301, 302, 303, 307][page_id % 7 % 4 + 1] AS status, CASE WHEN (page_id // 5) % 3 = 0 THEN 'POST' WHEN (page_id // 5) % 3 = 1 THEN 'GET' ELSE 'HEAD' END AS m FROM pages),
-p AS (SELECT *, lag(u) OVER w AS pu, lag(status) OVER w AS ps, first(m) OVER w AS fm FROM u WINDOW w AS (PARTITION BY chain ORDER BY hop)), d AS (SELECT *, max(coalesce((ps IN (301, 302) AND fm = 'POST') OR (ps = 303 AND fm <> 'HEAD'), false)::INT) OVER (PARTITION BY chain ORDER BY hop) = 1 AS drops_body FROM p)
-SELECT chain, hop, CASE WHEN drops_body THEN 'GET' ELSE fm END AS method, drops_body, pu.o <> u.o AS cross_origin, list_sort(list_filter([CASE WHEN pu.o = u.o THEN 'Cookie' END, CASE WHEN NOT drops_body THEN 'Content-Type' END, 'Accept'], lambda x: x IS NOT NULL)) AS headers, CASE WHEN pu.o LIKE 'https%' AND u.o LIKE 'http:%' THEN NULL WHEN pu.o <> u.o THEN pu.r ELSE pu.b END AS referer, hop > 10 AS too_many FROM d WHERE pu IS NOT NULL AND pu.u IS NOT NULL""",
+    """WITH b AS (SELECT page_id // 14 AS chain, page_id % 14 AS hop, CASE WHEN url LIKE '%page=%' THEN replace(url, '://', '://u:p@') WHEN url LIKE '%example.net/%' THEN replace(url, 'example.net/', 'example.net:8443/') ELSE url END AS u,
+  CASE WHEN length(html) < 3000 THEN 301 WHEN length(html) < 6000 THEN 302 WHEN length(html) < 9000 THEN 303 ELSE 307 END AS status, CASE WHEN url LIKE '%/fr/%' THEN 'POST' WHEN url LIKE '%/en/%' THEN 'GET' ELSE 'HEAD' END AS m FROM pages WHERE url IS NOT NULL),
+x AS (SELECT *, split_part(u, '://', 1) AS s, regexp_extract(u, '^[a-z]+://(?:[^/@]*@)?([^/?#]*)', 1) AS h FROM b),
+o AS (SELECT *, s || '://' || h || CASE WHEN h LIKE '%:%' THEN '' WHEN s = 'https' THEN ':443' ELSE ':80' END AS o, s || '://' || h || split_part(substr(u, strpos(u, h) + length(h)), '#', 1) AS bare, s || '://' || h || '/' AS root FROM x),
+p AS (SELECT *, lag(s) OVER w AS ps, lag(o) OVER w AS po, lag(bare) OVER w AS pb, lag(root) OVER w AS pr, lag(status) OVER w AS pst, first(m) OVER w AS fm FROM o WINDOW w AS (PARTITION BY chain ORDER BY hop)),
+d AS (SELECT *, max(coalesce((pst IN (301, 302) AND fm = 'POST') OR (pst = 303 AND fm <> 'HEAD'), false)::INT) OVER (PARTITION BY chain ORDER BY hop) = 1 AS drops_body FROM p)
+SELECT chain, hop, CASE WHEN drops_body THEN 'GET' ELSE fm END AS method, drops_body, po <> o AS cross_origin, list_sort(list_filter([CASE WHEN po = o THEN 'Cookie' END, CASE WHEN NOT drops_body THEN 'Content-Type' END, 'Accept'], lambda x: x IS NOT NULL)) AS headers,
+  CASE WHEN ps = 'https' AND s = 'http' THEN NULL WHEN po <> o THEN pr ELSE pb END AS referer, hop > 10 AS too_many FROM d WHERE po IS NOT NULL""",
 )
 def w11(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("page_id")
-    chain = F.floor(k / 5)
-    method = F.when(chain % 3 == 0, "POST").when(chain % 3 == 1, "GET").otherwise("HEAD")
-    hops = table(spark, sf, "pages").select(chain.alias("chain"), (k % 5).alias("hop"), F.get(F.array(*map(F.lit, _URLS)), (k % 4).cast("int")).alias("url"), F.get(F.array(*map(F.lit, (301, 302, 303, 307))), (k % 7 % 4).cast("int")).alias("status"), method.alias("method"), F.create_map(F.lit("Cookie"), F.lit("c"), F.lit("Content-Type"), F.lit("t"), F.lit("Accept"), F.lit("a")).alias("headers"))
+    """The pages' own addresses, some with a user or a port; the method by language, the status by length."""
+    k, u, n = F.col("page_id"), F.col("url"), F.length("html")
+    url = F.when(u.contains("page="), F.replace(u, F.lit("://"), F.lit("://u:p@"))).when(u.contains("example.net/"), F.replace(u, F.lit("example.net/"), F.lit("example.net:8443/"))).otherwise(u)
+    status = F.when(n < 3000, 301).when(n < 6000, 302).when(n < 9000, 303).otherwise(307)
+    method = F.when(u.contains("/fr/"), "POST").when(u.contains("/en/"), "GET").otherwise("HEAD")
+    headers = F.create_map(F.lit("Cookie"), F.lit("c"), F.lit("Content-Type"), F.lit("t"), F.lit("Accept"), F.lit("a"))
+    hops = table(spark, sf, "pages").filter("url is not null").select(F.floor(k / 14).alias("chain"), (k % 14).alias("hop"), url.alias("url"), status.alias("status"), method.alias("method"), headers.alias("headers"))
     return records.redirect_hops(hops, "chain", "hop").withColumn("headers", F.array_sort(F.map_keys("headers")))
 
 
@@ -419,10 +424,17 @@ def j3_verify(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", CJ.verify_seal(text, "utf8").alias("s")).select("event_id", "s.*")
 
 
-@query("j4_duplicate_json_keys", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'duplicate key a' WHEN 1 THEN 'no JSON' END AS error FROM events")
+@query(
+    "j4_duplicate_json_keys",
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag AS f, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS n FROM lineitem)
+SELECT l_orderkey, CASE WHEN sum(q) > 200 THEN 'no JSON' ELSE 'duplicate key ' || first(f ORDER BY l_linenumber, f) FILTER (n = 2) END AS error FROM l GROUP BY 1""",
+)
 def j4(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.when(_k() % 3 == 0, F.lit('{"a":1,"a":2}')).when(_k() % 3 == 1, F.lit("{")).otherwise(F.col("props"))
-    return table(spark, sf, "events").select("event_id", CJ.canonical_json(text, "ascii").alias("c")).select("event_id", "c.error")
+    """An order's lines as members named by their flags; large orders lack the closing brace."""
+    member = F.concat(F.lit('"'), F.col("l_returnflag"), F.lit('":'), F.col("l_linenumber").cast("string"))
+    o = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", member.alias("m")))).alias("l"), F.sum("l_quantity").alias("q"))
+    text = F.concat(F.lit("{"), F.array_join(F.col("l.m"), ","), F.when(F.col("q") > 200, "").otherwise("}"))
+    return o.select("l_orderkey", CJ.canonical_json(text, "ascii").alias("c")).select("l_orderkey", "c.error")
 
 
 def _doc() -> Column:

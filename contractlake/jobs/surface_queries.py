@@ -65,11 +65,21 @@ def p5(spark: SparkSession, sf: str) -> DataFrame:
     return modules.join(coverage.literals(files, ["file"], coverage.CLIENTS).withColumnRenamed("names", "clients"), "file")
 
 
-@query("j2_key_collisions", "SELECT c_custkey AS doc, '/o' AS object, 'é' AS normal, 2::BIGINT AS spellings FROM customer WHERE c_custkey % 3 = 0")
+@query(
+    "j2_key_collisions",
+    r"""WITH w AS (SELECT doc_id AS doc, unnest(list_distinct(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS word FROM documents),
+n AS (SELECT doc, word AS name FROM w UNION SELECT doc, replace(replace(word, 'e', chr(233)), 'o', 'o' || chr(776)) FROM w WHERE length(word) > 6 UNION SELECT doc, replace(replace(word, 'e', 'e' || chr(769)), 'o', chr(246)) FROM w WHERE word LIKE '%s')
+SELECT doc, '/o' AS object, nfc_normalize(name) AS normal, count(DISTINCT name) AS spellings FROM n GROUP BY ALL HAVING count(DISTINCT name) > 1""",
+)
 def j2(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("c_custkey")
-    text = F.when(k % 3 == 0, F.lit('{"o": {"\u00e9": 1, "e\u0301": 2}}')).otherwise(F.lit('{"o": {"\u00e9": 1, "e": 2}}'))
-    return coverage.key_collisions(table(spark, sf, "customer").select(k.alias("doc"), text.alias("t")), "doc", "t")
+    """Each document's words as member names, long ones and those in -s with accents in two spellings."""
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    accents = lambda e, o: lambda w: F.replace(F.replace(w, F.lit("e"), F.lit(e)), F.lit("o"), F.lit(o))
+    long = F.transform(F.filter(words, lambda w: F.length(w) > 6), accents("\u00e9", "o\u0308"))
+    plural = F.transform(F.filter(words, lambda w: w.endswith("s")), accents("e\u0301", "\u00f6"))
+    names = F.array_distinct(F.concat(words, long, plural))
+    text = F.to_json(F.struct(F.map_from_arrays(names, F.transform(names, lambda n: F.lit(1))).alias("o")))
+    return coverage.key_collisions(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), text.alias("t")), "doc", "t")
 
 
 RULES = [

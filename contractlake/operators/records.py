@@ -164,19 +164,43 @@ def page_items(items: DataFrame, keys: list[str], order: str, size: int) -> Data
     return paged.withColumn("next_cursor", F.when(F.coalesce(more, F.lit(False)), last)).drop("n", "next")
 
 
-def page_after(requests: DataFrame, items: DataFrame, keys: list[str], order: str) -> DataFrame:
+def page_after(requests: DataFrame, items: DataFrame, keys: list[str], order: str, block: int = 256) -> DataFrame:
     """requests: request, keys, cursor (null: from that end), size, backward. A page each: request, position (from 1), item, next_cursor (null where nothing lies beyond).
 
     Forward takes the next different items after the cursor, backward those before it, the nearest
-    first. The join is on the keys: an item meets the requests of its own key alone.
+    first. Null items are on no page. Cursors are placed among the items of their key by ranges, which
+    makes a page a run of ordinals; a request meets the blocks of `block` ordinals that its page touches
+    and no other items, and a key with very many items is many ranges and blocks.
     """
-    j = requests.join(items.select(*keys, F.col(order).alias("item")).distinct(), keys)
-    beyond = F.when(F.col("backward"), F.col("item") < F.col("cursor")).otherwise(F.col("item") > F.col("cursor"))
-    w = Window.partitionBy("request").orderBy(F.when(F.col("backward"), F.col("item")).desc(), F.col("item"))
-    n = j.filter(F.col("cursor").isNull() | beyond).withColumn("position", F.row_number().over(w)).filter("position <= size + 1")
-    n = n.withColumn("before", F.lag("item").over(w))
-    n = n.withColumn("next_cursor", F.max(F.when(F.col("position") > F.col("size"), F.col("before"))).over(Window.partitionBy("request")))
-    return n.filter("position <= size").select("request", "position", "item", "next_cursor")
+    from .lineage import written
+
+    back = F.coalesce(F.col("backward"), F.lit(False))
+    turn = F.col("turn")  # a cursor that goes backward stands before its equal, one that goes forward after it
+    cursors = requests.filter("cursor is not null").select(*keys, F.col("cursor").alias("value"), F.when(back, 0).otherwise(2).alias("turn"), "request", "size")
+    own = items.select(*keys, F.col(order).alias("value"), F.lit(1).alias("turn")).filter("value is not null").distinct()
+    ranged = own.unionByName(cursors, allowMissingColumns=True).repartitionByRange(*keys, "value").withColumn("part", F.spark_partition_id())
+    is_item = (turn == 1).cast("int")
+    upto = Window.partitionBy("part", *keys).orderBy("value", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    placed = written(ranged.withColumn("upto", F.sum(is_item).over(upto)))
+    # of each key as many rows as it has ranges
+    per = Window.partitionBy(*keys)
+    parts = placed.groupBy(*keys, "part").agg(F.sum(is_item).alias("n"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(per.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(per)).drop("n")
+    at = placed.join(parts, [*keys, "part"]).withColumn("rank", F.col("before") + F.col("upto"))
+    numbered = at.filter(turn == 1).select(*keys, "rank", F.floor(F.col("rank") / block).alias("block"), F.col("value").alias("item"))
+    starts = at.filter(turn != 1).select("request", *keys, "size", (turn == 0).alias("backward"), F.col("rank").alias("start"), "total")
+    ends = requests.filter("cursor is null").join(parts.select(*keys, "total").distinct(), keys)
+    ends = ends.select("request", *keys, "size", back.alias("backward"), F.when(back, F.col("total")).otherwise(0).alias("start"), "total")
+    start, size, total = F.col("start"), F.col("size"), F.col("total")
+    low = F.when(F.col("backward"), F.greatest(start - size + 1, F.lit(1))).otherwise(start + 1)
+    high = F.when(F.col("backward"), start).otherwise(F.least(start + size, total))
+    more = F.when(F.col("backward"), start > size).otherwise(start + size < total)
+    asked = starts.unionByName(ends).select("request", *keys, "size", "backward", "start", low.alias("low"), high.alias("high"), more.alias("more")).filter("low <= high")
+    asked = asked.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor(F.col("high") / block))))
+    page = asked.join(numbered, [*keys, "block"]).filter("rank between low and high")
+    page = page.withColumn("position", F.when(F.col("backward"), start - F.col("rank") + 1).otherwise(F.col("rank") - start).cast("int"))
+    cursor = F.max(F.when(F.col("more") & (F.col("position") == size), F.col("item"))).over(Window.partitionBy("request"))
+    return page.withColumn("next_cursor", cursor).select("request", "position", "item", "next_cursor")
 
 
 def retry_plan(attempts: DataFrame, request: str, order: list[str], budget: int = 5, base_ms: int = 200) -> DataFrame:

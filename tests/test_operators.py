@@ -273,6 +273,25 @@ def test_pages_go_both_ways(spark):
     assert got == {(1, 2): [1, 2], (2, None): [4, 5], (3, 2): [3, 2], (4, None): [5, 4, 3, 2, 1]}
 
 
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_pages_of_a_hot_key(spark, block):
+    """One key with most of the items and requests, repeated items, cursors between, at and beyond them."""
+    items = [(1, v * 3) for v in range(500)] + [(1, 30)] * 20 + [(2, 5), (None, 4), (1, None)]
+    asked = [(r, 1 if r % 9 else 2, None if r % 7 == 0 else (r * 37) % 1600 - 50, r % 13, r % 2 == 0) for r in range(200)] + [(900, 3, 1, 5, False), (901, None, None, 5, True)]
+    got = {}
+    df = records.page_after(spark.createDataFrame(asked, "request int, k int, cursor int, size int, backward boolean"), spark.createDataFrame(items, "k int, x int"), ["k"], "x", block)
+    for r in df.orderBy("request", "position").collect():
+        got.setdefault(r["request"], []).append((r["position"], r["item"], r["next_cursor"]))
+    want = {}
+    for request, k, cursor, size, back in asked:
+        own = sorted({x for key, x in items if key == k and x is not None}, reverse=back) if k is not None else []
+        rest = [x for x in own if cursor is None or (x < cursor if back else x > cursor)]
+        page = rest[:size]
+        if page:
+            want[request] = [(i, x, page[-1] if len(rest) > size else None) for i, x in enumerate(page, 1)]
+    assert got == want
+
+
 def test_rules_compare_by_kind(spark):
     rules = [("/c", "const", "5"), ("/e", "enum", 'true,1,x,"2"'), ("/m", "max", "9007199254740992")]
     docs = [(1, '{"c": 5.0, "e": true, "m": 9007199254740992}'), (2, '{"c": "5", "e": "true", "m": 9007199254740993}'), (3, '{"e": 1.0}'), (4, '{"e": "1"}'), (5, '{"e": "2"}'), (6, '{"e": 2}')]
