@@ -10,8 +10,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: ascii: escaped to ASCII; nfc: keys and values in normal form C, UTF-8, a newline at the end; utf8: UTF-8.
 DIALECTS = ("ascii", "nfc", "utf8")
@@ -96,10 +99,14 @@ def _normal(value: Any) -> Any:
     return value
 
 
+#: One encoder for all texts: json.dumps makes one a call.
+_ENCODERS = {ascii_: json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=ascii_, allow_nan=False) for ascii_ in (True, False)}
+
+
 def canonical(value: Any, dialect: str) -> str:
     if dialect == "nfc":
         value = _normal(value)
-    out = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=dialect == "ascii", allow_nan=False)
+    out = _ENCODERS[dialect == "ascii"].encode(value)
     return out + "\n" if dialect == "nfc" else out
 
 
@@ -177,6 +184,34 @@ def _walk(value: Any, pointer: str, key: str | None, arrays: bool) -> Iterator[t
         stack += [(x, f"{p}/{c.replace('~', '~0').replace('/', '~1')}", c) for c, x in children]
 
 
+#: So many texts are Python objects at a time, and what they become goes out as soon as it has so many rows.
+TEXTS, ROWS = 64, 4096
+
+
+def each_text(rows: DataFrame, made: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """The rows that `made` makes of each row of `rows`, by column: a worker holds the rows of one text and ROWS others, however many texts come in a batch."""
+    out_schema = to_arrow_schema(T._parse_datatype_string(schema))
+    columns = rows.columns
+
+    def sent(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), out_schema, strict=True)], schema=out_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                for row in zip(*(part.column(c).to_pylist() for c in columns), strict=True):
+                    out += made(*row)
+                    while len(out) >= ROWS:
+                        yield sent(out[:ROWS])
+                        out = out[ROWS:]
+        if out:
+            yield sent(out)
+
+    return rows.mapInArrow(run, schema)
+
+
 def walk_json(docs: DataFrame, key: str, text: str, arrays: bool = True) -> DataFrame:
     """One row per JSON node: key, pointer (RFC 6901; the root's is empty), name (of the member or index), kind, value (canonical, of leaves and whole arrays), error.
 
@@ -187,18 +222,14 @@ def walk_json(docs: DataFrame, key: str, text: str, arrays: bool = True) -> Data
     """
     rows = docs.select(docs[key].alias("k"), docs[text].alias("t")).filter("t is not null")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for k, t in zip(batch["k"], batch["t"], strict=True):
-                try:
-                    out += [(k, encodable(p), n, _kind(v), None if isinstance(v, dict) else canonical(v, "ascii"), None) for p, n, v in _walk(parse(t), "", None, arrays)]
-                except REFUSALS as e:
-                    out.append((k, "", None, None, None, encodable_error(e)))
-            yield pd.DataFrame(out, columns=["k", "pointer", "name", "kind", "value", "error"])
+    def nodes(k: Any, t: str) -> list[tuple]:
+        try:
+            return [(k, encodable(p), n, _kind(v), None if isinstance(v, dict) else canonical(v, "ascii"), None) for p, n, v in _walk(parse(t), "", None, arrays)]
+        except REFUSALS as e:
+            return [(k, "", None, None, None, encodable_error(e))]
 
     kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInPandas(run, f"k {kind}, pointer string, name string, kind string, value string, error string").withColumnRenamed("k", key)
+    return each_text(rows, nodes, f"k {kind}, pointer string, name string, kind string, value string, error string").withColumnRenamed("k", key)
 
 
 #: What stands where a side has nothing; a singleton in every process.
@@ -233,18 +264,16 @@ def json_changes(pairs: DataFrame, key: str, before: str, after: str) -> DataFra
         except REFUSALS:
             return _ABSENT
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for k, b, a in zip(batch["k"], batch["b"], batch["a"], strict=True):
-                try:
-                    out += ((k, *d) for d in _differences(side(b), side(a)))
-                except REFUSALS:
-                    continue
-            yield pd.DataFrame(out, columns=["k", "pointer", "before", "after"])
+    def changes(k: Any, b: str | None, a: str | None) -> list[tuple]:
+        out: list[tuple] = []
+        try:
+            out += ((k, *d) for d in _differences(side(b), side(a)))
+        except REFUSALS:
+            pass
+        return out
 
     kind = pairs.schema[key].dataType.simpleString()
-    return rows.mapInPandas(run, f"k {kind}, pointer string, before string, after string").withColumnRenamed("k", key)
+    return each_text(rows, changes, f"k {kind}, pointer string, before string, after string").withColumnRenamed("k", key)
 
 
 def schema_paths(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -290,21 +319,17 @@ def schema_paths(docs: DataFrame, key: str, text: str) -> DataFrame:
             for child, p, at, need in below(node, path, location, required):
                 visit(root, child, p, at, need, seen, out)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for k, t in zip(batch["k"], batch["t"], strict=True):
-                found: list = []
-                try:
-                    root = parse(t)
-                    visit(root, root, "", "#", True, (), found)
-                    out += [(k, encodable(path), encodable(at), *rest) for path, at, *rest in found]
-                except REFUSALS:
-                    continue
-            yield pd.DataFrame(out, columns=["k", "path", "location", "required", "types", "digest"])
+    def paths(k: Any, t: str) -> list[tuple]:
+        found: list = []
+        try:
+            root = parse(t)
+            visit(root, root, "", "#", True, (), found)
+            return [(k, encodable(path), encodable(at), *rest) for path, at, *rest in found]
+        except REFUSALS:
+            return []
 
     kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInPandas(run, f"k {kind}, path string, location string, required boolean, types array<string>, digest string").withColumnRenamed("k", key)
+    return each_text(rows, paths, f"k {kind}, path string, location string, required boolean, types array<string>, digest string").withColumnRenamed("k", key)
 
 
 def cas_fold(updates: DataFrame, thread: str = "thread") -> DataFrame:

@@ -461,3 +461,21 @@ def test_changes_of_odd_texts(spark):
     pairs = [(1, None, "{}"), (2, "{", '{"a":1}'), (3, "{", "["), (4, '{"a/b":{"~":1}}', '{"a/b":{"~":2}}'), (5, '{"a":1}', '{"a":1.0}'), (6, "[1]", "[1]"), (7, '{"a":null}', "{}"), (8, "[" * 60_000, "1")]
     got = sorted(map(tuple, canonical.json_changes(spark.createDataFrame(pairs, "k int, b string, a string"), "k", "b", "a").collect()))
     assert got == [(1, "", None, "{}"), (2, "", None, '{"a":1}'), (4, "/a~1b/~0", "1", "2"), (5, "/a", "1", "1.0"), (7, "/a", "null", None), (8, "", None, "1")]
+
+
+def test_json_rows_go_out_in_short_batches(spark, monkeypatch):
+    """A worker never holds the rows of a whole batch of texts: they leave in pieces of at most ROWS, and none is lost."""
+    sizes = []
+    monkeypatch.setattr(canonical, "ROWS", 50)
+    frame = spark.createDataFrame([(i,) for i in range(200)], "k long")
+
+    class Rows:
+        columns = ["k"]
+
+        def mapInArrow(self, run, schema):
+            sizes.extend(b.num_rows for b in run(iter(frame.toArrow().to_batches())))
+
+    canonical.each_text(Rows(), lambda k: [(k, str(i)) for i in range(7)], "k long, name string")
+    assert sum(sizes) == 1400 and max(sizes) <= 50
+    docs = spark.range(300).select(F.col("id").alias("k"), F.to_json(F.create_map(F.lit("a"), F.col("id"))).alias("t"))
+    assert canonical.walk_json(docs, "k", "t").count() == 600
