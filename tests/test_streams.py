@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,40 @@ def test_state_is_bounded(spark, tmp_path, name):
     assert sum(got.values()) == 240 and max(kept) <= 200 and kept[-1] <= 100, kept
 
 
+def test_calls_grow_with_groups_not_keys(spark):
+    """Many keys of a batch are handled by few calls, whose state is read and written once a call."""
+    calls = []
+
+    class Listed:
+        def __init__(self):
+            self.rows = []
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            calls.append(len(rows))
+            self.rows = rows
+
+        def clear(self):
+            self.rows = []
+
+    class Handle:
+        def getListState(self, *_):
+            return Listed()
+
+        def registerTimer(self, _):
+            pass
+
+    p = state._Last(HOUR, ["k"], "k bigint", ["k", "seq", "value", "previous"])
+    p.init(Handle())
+    rows = pd.DataFrame({"k": [*range(500), None], "seq": range(501), "value": ["a"] * 501, "ms": [5] * 501})
+    out = next(p.handleInputRows((0,), iter([rows]), None))
+    assert len(out) == 501 and calls == [501] and out["k"].tolist()[-1] is None and out["k"].tolist()[7] == 7
+    again = next(p.handleInputRows((0,), iter([rows.assign(ms=6)]), None))
+    assert len(again) == 0
+
+
 def log(spark, rows):
     return spark.createDataFrame(rows, "rollout string, ordinal long, offset long, bytes long, item string, log_bytes long")
 
