@@ -245,7 +245,7 @@ def s4(spark: SparkSession, sf: str) -> DataFrame:
 @query("s5_file_manifest")
 def s5(spark: SparkSession, sf: str) -> DataFrame:
     files = S.read_source_files(spark, sf, "*.parquet")
-    return S.file_manifest(files).withColumn("path", F.regexp_extract("path", "[^/]+$", 0))
+    return S.file_digests(files).withColumn("path", F.regexp_extract("path", "[^/]+$", 0))
 
 
 @query("u1_extractor_registry", """SELECT source AS snapshot, 'chars' AS extractor_id, sum(length(text))::VARCHAR AS data, count(*) > 0 AS complete FROM documents WHERE lang IS DISTINCT FROM 'fr' GROUP BY 1 UNION ALL SELECT source, 'lines', sum(len(string_split(text, chr(10))))::VARCHAR, true FROM documents WHERE lang = 'fr' GROUP BY 1""")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +26,34 @@ def file_manifest(files: DataFrame) -> DataFrame:
     return files.select("path", F.octet_length("content").cast("long").alias("byte_length"), F.sha2("content", 256).alias("sha256"), blob_sha1(F.col("content")).alias("blob_sha1"))
 
 
+def file_digests(files: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """The manifest of files (path) without their content in a row: each is read block by block, so that a task holds one block and files may be over 2 GB.
+
+    A digest follows from a file's first byte to its last, so a file is always one task's work; different files are different tasks'.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, n in zip(batch.column("path").to_pylist(), batch.column("byte_length").to_pylist(), strict=True):
+                scheme, rest = path.split(":", 1)
+                # Spark writes paths without escapes
+                fs, at = pyarrow.fs.FileSystem.from_uri(f"{scheme}:{'' if rest.startswith('//') else '//'}{quote(rest, safe='/:@')}")
+                sha256, sha1, size = hashlib.sha256(), hashlib.sha1(b"blob %d\0" % n), 0
+                with fs.open_input_stream(at) as f:
+                    while part := f.read(block):
+                        sha256.update(part)
+                        sha1.update(part)
+                        size += len(part)
+                if size != n:
+                    raise OSError(f"{path} had {n} bytes when it was listed and {size} when it was read")
+                rows.append({"path": path, "byte_length": size, "sha256": sha256.hexdigest(), "blob_sha1": sha1.hexdigest()})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("byte_length", pa.int64()), ("sha256", pa.string()), ("blob_sha1", pa.string())]))
+
+    return files.select("path", "byte_length").mapInArrow(run, "path string, byte_length long, sha256 string, blob_sha1 string")
+
+
 def parse_records(lines: DataFrame, text: str, schema: str) -> DataFrame:
     """JSON lines to columns `record` (of the schema), code: null, MALFORMED_JSON, or ROOT_NOT_OBJECT. Blank lines give no row."""
     t = F.trim(text)

@@ -479,3 +479,15 @@ def test_json_rows_go_out_in_short_batches(spark, monkeypatch):
     assert sum(sizes) == 1400 and max(sizes) <= 50
     docs = spark.range(300).select(F.col("id").alias("k"), F.to_json(F.create_map(F.lit("a"), F.col("id"))).alias("t"))
     assert canonical.walk_json(docs, "k", "t").count() == 600
+
+
+def test_file_digests_read_no_content_column(spark, tmp_path):
+    """The manifest by blocks equals the one of whole contents, also for an empty file and names with spaces, and Spark's rows hold no content."""
+    from contractlake.sources import records as sources
+
+    for name, content in (("a.bin", b"x" * 100_001), ("empty.bin", b""), ("with space%.bin", bytes(range(256)))):
+        (tmp_path / name).write_bytes(content)
+    files = sources.read_source_files(spark, str(tmp_path))
+    blocks = sources.file_digests(files, block=1000)
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, sources.file_manifest(files).collect()))
+    assert "content" not in blocks._jdf.queryExecution().executedPlan().toString()
