@@ -211,12 +211,22 @@ def domain_permission(rules: DataFrame, keys: list[str]) -> DataFrame:
     return rules.groupBy(*keys, "pattern").agg(F.max(F.array_position(ranks, F.col("permission"))).alias("r")).select(*keys, "pattern", F.get(ranks, (F.col("r") - 1).cast("int")).alias("permission"))
 
 
+#: Rows of one piece where rows are dealt by key, so that what a task holds does not grow with the input.
+PIECE = 500_000
+
+
 def location_index(anchors: DataFrame, files: DataFrame) -> DataFrame:
-    """anchors: report, path, line, symbol; files: report, path. One row per different anchor with stable ids; state loaded or referenced_but_not_loaded."""
+    """anchors: report, path, line, symbol; files: report, path. One row per different anchor with stable ids; state loaded or referenced_but_not_loaded.
+
+    Both are dealt by report and path once, to as many pieces as their rows take, and made distinct and joined there.
+    """
     from contractlake.functions.ids import fingerprint, stable_id
 
-    loaded = files.select("report", "path", F.lit("loaded").alias("state")).distinct()
-    a = anchors.select("report", "path", "line", "symbol").distinct().join(loaded, ["report", "path"], "left")
+    anchors = anchors.select("report", "path", "line", "symbol")
+    pieces = max(anchors.sparkSession.sparkContext.defaultParallelism, 1 + (anchors.count() + files.count()) // PIECE)
+    loaded = files.select("report", "path", F.lit("loaded").alias("state")).repartition(pieces, "report", "path").distinct()
+    # merge: a small file may hold many rows, and is not to be broadcast by its bytes
+    a = anchors.repartition(pieces, "report", "path").distinct().join(loaded.hint("merge"), ["report", "path"], "left")
     return a.select("report", "path", "line", "symbol", stable_id("source", F.col("path")).alias("source_id"), fingerprint("location.", 16, F.col("path"), F.col("line"), F.col("symbol")).alias("location_id"), F.coalesce("state", F.lit("referenced_but_not_loaded")).alias("state"))
 
 

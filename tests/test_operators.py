@@ -491,3 +491,15 @@ def test_file_digests_read_no_content_column(spark, tmp_path):
     blocks = sources.file_digests(files, block=1000)
     assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, sources.file_manifest(files).collect()))
     assert "content" not in blocks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_location_index_pieces_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(rollups, "PIECE", 10)
+    anchors = spark.range(200).selectExpr("id % 2 report", "concat('p', id % 20) path", "cast(if(id % 3 = 0, null, id % 5) as int) line", "'s' symbol").repartition(1)
+    files = spark.range(20).selectExpr("id % 2 report", "concat('p', id) path").filter("path != 'p3'").repartition(1)
+    out = rollups.location_index(anchors, files.unionByName(files))
+    # made distinct and joined in pieces of PIECE rows, however few bytes they are
+    assert out.rdd.getNumPartitions() == 1 + (200 + 2 * 19) // 10
+    got = [(r["report"], r["path"], r["line"], r["state"]) for r in out.collect()]
+    want = {(i % 2, f"p{i % 20}", None if i % 3 == 0 else i % 5, "referenced_but_not_loaded" if i % 20 == 3 else "loaded") for i in range(200)}
+    assert len(got) == len(want) and set(got) == want
