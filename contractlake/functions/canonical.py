@@ -188,6 +188,11 @@ def _walk(value: Any, pointer: str, key: str | None, arrays: bool) -> Iterator[t
 TEXTS, ROWS = 64, 4096
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows dealt by hash to two pieces a core. Texts are costlier than their bytes in a file tell, so that splits by bytes, or one small file, leave most cores idle."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *rows.columns)
+
+
 def each_text(rows: DataFrame, made: Callable[..., list[tuple]], schema: str) -> DataFrame:
     """The rows that `made` makes of each row of `rows`, by column: a worker holds the rows of one text and ROWS others, however many texts come in a batch."""
     out_schema = to_arrow_schema(T._parse_datatype_string(schema))
@@ -209,7 +214,7 @@ def each_text(rows: DataFrame, made: Callable[..., list[tuple]], schema: str) ->
         if out:
             yield sent(out)
 
-    return rows.mapInArrow(run, schema)
+    return dealt(rows).mapInArrow(run, schema)
 
 
 def walk_json(docs: DataFrame, key: str, text: str, arrays: bool = True) -> DataFrame:

@@ -503,3 +503,12 @@ def test_location_index_pieces_follow_the_rows(spark, monkeypatch):
     got = [(r["report"], r["path"], r["line"], r["state"]) for r in out.collect()]
     want = {(i % 2, f"p{i % 20}", None if i % 3 == 0 else i % 5, "referenced_but_not_loaded" if i % 20 == 3 else "loaded") for i in range(200)}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_texts_of_one_file_are_many_tasks(spark, tmp_path):
+    spark.range(100).selectExpr("id", """'{"type":"object","properties":{"a":true}}' t""").coalesce(1).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    assert docs.rdd.getNumPartitions() == 1
+    for rows, each in ((canonical.schema_paths(docs, "id", "t"), 2), (canonical.walk_json(docs, "id", "t"), 4)):
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+        assert rows.count() == each * 100 and rows.select("id").distinct().count() == 100
