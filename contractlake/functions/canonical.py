@@ -110,6 +110,13 @@ def canonical(value: Any, dialect: str) -> str:
     return out + "\n" if dialect == "nfc" else out
 
 
+def _leaf(value: Any) -> str | None:
+    """canonical() of what was parsed, quick for numbers; None for objects."""
+    if isinstance(value, dict):
+        return None
+    return repr(value) if type(value) in (int, float) else canonical(value, "ascii")
+
+
 def _without(value: Any, path: list[str]) -> Any:
     """The value without the member at the path, if objects lead there."""
     if not isinstance(value, dict) or path[0] not in value:
@@ -237,6 +244,30 @@ def walk_json(docs: DataFrame, key: str, text: str, arrays: bool = True) -> Data
     return each_text(rows, nodes, f"k {kind}, pointer string, name string, kind string, value string, error string").withColumnRenamed("k", key)
 
 
+def walk_places(docs: DataFrame, key: str, text: str, pointers: frozenset[str]) -> DataFrame:
+    """The nodes of walk_json at the given pointers alone, with what is in them: key, pointer, kind, value, members (name, kind, value; null of leaves), error. Errors are those of the whole text."""
+    rows = docs.select(docs[key].alias("k"), docs[text].alias("t")).filter("t is not null")
+
+    def nodes(k: Any, t: str) -> list[tuple]:
+        out: list[tuple] = []
+        try:
+            for p, _, v in _walk(parse(t), "", None, True):
+                encodable(p)
+                # arrays are written in any case: one may be nested too deep for that
+                value = _leaf(v) if isinstance(v, list) or p in pointers else None
+                if p in pointers:
+                    inside = v.items() if isinstance(v, dict) else ((str(i), x) for i, x in enumerate(v)) if isinstance(v, list) else None
+                    members = None if inside is None else [(n, _kind(x), _leaf(x)) for n, x in inside]
+                    out.append((k, p, _kind(v), value, members, None))
+            return out
+        except REFUSALS as e:
+            return [(k, "", None, None, None, encodable_error(e))]
+
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"k {kind}, pointer string, kind string, value string, members array<struct<name:string,kind:string,value:string>>, error string"
+    return each_text(rows, nodes, schema).withColumnRenamed("k", key)
+
+
 #: What stands where a side has nothing; a singleton in every process.
 _ABSENT = ...
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contractlake.functions.canonical import nfc, walk_json
+from contractlake.functions.canonical import nfc, walk_json, walk_places
 
 # fixed values: how a string constant is declared, and where header names are written and read, literally or by a constant
 CONST = r'(?ms)^\s*(?:pub(?:\([^)]*\))?\s+)?const\s+([A-Z][A-Z0-9_]*)\s*:\s*&str\s*=\s*"([^"]+)"\s*;'
@@ -146,6 +146,11 @@ def key_collisions(docs: DataFrame, key: str, text: str) -> DataFrame:
     return nodes.groupBy(key, "object", nfc(F.col("name")).alias("normal")).agg(F.count_distinct("name").alias("spellings")).filter("spellings > 1")
 
 
+# fixed values: the rules of schema_conformance that look at an object's members, and all of them
+_OF_OBJECTS = ("required", "max_properties", "members", "not_required", "one_of")
+_RULES = (*_OF_OBJECTS, "closed", "type", "const", "enum", "pattern", "min", "max")
+
+
 def schema_conformance(docs: DataFrame, rules: DataFrame, key: str, text: str, most: int = 20) -> DataFrame:
     """Records against rules (pointer, rule, arg); key, pointer, rule of the first `most` errors of each record by pointer.
 
@@ -156,17 +161,23 @@ def schema_conformance(docs: DataFrame, rules: DataFrame, key: str, text: str, m
     be there if its object is), closed (comma list of the members there may be), max_properties, members
     (the type of every member), not_required (comma list of members that must not all be there), one_of
     (`tag|value:members|value:members`: the member tag has one of the values, and the members listed
-    for it are there). A text that is no strict JSON has one error, rule parse. A record is parsed once.
+    for it are there). A text that is no strict JSON has one error, rule parse. A record is parsed once, and
+    only nodes that a rule looks at become rows, with their members: each rule is settled in such a row.
     """
-    from .lineage import written
     from .rollups import first_errors
 
-    r = F.broadcast(rules)  # a literal rule table
-    nodes = written(walk_json(docs, key, text).withColumn("object", F.when(F.col("name").isNotNull(), F.regexp_replace("pointer", "/[^/]*$", ""))))
-    sound = nodes.filter("error is null")
+    # a literal rule table; what is required of a pointer is looked for in its object
+    at = rules.withColumn("wanted", F.col("pointer")).withColumn("pointer", F.when(F.col("rule") == "required", F.regexp_replace("pointer", "/[^/]*$", "")).otherwise(F.col("pointer")))
+    none = F.lit(None).cast("string")
+    at = at.filter(F.col("rule").isin(*_RULES)).unionByName(rules.sparkSession.range(1).select(F.lit("").alias("pointer"), F.lit("parse").alias("rule"), none.alias("arg"), none.alias("wanted")))
+    pointers = frozenset(x["pointer"] for x in at.select("pointer").distinct().collect())
+    nodes = walk_places(docs, key, text, pointers).join(F.broadcast(at), "pointer")
     v, arg = F.col("value"), F.col("arg")
-    decoded = F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")
-    plain = F.when(F.col("kind") == "string", decoded).otherwise(v)
+
+    def as_plain(kind: Column, value: Column) -> Column:
+        return F.when(kind == "string", F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")).otherwise(value)
+
+    plain = as_plain(F.col("kind"), v)
     number = F.when(F.col("kind") == "number", v.try_cast("double"))
     whole = F.when(F.col("kind") == "number", v.try_cast("decimal(38,10)"))
     kind = F.when(arg == "integer", (F.col("kind") == "number") & (number == F.floor(number))).otherwise(F.col("kind") == arg)
@@ -193,30 +204,29 @@ def schema_conformance(docs: DataFrame, rules: DataFrame, key: str, text: str, m
         .when(F.col("rule") == "min", (F.col("kind") != "number") | against(True))
         .when(F.col("rule") == "max", (F.col("kind") != "number") | against(False))
     )
-    at = sound.join(r.filter("rule in ('type', 'const', 'enum', 'pattern', 'min', 'max')"), "pointer")
-    wrong = at.filter(~F.coalesce(ok, F.lit(False))).select(key, "pointer", F.col("rule").alias("code"))
-    closed = sound.join(r.filter("rule = 'closed'").select(F.col("pointer").alias("object"), "arg"), "object")
-    extra = closed.filter(~F.array_contains(F.split(arg, ","), F.col("name"))).select(key, "pointer", F.lit("closed").alias("code"))
-    parse = nodes.filter("error is not null").select(key, "pointer", F.lit("parse").alias("code"))
-    need = r.filter("rule = 'required'").select(F.col("pointer").alias("wanted"), F.regexp_replace("pointer", "/[^/]*$", "").alias("pointer"))
-    holders = sound.filter("kind = 'object'").join(need, "pointer").select(key, F.col("wanted").alias("pointer"))
-    missing = holders.join(sound.select(key, "pointer"), [key, "pointer"], "left_anti").select(key, "pointer", F.lit("required").alias("code"))
-    # the members of one object at a time
-    shaped = r.filter("rule in ('max_properties', 'members', 'not_required', 'one_of')").select(F.col("pointer").alias("object"), "rule", "arg")
-    objects = sound.filter("kind = 'object'").select(key, F.col("pointer").alias("object")).join(shaped, "object")
-    members = sound.join(F.broadcast(rules.select(F.col("pointer").alias("object")).distinct()), "object").groupBy(key, "object").agg(F.collect_list(F.struct("name", "kind", plain.alias("value"))).alias("members"))
-    shape = objects.join(members, [key, "object"], "left").withColumn("members", F.coalesce("members", F.expr("cast(array() as array<struct<name:string,kind:string,value:string>>)")))
+    below = lambda m: F.concat("pointer", F.lit("/"), F.replace(F.replace(m["name"], F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
     names, listed = F.col("members.name"), F.split(arg, ",")
     cases = F.split(arg, r"\|")
-    tag = F.get(F.filter("members", lambda m: m["name"] == F.get(cases, 0)), 0)["value"]
+    tagged = F.get(F.filter("members", lambda m: m["name"] == F.get(cases, 0)), 0)
+    tag = as_plain(tagged["kind"], tagged["value"])
     chosen = F.get(F.filter(F.slice(cases, 2, F.size(cases) - 1), lambda c: F.substring_index(c, ":", 1) == tag), 0)
     needed = F.array_remove(F.split(F.substring_index(chosen, ":", -1), ","), "")
     fits = (
-        F.when(F.col("rule") == "max_properties", F.size("members") <= arg.cast("int"))
+        F.when(F.col("rule") == "required", (F.col("wanted") == F.col("pointer")) | F.exists("members", lambda m: below(m) == F.col("wanted")))
+        .when(F.col("rule") == "max_properties", F.size("members") <= arg.cast("int"))
         .when(F.col("rule") == "members", F.forall("members", lambda m: m["kind"] == arg))
         .when(F.col("rule") == "not_required", F.size(F.array_except(listed, names)) > 0)
         .when(F.col("rule") == "one_of", F.size(F.array_except(needed, names)) == 0)
     )
-    misshapen = shape.filter(~F.coalesce(fits, F.lit(False))).select(key, F.col("object").alias("pointer"), F.col("rule").alias("code"))
-    every = wrong.unionByName(extra).unionByName(parse).unionByName(missing).unionByName(misshapen).withColumnRenamed("pointer", "path")
+    error = lambda path: F.struct(path.alias("path"), F.col("rule").alias("code"))
+    extra = F.transform(F.filter("members", lambda m: ~F.array_contains(listed, m["name"])), lambda m: error(below(m)))
+    one = lambda holds: F.when(~F.coalesce(holds, F.lit(False)), F.array(error(F.col("wanted"))))
+    wrong = (
+        F.when(F.col("error").isNotNull() | (F.col("rule") == "parse"), F.when(F.col("error").isNotNull() & (F.col("rule") == "parse"), F.array(error(F.col("pointer")))))
+        .when(F.col("rule") == "closed", extra)
+        .when(F.col("rule").isin(*_OF_OBJECTS), F.when(F.col("kind") == "object", one(fits)))
+        .otherwise(one(ok))
+    )
+    # outer: for a plain explode Spark filters first, by the same cases once more
+    every = nodes.select(key, F.explode_outer(wrong).alias("e")).filter("e is not null").select(key, "e.path", "e.code")
     return first_errors(every, [key], most).select(key, F.col("path").alias("pointer"), F.col("code").alias("rule"))

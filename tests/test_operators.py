@@ -512,3 +512,17 @@ def test_texts_of_one_file_are_many_tasks(spark, tmp_path):
     for rows, each in ((canonical.schema_paths(docs, "id", "t"), 2), (canonical.walk_json(docs, "id", "t"), 4)):
         assert rows.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
         assert rows.count() == each * 100 and rows.select("id").distinct().count() == 100
+
+
+def test_schema_conformance_moves_errors_alone(spark, monkeypatch):
+    """Rules are settled where the record is walked: no node is written or joined with others, and only those at rules' pointers become rows."""
+    monkeypatch.setattr(lineage, "written", lambda df: pytest.fail("nodes were written"))
+    texts = ['{"a~b":{"x":1},"l":[1,"y"],"other":{"deep":{"deep":1}}}', '{"a~b":{},"l":7}', "[", '{"a~b":5,"l":[]}']
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    rules = [("/a~0b/x", "required", None), ("/l", "closed", "0"), ("/l/1", "type", "integer"), ("", "required", None), ("/odd", "required", None)]
+    out = coverage.schema_conformance(docs, spark.createDataFrame(rules, "pointer string, rule string, arg string"), "k", "t")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    want = [(0, "/l/1", "closed"), (0, "/l/1", "type"), (0, "/odd", "required"), (1, "/a~0b/x", "required"), (1, "/odd", "required"), (2, "", "parse"), (3, "/odd", "required")]
+    assert sorted(map(tuple, out.collect())) == want
+    nodes = canonical.walk_places(docs, "k", "t", frozenset({"", "/l"})).collect()
+    assert sorted((r["k"], r["pointer"]) for r in nodes) == [(0, ""), (0, "/l"), (1, ""), (1, "/l"), (2, ""), (3, ""), (3, "/l")]
