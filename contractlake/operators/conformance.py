@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contractlake.functions.canonical import REFUSALS, encodable, encodable_error, parse
+from contractlake.functions.canonical import REFUSALS, dealt, encodable, encodable_error, parse
 
 from .lineage import closure, written
 
@@ -380,7 +380,7 @@ def place_nodes(docs: DataFrame, bundled: DataFrame, key: str, text: str, most_b
                     out = []
             yield pd.DataFrame(out, columns=columns)
 
-    return rows.mapInPandas(run, f"k {kind_of}, {NODES}").withColumnRenamed("k", key)
+    return dealt(rows).mapInPandas(run, f"k {kind_of}, {NODES}").withColumnRenamed("k", key)
 
 
 def _holds(node_names):

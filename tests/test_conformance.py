@@ -8,6 +8,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from contractlake.operators import conformance as C
 
 
@@ -205,3 +207,13 @@ def test_schemas_beyond_the_broadcast(spark, most_bytes):
     d = spark.createDataFrame([(1, "s", "1"), (2, "t", "1"), (3, "s", '"x"')], "doc int, schema string, text string")
     nodes = C.place_nodes(d, C.bundles(s), "doc", "text", most_bytes).collect()
     assert sorted((r["doc"], r["kind"], r["error"]) for r in nodes) == [(1, "integer", None), (2, None, "schema unknown"), (3, "string", None)]
+
+
+def test_records_of_one_file_are_many_tasks(spark, tmp_path):
+    spark.range(100).selectExpr("id doc", "'s' schema", "to_json(struct(id)) t").coalesce(1).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    schemas = spark.createDataFrame([("s", '{"type":"object","properties":{"id":{"maximum":50}}}')], "schema string, text string")
+    nodes = C.place_nodes(docs, C.bundles(schemas), "doc", "t")
+    assert docs.rdd.getNumPartitions() == 1
+    assert nodes.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+    assert sorted(r["doc"] for r in C.conformance(docs, schemas, "doc", "t").collect()) == list(range(51, 100))
