@@ -67,12 +67,14 @@ class Projection:
         runs = self.runs(number)
         known = self._read("positions", self.positions_schema, runs).groupBy("rollout").agg(F.max("next_ordinal").alias("next_ordinal"), F.max("next_offset").alias("next_offset"))
         batch = batch.persist()
+        fresh = None
         try:
             seen = batch.groupBy("rollout").agg(F.max("log_bytes").alias("log_bytes")).join(known, "rollout", "left")
             shrunk = F.coalesce(F.col("log_bytes") < F.col("next_offset"), F.lit(False))
             names = [f.name for f in self.items_schema]
+            # three outputs come from them
             fresh = batch.join(seen.select("rollout", "next_ordinal", shrunk.alias("shrunk")), "rollout").filter("not shrunk and (next_ordinal is null or ordinal >= next_ordinal)")
-            fresh = fresh.select(*names, F.coalesce("next_ordinal", F.lit(0)).alias("next_ordinal")).dropDuplicates(["rollout", "ordinal"])
+            fresh = fresh.select(*names, F.coalesce("next_ordinal", F.lit(0)).alias("next_ordinal")).dropDuplicates(["rollout", "ordinal"]).persist()
             # without a gap the rows of a rollout are as many as its ordinals reach beyond the position
             spans = fresh.groupBy("rollout").agg(F.count("*").alias("n"), F.max("ordinal").alias("last"), F.max(F.col("offset") + F.col("bytes")).alias("end"), F.first("next_ordinal").alias("next_ordinal"))
             whole = F.col("last") - F.col("next_ordinal") + 1 == F.col("n")
@@ -85,6 +87,8 @@ class Projection:
             wrong.select("rollout", "code", "projected_offset", "log_bytes", F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{run}/errors")
         finally:
             batch.unpersist()
+            if fresh is not None:
+                fresh.unpersist()
         runs = [*runs, f"b{number}"]
         if len(runs) > self.compact_every:
             runs = [self._compacted(runs, number)]

@@ -119,3 +119,22 @@ def test_projection(spark, tmp_path):
     got = sorted((r["rollout"], r["ordinal"], r["item"]) for r in p.items().collect())
     assert got == [("a", i, f"a{i}") for i in range(6)] + [("b", 0, "b0"), ("b", 1, "b1"), ("c", 0, "c0"), ("c", 1, "c1")]
     assert sorted(map(tuple, p.positions().collect())) == [("a", 6, 60), ("b", 2, 10), ("c", 2, 8)]
+
+
+def test_batches_of_the_log_are_many_files(spark, tmp_path, monkeypatch):
+    from contractlake.jobs import queries as core
+    from contractlake.operators import lineage
+
+    from .oracle import same
+
+    monkeypatch.setattr(lineage, "scratch", lambda s, name, n=iter(range(1000)): f"{tmp_path}/{name}-{next(n)}")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        same(spark, "/root/testdata/sf0.001", core.queries()["t1_incremental_projection"], core.oracle_sql()["t1_incremental_projection"])
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    # four batches
+    assert len(list(tmp_path.glob("log-*/part-*.parquet"))) > 4
