@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -99,45 +100,116 @@ def _threads_of(e: DataFrame, inner: DataFrame, nodes: DataFrame) -> DataFrame:
     return now.drop("open")
 
 
+def _and(df: DataFrame, **more: T.DataType) -> T.StructType:
+    return T.StructType([*df.schema, *(T.StructField(name, kind) for name, kind in more.items())])
+
+
+def _layers(step: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Links (node, next, length) layer by layer, and those left over (None: none). A node's layer is the most links on a way to it.
+
+    A round takes the links of all nodes that no link left ends at. Cycles and what lies behind them are left over, and so is
+    everything as soon as a round takes under a sixteenth of it: all rounds together read the links some sixteen times at most.
+    """
+    spark, taken, left = step.sparkSession, [], step
+    while True:
+        path = scratch(spark, "layer")
+        ends = left.select(F.col("next").alias("node"), F.lit(True).alias("later")).distinct()
+        left.join(ends, "node", "left").select(*step.columns, F.coalesce("later", F.lit(False)).alias("later")).write.partitionBy("later").parquet(path)
+        parts = spark.read.schema(_and(step, later=T.BooleanType())).parquet(path)
+        rows = {r["later"]: r["count"] for r in parts.groupBy("later").count().collect()}
+        now, later = rows.get(False, 0), rows.get(True, 0)
+        if now * 16 < now + later or now == 0:
+            return taken, left if later else None
+        taken.append(parts.filter("not later").drop("later"))
+        left = parts.filter("later").drop("later")
+        if later == 0:
+            return taken, None
+
+
+_REST, _THREAD = -1, -2
+
+
+def _placed(layers: list[DataFrame], left: DataFrame | None, threads: DataFrame, path: str) -> DataFrame:
+    """Write the layers' links with the layer that each leads to, one folder a layer, and return node, layer: 0 where no link ends, without a row; _REST for nodes of links left over.
+
+    threads (node, thread) are written with the links as ways into the layer _THREAD.
+    """
+    spark = threads.sparkSession
+    levels = spark.createDataFrame([], _and(threads.select("node"), layer=T.IntegerType()))
+    links = None
+    if layers:
+        links = layers[0].withColumn("layer", F.lit(0))
+        for n, each in enumerate(layers[1:], 1):
+            links = links.unionByName(each.withColumn("layer", F.lit(n)))
+        levels = links.groupBy(F.col("next").alias("node")).agg((F.max("layer") + 1).alias("layer"))
+    if left is not None:
+        rest = left.select("node").unionByName(left.select(F.col("next").alias("node"))).distinct()
+        levels = levels.join(rest, "node", "left_anti").unionByName(rest.withColumn("layer", F.lit(_REST)))
+    levels = written(levels)
+    into = threads.join(levels, "node", "left").select("node", F.col("thread").alias("next"), F.lit(0).cast("long").alias("length"), F.lit(_THREAD).alias("to"), F.coalesce("layer", F.lit(0)).alias("layer"))
+    if links is not None:
+        into = into.unionByName(links.join(levels.select(F.col("node").alias("next"), F.col("layer").alias("to")), "next"))
+    into.write.partitionBy("layer").parquet(path)
+    return levels
+
+
+def _relaxed(step: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Pairs (start, node, hops) over links that may hold cycles: those that got shorter go on, round by round, until none does."""
+    known = frontier = written(seeds)
+    while True:
+        longer = frontier.join(step, "node").groupBy("start", F.col("next").alias("node")).agg(F.min(F.col("hops") + F.col("length")).alias("hops"))
+        better = longer.join(known.select("start", "node", F.col("hops").alias("best")), ["start", "node"], "left").filter("best is null or hops < best").drop("best")
+        frontier = written(better)
+        if frontier.isEmpty():
+            return known
+        known = written(known.unionByName(frontier).groupBy("start", "node").agg(F.min("hops").alias("hops")))
+
+
 def closure(edges: DataFrame, starts: DataFrame, most_hops: int | None = None) -> DataFrame:
     """What each start reaches over directed edges (from_id, to_id), with the fewest hops (the start itself: 0). Cycles stop, as a pair is kept once.
 
     starts: id. Runs of nodes with one way in and one way out are first taken together as single links
-    with a length (log2 of the longest run in rounds), then pairs are relaxed round by round over the
-    links until none gets shorter, and last the nodes inside the links come back. Rounds grow with the branchings
-    on the way, not with its hops; the rows are (start, node) pairs. Where most_hops is given and something new
-    lies beyond it, RuntimeError.
+    with a length (log2 of the longest run in rounds). The nodes left are put in layers, and pairs go through them
+    layer by layer: when a layer's turn comes, all ways to its nodes are known, so that each pair is written once and never
+    compared with those before. On and behind cycles pairs are relaxed until none gets shorter. Last the nodes inside the
+    links come back. Where most_hops is given and something new lies beyond it, RuntimeError.
     """
+    spark = edges.sparkSession
     e = written(edges.filter("from_id is not null and to_id is not null and from_id != to_id").select(F.col("from_id").alias("node"), F.col("to_id").alias("next")).distinct())
-    first = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct().withColumn("hops", F.lit(0).cast("long"))
+    seeds = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct().withColumn("hops", F.lit(0).cast("long"))
     found = _threads(e)
-    within = None
     if found is None:
-        links = e.withColumn("length", F.lit(1).cast("long"))
-        seeds = first
+        step, threads = e.withColumn("length", F.lit(1).cast("long")), e.select("node", F.col("next").alias("thread")).limit(0)
     else:
         links, members = found
         # a start inside a run reaches the rest of it and the run's end
-        inside = first.join(members, "node").select("start", "thread", F.col("at").alias("from"))
+        inside = written(seeds.join(members, "node").select("start", "thread", F.col("at").alias("from")))
         within = inside.join(members, "thread").filter(F.col("at") > F.col("from")).select("start", "node", (F.col("at") - F.col("from")).alias("hops"))
         out = inside.join(links.select("thread", "next", "length"), "thread").select("start", F.col("next").alias("node"), (F.col("length") - F.col("from")).alias("hops"))
-        seeds = first.unionByName(out).groupBy("start", "node").agg(F.min("hops").alias("hops"))
-    step = links.groupBy("node", "next").agg(F.min("length").alias("length"))
-    known = written(seeds)
-    frontier = known
-    while True:
-        longer = frontier.join(step, "node").groupBy("start", F.col("next").alias("node")).agg(F.min(F.col("hops") + F.col("length")).alias("hops"))
-        better = longer.join(known.select("start", "node", F.col("hops").alias("best")), ["start", "node"], "left").filter("best is null or hops < best").drop("best")
-        frontier = written(better)
-        if frontier.isEmpty():
-            break
-        known = written(known.unionByName(frontier).groupBy("start", "node").agg(F.min("hops").alias("hops")))
-        if most_hops is not None and not known.filter(F.col("hops") > most_hops).isEmpty() and found is None:
-            raise RuntimeError(f"a node lies over {most_hops} hops away")
+        seeds = seeds.unionByName(out)
+        step, threads = links.groupBy("node", "next").agg(F.min("length").alias("length")), links.filter("thread is not null").select("node", "thread")
+    layers, left = _layers(step)
+    placed, waiting, reached = (scratch(spark, name) for name in ("placed", "waiting", "reached"))
+    levels = _placed(layers, left, threads, placed)
+    seeds.join(levels, "node", "left").select("start", "node", "hops", F.coalesce("layer", F.lit(0)).alias("layer")).write.partitionBy("layer").parquet(waiting)
+    due = lambda layer: spark.read.schema(_and(seeds, layer=T.IntegerType())).parquet(waiting).filter(F.col("layer") == layer).drop("layer")
+    fewest = lambda pairs: pairs.groupBy("start", "node").agg(F.min("hops").alias("hops"))
+    ways = spark.read.schema(_and(step, to=T.IntegerType(), layer=T.IntegerType())).parquet(placed)
+    for n in range(len(layers) + 1):
+        now = f"{reached}/layer={n}"
+        fewest(due(n)).write.parquet(now)
+        on = spark.read.schema(seeds.schema).parquet(now).join(ways.filter(F.col("layer") == n).drop("layer"), "node")
+        on.select("start", F.col("next").alias("node"), (F.col("hops") + F.col("length")).alias("hops"), F.col("to").alias("layer")).write.partitionBy("layer").mode("append").parquet(waiting)
+    known = spark.read.schema(seeds.schema).parquet(reached).select(*seeds.columns)
+    entered = due(_THREAD)
+    if left is not None:
+        behind = _relaxed(left, fewest(due(_REST)))
+        known = known.unionByName(behind)
+        entered = entered.unionByName(behind.join(ways.filter(F.col("layer") == _REST), "node").select("start", F.col("next").alias("node"), "hops"))
     if found is not None:
-        through = known.join(links.filter("thread is not null").select("node", "thread"), "node").join(members.select("thread", "at", F.col("node").alias("inner")), "thread")
-        known = known.unionByName(through.select("start", F.col("inner").alias("node"), (F.col("hops") + F.col("at")).alias("hops"))).unionByName(within)
-        known = written(known.groupBy("start", "node").agg(F.min("hops").alias("hops")))
+        through = entered.withColumnRenamed("node", "thread").join(members, "thread").select("start", "node", (F.col("hops") + F.col("at")).alias("hops"))
+        # a start inside a run that comes back to itself is known with 0
+        known = known.unionByName(written(fewest(through.unionByName(within).filter("start != node"))))
     if most_hops is not None and not known.filter(F.col("hops") > most_hops).isEmpty():
         raise RuntimeError(f"a node lies over {most_hops} hops away")
     return known.withColumn("hops", F.col("hops").cast("int"))
@@ -149,7 +221,7 @@ def labelled_closure(edges: DataFrame, starts: DataFrame, moves: DataFrame, most
     edges: from_id, to_id, label; starts: id, state; moves: state, label, to_state. A pair of state and node
     is a node of its own, so ways of different kinds that meet in a node are never merged.
     """
-    both = edges.join(moves, "label")
+    both = edges.join(F.broadcast(moves), "label")
     pair = lambda state, node: F.struct(F.col(state).alias("state"), F.col(node).alias("node"))
     steps = both.select(pair("state", "from_id").alias("from_id"), pair("to_state", "to_id").alias("to_id"))
     out = closure(steps, starts.select(pair("state", "id").alias("id")), most_hops)

@@ -435,6 +435,20 @@ def test_closure_equals_breadth_first_search(spark, seed):
     assert got == bfs([e for e in edges if e[0] != e[1]], starts)
 
 
+def test_pairs_of_a_closure_are_not_written_again_each_round(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(lineage, "scratch", lambda s, name, n=iter(range(1000)): f"{tmp_path}/{name}-{next(n)}")
+    # ways of different lengths meet, a run of single ways hangs below, and a ring below that
+    edges = {(i, i // k) for k in (2, 3) for i in range(k, 200) if i % 7 != k} | {(-i, -i - 1) for i in range(6)} | {(-6, -8), (-8, -9), (-9, -6), (-9, -20)} | {(1, 0)}
+    starts = [*range(200), -3, -8, -20, 999]
+    got = {(x["start"], x["node"]): x["hops"] for x in lineage.closure(spark.createDataFrame(list(edges), "from_id int, to_id int"), spark.createDataFrame([(s,) for s in starts], "id int")).collect()}
+    assert got == bfs(edges, starts)
+    files = [pq.ParquetFile(f) for f in tmp_path.rglob("*.parquet")]
+    rows = sum(f.metadata.num_rows for f in files if "start" in f.schema_arrow.names and "hops" in f.schema_arrow.names)
+    assert rows < 4 * len(got), (rows, len(got))
+
+
 def test_long_chains_take_few_rounds(spark, monkeypatch):
     tables = []
     real = lineage.written
