@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -25,11 +26,13 @@ class _Refused(ValueError):
 
 
 def _pairs(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
-    out: dict[str, Any] = {}
-    for k, v in pairs:
-        if k in out:
-            raise _Refused(f"duplicate key {k}")
-        out[k] = v
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        seen: set[str] = set()
+        for k, _ in pairs:
+            if k in seen:
+                raise _Refused(f"duplicate key {k}")
+            seen.add(k)
     return out
 
 
@@ -221,7 +224,7 @@ def each_text(rows: DataFrame, made: Callable[..., list[tuple]], schema: str) ->
         if out:
             yield sent(out)
 
-    return dealt(rows).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def walk_json(docs: DataFrame, key: str, text: str, arrays: bool = True) -> DataFrame:
@@ -241,7 +244,7 @@ def walk_json(docs: DataFrame, key: str, text: str, arrays: bool = True) -> Data
             return [(k, "", None, None, None, encodable_error(e))]
 
     kind = docs.schema[key].dataType.simpleString()
-    return each_text(rows, nodes, f"k {kind}, pointer string, name string, kind string, value string, error string").withColumnRenamed("k", key)
+    return each_text(dealt(rows), nodes, f"k {kind}, pointer string, name string, kind string, value string, error string").withColumnRenamed("k", key)
 
 
 def walk_places(docs: DataFrame, key: str, text: str, pointers: frozenset[str]) -> DataFrame:
@@ -265,7 +268,42 @@ def walk_places(docs: DataFrame, key: str, text: str, pointers: frozenset[str])
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"k {kind}, pointer string, kind string, value string, members array<struct<name:string,kind:string,value:string>>, error string"
-    return each_text(rows, nodes, schema).withColumnRenamed("k", key)
+    return each_text(dealt(rows), nodes, schema).withColumnRenamed("k", key)
+
+
+def colliding_names(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Members of one object of a text whose names differ but agree in normal form C: key, object (its pointer), normal, spellings (how many names). Texts without any, and those that walk_json refuses, have no rows."""
+    rows = docs.select(docs[key].alias("k"), docs[text].alias("t"))
+
+    def clashes(k: Any, t: str | None) -> list[tuple]:
+        # a filter on texts that a column expression makes would make each twice
+        if t is None:
+            return []
+        out: list[tuple] = []
+        try:
+            stack = [(parse(t), "", False)]
+            while stack:
+                v, p, sound = stack.pop()
+                if isinstance(v, list) and not sound:
+                    # one may be nested too deep to be written; what is inside is written with it
+                    canonical(v, "ascii")
+                    sound = True
+                elif isinstance(v, dict):
+                    # names in ASCII are their own normal form
+                    found = Counter(unicodedata.normalize("NFC", encodable(n)) for n in v if not n.isascii())
+                    for n, spellings in found.items():
+                        if n.isascii() and n in v:
+                            spellings += 1
+                        if spellings > 1:
+                            out.append((k, p, n, spellings))
+                inside = v.items() if isinstance(v, dict) else ((str(i), x) for i, x in enumerate(v)) if isinstance(v, list) else ()
+                stack += [(x, f"{p}/{c.replace('~', '~0').replace('/', '~1')}", sound) for c, x in inside if isinstance(x, (dict, list))]
+            return out
+        except REFUSALS:
+            return []
+
+    kind = docs.schema[key].dataType.simpleString()
+    return each_text(dealt(rows), clashes, f"k {kind}, object string, normal string, spellings long").withColumnRenamed("k", key)
 
 
 #: What stands where a side has nothing; a singleton in every process.
@@ -309,7 +347,7 @@ def json_changes(pairs: DataFrame, key: str, before: str, after: str) -> DataFra
         return out
 
     kind = pairs.schema[key].dataType.simpleString()
-    return each_text(rows, changes, f"k {kind}, pointer string, before string, after string").withColumnRenamed("k", key)
+    return each_text(dealt(rows), changes, f"k {kind}, pointer string, before string, after string").withColumnRenamed("k", key)
 
 
 def schema_paths(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -365,7 +403,7 @@ def schema_paths(docs: DataFrame, key: str, text: str) -> DataFrame:
             return []
 
     kind = docs.schema[key].dataType.simpleString()
-    return each_text(rows, paths, f"k {kind}, path string, location string, required boolean, types array<string>, digest string").withColumnRenamed("k", key)
+    return each_text(dealt(rows), paths, f"k {kind}, path string, location string, required boolean, types array<string>, digest string").withColumnRenamed("k", key)
 
 
 def cas_fold(updates: DataFrame, thread: str = "thread") -> DataFrame:

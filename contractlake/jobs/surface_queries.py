@@ -75,10 +75,15 @@ def j2(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's words as member names, long ones and those in -s with accents in two spellings."""
     words = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
     accents = lambda e, o: lambda w: F.replace(F.replace(w, F.lit("e"), F.lit(e)), F.lit("o"), F.lit(o))
-    long = F.transform(F.filter(words, lambda w: F.length(w) > 6), accents("\u00e9", "o\u0308"))
-    plural = F.transform(F.filter(words, lambda w: w.endswith("s")), accents("e\u0301", "\u00f6"))
-    names = F.array_distinct(F.concat(words, long, plural))
-    text = F.to_json(F.struct(F.map_from_arrays(names, F.transform(names, lambda n: F.lit(1))).alias("o")))
+
+    def names(words: Column) -> Column:
+        long = F.transform(F.filter(words, lambda w: F.length(w) > 6), accents("\u00e9", "o\u0308"))
+        plural = F.transform(F.filter(words, lambda w: w.endswith("s")), accents("e\u0301", "\u00f6"))
+        return F.array_distinct(F.concat(words, long, plural))
+
+    # a lambda's argument is made once, however often it is used
+    once = lambda column, made: F.transform(F.array(column), made)[0]
+    text = once(once(words, names), lambda n: F.to_json(F.struct(F.map_from_arrays(n, F.transform(n, lambda _: F.lit(1))).alias("o"))))
     return coverage.key_collisions(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), text.alias("t")), "doc", "t")
 
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contractlake.functions.canonical import nfc, walk_json, walk_places
+from contractlake.functions.canonical import colliding_names, nfc, walk_json, walk_places
 
 # fixed values: how a string constant is declared, and where header names are written and read, literally or by a constant
 CONST = r'(?ms)^\s*(?:pub(?:\([^)]*\))?\s+)?const\s+([A-Z][A-Z0-9_]*)\s*:\s*&str\s*=\s*"([^"]+)"\s*;'
@@ -141,9 +141,20 @@ def profile_evaluation(reports: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def key_collisions(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Members of one object whose names differ but agree in normal form C: key, object pointer, name, spellings."""
-    nodes = walk_json(docs, key, text).filter("name is not null").withColumn("object", F.regexp_replace("pointer", "/[^/]*$", ""))
-    return nodes.groupBy(key, "object", nfc(F.col("name")).alias("normal")).agg(F.count_distinct("name").alias("spellings")).filter("spellings > 1")
+    """Members of one object whose names differ but agree in normal form C: key, object pointer, name, spellings.
+
+    A text is settled where it is read, and what collides alone becomes rows. Texts of one key are one document; only of
+    keys with several texts do all names become rows, which meet by object and normal form.
+    """
+    from .lineage import written
+
+    again = written(docs.groupBy(docs[key].alias("again")).count().filter("count > 1").select("again"))
+    if again.isEmpty():
+        return colliding_names(docs, key, text)
+    known = docs[key].eqNullSafe(again["again"])
+    nodes = walk_json(docs.join(again, known, "left_semi"), key, text).filter("name is not null").withColumn("object", F.regexp_replace("pointer", "/[^/]*$", ""))
+    met = nodes.groupBy(key, "object", nfc(F.col("name")).alias("normal")).agg(F.count_distinct("name").alias("spellings")).filter("spellings > 1")
+    return colliding_names(docs.join(again, known, "left_anti"), key, text).unionByName(met)
 
 
 # fixed values: the rules of schema_conformance that look at an object's members, and all of them

@@ -528,6 +528,32 @@ def test_texts_of_one_file_are_many_tasks(spark, tmp_path):
         assert rows.count() == each * 100 and rows.select("id").distinct().count() == 100
 
 
+def test_key_collisions_are_found_where_texts_are_read(spark, monkeypatch):
+    """No name but those that collide becomes a row, and none is lost: signs whose normal form is ASCII, nested objects, odd names."""
+    texts = [
+        '{"caf\\u00e9":1,"cafe\\u0301":2,"K":{"\\u00e9/~":{},"e\\u0301/~":[]},"\\u212a":[[{"\\u212b":1,"A\\u030a":1,"\\u00c5":1}]]}',
+        '{"K":1,"k":1,"\\u00e9":1,"l":["\\u00e9","e\\u0301"]}', '{"\\u00e9":1,"e\\u0301":1,"\\ud800":1}', '{"\\u00e9":1,"\\u00e9":1}', "[", None, '{"":{"\\u00e9\\n":1,"e\\u0301\\n":1}}',
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    want = [(0, "", "K", 2), (0, "", "caf\u00e9", 2), (0, "/K", "\u00e9/~", 2), (0, "/\u212a/0/0", "\u00c5", 3), (6, "/", "\u00e9\n", 2)]
+    with monkeypatch.context() as m:
+        m.setattr(coverage, "walk_json", lambda *a: pytest.fail("all names became rows"))
+        assert sorted(map(tuple, coverage.key_collisions(docs, "k", "t").collect())) == want
+    # texts of one key, null too, are one document
+    more = docs.unionByName(spark.createDataFrame([(1, '{"\\u212a":1,"k":2}'), (1, '{"e\\u0301":1}'), (None, '{"\\u00e9":1}'), (None, '{"e\\u0301":1}'), (7, '{"\\u00e9":1}')], docs.schema))
+    got = coverage.key_collisions(more, "k", "t")
+    assert got.columns == ["k", "object", "normal", "spellings"]
+    assert sorted(map(tuple, got.filter("k is not null").collect())) == sorted([*want, (1, "", "K", 2), (1, "", "\u00e9", 2)])
+    assert list(map(tuple, got.filter("k is null").collect())) == [(None, "", "\u00e9", 2)]
+
+
+def test_key_collision_texts_are_made_once(spark):
+    from contractlake.jobs import queries as core
+
+    plan = core.queries()["j2_key_collisions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+
+
 def test_schema_conformance_moves_errors_alone(spark, monkeypatch):
     """Rules are settled where the record is walked: no node is written or joined with others, and only those at rules' pointers become rows."""
     monkeypatch.setattr(lineage, "written", lambda df: pytest.fail("nodes were written"))
