@@ -188,7 +188,7 @@ def k24_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     _RESOLVED + f", h AS ({' UNION ALL '.join(f'SELECT * FROM h{d}' for d in range(_DEPTHS + 1))}) SELECT h.rollout, hops, ordinal, turn AS item FROM h JOIN n ON n.rollout = h.node WHERE cut IS NULL OR ordinal < cut",
 )
 def k24_history(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole history of each conversation, up to nine forks deep."""
+    """The whole history of each conversation, however many forks deep; its SQL is written out for nine."""
     given, items = _forks(spark, sf)
     found = forks.resolve_boundaries(given, items)
     sound = found.select("rollout", F.when(F.col("code").isNull(), F.col("base")).alias("base"), "cut")
